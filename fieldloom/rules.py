@@ -279,6 +279,47 @@ PAN_PATTERN = "[A-Z]{5}[0-9]{4}[A-Z]"
 GSTIN_PATTERN = "[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9][A-Z][A-Z0-9]"
 IFSC_PATTERN = "[A-Z]{4}0[A-Z0-9]{6}"
 
+# patterns searched in running text; one capture group unless noted
+TEXT_PATTERNS = {
+    "place_of_supply": r"(?i)Place\s+of\s+Supply\s*[:\-]\s*([A-Za-z][A-Za-z ]{1,30}?)(?:\n|\z)",
+    "annexure_number": r"\b([A-Z]{2}/[0-9]{4}/[0-9]{4,})\b",
+    "sales_invoice_number": r"(?i)Sales\s+Invoice\s+No\s*\n([A-Z0-9/\-]+)",
+    "due_date": (
+        r"(?i)(?:Due\s+Date|Payment\s+Due|Due\s+By|Last\s+(?:Date|Payment)\s+Date?)\s*[:\-]\s*"
+        r"([0-9]{1,2}[-/.][\p{L}\p{N}_]+[-/.][0-9]{2,4}|[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}"
+        r"|[0-9]{1,2}\s+[\p{L}\p{N}_]+\s+[0-9]{4})"
+    ),
+    "amount_due": (
+        r"(?i)(?:Amount\s+Due|Balance\s+Due|Net\s+Payable|Total\s+Due|Total\s+Payable\s+Amount)\s*[:\-]?\s*"
+        r"(?:Rs\.?|INR)?\s*([0-9,]+(?:\.[0-9]{1,2})?)"
+    ),
+    "po_number": r"(?i)(?:PO\s*No\.?|Purchase\s+Order\s*(?:No\.?)?|P\.O\.\s*No\.?)\s*[:\-]\s*([A-Z0-9\-/]{3,30})",
+    "customer_id": r"(?i)(?:Customer\s*(?:ID|No\.?|Code)|Client\s*(?:ID|Code))\s*[:\-]\s*([A-Z0-9\-/]{3,30})",
+    # whole match
+    "amount_in_words": r"(?:Rupees\s+)?([A-Z][A-Za-z ,]+(?:Hundred|Thousand|Lakh|Crore|Only)[A-Za-z ,]*\.?)",
+    "payable_to": r"[Pp]ayable\s+to\s*[:\-]\s*([A-Za-z0-9 .&,'\-/]+)",
+    # whole match, bounded tail
+    "banking_block": r"(?is)Banking\s+Details.{0,1500}",
+    "labelled_pan": r"(?i)PAN\s*[:\-]?\s*([A-Z]{5}[0-9]{4}[A-Z])",
+    "labelled_ifsc": r"(?i)(?:IFSC|IFS|RTGS|NEFT)\s*(?:Code)?\s*[:\-]?\s*([A-Z]{4}0[A-Z0-9]{6})",
+    "ifsc_then_label": r"(?i)([A-Z]{4}0[A-Z0-9]{6})\s*(?:IFSC|IFS|RTGS|NEFT)",
+    "gstin_label": r"(?i)^(gstin|gst)\s*(no\.?)?\s*[:\-\s]?\s*",
+    "your_aadhaar_no": r"(?i)(?:Your Aadhaar No\.)\s*:?\s*([0-9X\s]{12,17})",
+    "aadhaar_no": r"(?i)Aadhaar\s*No\.?\s*:?\s*([0-9X\s]{12,17})",
+    "twelve_digits": r"\b([0-9]{4}\s*[0-9]{4}\s*[0-9]{4})\b",
+    "enrolment_no": r"(?i)Enrolment No\.?\s*:?\s*([0-9/]+)",
+    "virtual_id": r"(?i)VID\s*:?\s*([0-9]+)",
+    "birth_date": r"(?i)DOB\s*:?\s*([0-9]{2}/[0-9]{2}/[0-9]{4})",
+    # relation, name
+    "guardian": r"(?i)(S/O|D/O|W/O|C/O)\s*:?\s*([A-Za-z\s]+?)(?:\n|\z)",
+    "pin_code": r"\b([0-9]{6})\b",
+    "slash_date": r"\b([0-9]{2}/[0-9]{2}/[0-9]{4})\b",
+    "any_date": r"\b([0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4})\b",
+    "stamp_duty": r"(?i)Stamp\s*Duty[^0-9]{0,10}(Rs\.?\s*[0-9,]+)",
+    "agreement_gstin": r"\b([0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9]Z[A-Z0-9])\b",
+    "cin": r"\b([LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6})\b",
+}
+
 DATE_TYPES = [
     "agreement_date", "execution_date", "effective_date", "commencement_date", "start_date",
     "end_date", "expiry_date", "termination_date", "renewal_date", "renewal_effective_date",
