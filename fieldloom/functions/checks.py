@@ -42,23 +42,23 @@ def is_phone(c: Column) -> Column:
 is_date = dates.is_date
 
 
+_DIGITS = "[0-9]+(?:_[0-9]+)*"
+_NUMBER = rf"(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+_ZERO = r"(?:0[0_]*\.?[0_]*|\.0[0_]*)(?:[eE][+-]?[0-9_]+)?"
+
+
 def is_amount_text(c: Column) -> Column:
     """Currency text whose number is not below zero; decided without a cast, so
     not-a-number text cannot slip through a comparison."""
     bare = strip(_without(F.translate(c, ",$€£₹", ""), "INR"))
-    digits = "[0-9]+(?:_[0-9]+)*"
-    number = rf"(?:{digits}\.?(?:{digits})?|\.{digits})(?:[eE][+-]?{digits})?"
-    positive = bare.rlike(rf"\A\+?(?:{number}|(?i:inf|infinity))\z")
-    minus_zero = bare.rlike(r"\A-(?:0[0_]*\.?[0_]*|\.0[0_]*)(?:[eE][+-]?[0-9_]+)?\z")
-    return _sure(positive | minus_zero)
+    return _sure(bare.rlike(rf"\A(?:\+?(?:{_NUMBER}|(?i:inf|infinity))|-{_ZERO})\z"))
 
 
 def is_amount(c: Column, value_type: Column) -> Column:
-    number = value_type.isin("int", "float") & (c.try_cast("double") >= 0) & ~F.isnan(c.try_cast("double"))
     return _sure(
-        F.when(value_type == "bool", True)
-        .when(value_type.isin("int", "float"), number)
-        .when(value_type == "str", is_amount_text(c))
+        F.when(value_type == "str", is_amount_text(c))
+        .when(value_type.isin("int", "float"), c.try_cast("double").between(0, float("inf")))
+        .when(value_type == "bool", True)
     )
 
 

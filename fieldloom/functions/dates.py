@@ -1,7 +1,9 @@
-"""Date parsing without exceptions: a regex picks the shape, arithmetic checks it.
+"""Dates in text, decided by regular expressions.
 
-``try_to_timestamp`` raises and catches a Java exception for every format that
-does not fit, which dominates the cost on dirty text; these expressions do not.
+Calendar rules (month lengths, leap years) are part of the patterns, so a check is
+one regex match: no parser runs and no exception is raised and caught for text
+that is not a date, which is what dominates the cost of ``try_to_timestamp`` on
+dirty input.
 """
 
 from __future__ import annotations
@@ -14,21 +16,38 @@ from fieldloom import rules
 MONTH_NAMES = "|".join(rules.MONTHS)
 MONTH_SHORT = "|".join(m[:3] for m in rules.MONTHS)
 
-# field shapes of a lenient day and month, and of a year
-_D = "(3[01]|[12][0-9]|0[1-9]|[1-9]| [1-9])"
-_M = "(1[0-2]|0[1-9]|[1-9])"
-_Y = "([0-9]{4})"
-
-# (pattern, group of year, month, day); the month group may hold a name
-ACCEPTED = [
-    (rf"\A{_Y}-{_M}-{_D}\z", 1, 2, 3),
-    (rf"\A{_D}-{_M}-{_Y}\z", 3, 2, 1),
-    (rf"\A{_Y}/{_M}/{_D}\z", 1, 2, 3),
-    (rf"\A{_D}/{_M}/{_Y}\z", 3, 2, 1),
-    (rf"\A{_M}/{_D}/{_Y}\z", 3, 1, 2),
-    (rf"(?i)\A{_D}\s+({MONTH_NAMES})\s+{_Y}\z", 3, 2, 1),
-    (rf"(?i)\A({MONTH_NAMES})\s+{_D},\s+{_Y}\z", 3, 1, 2),
-]
+_YEAR = "(?!0000)[0-9]{4}"
+_LEAP_YEAR = "(?!0000)(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
+
+# month spelling -> patterns of: any month, 30 days or more, 31 days, February
+_LONG = [m for m in rules.MONTHS if m not in ("February", "April", "June", "September", "November")]
+_NUMBER_MONTHS = ("(?:0?[1-9]|1[0-2])", "(?:0?[13-9]|1[0-2])", "(?:0?[13578]|1[02])", "0?2")
+_NAMED_MONTHS = (
+    f"(?:{MONTH_NAMES})", f"(?:{'|'.join(m for m in rules.MONTHS if m != 'February')})",
+    f"(?:{'|'.join(_LONG)})", "February",
+)
+
+
+def _existing_day(shape: str, months: tuple) -> str:
+    """Pattern for existing days in a shape with the places ``D``, ``M`` and ``Y``."""
+    any_month, month_30, month_31, february = months
+    choices = [
+        ("(?:0?[1-9]| [1-9]|1[0-9]|2[0-8])", any_month, _YEAR),
+        ("(?:29|30)", month_30, _YEAR),
+        ("31", month_31, _YEAR),
+        ("29", february, _LEAP_YEAR),
+    ]
+    return "|".join("".join({"D": d, "M": m, "Y": y}.get(ch, ch) for ch in shape) for d, m, y in choices)
+
+
+_SPACE = r"\s+"
+_NUMERIC = [_existing_day(shape, _NUMBER_MONTHS) for shape in ("Y-M-D", "D-M-Y", "Y/M/D", "D/M/Y", "M/D/Y")]
+_NAMED = [_existing_day(shape, _NAMED_MONTHS).replace("~", _SPACE) for shape in ("D~M~Y", "M~D,~Y")]
+
+# a whole text that is a date in one of the accepted formats
+ACCEPTED = rf"(?i)\A(?:{'|'.join(_NUMERIC + _NAMED)})\z"
+# the first format alone, and its fully padded form
+ISO_LIKE = rf"\A(?:{_NUMERIC[0]})\z"
 
 # free-text date candidates, longest numeric shape first
 FINDER = (
@@ -39,83 +58,52 @@ FINDER = (
 )
 
 
-def _int(c: Column) -> Column:
-    return F.trim(c).try_cast("int")
-
-
-def month_number(c: Column) -> Column:
-    """1-12 from digits or an English month name (full or three letters)."""
-    named = F.substring(F.lower(c), 1, 3)
-    chain = None
-    for i, name in enumerate(rules.MONTHS, start=1):
-        hit = named == name[:3].lower()
-        chain = F.when(hit, i) if chain is None else chain.when(hit, i)
-    return chain.otherwise(_int(c))
-
-
-def real_day(y: Column, m: Column, d: Column) -> Column:
-    """True when year, month and day name an existing day; never null."""
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    last = (
-        F.when(m.isin(4, 6, 9, 11), 30)
-        .when(m == 2, F.when(leap, 29).otherwise(28))
-        .otherwise(31)
-    )
-    return F.coalesce((y >= 1) & m.between(1, 12) & (d >= 1) & (d <= last), F.lit(False))
+def is_date(c: Column) -> Column:
+    """True when the whole text is a date in one of the accepted formats."""
+    return F.coalesce(c.rlike(ACCEPTED), F.lit(False))
 
 
-def iso(y: Column, m: Column, d: Column) -> Column:
-    """``yyyy-MM-dd`` text for an existing day, else null."""
-    text = F.concat_ws(
-        "-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")
-    )
-    return F.when(real_day(y, m, d), text)
+def is_iso(c: Column) -> Column:
+    return F.coalesce(c.rlike(ISO_LIKE), F.lit(False))
 
 
-def is_date(c: Column) -> Column:
-    """True when the whole text is a date in one of the accepted formats."""
-    result = F.lit(False)
-    for pattern, y, m, d in ACCEPTED:
-        part = [F.regexp_extract(c, pattern, g) for g in (y, m, d)]
-        month = month_number(part[1]) if MONTH_NAMES in pattern else _int(part[1])
-        result = result | (c.rlike(pattern) & real_day(_int(part[0]), month, _int(part[2])))
-    return F.coalesce(result, F.lit(False))
+def _if_real(iso: Column) -> Column:
+    return F.when(iso.rlike(ISO_LIKE), iso)
 
 
-def is_iso(c: Column) -> Column:
-    pattern, y, m, d = ACCEPTED[0]
-    part = [_int(F.regexp_extract(c, pattern, g)) for g in (y, m, d)]
-    return F.coalesce(c.rlike(pattern) & real_day(*part), F.lit(False))
+def _month_digits(name: Column) -> Column:
+    """Two-digit month of an English name, by its place in the year."""
+    place = F.instr(F.lit(MONTH_SHORT.replace("|", "")), F.substring(name, 1, 3))
+    return F.lpad(((place + 2) / 3).cast("int").cast("string"), 2, "0")
 
 
 def _candidate_to_iso(c: Column) -> Column:
-    """One finder candidate as ISO text, null when no format fits."""
-    first, second = F.substring(c, 3, 1), F.substring(c, 6, 1)
-    numbers = lambda *spans: [_int(F.substring(c, s, n)) for s, n in spans]
-    ymd = numbers((1, 4), (6, 2), (9, 2))
-    a, b, year = numbers((1, 2), (4, 2), (7, 4))
+    """One finder candidate as ISO text, null when no format fits.
+
+    Both separators must agree; day/month is tried before month/day, except for
+    dots, which are always day first.
+    """
+    part = lambda start, n: F.substring(c, start, n)
+    joined = lambda *parts: _if_real(F.concat_ws("-", *parts))
     day_first = r"\A([0-9]{1,2})\s+([A-Z][a-z]+),?\s+([0-9]{4})\z"
     name_first = r"\A([A-Z][a-z]+)\s+([0-9]{1,2}),\s*([0-9]{4})\z"
-    part = lambda p, g: F.regexp_extract(c, p, g)
+    group = lambda p, g: F.regexp_extract(c, p, g)
     return (
-        F.when(
-            c.rlike(r"\A[0-9]{4}[-/.]..[-/.]..\z"),
-            F.when(F.substring(c, 5, 1) == F.substring(c, 8, 1), iso(*ymd)),
-        )
+        F.when(c.rlike(r"\A[0-9]{4}([-/.])..\1..\z"), joined(part(1, 4), part(6, 2), part(9, 2)))
         .when(
-            c.rlike(r"\A..[-/.]..[-/.][0-9]{4}\z"),
-            F.when(
-                first == second,
-                F.coalesce(iso(year, b, a), F.when(first != ".", iso(year, a, b))),
+            c.rlike(r"\A..([-/.])..\1[0-9]{4}\z"),
+            F.coalesce(
+                joined(part(7, 4), part(4, 2), part(1, 2)),
+                F.when(part(3, 1) != ".", joined(part(7, 4), part(1, 2), part(4, 2))),
             ),
         )
         .when(
             c.rlike(day_first),
-            iso(_int(part(day_first, 3)), month_number(part(day_first, 2)), _int(part(day_first, 1))),
+            joined(group(day_first, 3), _month_digits(group(day_first, 2)), F.lpad(group(day_first, 1), 2, "0")),
         )
         .when(
             c.rlike(name_first),
-            iso(_int(part(name_first, 3)), month_number(part(name_first, 1)), _int(part(name_first, 2))),
+            joined(group(name_first, 3), _month_digits(group(name_first, 1)), F.lpad(group(name_first, 2), 2, "0")),
         )
     )
 

@@ -162,16 +162,19 @@ def payable_to_in_text(content: Column) -> Column:
 
 
 def beneficiary(
-    named: Column, payable_to: Column, remittance_name: Column, content: Column, vendor: Column, known: Column
+    named: Column, payable_to: Column, remittance_name: Column, in_text: Column, vendor: Column, known: Column
 ) -> Column:
-    """Who is to be paid, by priority; only the second source may equal the vendor."""
+    """Who is to be paid, by priority; only the second source may equal the vendor.
+
+    ``in_text`` is what ``payable_to_in_text`` finds.
+    """
     vendor_upper = F.upper(strip(F.coalesce(vendor, F.lit(""))))
     other = lambda c: F.when(F.upper(strip(c)) != vendor_upper, c)
     return F.coalesce(
         other(clean(named)),
         clean(payable_to),
         other(empty_to_null(strip(remittance_name))),
-        other(payable_to_in_text(content)),
+        other(in_text),
         known,
     )
 

@@ -6,9 +6,10 @@ Long form used throughout: ``doc_id, seq, field_name, field_value, value_type``.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,27 +31,41 @@ def first_match(text: Column, pairs) -> Column:
     return F.lit(None).cast("string") if chain is None else chain
 
 
-def route_label(label: Column, document_type: str | Column, book: RuleBook = STANDARD) -> Column:
-    """Canonical field for a label; null when no pattern of the type matches."""
-    low = F.lower(label)
+def _by_type(document_type: str | Column, book: RuleBook, make) -> Column:
+    """``make(rules)`` of the document's type; null for unknown types."""
     if isinstance(document_type, str):
-        return first_match(low, book.types[document_type].patterns)
+        return make(book.types[document_type])
     chain = None
     for name, spec in book.types.items():
-        routed = first_match(low, spec.patterns)
-        chain = F.when(document_type == name, routed) if chain is None else chain.when(document_type == name, routed)
+        chain = F.when(document_type == name, make(spec)) if chain is None else chain.when(
+            document_type == name, make(spec))
     return chain
 
 
+def route_label(label: Column, document_type: str | Column, book: RuleBook = STANDARD) -> Column:
+    """Canonical field for a label; null when no pattern of the type matches."""
+    low = F.lower(label)
+    return _by_type(document_type, book, lambda spec: first_match(low, spec.patterns))
+
+
+def known_label(label: Column, document_type: str | Column, book: RuleBook = STANDARD) -> Column:
+    """True when some pattern of the type is contained in the label: one regex
+    pass, so that unrouted pairs are dropped before the rule chain runs."""
+    low = F.lower(label)
+    return _by_type(
+        document_type, book, lambda spec: low.rlike("|".join(re.escape(p) for p, _ in spec.patterns) or r"\z\A.")
+    )
+
+
 def route_fields(kv: DataFrame, document_type: str | Column, book: RuleBook = STANDARD) -> DataFrame:
     """Key/value pairs ``doc_id, seq, label, value`` to fields; the last label wins.
 
     One shuffle on (document, field) with map-side combine, so one document with
     very many pairs is reduced to its few fields before it moves.
     """
-    routed = kv.select(
+    routed = kv.where(known_label(F.col("label"), document_type, book)).select(
         "doc_id", "seq", "value", route_label(F.col("label"), document_type, book).alias("field_name")
-    ).where(F.col("field_name").isNotNull())
+    )
     return routed.groupBy("doc_id", "field_name").agg(
         F.min("seq").cast("bigint").alias("seq"),
         F.max_by("value", "seq").alias("field_value"),

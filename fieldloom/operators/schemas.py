@@ -115,10 +115,26 @@ def pan_document(json: Column) -> Column:
     )
 
 
-def agreement_type(lists: dict[str, list[str]] | None = None) -> str:
+NUMBER_FIELDS = ["amount", "percentage_value"]
+
+
+def _entry_struct(names: list[str]) -> str:
+    """List entries are text but for numbers, which may come as number or text."""
+    return "struct<" + ",".join(f"{n}:{'variant' if n in NUMBER_FIELDS else 'string'}" for n in names) + ">"
+
+
+def number_value(v: Column) -> Column:
+    """A JSON number as it is, a text by its digits and dots."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "STRING", checks.loose_number(F.try_variant_get(v, "$", "string"))).otherwise(
+        F.try_variant_get(v, "$", "double")
+    )
+
+
+def agreement_type() -> str:
     """Raw agreement type: text sections as maps, list sections as structs."""
     parts = [f"{s}:map<string,string>" for s in TEXT_SECTIONS]
-    parts += [f"{s}:array<{_text_struct(names)}>" for s, names in (lists or LIST_SECTIONS).items()]
+    parts += [f"{s}:array<{_entry_struct(names)}>" for s, names in LIST_SECTIONS.items()]
     parts += [f"{n}:string" for n in FLAT_FIELDS]
     return f"struct<{','.join(parts)}>"
 
@@ -159,13 +175,13 @@ def agreement_sections(json: Column, text_fields: dict[str, list[str]] | None =
     typed = {
         ("dates", "date_value"): checks.slash_date,
         ("dates", "page_number"): lambda c: c.try_cast("int"),
-        ("monetary_values", "amount"): checks.loose_number,
+        ("monetary_values", "amount"): number_value,
         ("monetary_values", "currency"): lambda c: F.coalesce(c, F.lit(DEFAULT_CURRENCY)),
-        ("percentage_fees", "percentage_value"): checks.loose_number,
+        ("percentage_fees", "percentage_value"): number_value,
         ("clause_metadata", "page_number"): lambda c: c.try_cast("int"),
     }
     for section, names in LIST_SECTIONS.items():
-        items = F.coalesce(d[section], F.array().cast(f"array<{_text_struct(names)}>"))
+        items = F.coalesce(d[section], F.array().cast(f"array<{_entry_struct(names)}>"))
         out[section] = F.transform(
             items,
             lambda x, s=section, ns=names: F.struct(*[typed.get((s, n), lambda c: c)(x[n]).alias(n) for n in ns]),

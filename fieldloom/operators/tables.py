@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fieldloom import rules
 from fieldloom.functions import checks
 from fieldloom.functions.pyfuncs import html_tables
-from fieldloom.functions.text import clean, clean_by_kind, empty_to_null, strip
+from fieldloom.functions.text import clean, empty_to_null, strip
 from fieldloom.operators.routing import first_match
 
 TABLE = ["doc_id", "table_no"]
@@ -117,11 +117,13 @@ def csv_lines(cells: DataFrame) -> DataFrame:
 
 def _bank_value(target: Column, value: Column) -> Column:
     """Clean by target column; a PAN that does not validate is dropped."""
-    kind = F.lit("text")
-    for column, cleaner in rules.BANK_CLEANERS.items():
-        kind = F.when(target == column, cleaner).otherwise(kind)
-    cleaned = clean_by_kind(value, kind, ["text", "bank_account", "ifsc", "pan"])
-    return F.when((target != "Vendor_PAN_No") | checks.is_pan(cleaned), cleaned)
+    chain = None
+    for column, kind in rules.BANK_CLEANERS.items():
+        cleaned = clean(value, kind)
+        if kind == "pan":
+            cleaned = F.when(checks.is_pan(value), cleaned)
+        chain = F.when(target == column, cleaned) if chain is None else chain.when(target == column, cleaned)
+    return chain.otherwise(clean(value))
 
 
 def label_value_cells(cells: DataFrame) -> DataFrame:
@@ -148,18 +150,20 @@ def bank_fields_from_cells(cells: DataFrame, known: DataFrame | None = None) ->
         F.bool_or(low.contains("details") | low.contains("account")).alias("details"),
     ).where("bank AND details").select(*TABLE)
     pairs = label_value_cells(cells).join(speaking, TABLE, "left_semi")
-    label = F.translate(F.lower(strip(F.col("content"))), ": ", "")
-    hits = pairs.select(
-        "doc_id", "table_no", "seq", first_match(label, rules.BANK_LABELS).alias("field_name"), "value"
-    ).where(F.col("field_name").isNotNull() & (F.length(strip(F.col("value"))) > 0))
+    any_label = "|".join(key for key, _ in rules.BANK_LABELS)
+    labelled = pairs.select(
+        "doc_id", "table_no", "seq", F.translate(F.lower(strip(F.col("content"))), ": ", "").alias("label"),
+        strip(F.col("value")).alias("value"),
+    ).where(F.col("label").rlike(any_label) & (F.length("value") > 0))
     if known is not None:
-        hits = hits.join(known.where(F.length("Bank_Name") > 0).select("doc_id"), "doc_id", "left_anti")
-    cleaned = hits.withColumn("field_value", _bank_value(F.col("field_name"), strip(F.col("value")))).where(
-        F.col("field_value").isNotNull()
-    )
+        labelled = labelled.join(known.where(F.length("Bank_Name") > 0).select("doc_id"), "doc_id", "left_anti")
+    named = labelled.withColumn("field_name", first_match(F.col("label"), rules.BANK_LABELS))
+    cleaned = named.withColumn("field_value", _bank_value(F.col("field_name"), F.col("value")))
+    # a value that was cleaned away must not shadow a later one
+    place = F.when(F.col("field_value").isNotNull(), F.struct("table_no", "seq"))
     return cleaned.groupBy("doc_id", "field_name").agg(
-        F.min_by("field_value", F.struct("table_no", "seq")).alias("field_value")
-    )
+        F.min_by("field_value", place).alias("field_value")
+    ).where(F.col("field_value").isNotNull())
 
 
 # --- HTML tables -------------------------------------------------------------------------

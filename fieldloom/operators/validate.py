@@ -20,10 +20,12 @@ def sanitize(fields: DataFrame) -> DataFrame:
     A nested object is a struct or its own rows in this model, so it is reached
     by applying the same expression to its leaves.
     """
-    items = F.from_json("field_value", "array<string>")
+    items = F.try_variant_get(F.try_parse_json("field_value"), "$", "array<variant>")
+    trim_item = lambda x: F.when(
+        F.schema_of_variant(x) == "STRING", strip(F.variant_get(x, "$", "string")).cast("variant")
+    ).otherwise(x)
     trimmed = F.when(F.col("value_type") == "str", strip(F.col("field_value"))).when(
-        (F.col("value_type") == "list") & ~F.col("field_value").contains("{"),
-        F.to_json(F.transform(items, strip)),
+        F.col("value_type") == "list", F.coalesce(F.to_json(F.transform(items, trim_item)), F.col("field_value"))
     ).otherwise(F.col("field_value"))
     return fields.withColumn("field_value", trimmed)
 

@@ -106,63 +106,34 @@ def _speaking_cells(rows: DataFrame) -> DataFrame:
 
 
 def parsed_pages(raw: DataFrame) -> DataFrame:
-    """Pages ``doc_id, page_no, json`` with the analysis parsed and its HTML tables read
-    once.  ``doc_id`` becomes the (document, page) key; unreadable pages are left out."""
+    """Pages ``doc_id, page_no, json`` with the analysis parsed.
+
+    ``doc_id`` becomes the (document, page) key; unreadable pages are left out.
+    """
     keyed = raw.withColumn("doc_id", F.struct("doc_id", "page_no"))
     typed = analysis.parse(keyed).where(F.col("a").isNotNull())
     return typed.withColumns({
         "f": analysis.first_fields(),
         "markdown": analysis.markdown_of(F.col("json")),
         "paragraphs": analysis.paragraphs_of(F.col("json")),
-    }).withColumn("html", tables.classified_tables(F.col("markdown")))
-
+    })
 
-def page_records(raw: DataFrame, as_of_year: int, invoice_type: str | None = None,
-                 inserted_at: str | None = None) -> DataFrame:
-    """One 53-column record per page, keyed by the (document, page) struct ``doc_id``.
 
-    ``as_of_year`` and ``inserted_at`` replace the clock, so a re-run gives the
-    same record.
-    """
-    rows = parsed_pages(raw)
-    text = F.coalesce("a.content", F.lit(""))
-    start = primary_fields(rows)
-    start = start.withColumns({
+def _from_fields(rows: DataFrame, as_of_year: int) -> DataFrame:
+    """Rule-table columns, flags, commission month and tax amounts."""
+    start = primary_fields(rows).withColumns({
         **content.document_flags(F.col("json")),
         "Commission_Month": commission_month(F.col("paragraphs"), F.col("markdown"), as_of_year),
-        "Invoice_Type": F.lit(invoice_type).cast("string"),
-        "Insertion_Date": F.lit(inserted_at).cast("string"),
         "_tax": tax.tax_from_array(F.col("f.TaxDetails.valueArray")),
         "rate": tax.rate_from_array(F.col("f.TaxDetails.valueArray")),
     })
-    taxed = tax.gst_amounts(complete_record(
-        start.withColumns({k: F.col(f"_tax.{k}") for k in ("CGST", "SGST", "IGST")})
-    ))
+    with_tax = start.withColumns({k: F.col(f"_tax.{k}") for k in ("CGST", "SGST", "IGST")}).drop("_tax")
+    return tax.gst_amounts(complete_record(with_tax))
 
-    bank_html = tables.bank_fields_from_html(F.col("html.bank"))
-    banked = taxed.withColumns({
-        name: F.coalesce(value, F.col(name)) for name, value in bank_html.items()
-    })
-    from_cells = tables.bank_fields_from_cells(
-        _speaking_cells(rows), banked.select("doc_id", "Bank_Name")
-    ).groupBy("doc_id").agg(*[
-        F.max(F.when(F.col("field_name") == name, F.col("field_value"))).alias(f"_{name}")
-        for name in rules.BANK_ALIASES
-    ])
-    banked = banked.join(from_cells, "doc_id", "left").withColumns({
-        name: content.or_else(F.col(name), F.col(f"_{name}")) for name in rules.BANK_ALIASES
-    })
-    banked = banked.withColumn("Bank_Payable_To", content.beneficiary(
-        analysis.pick_struct(F.col("f.Beneficiary_name")), analysis.pick_struct(F.col("f.payble_to")),
-        F.col("Vendor_Name_2"), text, F.col("Vendor_Name"), F.col("Bank_Payable_To"),
-    ))
-    banked = banked.withColumns({
-        "Bank_IFSC_Code": F.when(checks.is_ifsc(F.col("Bank_IFSC_Code")), F.col("Bank_IFSC_Code")).otherwise(
-            F.coalesce(checks.find_ifsc(text), F.col("Bank_IFSC_Code"))),
-        "Vendor_PAN_No": F.when(checks.is_pan(F.col("Vendor_PAN_No")), F.col("Vendor_PAN_No")).otherwise(
-            F.coalesce(content.pan_in_banking_block(text), F.col("Vendor_PAN_No"))),
-    })
 
+def _with_text_finds(rows: DataFrame) -> DataFrame:
+    """Candidates from the running text, one column each, not yet decided upon."""
+    text = F.coalesce("a.content", F.lit(""))
     codes = F.filter(
         F.transform(
             F.col("f.Items.valueArray"),
@@ -170,22 +141,65 @@ def page_records(raw: DataFrame, as_of_year: int, invoice_type: str | None = Non
         ),
         lambda c: c.isin(rules.LOAN_CODES),
     )
-    texted = banked.withColumns({
+    return rows.withColumns({
+        "_named": analysis.pick_struct(F.col("f.Beneficiary_name")),
+        "_payble_to": analysis.pick_struct(F.col("f.payble_to")),
+        "_payable_to": content.payable_to_in_text(text),
+        "_ifsc": checks.find_ifsc(text),
+        "_pan": content.pan_in_banking_block(text),
         "Place_Of_Supply": content.place_of_supply(text, F.col("Company_GSTIN")),
         "LOAN_TYPE": content.loan_type(F.get(codes, F.lit(0)), text, F.col("Invoice_No")),
-    }).withColumns({
         "Invoice_No": content.or_else(F.col("Invoice_No"), content.annexure_invoice_no(text)),
         "DueDate": content.or_else(F.col("DueDate"), content.due_date(text)),
         "AmountDue": F.coalesce("AmountDue", content.amount_due(text)),
         "PONumber": content.or_else(F.col("PONumber"), content.po_number(text)),
         "CustomerId": content.or_else(F.col("CustomerId"), content.customer_id(text)),
         "Total_Amount_In_Words": content.amount_in_words(text),
+        "Company_Name": tax.company_name(F.col("Company_Name"), F.col("json")),
     })
 
-    fixed = tax.derive_totals(tax.repair_identifiers(texted)).withColumns({
+
+def page_records(raw: DataFrame, as_of_year: int, invoice_type: str | None = None,
+                 inserted_at: str | None = None) -> DataFrame:
+    """One 53-column record per page, keyed by the (document, page) struct ``doc_id``.
+
+    ``as_of_year`` and ``inserted_at`` replace the clock, so a re-run gives the
+    same record.
+    """
+    rows = parsed_pages(raw)
+    found = _with_text_finds(_from_fields(rows, as_of_year)).select(
+        "doc_id", *[c for c in COLUMNS if c not in ("Invoice_Type", "Insertion_Date")],
+        "_named", "_payble_to", "_payable_to", "_ifsc", "_pan",
+        tables.classified_tables(F.col("markdown"))["bank"].alias("_bank"),
+    )
+    banked = found.withColumns({
+        name: F.coalesce(value, F.col(name))
+        for name, value in tables.bank_fields_from_html(F.col("_bank")).items()
+    }).drop("_bank")
+    from_cells = tables.bank_fields_from_cells(
+        _speaking_cells(rows), banked.select("doc_id", "Bank_Name")
+    ).groupBy("doc_id").agg(*[
+        F.max(F.when(F.col("field_name") == name, F.col("field_value"))).alias(f"_{name}")
+        for name in rules.BANK_ALIASES
+    ])
+    banked = banked.join(from_cells, "doc_id", "left").withColumns({
+        name: content.or_else(F.col(name), F.col(f"_{name}")) for name in rules.BANK_ALIASES
+    })
+    decided = banked.withColumns({
+        "Bank_Payable_To": content.beneficiary(
+            F.col("_named"), F.col("_payble_to"), F.col("Vendor_Name_2"), F.col("_payable_to"),
+            F.col("Vendor_Name"), F.col("Bank_Payable_To"),
+        ),
+        "Bank_IFSC_Code": F.when(checks.is_ifsc(F.col("Bank_IFSC_Code")), F.col("Bank_IFSC_Code")).otherwise(
+            F.coalesce("_ifsc", "Bank_IFSC_Code")),
+        "Vendor_PAN_No": F.when(checks.is_pan(F.col("Vendor_PAN_No")), F.col("Vendor_PAN_No")).otherwise(
+            F.coalesce("_pan", "Vendor_PAN_No")),
+        "Invoice_Type": F.lit(invoice_type).cast("string"),
+        "Insertion_Date": F.lit(inserted_at).cast("string"),
+    })
+    fixed = tax.derive_totals(tax.repair_identifiers(decided)).withColumns({
         "Invoice_Date": tax.normal_date(F.col("Invoice_Date")),
         "DueDate": tax.normal_date(F.col("DueDate")),
-        "Company_Name": tax.company_name(F.col("Company_Name"), F.col("json")),
     })
     return fixed.select("doc_id", *COLUMNS)
 
@@ -203,7 +217,10 @@ def invoice_items(raw: DataFrame, records: DataFrame) -> DataFrame:
     structured = tables.items_from_array(rows.select(
         "doc_id", "Invoice_No", F.col("f.Items.valueArray").alias("items")
     ))
-    from_html = tables.items_from_html(rows, F.col("html.invoice"))
+    with_table = rows.select(
+        "doc_id", "Invoice_No", tables.classified_tables(F.col("markdown"))["invoice"].alias("table")
+    )
+    from_html = tables.items_from_html(with_table, F.col("table"))
     chosen = tables.choose_items(structured, from_html.select("doc_id", "Invoice_No", *[
         F.col(c).cast("string") if structured_type.get(c) == "string" else F.col(c).cast(structured_type.get(c, MONEY))
         for structured_type in [dict(structured.dtypes)]
