@@ -216,19 +216,24 @@ def map_model(
     """
     columns = [part.strip().split()[0].rstrip(":") for part in schema.split(",")]
 
+    def shaped(frame: pd.DataFrame) -> pd.DataFrame:
+        """All columns of the schema; texts and absent columns as plain objects."""
+        absent = {c: pd.Series([None] * len(frame), index=frame.index, dtype=object) for c in columns if c not in frame}
+        frame = frame.assign(**absent)[columns]
+        texts = [c for c in columns if isinstance(frame[c].dtype, pd.StringDtype)]
+        return frame.astype({c: object for c in texts})
+
+    def one_row(row: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return shaped(model(row))
+        except Exception as problem:  # noqa: BLE001 - becomes the row's error
+            return shaped(pd.DataFrame({"doc_id": row["doc_id"].tolist(), "error": [str(problem)]}))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
-                yield model(batch).reindex(columns=columns)
-                continue
-            except Exception:  # noqa: BLE001 - isolate the failing row below
-                pass
-            for i in range(len(batch)):
-                row = batch.iloc[i:i + 1]
-                try:
-                    yield model(row).reindex(columns=columns)
-                except Exception as problem:  # noqa: BLE001
-                    failed = {"doc_id": row["doc_id"].tolist(), "error": [str(problem)]}
-                    yield pd.DataFrame(failed).reindex(columns=columns)
+                yield shaped(model(batch))
+            except Exception:  # noqa: BLE001 - find the failing rows
+                yield from (one_row(batch.iloc[i:i + 1]) for i in range(len(batch)))
 
     return df.mapInPandas(run, schema)

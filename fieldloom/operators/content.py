@@ -42,6 +42,16 @@ def month_year(text: Column) -> Column:
     return F.when(month.isNotNull(), F.concat_ws(" ", F.upper(month), F.regexp_extract(text, _MONTH_YEAR, 2)))
 
 
+def month_trigger(paragraph: Column) -> Column:
+    """A paragraph that announces the month of a service or commission."""
+    words = F.upper(F.regexp_replace(paragraph, "[^A-Za-z0-9]", " "))
+    return (
+        (words.contains("SERVICE") | words.contains("COMMISSION"))
+        & (words.contains("OF") | words.contains("FOR"))
+        & words.contains("THE")
+    )
+
+
 def scan_month(text: Column, as_of_year: int) -> Column:
     """Month directly followed by this or last year, ignoring all punctuation.
 
@@ -59,32 +69,32 @@ def scan_month(text: Column, as_of_year: int) -> Column:
     return F.when(some, F.upper(first_match(letters, [(t, t) for t in tokens])))
 
 
-def commission_month(paragraphs: DataFrame, markdown: DataFrame, as_of_year: int) -> DataFrame:
-    """Month a commission or service invoice is for.
+def look_ahead(paragraphs: DataFrame, trigger: Column, size: int = 5) -> DataFrame:
+    """Text of each trigger paragraph and those after it: ``doc_id, start, text``.
 
-    ``paragraphs``: ``doc_id, seq, content`` (seq without gaps); ``markdown``:
-    ``doc_id, markdown``.  Only trigger paragraphs look ahead: each asks for five
-    (document, seq) keys, joined back to the paragraphs.  Keys are unique, so a
-    document with very many paragraphs is not one task.
+    Only trigger paragraphs look ahead: each asks for ``size`` (document, seq)
+    keys, joined back to the paragraphs.  Keys are unique, so a document with very
+    many paragraphs is not one task, as it would be in a window.
     """
-    words = F.upper(F.regexp_replace("content", "[^A-Za-z0-9]", " "))
-    trigger = (
-        (words.contains("SERVICE") | words.contains("COMMISSION"))
-        & (words.contains("OF") | words.contains("FOR"))
-        & words.contains("THE")
-    )
     asked = paragraphs.where(trigger).select(
-        "doc_id", F.col("seq").alias("start"), F.explode(F.sequence(F.col("seq"), F.col("seq") + 4)).alias("seq")
+        "doc_id", F.col("seq").alias("start"),
+        F.explode(F.sequence(F.col("seq"), F.col("seq") + (size - 1))).alias("seq"),
     )
-    windows = asked.join(paragraphs.select("doc_id", "seq", "content"), ["doc_id", "seq"]).groupBy(
-        "doc_id", "start"
-    ).agg(
+    return asked.join(paragraphs.select("doc_id", "seq", "content"), ["doc_id", "seq"]).groupBy("doc_id", "start").agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda p: p["content"]), " ").alias("text")
     )
-    found = windows.select("doc_id", "start", clean(month_year(F.col("text"))).alias("month")).where(
-        F.col("month").isNotNull()
-    ).groupBy("doc_id").agg(F.min_by("month", "start").alias("month"))
+
+
+def commission_month(paragraphs: DataFrame, markdown: DataFrame, as_of_year: int) -> DataFrame:
+    """Month a commission or service invoice is for.
+
+    ``paragraphs``: ``doc_id, seq, content`` (seq without gaps); ``markdown``:
+    ``doc_id, markdown``.
+    """
+    found = look_ahead(paragraphs, month_trigger(F.col("content"))).select(
+        "doc_id", "start", month_year(F.col("text")).alias("month")
+    ).where(F.col("month").isNotNull()).groupBy("doc_id").agg(F.min_by("month", "start").alias("month"))
     return markdown.join(found, "doc_id", "left").select(
         "doc_id", F.coalesce("month", scan_month(F.col("markdown"), as_of_year)).alias("Commission_Month")
     )

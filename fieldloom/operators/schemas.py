@@ -143,6 +143,20 @@ def _section_value(d: Column, section: str, name: str) -> Column:
     return F.try_element_at(d[section], F.lit(name))
 
 
+def _only_keys(values: Column, names: list[str]) -> Column:
+    return F.map_filter(values, lambda k, v: k.isin(names))
+
+
+def _checked_key(values: Column, name: str, check) -> Column:
+    return F.transform_values(values, lambda k, v: F.when(k == name, check(v)).otherwise(v))
+
+
+def _typed_entries(items: Column, names: list[str], typed: dict) -> Column:
+    return F.transform(
+        items, lambda x: F.struct(*[typed.get(n, lambda c: c)(x[n]).alias(n) for n in names])
+    )
+
+
 def agreement_sections(json: Column, text_fields: dict[str, list[str]] | None = None) -> dict[str, Column]:
     """Sections of an agreement record as columns.
 
@@ -160,12 +174,10 @@ def agreement_sections(json: Column, text_fields: dict[str, list[str]] | None =
         values = F.coalesce(d[section], F.from_json(F.lit("{}"), "map<string,string>"))
         allowed = (text_fields or {}).get(section)
         if allowed:
-            values = F.map_filter(values, lambda k, v, names=allowed: k.isin(names))
+            values = _only_keys(values, allowed)
         for (owner, name), check in fixed.items():
             if owner == section:
-                values = F.transform_values(
-                    values, lambda k, v, n=name, f=check: F.when(k == n, f(v)).otherwise(v)
-                )
+                values = _checked_key(values, name, check)
         out[section] = values
     for section, names in YES_NO_FIELDS.items():
         for name in names:
@@ -182,10 +194,7 @@ def agreement_sections(json: Column, text_fields: dict[str, list[str]] | None =
     }
     for section, names in LIST_SECTIONS.items():
         items = F.coalesce(d[section], F.array().cast(f"array<{_entry_struct(names)}>"))
-        out[section] = F.transform(
-            items,
-            lambda x, s=section, ns=names: F.struct(*[typed.get((s, n), lambda c: c)(x[n]).alias(n) for n in ns]),
-        )
+        out[section] = _typed_entries(items, names, {n: f for (s, n), f in typed.items() if s == section})
     for name in FLAT_FIELDS:
         out[name] = d[name].try_cast("int") if name == "page_count" else d[name]
     return out

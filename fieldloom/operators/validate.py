@@ -47,28 +47,31 @@ def required_names(document_type: Column, book: RuleBook = STANDARD) -> Column:
     return chain.otherwise(F.array().cast("array<string>"))
 
 
-def _required_state(docs: DataFrame, fields: DataFrame, book: RuleBook) -> DataFrame:
-    """One row per document with two flags per required field.
+def _required_flags(book: RuleBook) -> tuple[list[str], list[Column]]:
+    """Required names of all types, and two flags (present, bad) for each."""
+    wanted = list(dict.fromkeys(f for spec in book.types.values() for f in spec.required))
+    flags = []
+    for i, f in enumerate(wanted):
+        here = F.col("field_name") == f
+        flags.append(F.bool_or(here & F.col("present")).alias(f"p{i}"))
+        flags.append(F.bool_or(here & F.col("present") & ~F.col("ok")).alias(f"b{i}"))
+    return wanted, flags
+
+
+def _record_state(docs: DataFrame, checked: DataFrame, flags: list[Column], *more: Column) -> DataFrame:
+    """One row per document with its flags.
 
     Flags are plain booleans over a fixed list of names, so the aggregate
     combines on the map side and never holds a document's rows together.
     """
-    wanted = list(dict.fromkeys(f for spec in book.types.values() for f in spec.required))
-    hit = fields.where(F.col("field_name").isin(wanted)) if wanted else fields.where(F.lit(False))
-    flags = with_checks(hit).groupBy("doc_id").agg(*[
-        e
-        for i, f in enumerate(wanted)
-        for e in (
-            F.bool_or((F.col("field_name") == f) & F.col("present")).alias(f"p{i}"),
-            F.bool_or((F.col("field_name") == f) & F.col("present") & ~F.col("ok")).alias(f"b{i}"),
-        )
-    ])
-    return docs.select("doc_id", "document_type").join(flags, "doc_id", "left"), wanted
+    state = checked.groupBy("doc_id").agg(*flags, *more)
+    return docs.select("doc_id", "document_type").join(state, "doc_id", "left")
 
 
 def required_errors(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD) -> DataFrame:
     """Missing and bad required fields, in catalog order."""
-    state, wanted = _required_state(docs, fields, book)
+    wanted, flags = _required_flags(book)
+    state = _record_state(docs, with_checks(fields.where(F.col("field_name").isin(wanted))), flags)
     index = {f: i for i, f in enumerate(wanted)}
     rows = []
     for name, spec in book.types.items():
@@ -117,36 +120,37 @@ def missing_fields(docs: DataFrame, fields: DataFrame, catalog: DataFrame) -> Da
 def verdicts(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD) -> DataFrame:
     """One row per document: valid exactly when it has no error.
 
-    Counts only; the messages stay in their own long table.
+    One aggregate over the fields gives required flags and format faults
+    together; the messages stay in their own long table.
     """
-    state, wanted = _required_state(docs, fields, book)
+    wanted, flags = _required_flags(book)
+    bad = F.count_if(F.col("present") & ~F.col("ok")).alias("bad")
+    state = _record_state(docs, with_checks(fields), flags, bad)
     index = {f: i for i, f in enumerate(wanted)}
     faults = F.lit(0)
     for name, spec in book.types.items():
         own = F.lit(0)
         for f in spec.required:
-            i = index[f]
-            broken = ~F.coalesce(F.col(f"p{i}"), F.lit(False)) | F.coalesce(F.col(f"b{i}"), F.lit(False))
+            broken = ~F.coalesce(F.col(f"p{index[f]}"), F.lit(False)) | F.coalesce(F.col(f"b{index[f]}"), F.lit(False))
             own = own + broken.cast("int")
         faults = faults + F.when(F.col("document_type") == name, own).otherwise(0)
-    bad = format_errors(fields).groupBy("doc_id").agg(F.count(F.lit(1)).alias("bad"))
-    joined = state.join(bad, "doc_id", "left").select(
+    return state.select(
         "doc_id", "document_type", (faults + F.coalesce("bad", F.lit(0))).cast("bigint").alias("n_errors")
-    )
-    return joined.withColumn("is_valid", F.col("n_errors") == 0)
+    ).withColumn("is_valid", F.col("n_errors") == 0)
 
 
 def document_valid(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD) -> DataFrame:
     """The per-type document check: every required field is present, a PAN number
     has ten raw characters, an Aadhaar number twelve digits."""
-    state, wanted = _required_state(docs, fields, book)
+    wanted, flags = _required_flags(book)
     index = {f: i for i, f in enumerate(wanted)}
-    shape = fields.groupBy("doc_id").agg(
+    shapes = [
         F.bool_or((F.col("field_name") == "pan_number") & (F.length("field_value") == 10)).alias("pan_shape"),
         F.bool_or(
             (F.col("field_name") == "aadhaar_number") & checks.is_aadhaar_number(F.col("field_value"))
         ).alias("aadhaar_shape"),
-    )
+    ]
+    state = _record_state(docs, with_checks(fields.where(F.col("field_name").isin(wanted))), flags, *shapes)
     chain = None
     for name, spec in book.types.items():
         ok = F.lit(True)
@@ -156,6 +160,4 @@ def document_valid(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD
             ok = ok & F.coalesce(F.col(f"{name}_shape"), F.lit(False))
         chain = F.when(F.col("document_type") == name, ok) if chain is None else chain.when(
             F.col("document_type") == name, ok)
-    return state.join(shape, "doc_id", "left").select(
-        "doc_id", "document_type", F.coalesce(chain, F.lit(True)).alias("is_valid")
-    )
+    return state.select("doc_id", "document_type", F.coalesce(chain, F.lit(True)).alias("is_valid"))

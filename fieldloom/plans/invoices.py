@@ -75,13 +75,8 @@ def missing_required(fields: Column) -> Column:
 def commission_month(paragraphs: Column, markdown: Column, as_of_year: int) -> Column:
     """The look-ahead rule for paragraphs that sit in one record."""
     def found(p: Column, i: Column) -> Column:
-        words = F.upper(F.regexp_replace(p, "[^A-Za-z0-9]", " "))
-        trigger = (
-            (words.contains("SERVICE") | words.contains("COMMISSION"))
-            & (words.contains("OF") | words.contains("FOR")) & words.contains("THE")
-        )
         ahead = F.array_join(F.slice(paragraphs, i + 1, 5), " ")
-        return F.when(trigger, clean(content.month_year(ahead)))
+        return F.when(content.month_trigger(p), content.month_year(ahead))
 
     months = F.filter(F.transform(paragraphs, found), lambda m: m.isNotNull())
     return F.coalesce(F.get(months, F.lit(0)), content.scan_month(markdown, as_of_year))

@@ -238,12 +238,14 @@ SELECT o_orderkey AS doc_id, document_type, @inline({_FIELD_ROWS}@end) FROM {ORD
 # --- table cells ------------------------------------------------------------------------------
 
 LINE_PAISE = "CAST(round(l_extendedprice * 100) AS BIGINT)"
+# order of line items inside an order; equal only for identical lines
+LINE_SEQ = "(l_linenumber * 100000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT))"
 FIXTURES["cells"] = f"""
 SELECT doc_id, 0 AS table_no, CAST(col AS BIGINT) AS seq, 0 AS row_index, col AS column_index,
        {case('col', ["'Description'", "'Qty'", "'Rate'", "'Amount'"])} AS content
 FROM (SELECT o_orderkey AS doc_id, @explode(@array(0, 1, 2, 3)) AS col FROM {{orders}}) AS h
 UNION ALL
-SELECT l_orderkey AS doc_id, 0 AS table_no, (l_linenumber * 100000000 + l_partkey * 10000 + l_suppkey) * 10 + slot + 100 AS seq,
+SELECT l_orderkey AS doc_id, 0 AS table_no, {LINE_SEQ} * 10 + slot + 100 AS seq,
        CAST(l_linenumber AS INT) AS row_index, CASE WHEN slot = 4 THEN 0 ELSE slot END AS column_index,
        {case('slot', [f"'Part ' || {text('l_partkey')}", text('CAST(l_quantity AS BIGINT)'),
                       money_of(idiv(LINE_PAISE, 'l_quantity')), money_of(LINE_PAISE)],
@@ -269,14 +271,14 @@ SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE 1 END AS t
             ELSE {case(idiv('slot', 2), [b for _, b in _BANK_ROWS])} END, '') AS content
 FROM (SELECT *, @explode(@array({', '.join(str(i) for i in range(2 * len(_BANK_ROWS)))})) AS slot FROM {ORDERS}) AS t
 UNION ALL
-SELECT l_orderkey AS doc_id, 2 AS table_no, l_linenumber * 100000000 + l_partkey * 10000 + l_suppkey AS seq,
+SELECT l_orderkey AS doc_id, 2 AS table_no, {LINE_SEQ} AS seq,
        CAST(l_linenumber AS BIGINT) AS row_index, 0 AS column_index, 'Branch ' || {text('l_partkey')} AS content
 FROM {{lineitem}}"""
 
 # --- tax lines -----------------------------------------------------------------------------------
 
 FIXTURES["tax_lines"] = f"""
-SELECT l_orderkey AS doc_id, l_linenumber * 100000000 + l_partkey * 10000 + l_suppkey AS seq,
+SELECT l_orderkey AS doc_id, {LINE_SEQ} AS seq,
        {case('l_partkey % 8', ["'CGST'", "'SGST 9%'", "'IGST @ 18%'", "'Tax'", "' c gst '", "''", "'i-gst 150 %'"],
              "'Total'")} AS content,
        CASE WHEN l_suppkey % 3 = 0 THEN NULL WHEN l_suppkey % 7 = 1 THEN CAST(0 AS DECIMAL(18,2))
