@@ -46,7 +46,7 @@ def primary_fields(df: DataFrame, fields: str = "f") -> DataFrame:
     projections, so that each value is computed once.
     """
     picked = df.withColumns({
-        f"_raw_{source}": analysis.pick_struct(F.col(f"{fields}.{source}"))
+        f"_raw_{source}": analysis.pick_field(f"{fields}.{source}")
         for source, *_ in rules.INVOICE_FIELDS
     })
     cleaned = picked.withColumns({
@@ -65,10 +65,10 @@ def primary_fields(df: DataFrame, fields: str = "f") -> DataFrame:
     return cleaned.withColumns(final).drop(*[f"_raw_{source}" for source, *_ in rules.INVOICE_FIELDS])
 
 
-def missing_required(fields: Column) -> Column:
+def missing_required(fields: str = "f") -> Column:
     """Names of required source fields without a value."""
     wanted = [source for source, _, _, required in rules.INVOICE_FIELDS if required]
-    names = F.array(*[F.when(analysis.pick_struct(fields[s]).isNull(), F.lit(s)) for s in wanted])
+    names = F.array(*[F.when(analysis.pick_field(f"{fields}.{s}").isNull(), F.lit(s)) for s in wanted])
     return F.filter(names, lambda n: n.isNotNull())
 
 
@@ -109,8 +109,8 @@ def parsed_pages(raw: DataFrame) -> DataFrame:
     typed = analysis.parse(keyed).where(F.col("a").isNotNull())
     return typed.withColumns({
         "f": analysis.first_fields(),
-        "markdown": analysis.markdown_of(F.col("json")),
-        "paragraphs": analysis.paragraphs_of(F.col("json")),
+        "markdown": analysis.markdown_of(F.col("json"), F.col("a")),
+        "paragraphs": analysis.paragraphs_of(F.col("json"), F.col("a")),
     })
 
 
@@ -137,8 +137,8 @@ def _with_text_finds(rows: DataFrame) -> DataFrame:
         lambda c: c.isin(rules.LOAN_CODES),
     )
     return rows.withColumns({
-        "_named": analysis.pick_struct(F.col("f.Beneficiary_name")),
-        "_payble_to": analysis.pick_struct(F.col("f.payble_to")),
+        "_named": analysis.pick_field("f.Beneficiary_name"),
+        "_payble_to": analysis.pick_field("f.payble_to"),
         "_payable_to": content.payable_to_in_text(text),
         "_ifsc": checks.find_ifsc(text),
         "_pan": content.pan_in_banking_block(text),
@@ -208,7 +208,7 @@ def invoice_records(page_level: DataFrame) -> DataFrame:
 
 def invoice_items(raw: DataFrame, records: DataFrame) -> DataFrame:
     """Item rows of all pages with the merged invoice number of their document."""
-    rows = parsed_pages(raw).withColumn("Invoice_No", clean(analysis.pick_struct(F.col("f.InvoiceId"))))
+    rows = parsed_pages(raw).withColumn("Invoice_No", clean(analysis.pick_field("f.InvoiceId")))
     structured = tables.items_from_array(rows.select(
         "doc_id", "Invoice_No", F.col("f.Items.valueArray").alias("items")
     ))

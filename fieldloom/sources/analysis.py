@@ -145,8 +145,20 @@ def normalise_legacy(df: DataFrame, json_column: str = "json") -> DataFrame:
 
 # --- value pickers ---------------------------------------------------------------------
 
+def pick_field(path: str) -> Column:
+    """Scalar text of the typed field cell at ``path``: string, date, amount,
+    address, content.  One SQL text, as records pick some forty cells."""
+    return F.expr(
+        f"CASE WHEN {path}.valueString IS NOT NULL THEN {path}.valueString"
+        f" WHEN {path}.valueDate IS NOT NULL THEN {path}.valueDate"
+        f" WHEN {path}.type = 'currency' AND {path}.valueCurrency IS NOT NULL THEN {path}.valueCurrency.amount"
+        f" WHEN {path}.type = 'address' THEN coalesce({path}.content, '')"
+        f" ELSE {path}.content END"
+    )
+
+
 def pick_struct(cell: Column) -> Column:
-    """Scalar text of a typed field cell: string, date, amount, address, content."""
+    """The same for a cell that is an expression."""
     return (
         F.when(cell["valueString"].isNotNull(), cell["valueString"])
         .when(cell["valueDate"].isNotNull(), cell["valueDate"])
@@ -167,33 +179,38 @@ def first_fields(a: Column = None) -> Column:
     return F.get(a["documents"], F.lit(0))["fields"]
 
 
-def markdown_of(json: Column) -> Column:
+def _list_content(json: Column, item: str) -> Column:
+    """Items of list-shaped content; null when the content is no list."""
+    return F.try_variant_get(F.try_parse_json(json), "$.analyzeResult.content", f"array<struct<{item}>>")
+
+
+def _looks_like_list(a: Column) -> Column:
+    """List-shaped content was read as its JSON text, so it starts with a bracket.
+
+    Text content may do so too; the exact test is left to the variant reader, which
+    runs for these rows only.
+    """
+    return F.coalesce(a["content"].startswith("["), F.lit(False))
+
+
+def markdown_of(json: Column, a: Column) -> Column:
     """Markdown text: from list-shaped content the first item that has any, else
-    text content, else the pages' markdown joined."""
-    v = F.try_parse_json(json)
-    content = F.try_variant_get(v, "$.analyzeResult.content", "variant")
-    is_list = F.schema_of_variant(content).startswith("ARRAY")
-    items = F.try_variant_get(v, "$.analyzeResult.content", "array<struct<markdown:string>>")
+    text content, else the pages' markdown joined.  ``a`` is the parsed result."""
+    items = _list_content(json, "markdown:string")
     listed = F.get(F.filter(items, lambda i: i["markdown"].isNotNull()), F.lit(0))["markdown"]
-    pages = F.try_variant_get(v, "$.analyzeResult.pages", "array<struct<markdown:string>>")
-    joined = F.array_join(F.transform(pages, lambda p: F.coalesce(p["markdown"], F.lit(""))), "")
-    return (
-        F.when(is_list & listed.isNotNull(), listed)
-        .when(F.schema_of_variant(content) == "STRING", F.try_variant_get(v, "$.analyzeResult.content", "string"))
-        .otherwise(F.coalesce(joined, F.lit("")))
+    joined = F.coalesce(
+        F.array_join(F.transform(a["pages"], lambda p: F.coalesce(p["markdown"], F.lit(""))), ""), F.lit("")
     )
+    in_list = F.when(items.isNotNull(), F.coalesce(listed, joined)).otherwise(a["content"])
+    return F.when(_looks_like_list(a), in_list).otherwise(F.coalesce(a["content"], joined))
 
 
-def paragraphs_of(json: Column) -> Column:
+def paragraphs_of(json: Column, a: Column) -> Column:
     """Paragraph texts of the first item of list-shaped content that has any."""
-    v = F.try_parse_json(json)
-    items = F.try_variant_get(
-        v, "$.analyzeResult.content", "array<struct<paragraphs:array<struct<content:string>>>>"
-    )
+    items = _list_content(json, "paragraphs:array<struct<content:string>>")
     hit = F.get(F.filter(items, lambda i: i["paragraphs"].isNotNull()), F.lit(0))["paragraphs"]
-    return F.coalesce(
-        F.transform(hit, lambda p: F.coalesce(p["content"], F.lit(""))), F.array().cast("array<string>")
-    )
+    texts = F.transform(hit, lambda p: F.coalesce(p["content"], F.lit("")))
+    return F.coalesce(F.when(_looks_like_list(a), texts), F.array().cast("array<string>"))
 
 
 # --- pages -------------------------------------------------------------------------------

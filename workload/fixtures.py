@@ -436,7 +436,7 @@ _FIELDS_JSON = _join([
     jcell("CustomerTaxId", f"CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' ELSE gstin_o END"),
     jcell("InvoiceDate", f"{YEAR} || '-' || {MM} || '-' || {DD}", "valueDate"),
     f"'\"InvoiceTotal\":{{{{\"type\":\"currency\",\"valueCurrency\":{{{{\"amount\":' || total_text || '}}}}}}}}'",
-    f"'\"SubTotal\":{{{{\"type\":\"currency\",\"content\":\"Rs. ' || total_text || '\"}}}}'",
+    f"'\"SubTotal\":{{{{\"type\":\"currency\",\"content\":\"INR ' || total_text || '\"}}}}'",
     f"'\"VendorAddress\":{{{{\"type\":\"address\",\"content\":\"No. ' || {text('o_custkey')} || ',, Main  Road\"}}}}'",
     jcell("bank_account_no", f"'A/C 00-' || {text('o_orderkey')} || ' x'"),
     jcell("ifsc_code", f"'IFSC ' || ifsc_o"),
