@@ -6,7 +6,7 @@ import difflib
 import re
 import sys
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -70,77 +70,64 @@ def resolve_folder(names: pd.Series) -> pd.Series:
 
 # --- HTML tables -----------------------------------------------------------------
 
-class _TableReader(HTMLParser):
-    """Rows of every table; a nested table also fills its parent cell as text."""
+# table markup; scripts, comments and all other tags are matched to be skipped
+_TAG = re.compile(
+    r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>"
+    r"|<(?P<end>/?)(?P<name>table|thead|tbody|tfoot|tr|td|th)\b(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>",
+    re.IGNORECASE | re.DOTALL,
+)
+_SPAN = re.compile(r"(col|row)span\s*=\s*[\"']?\s*(\d+)", re.IGNORECASE)
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.tables: list[list] = []   # finished or open: [(is_header, [(text, colspan, rowspan)])]
-        self.open: list[dict] = []     # stack of open tables
 
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
+def _raw_tables(html: str) -> list[list]:
+    """Rows of every table as ``(is_header, [(text, colspan, rowspan)])``.
+
+    Cells and rows may lack end tags.  The text of a nested table also belongs to
+    the cell around it.
+    """
+    tables: list[list] = []
+    opened: list[dict] = []  # tables that are open, innermost last
+
+    def close_cell(t):
+        if t["text"] is not None:
+            joined = " ".join(unescape("".join(t["text"])).split())
+            t["cells"].append((joined, t["spans"].get("col", 1), t["spans"].get("row", 1)))
+            t["text"] = None
+
+    def close_row(t):
+        close_cell(t)
+        if t["cells"]:
+            t["rows"].append((t["head"] or t["all_th"], t["cells"]))
+        t["cells"], t["all_th"] = [], True
+
+    at = 0
+    for tag in _TAG.finditer(html):
+        if at < tag.start():
+            for t in opened:
+                if t["text"] is not None:
+                    t["text"].append(html[at:tag.start()])
+        at = tag.end()
+        name = (tag["name"] or "").lower()
+        if name == "table" and not tag["end"]:
             rows: list = []
-            self.tables.append(rows)
-            self.open.append({"rows": rows, "head": False, "cell": None, "cells": None, "all_th": True})
-            return
-        if not self.open:
-            return
-        top = self.open[-1]
-        if tag == "thead":
-            top["head"] = True
-        elif tag in ("tbody", "tfoot"):
-            self._end_row(top)
-            top["head"] = False
-        elif tag == "tr":
-            self._end_row(top)
-            top["cells"], top["all_th"] = [], True
-        elif tag in ("td", "th"):
-            if top["cells"] is None:
-                top["cells"], top["all_th"] = [], True
-            self._end_cell(top)
-            spans = dict(attrs)
-            top["all_th"] = top["all_th"] and tag == "th"
-            top["cell"] = {"text": [], "col": self._span(spans, "colspan"), "row": self._span(spans, "rowspan")}
-
-    def handle_endtag(self, tag):
-        if not self.open:
-            return
-        top = self.open[-1]
-        if tag in ("td", "th"):
-            self._end_cell(top)
-        elif tag == "tr":
-            self._end_row(top)
-        elif tag == "thead":
-            self._end_row(top)
-            top["head"] = False
-        elif tag == "table":
-            self._end_row(top)
-            self.open.pop()
-
-    def handle_data(self, data):
-        for table in self.open:
-            if table["cell"] is not None:
-                table["cell"]["text"].append(data)
-
-    @staticmethod
-    def _span(attrs, name):
-        value = attrs.get(name) or "1"
-        return max(1, int(value)) if value.isdigit() else 1
-
-    @staticmethod
-    def _end_cell(top):
-        cell = top["cell"]
-        if cell is not None:
-            text = re.sub(r"\s+", " ", "".join(cell["text"])).strip()
-            top["cells"].append((text, cell["col"], cell["row"]))
-            top["cell"] = None
-
-    def _end_row(self, top):
-        self._end_cell(top)
-        if top["cells"]:
-            top["rows"].append((top["head"] or top["all_th"], top["cells"]))
-        top["cells"] = None
+            tables.append(rows)
+            opened.append({"rows": rows, "cells": [], "text": None, "spans": {}, "head": False, "all_th": True})
+        elif name and opened:
+            top = opened[-1]
+            if name in ("td", "th"):
+                close_cell(top)
+                if not tag["end"]:
+                    top["text"] = []
+                    top["spans"] = {k.lower(): max(1, int(n)) for k, n in _SPAN.findall(tag["attrs"])}
+                    top["all_th"] = top["all_th"] and name == "th"
+            else:
+                close_row(top)
+                if name == "thead":
+                    top["head"] = not tag["end"]
+                elif name == "table":
+                    opened.pop()
+    return tables
 
 
 def _spread(rows: list) -> list[tuple[bool, list[str]]]:
@@ -176,11 +163,8 @@ def read_tables(html: str | None) -> list[dict]:
     """
     if not html or "<table" not in html.lower():
         return []
-    reader = _TableReader()
-    reader.feed(html)
-    reader.close()
     found = []
-    for raw in reader.tables:
+    for raw in _raw_tables(html):
         rows = _spread(raw)
         heads = 0
         while heads < len(rows) and rows[heads][0]:

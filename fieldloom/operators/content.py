@@ -57,16 +57,17 @@ def scan_month(text: Column, as_of_year: int) -> Column:
 
     Month names are tried in calendar order, full names first, and for each the
     four year spellings; the earliest in that order wins, not the earliest in
-    the text.
+    the text.  All candidates come from one pass over the text: month letters
+    followed by year digits cannot overlap another such pair.
     """
-    letters = F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
     names = [m.lower() for m in rules.MONTHS]
     spellings = list(dict.fromkeys(names + [m[:3] for m in names]))
     years = [y for year in (as_of_year, as_of_year - 1) for y in (str(year), str(year)[-2:])]
-    tokens = [f"{m}{y}" for m in spellings for y in years]
-    # one pass decides whether any token is there at all
-    some = letters.rlike(f"(?:{'|'.join(spellings)})(?:{'|'.join(years)})")
-    return F.when(some, F.upper(first_match(letters, [(t, t) for t in tokens])))
+    ranked = F.split(F.lit(",".join(f"{m}{y}" for m in spellings for y in years)), ",")
+    letters = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
+    hits = F.regexp_extract_all(letters, F.lit(f"((?:{'|'.join(spellings)})(?:{'|'.join(years)}))"), F.lit(1))
+    best = F.array_min(F.transform(hits, lambda h: F.array_position(ranked, h)))
+    return F.upper(F.get(ranked, (best - 1).cast("int")))
 
 
 def look_ahead(paragraphs: DataFrame, trigger: Column, size: int = 5) -> DataFrame:

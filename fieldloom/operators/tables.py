@@ -138,18 +138,27 @@ def label_value_cells(cells: DataFrame) -> DataFrame:
     )
 
 
-def bank_fields_from_cells(cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Bank columns from label cells and the cell to their right, first hit wins.
-
-    Only tables that speak of a bank and of details or an account are read.
-    ``known`` (``doc_id, Bank_Name``) skips documents whose bank is known.
-    """
+def speaking_tables(cells: DataFrame) -> DataFrame:
+    """Tables whose cells speak of a bank and of details or an account."""
     low = F.lower(F.col("content"))
-    speaking = cells.groupBy(*TABLE).agg(
+    return cells.groupBy(*TABLE).agg(
         F.bool_or(low.contains("bank")).alias("bank"),
         F.bool_or(low.contains("details") | low.contains("account")).alias("details"),
     ).where("bank AND details").select(*TABLE)
-    pairs = label_value_cells(cells).join(speaking, TABLE, "left_semi")
+
+
+def bank_fields_from_cells(
+    cells: DataFrame, known: DataFrame | None = None, all_speaking: bool = False
+) -> DataFrame:
+    """Bank columns from label cells and the cell to their right, first hit wins.
+
+    Only tables that speak of bank details are read (``all_speaking``: the caller
+    has picked them already).  ``known`` (``doc_id, Bank_Name``) skips documents
+    whose bank is known.
+    """
+    pairs = label_value_cells(cells)
+    if not all_speaking:
+        pairs = pairs.join(speaking_tables(cells), TABLE, "left_semi")
     any_label = "|".join(key for key, _ in rules.BANK_LABELS)
     labelled = pairs.select(
         "doc_id", "table_no", "seq", F.translate(F.lower(strip(F.col("content"))), ": ", "").alias("label"),
@@ -282,13 +291,17 @@ def parse_content_line(content: Column) -> dict[str, Column]:
 def items_from_array(docs: DataFrame, items: str = "items") -> DataFrame:
     """Structured item list to rows, numbered from 1 in list order.
 
-    Needs ``doc_id, Invoice_No`` and ``items`` as an array of analysis cells with
-    ``content`` and ``valueObject`` (a map of cell JSON by name).
+    Needs ``doc_id, Invoice_No`` and ``items`` as an array of structs with
+    ``content`` and ``valueObject`` (a map of typed field cells by name).
     """
-    from fieldloom.sources.analysis import pick_value
+    from fieldloom.sources.analysis import pick_field
 
     one = docs.select("doc_id", "Invoice_No", F.posexplode(items).alias("pos", "item"))
-    value = lambda name: pick_value(F.try_element_at(F.col("item.valueObject"), F.lit(name)))
+    names = ["Description", "Amount", *ITEM_VALUES.values()]
+    one = one.withColumns({
+        f"_{n}": F.try_element_at(F.col("item.valueObject"), F.lit(n)) for n in names
+    })
+    value = lambda name: pick_field(f"_{name}")
     return one.select(
         "doc_id", "Invoice_No", (F.col("pos") + 1).alias("Sr_No"),
         clean(value("Description")).alias("Item_Description"),

@@ -132,7 +132,7 @@ def _with_text_finds(rows: DataFrame) -> DataFrame:
     codes = F.filter(
         F.transform(
             F.col("f.Items.valueArray"),
-            lambda i: F.upper(F.trim(analysis.pick_value(F.try_element_at(i["valueObject"], F.lit("ProductCode"))))),
+            lambda i: F.upper(F.trim(analysis.pick_struct(F.try_element_at(i["valueObject"], F.lit("ProductCode"))))),
         ),
         lambda c: c.isin(rules.LOAN_CODES),
     )
@@ -171,14 +171,15 @@ def page_records(raw: DataFrame, as_of_year: int, invoice_type: str | None = Non
         name: F.coalesce(value, F.col(name))
         for name, value in tables.bank_fields_from_html(F.col("_bank")).items()
     }).drop("_bank")
-    from_cells = tables.bank_fields_from_cells(
-        _speaking_cells(rows), banked.select("doc_id", "Bank_Name")
-    ).groupBy("doc_id").agg(*[
+    from_cells = tables.bank_fields_from_cells(_speaking_cells(rows), all_speaking=True).groupBy("doc_id").agg(*[
         F.max(F.when(F.col("field_name") == name, F.col("field_value"))).alias(f"_{name}")
         for name in rules.BANK_ALIASES
     ])
+    # a page whose bank is known keeps all its own bank columns
+    known = F.coalesce(F.length("Bank_Name") > 0, F.lit(False))
     banked = banked.join(from_cells, "doc_id", "left").withColumns({
-        name: content.or_else(F.col(name), F.col(f"_{name}")) for name in rules.BANK_ALIASES
+        name: F.when(known, F.col(name)).otherwise(content.or_else(F.col(name), F.col(f"_{name}")))
+        for name in rules.BANK_ALIASES
     })
     decided = banked.withColumns({
         "Bank_Payable_To": content.beneficiary(

@@ -25,7 +25,7 @@ _PAGES = (
     "array<struct<pageNumber:int,width:double,height:double,markdown:string,"
     "spans:array<struct<offset:int,length:int>>>>"
 )
-_ITEM = "struct<content:string,valueObject:map<string,string>>"
+_ITEM = f"struct<content:string,valueObject:map<string,{CELL}>>"
 _TAX_LINE = (
     "struct<content:string,valueObject:struct<Amount:struct<valueCurrency:struct<amount:string>>,"
     "Rate:struct<valueNumber:string>>>"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import rules
 from fieldloom.operators import ranking, tables
+from fieldloom.sources import analysis
 from workload.base import FIXTURES, query, values
 from workload.fixtures import LINE_PAISE, ORDERS, damaged, money_of, text
 from workload.q_checks import paise
@@ -190,19 +191,21 @@ def _(i):
 
 def _item_array(i):
     """One two-item list per line item, as the service would give it."""
-    cell = lambda kind, value: F.concat(F.lit(f'{{"type":"string","{kind}":"'), value, F.lit('"}'))
+    cells = "map<string," + analysis.CELL + ">"
     lines = i.fixture("item_lines")
-    first = F.struct(F.col("content"), F.create_map(
-        F.lit("Description"), cell("valueString", F.col("description")),
-        F.lit("ProductCode"), cell("content", F.col("code")),
-        F.lit("Amount"), F.concat(F.lit('{"type":"currency","valueCurrency":{"amount":'), F.col("amount"), F.lit("}}")),
-    ).alias("valueObject"))
-    second = F.struct(F.lit("").alias("content"), F.create_map(
-        F.lit("Quantity"), cell("valueString", F.col("l_linenumber").cast("string"))).alias("valueObject"))
+    first = F.concat(
+        F.lit('{"Description":{"type":"string","valueString":"'), F.col("description"),
+        F.lit('"},"ProductCode":{"type":"string","content":"'), F.col("code"),
+        F.lit('"},"Amount":{"type":"currency","valueCurrency":{"amount":'), F.col("amount"), F.lit("}}}"))
+    second = F.concat(
+        F.lit('{"Quantity":{"type":"string","valueString":"'), F.col("l_linenumber").cast("string"), F.lit('"}}'))
     key = F.struct("doc_id", "l_partkey", "l_suppkey", "l_linenumber").alias("doc_id")
     return lines.select(
         key, F.concat(F.lit("INV-"), F.col("doc_id").cast("string")).alias("Invoice_No"),
-        F.array(first, second).alias("items"))
+        F.array(
+            F.struct(F.col("content"), F.from_json(first, cells).alias("valueObject")),
+            F.struct(F.lit("").alias("content"), F.from_json(second, cells).alias("valueObject")),
+        ).alias("items"))
 
 
 @query("x30_items_from_array", uses="item_lines", sql="""
