@@ -124,10 +124,10 @@ def _(i):
 
 
 def _changed(i) -> store.Store:
-    """Customers' re-extracted documents: every order of a customer with debt, and one unknown id."""
+    """Re-extracted documents: every order of a customer with debt, and unknown ids."""
     docs = i.sql("""SELECT o_orderkey AS id, 'new' AS extracted_data, 'valid' AS validation_status, o_orderdate + INTERVAL 1 DAY AS updated_at
         FROM {orders} JOIN {customer} ON c_custkey = o_custkey AND c_acctbal < 0
-        UNION ALL SELECT -1 AS id, 'x' AS extracted_data, 'valid' AS validation_status, max(o_orderdate) AS updated_at FROM {orders}""")
+        UNION ALL SELECT -1 - o_orderkey AS id, 'x' AS extracted_data, 'valid' AS validation_status, o_orderdate AS updated_at FROM {orders}""")
     fields = docs.select(
         F.col("id").alias("document_id"), F.lit(0).cast("bigint").alias("seq"), F.lit("fresh").alias("field_name"),
         F.lit("1").alias("field_value"))
