@@ -1,4 +1,7 @@
-"""Headline queries, warm, median of three; prints one JSON line."""
+"""Headline queries, warm: one run to compile, then the median of the rest.
+
+Prints one JSON line.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +27,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     spark = build_session(
         "bench", f"local[{cores}]",
         **{

@@ -15,9 +15,7 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-NOT_WS = "[^" + WS[1:]
 
-CONTROL = r"[\x00-\x1f\x7f-\x9f]"
 
 
 def strip(c: Column) -> Column:
@@ -45,12 +43,17 @@ def keep_letters_digits(c: Column) -> Column:
 
 # --- the cleaner family ------------------------------------------------------
 
+QUOTES = "\"“”‘’`´"
+BULLETS = "•●○◦▪▫"
+CONTROLS = "".join(map(chr, [*range(0x20), *range(0x7F, 0xA0)]))
+
+
 def _text(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, CONTROL, ""), "([!?.,;:]){2,}", "$1")
+    return F.regexp_replace(F.translate(c, CONTROLS, ""), "([!?.,;:]){2,}", "$1")
 
 
 def _address(c: Column) -> Column:
-    return F.regexp_replace(c, CONTROL, "")
+    return F.translate(c, CONTROLS, "")
 
 
 def _numeric(c: Column) -> Column:
@@ -97,8 +100,7 @@ CLEANERS: dict[str, Callable[[Column], Column]] = {
 
 def pre_clean(c: Column) -> Column:
     """Single spaces, no quotes, no bullets."""
-    spaced = F.regexp_replace(strip(c), WS + "+", " ")
-    return F.regexp_replace(spaced, "[\"“”‘’`´•●○◦▪▫]", "")
+    return F.translate(F.regexp_replace(strip(c), WS + "+", " "), QUOTES + BULLETS, "")
 
 
 def clean(c: Column, kind: str = "text") -> Column:
@@ -109,7 +111,8 @@ def clean(c: Column, kind: str = "text") -> Column:
     the expression stays small however often it is nested.
     """
     body = CLEANERS.get(kind, _text)(pre_clean(c))
-    return empty_to_null(F.regexp_replace(body, rf"(?s)\A{WS}+(?={NOT_WS})|(?<={NOT_WS}){WS}+\z", ""))
+    # all white space is plain spaces by now
+    return empty_to_null(F.regexp_replace(body, "\\A +(?=[^ ])|(?<=[^ ]) +\\z", ""))
 
 
 def clean_by_kind(c: Column, kind: Column, kinds: list[str] | None = None) -> Column:

@@ -82,17 +82,18 @@ def commission_month(paragraphs: Column, markdown: Column, as_of_year: int) -> C
     return F.coalesce(F.get(months, F.lit(0)), content.scan_month(markdown, as_of_year))
 
 
-def _speaking_cells(rows: DataFrame) -> DataFrame:
+def _speaking_cells(raw: DataFrame) -> DataFrame:
     """Cells of tables that may hold bank details; other tables are not exploded."""
     def low(t):
         return F.transform(t["cells"], lambda c: F.lower(F.coalesce(c["content"], F.lit(""))))
 
     speaking = F.filter(
-        F.coalesce("a.tables", F.array().cast(analysis._TABLES)),
+        "tables",
         lambda t: F.exists(low(t), lambda c: c.contains("bank"))
         & F.exists(low(t), lambda c: c.contains("details") | c.contains("account")),
     )
-    one = rows.select("doc_id", F.posexplode(speaking).alias("table_no", "t"))
+    keyed = analysis.parse_tables(raw.select(F.struct("doc_id", "page_no").alias("doc_id"), "json"))
+    one = keyed.select("doc_id", F.posexplode(speaking).alias("table_no", "t"))
     return one.select("doc_id", "table_no", F.posexplode("t.cells").alias("seq", "c")).select(
         "doc_id", "table_no", "seq", F.coalesce("c.rowIndex", F.lit(0)).alias("row_index"),
         F.coalesce("c.columnIndex", F.lit(0)).alias("column_index"),
@@ -171,7 +172,7 @@ def page_records(raw: DataFrame, as_of_year: int, invoice_type: str | None = Non
         name: F.coalesce(value, F.col(name))
         for name, value in tables.bank_fields_from_html(F.col("_bank")).items()
     }).drop("_bank")
-    from_cells = tables.bank_fields_from_cells(_speaking_cells(rows), all_speaking=True).groupBy("doc_id").agg(*[
+    from_cells = tables.bank_fields_from_cells(_speaking_cells(raw), all_speaking=True).groupBy("doc_id").agg(*[
         F.max(F.when(F.col("field_name") == name, F.col("field_value"))).alias(f"_{name}")
         for name in rules.BANK_ALIASES
     ])

@@ -25,6 +25,16 @@ def build_session(app: str = "fieldloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input that is read in fewer tasks than there are cores.
+
+    A small file is one task, and the text work that follows would run on one
+    core.  An input with enough tasks, as any large one has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 

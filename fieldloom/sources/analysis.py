@@ -49,12 +49,27 @@ def _result_type(fields: str) -> str:
     )
 
 
+def _once(df: DataFrame, parsed: Column, name: str) -> DataFrame:
+    """Add a parsed column that is computed exactly once.
+
+    As a generator output it cannot be copied into a filter that is pushed below
+    the projection, which would parse every document twice.
+    """
+    return df.select("*", F.explode_outer(F.array(parsed)).alias(name))
+
+
 def parse(df: DataFrame, json_column: str = "json") -> DataFrame:
     """Add ``a``: the typed ``analyzeResult`` with the known invoice fields.
 
     An unreadable text gives null, so the run continues; see ``split_readable``.
     """
-    return df.withColumn("a", F.from_json(json_column, _result_type(_fields_type()))["analyzeResult"])
+    return _once(df, F.from_json(json_column, _result_type(_fields_type()))["analyzeResult"], "a")
+
+
+def parse_tables(df: DataFrame, json_column: str = "json") -> DataFrame:
+    """Add ``tables`` alone, for steps that need no other part."""
+    schema = f"struct<analyzeResult:struct<tables:{_TABLES}>>"
+    return _once(df, F.from_json(json_column, schema)["analyzeResult"]["tables"], "tables")
 
 
 def split_readable(df: DataFrame, json_column: str = "json") -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -33,7 +35,7 @@ class Inputs:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def fixture(self, name: str) -> DataFrame:
         return self.sql(FIXTURES[name])
