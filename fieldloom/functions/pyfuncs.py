@@ -189,6 +189,24 @@ def html_tables(markdown: pd.Series) -> pd.Series:
 
 # --- pluggable text -> fields model ------------------------------------------------
 
+def pattern_model(patterns: dict[str, str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The model that ships here: for each field the first match of its pattern.
+
+    Reads ``doc_id, text``; an empty text is a failure, as for any text model.
+    """
+    def first(text: str, pattern: str) -> str | None:
+        hit = re.search(pattern, text)
+        return hit.group() if hit else None
+
+    def model(batch: pd.DataFrame) -> pd.DataFrame:
+        if (batch["text"].str.len() == 0).any():
+            raise ValueError("empty text")
+        found = {name: [first(t, p) for t in batch["text"]] for name, p in patterns.items()}
+        return pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), **found, "error": None})
+
+    return model
+
+
 def map_model(
     df: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str
 ) -> DataFrame:

@@ -17,7 +17,6 @@ WHITESPACE = (
 WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-
 def strip(c: Column) -> Column:
     """Trim every kind of white space (plain ``trim`` removes spaces only)."""
     return F.btrim(c, F.lit(WHITESPACE))
@@ -32,11 +31,6 @@ def extract(c: Column, pattern: str, group: int = 1) -> Column:
     return empty_to_null(F.regexp_extract(c, pattern, group))
 
 
-def first_non_null(items: Column, shape: Callable[[Column], Column]) -> Column:
-    """First element of an array for which ``shape`` gives a value."""
-    return F.get(F.filter(F.transform(items, shape), lambda x: x.isNotNull()), F.lit(0))
-
-
 def keep_letters_digits(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
 

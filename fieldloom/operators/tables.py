@@ -217,7 +217,7 @@ def with_tables(docs: DataFrame, markdown: str = "markdown") -> DataFrame:
     return docs.withColumn("html", classified_tables(F.col(markdown)))
 
 
-def _header_lookup(header: Column, row: Column, names: Column, aliases: list[str]) -> list[Column]:
+def _header_lookup(row: Column, names: Column, aliases: list[str]) -> list[Column]:
     """Cell for each alias; of equal headers the last column counts."""
     cells = []
     for alias in aliases:
@@ -238,7 +238,7 @@ def bank_fields_from_html(bank: Column) -> dict[str, Column]:
     out = {}
     for target, aliases in rules.BANK_ALIASES.items():
         chain = None
-        for alias, cell in zip(aliases, _header_lookup(bank["header"], row, names, aliases)):
+        for alias, cell in zip(aliases, _header_lookup(row, names, aliases)):
             has = F.array_contains(names, alias)
             chain = F.when(has, cell) if chain is None else chain.when(has, cell)
         value = strip(chain)
@@ -323,7 +323,7 @@ def items_from_html(docs: DataFrame, table: Column) -> DataFrame:
     )
     columns = {}
     for target, aliases in rules.ITEM_ALIASES.items():
-        cell = F.coalesce(*_header_lookup(None, F.col("row"), F.col("names"), aliases))
+        cell = F.coalesce(*_header_lookup(F.col("row"), F.col("names"), aliases))
         columns[target] = cell if target in rules.ITEM_TEXT_COLUMNS else checks.to_money(cell)
     rows = one.select(
         "doc_id", "Invoice_No", (F.col("pos") + 1).alias("Sr_No"), *[c.alias(n) for n, c in columns.items()]

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import rules
-from fieldloom.functions.text import empty_to_null
 
 # a field cell; numbers stay text so that no digit is lost before cleaning
 CELL = (
@@ -251,7 +250,3 @@ def page_texts(normalised: DataFrame) -> DataFrame:
 
 def tables_of(normalised: DataFrame) -> DataFrame:
     return normalised.select("doc_id", "tables")
-
-
-def has_text(c: Column) -> Column:
-    return empty_to_null(c).isNotNull()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom import rules
-from fieldloom.functions.pyfuncs import map_model
+from fieldloom.functions.pyfuncs import map_model, pattern_model
 from fieldloom.operators import content, pages, reports, schemas
 from workload.base import FIXTURES, query, values
 from workload.q_checks import paise
@@ -289,16 +289,7 @@ def _(i):
 
 # --- injected model -----------------------------------------------------------------------------------
 
-def _regex_model(batch):
-    """The shipped backend: patterns only.  Fails on an empty text on purpose."""
-    import re
-
-    import pandas as pd
-
-    if (batch["text"].str.len() == 0).any():
-        raise ValueError("empty text")
-    first = batch["text"].map(lambda t: (re.search(r"[A-Z][a-z]+", t) or [None])[0])
-    return pd.DataFrame({"doc_id": batch["doc_id"], "word": first, "error": None})
+_WORDS = pattern_model({"word": "[A-Z][a-z]+"})
 
 
 _MODEL_SQL = """
@@ -309,14 +300,14 @@ _MODEL_SQL = """
 def _modelled(i):
     texts = i.table("pages").select(
         F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 7 == 0, "").otherwise(F.col("url")).alias("text"))
-    return map_model(texts, _regex_model, "doc_id long, word string, error string")
+    return map_model(texts, _WORDS, "doc_id long, word string, error string")
 
 
 @query("f3_text_model", sql="""
     SELECT doc_id, nullif(regexp_extract(content, '[A-Z][a-z]+'), '') AS word, CAST(NULL AS VARCHAR) AS error FROM texts""", uses="texts")
 def _(i):
     return map_model(
-        i.fixture("texts").select("doc_id", F.col("content").alias("text")), _regex_model,
+        i.fixture("texts").select("doc_id", F.col("content").alias("text")), _WORDS,
         "doc_id long, word string, error string")
 
 
