@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from fieldloom import rules
 from fieldloom.functions import checks, dates
 from fieldloom.functions.text import clean, empty_to_null, extract, strip
-from fieldloom.operators.routing import first_match
 
 _P = rules.TEXT_PATTERNS
 

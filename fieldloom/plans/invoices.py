@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import rules
 from fieldloom.functions import checks
-from fieldloom.functions.text import clean, empty_to_null, keep_letters_digits
+from fieldloom.functions.text import clean, keep_letters_digits
 from fieldloom.operators import content, pages, tables, tax
 from fieldloom.sources import analysis
 
