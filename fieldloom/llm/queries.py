@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.chat_format import expand_examples, format_conversations, formatted_text, read_turns, unescape
 from fieldloom.llm.common import table
+from fieldloom.llm.decontamination import leaks
+from fieldloom.llm.language_id import language_id
+from fieldloom.llm.license_scan import STOP, TERM_BREAK, THRESHOLD, UNIT_BREAK, LICENCE_FILE, license_scan, template_weights, vocabulary
 from fieldloom.llm.line_dedup import line_dedup
+from fieldloom.llm.packing import pack
+from fieldloom.llm.pii import personal_data
 from fieldloom.llm.quality import METRICS, MIN_GROUP, SPREAD, quality_rules
+from fieldloom.llm.simhash import near_duplicates
+from fieldloom.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -155,3 +162,124 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), digest(said).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+# ---- 6: SimHash near-dedup
+
+@query("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- 8: substring dedup
+
+@query("op8_substring_dedup", r"""
+    WITH split AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    starts AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM split)),
+    counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY words) AS n FROM starts),
+    gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 35)) AS i FROM counted WHERE n > 1),
+    placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
+    marked AS (SELECT p.*, g.i IS NOT NULL AS gone FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i)
+    SELECT s.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (gone) AS n_removed,
+           sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM split s LEFT JOIN marked m ON s.doc_id = m.doc_id GROUP BY s.doc_id
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of windows that start anywhere else are removed."""
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
+# ---- 2: benchmark decontamination
+
+@query("op2_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and its place."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# ---- 4: packing
+
+@query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in length buckets and token-budget batches."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
+# ---- 1: language identification
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    out = language_id(docs, docs.where(~F.col("held_out")), carry=("held_out",))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+# ---- 7: licence scan
+
+def document_path(doc_id: str) -> str:
+    """A file path for a document: source, two levels of folders of 1,000 and of 100 documents, and every hundredth is the folder's LICENSE."""
+    return (
+        f"concat(source, '/d', CAST(floor({doc_id} / 1000) AS BIGINT), '/d', CAST(floor({doc_id} / 100) AS BIGINT), '/', "
+        f"CASE WHEN {doc_id} % 100 = 0 THEN concat('LICENSE.', {doc_id}) ELSE concat({doc_id}, '.txt') END)")
+
+
+def _license_sql() -> str:
+    idf, rare = vocabulary()
+    quoted = lambda x: "'" + x + "'"
+    idf_rows = ", ".join(f"({quoted(w)}, {v!r}::DOUBLE)" for w, v in idf.items())
+    weights = ", ".join(f"({n}, {quoted(x)}, {quoted(w)}, {s!r}::DOUBLE)" for n, x, w, s in template_weights())
+    stop = ", ".join(map(quoted, STOP))
+    return rf"""
+    WITH files AS (SELECT doc_id, {document_path('doc_id')} AS path, text FROM documents),
+    idf AS (SELECT * FROM (VALUES {idf_rows}) AS t(word, idf)),
+    templates AS (SELECT * FROM (VALUES {weights}) AS t(template, licence, word, share)),
+    said AS (SELECT path, unnest(string_split_regex(text, '{UNIT_BREAK}')) AS said,
+                    generate_subscripts(string_split_regex(text, '{UNIT_BREAK}'), 1) - 1 AS unit FROM files),
+    units AS (SELECT path, unit, list_filter(list_transform(string_split_regex(lower(said), '{TERM_BREAK}'), lambda w: trim(w, '.-')),
+                    lambda w: w <> '' AND w NOT IN ({stop})) AS words FROM said),
+    used AS (SELECT path, unit, unnest(words) AS word FROM units WHERE list_has_any(words, (SELECT list(word) FROM idf))),
+    weighed AS (SELECT path, unit, u.word, count(*) * coalesce(any_value(idf), {rare!r}) AS w FROM used u LEFT JOIN idf i ON u.word = i.word
+                GROUP BY path, unit, u.word),
+    norms AS (SELECT path, unit, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY path, unit),
+    cosine AS (SELECT w.path, w.unit, licence, round(sum(w * share) / any_value(norm), 3) AS score
+               FROM weighed w JOIN templates t ON w.word = t.word JOIN norms n ON w.path = n.path AND w.unit = n.unit
+               GROUP BY w.path, w.unit, template, licence),
+    found AS (SELECT path, licence, score FROM cosine WHERE score >= {THRESHOLD}
+              QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, unit, licence) = 1),
+    declared AS (SELECT regexp_replace(path, '/[^/]*$', '') AS home, licence, score FROM found
+                 WHERE regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{LICENCE_FILE}')
+                 QUALIFY row_number() OVER (PARTITION BY home ORDER BY score DESC, licence, path) = 1),
+    up AS (SELECT f.path, d.licence, d.score, d.home FROM files f JOIN declared d ON starts_with(f.path, d.home || '/')
+           QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(d.home) DESC) = 1)
+    SELECT f.doc_id, f.path, coalesce(o.licence, u.licence) AS licence, coalesce(o.score, u.score) AS score,
+           CASE WHEN o.path IS NOT NULL THEN 'header' WHEN u.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+           CASE WHEN o.path IS NOT NULL THEN f.path ELSE u.home END AS origin_path
+    FROM files f LEFT JOIN found o ON f.path = o.path LEFT JOIN up u ON f.path = u.path
+    """
+
+
+@query("op7_license_scan", _license_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or its folder's."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.expr(document_path("doc_id")).alias("path"), "text")
+    out = license_scan(files)
+    return files.select("doc_id", "path").join(out, "path", "left").select("doc_id", "path", "licence", "score", "origin", "origin_path")
+
+
+# ---- 9: personal data
+
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, base digest and all spans of every document."""
+    out = personal_data(table(spark, sf_dir, "documents"))
+    said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select(
+        "doc_id", *[count(k) for k in ("email", "ip", "card", "phone")],
+        F.sha2(F.encode(said("base"), "utf-8"), 256).alias("base_sha256"), said("spans").alias("spans"))
