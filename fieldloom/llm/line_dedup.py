@@ -5,7 +5,7 @@ segment: ``twice = twice_a | twice_b | (once_a & once_b)``.  Only lines whose ha
 merged "twice" filter holds, the suspected repeats, are shuffled with their text for
 exact confirmation and for the choice of the document that keeps them.
 
-The filters have a size that follows the bytes of the texts up to ``MAX_BITS``; beyond
+The filters have a size that follows the bytes of the texts up to ``sketches.MAX_BITS``; beyond
 it more lines are suspected and confirmed exactly, and none is lost.
 """
 
@@ -19,10 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm import sketches
 from fieldloom.llm.common import SPACE_BYTES, power_of_two, raw, stored, strings, total_bytes
 
-MAX_BITS = 30        # the merged filter is at most 2**30 bits, 128 MB, in every worker
-SEGMENT_BITS = 20    # a segment of a filter is merged by one task: 2**20 cells
 PROBES = 2
 
 
@@ -55,56 +54,14 @@ def _fill(bits: int, min_chars: int):
                 h, c = probes(list(keys_of(text, min_chars)), bits)
                 hashes.append(h)
                 cells.append(c)
-        if not hashes:
-            return
-        h, first, seen = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-        cells = np.concatenate(cells)[first]
-        once, twice = np.unique(cells), np.unique(cells[seen > 1])
-        part = lambda x: np.searchsorted(x, np.arange(0, (1 << bits) + 1, 1 << min(bits, SEGMENT_BITS)).astype(np.uint64))
-        a, b = part(once), part(twice)
-        inside = np.uint64((1 << min(bits, SEGMENT_BITS)) - 1)
-        rows = [(n, (once[a[n]:a[n + 1]] & inside).astype("<u4").tobytes(), (twice[b[n]:b[n + 1]] & inside).astype("<u4").tobytes())
-                for n in range(len(a) - 1) if a[n + 1] > a[n]]
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["segment", "once", "twice"])
+        if hashes:
+            h, first, seen = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
+            cells = np.concatenate(cells)[first]
+            yield from sketches.segments(np.unique(cells), np.unique(cells[seen > 1]), bits)
 
     return run
 
 
-def _merge(bits: int):
-    """Merge the partitions' segments; the result is the packed "twice" filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << min(bits, SEGMENT_BITS)
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for n, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = held.setdefault(n, (np.zeros(size, bool), np.zeros(size, bool)))
-                x = np.frombuffer(once, "<u4")
-                b[x[a[x]]] = True
-                b[np.frombuffer(twice, "<u4")] = True
-                a[x] = True
-        if held:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.int32()), pa.array([np.packbits(b).tobytes() for _, b in held.values()], pa.binary())],
-                ["segment", "bits"])
-
-    return run
-
-
-def twice_filter(docs: DataFrame, text: str, min_chars: int, bits: int) -> np.ndarray:
-    """The merged filter of hashes seen twice, packed; its size is 2**bits bits."""
-    filled = docs.select(text).mapInArrow(_fill(bits, min_chars), "segment int, once binary, twice binary")
-    parts = max(1, min(1 << max(0, bits - SEGMENT_BITS), 256))
-    merged = filled.repartition(parts, "segment").mapInArrow(_merge(bits), "segment int, bits binary")
-    size = (1 << min(bits, SEGMENT_BITS)) // 8
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        out[row["segment"] * size:(row["segment"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
 def _suspects(shared, bits: int, min_chars: int, types: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = shared.value
@@ -113,8 +70,7 @@ def _suspects(shared, bits: int, min_chars: int, types: pa.Schema):
             for n, text in enumerate(raw(batch.column(1))):
                 own = list(keys_of(text, min_chars))
                 _, cells = probes(own, bits)
-                hit = ((twice[cells >> np.uint64(3)] >> (np.uint8(7) - (cells & np.uint64(7)).astype(np.uint8))) & 1).all(axis=1)
-                for i in np.flatnonzero(hit):
+                for i in np.flatnonzero(sketches.has(twice, cells).all(axis=1)):
                     ids.append(n)
                     keys.append(own[i])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), strings(keys)], schema=types)
@@ -156,9 +112,9 @@ def line_dedup(
     in the counts and each is rewritten; rows with a null id count as one document that
     never keeps a line another document holds.  An empty table gives no rows.
     """
-    bits = power_of_two(total_bytes(docs, text_col) // 16, 12, MAX_BITS)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(twice_filter(docs, text_col, min_chars, bits))
+    bits = power_of_two(total_bytes(docs, text_col) // 16, 12, sketches.MAX_BITS)
+    parts = docs.select(text_col).mapInArrow(_fill(bits, min_chars), sketches.SEGMENTS)
+    shared = docs.sparkSession.sparkContext.broadcast(sketches.twice_bits(parts, bits))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
