@@ -16,7 +16,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.6
@@ -82,16 +82,18 @@ def scores(files: DataFrame, threshold: float) -> DataFrame:
     idf, rare = vocabulary()
     spark = files.sparkSession
     known = F.array(*[F.lit(w) for w in idf])
-    units = files.select("path", F.posexplode(F.split("text", UNIT_BREAK)).alias("unit", "said")).select(
-        "path", "unit", unit_terms(F.col("said")).alias("words")).where(F.arrays_overlap("words", known))
+    # rows that share a path but not a text have units of their own; equal rows only scale their vectors
+    own = ["path", "body", "unit"]
+    units = files.select("path", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", UNIT_BREAK)).alias("unit", "said")).select(
+        *own, unit_terms(F.col("said")).alias("words")).where(F.arrays_overlap("words", known))
     weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in idf.items() for x in p]), F.col("word")), F.lit(rare))
-    tf = units.select("path", "unit", F.explode("words").alias("word")).groupBy("path", "unit", "word").agg(F.count("*").alias("tf"))
-    weighed = tf.select("path", "unit", "word", (F.col("tf") * weight).alias("w"))
-    norms = weighed.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    tf = units.select(*own, F.explode("words").alias("word")).groupBy(*own, "word").agg(F.count("*").alias("tf"))
+    weighed = tf.select(*own, "word", (F.col("tf") * weight).alias("w"))
+    normed = weighed.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*own))))
     # about a hundred fixed rows
     templates = F.broadcast(spark.createDataFrame(template_weights(), "template int, licence string, word string, share double"))
-    dots = weighed.join(templates, "word").groupBy("path", "unit", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    cosine = dots.join(norms, ["path", "unit"]).select("path", "unit", "licence", F.round(F.col("dot") / F.col("norm"), 3).alias("score"))
+    dots = normed.join(templates, "word").groupBy(*own, "norm", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    cosine = dots.select("path", "unit", "licence", F.round(F.col("dot") / F.col("norm"), 3).alias("score"))
     # the best score, then the first unit, then the first licence by name
     best = F.min(F.struct((-F.col("score")).alias("s"), "unit", "licence"))
     return cosine.where(F.col("score") >= threshold).groupBy("path").agg(best.alias("b")).select(

@@ -127,6 +127,8 @@ def line_dedup(
         pairs.groupBy("key", "id").agg(F.lit(1).alias("one"))
         .groupBy("key").agg(F.count("one").alias("n"), best.alias("keeper")).where(F.col("n") >= min_docs)
     )
+    # written, so that the join below stands alone: a small side is broadcast, and a hot key's partition can be split
+    confirmed = stored(confirmed, "repeated-lines")
     drops = (
         pairs.join(confirmed, "key").where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id").agg(F.collect_set("key").alias("drops")).withColumnRenamed("id", "drop_id")

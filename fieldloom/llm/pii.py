@@ -165,10 +165,8 @@ def add_document(g: Graph, n: int, text: str, spans: list[tuple[str, int, int]])
         keys = {core.lower()} if len(core) >= 7 else set()
         if len(digits) >= 7:
             keys.add("#" + digits)
-        for key in keys:
-            if key in same:
-                g.skip.append((same[key], node))
-            same[key] = node
+        g.skip += [(other, node) for other in sorted({same[key] for key in keys if key in same})]
+        same.update(dict.fromkeys(keys, node))
 
 
 @dataclass
@@ -186,16 +184,22 @@ def _matrix(g: Graph) -> np.ndarray:
 
 
 def train(g: Graph, steps: int = 300) -> Model:
-    """Piecewise training: a softmax for tokens, and smoothed log ratios of linked labels."""
-    x, y = _matrix(g), np.array(g.seed, np.int64)
+    """Piecewise training: a softmax for tokens, and smoothed log ratios of linked labels.
+
+    A bare token whose twin a pattern labels is neither a kind nor other for certain, so it
+    and that link are left out.
+    """
+    y = np.array(g.seed, np.int64)
+    unsure = {n for link in g.skip for n, m in (link, link[::-1]) if y[n] == OTHER != y[m]}
+    sure = [n for n in range(len(y)) if n not in unsure]
     weights = np.zeros((N_FEATURES, N_LABELS))
-    if len(y):
-        target = np.eye(N_LABELS)[y]
+    if sure:
+        x, target = _matrix(g)[sure], np.eye(N_LABELS)[y[sure]]
         for _ in range(steps):
             z = x @ weights
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            weights += 1.0 * (x.T @ (target - p) / len(y) - 1e-3 * weights)
+            weights += 1.0 * (x.T @ (target - p) / len(sure) - 1e-3 * weights)
     share = (np.bincount(y, minlength=N_LABELS) + 1.0) / (len(y) + N_LABELS)
 
     def ratio(links: list[tuple[int, int]], prior: np.ndarray) -> np.ndarray:
@@ -206,7 +210,7 @@ def train(g: Graph, steps: int = 300) -> Model:
         return np.clip(np.log(n / n.sum() / np.outer(share, share)), -4, 4)
 
     # before any evidence, linked tokens of the skip chain agree
-    return Model(weights, ratio(g.chain, np.outer(share, share) * 5), ratio(g.skip, np.diag(share) * 5 + np.outer(share, share) * 0.5))
+    return Model(weights, ratio(g.chain, np.outer(share, share) * 5), ratio([k for k in g.skip if not unsure & set(k)], np.diag(share) * 5 + np.outer(share, share) * 0.5))
 
 
 def marginals(g: Graph, model: Model) -> np.ndarray:
