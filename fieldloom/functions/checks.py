@@ -151,10 +151,14 @@ def to_money(c: Column) -> Column:
     return strip(F.replace(c, F.lit(","), F.lit(""))).try_cast("decimal(18,2)")
 
 
-def lenient_bool(c: Column) -> Column:
-    """Common yes/no words; anything else is unknown (null), never an error."""
+def lenient_bool(c: Column, is_number: Column | None = None) -> Column:
+    """Common yes/no words; anything else is unknown (null), never an error.
+
+    Where ``is_number`` holds the value was a number, which is true unless it is zero.
+    """
     word = F.lower(strip(c))
-    return F.when(word.isin(rules.TRUE_WORDS), True).when(word.isin(rules.FALSE_WORDS), False)
+    said = F.when(word.isin(rules.TRUE_WORDS), True).when(word.isin(rules.FALSE_WORDS), False)
+    return said if is_number is None else F.when(is_number, c.try_cast("double") != 0).otherwise(said)
 
 
 def twelve_digits(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import re
 import sys
 from collections.abc import Callable, Iterator
@@ -68,6 +69,46 @@ def resolve_folder(names: pd.Series) -> pd.Series:
     return names.map({name: folder_type(name) for name in names.dropna().unique()})
 
 
+# --- nested records ----------------------------------------------------------------
+
+class _Written(float):
+    """A number that keeps the digits it was written with."""
+
+    def __new__(cls, text: str):
+        number = super().__new__(cls, text)
+        number.text = text
+        return number
+
+
+def _leaf(value) -> str | None:
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, _Written):
+        return value.text
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def flatten_text(text: str | None, sep: str = ".") -> list[dict]:
+    """Leaves of a JSON object by path, in order; a text that is no object has none."""
+    try:
+        record = json.loads(text or "", parse_float=_Written)
+    except (ValueError, RecursionError):
+        return []
+    out, open_ = [], [("", record)]
+    while open_:
+        path, value = open_.pop()
+        if isinstance(value, dict):
+            open_ += [(f"{path}{sep}{k}" if path else k, v) for k, v in reversed(value.items())]
+        elif path:
+            out.append({"path": path, "value": _leaf(value)})
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
+def flat_pairs(texts: pd.Series, seps: pd.Series) -> pd.Series:
+    return pd.Series([flatten_text(t, s) for t, s in zip(texts, seps)], dtype=object)
+
+
 # --- HTML tables -----------------------------------------------------------------
 
 # table markup; scripts, comments and all other tags are matched to be skipped
@@ -183,10 +224,16 @@ def read_tables(html: str | None) -> list[dict]:
 
 
 @F.pandas_udf(TABLES_TYPE)
-def html_tables(markdown: pd.Series) -> pd.Series:
+def _tables_of_texts(markdown: pd.Series) -> pd.Series:
     return markdown.map(read_tables)
 
 
+def html_tables(markdown: Column | str) -> Column:
+    """Tables of a text; a text without a table is not sent to Python."""
+    markdown = F.col(markdown) if isinstance(markdown, str) else markdown
+    return _tables_of_texts(F.when(markdown.rlike("(?i)<table"), markdown))
+
+
 # --- pluggable text -> fields model ------------------------------------------------
 
 def pattern_model(patterns: dict[str, str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -213,7 +260,7 @@ def map_model(
     """Run an injected text-to-fields model over Arrow batches, partition by partition.
 
     ``model`` gets one batch as pandas and returns rows of ``schema``.  A batch that
-    fails is retried row by row, so one bad document gives one error row
+    fails is halved until the bad documents stand alone; each gives one error row
     (``schema`` must hold ``doc_id`` and ``error``) and the run goes on.
     """
     columns = [part.strip().split()[0].rstrip(":") for part in schema.split(",")]
@@ -225,17 +272,21 @@ def map_model(
         texts = [c for c in columns if isinstance(frame[c].dtype, pd.StringDtype)]
         return frame.astype({c: object for c in texts})
 
-    def one_row(row: pd.DataFrame) -> pd.DataFrame:
+    def halved(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         try:
-            return shaped(model(row))
+            found = shaped(model(rows))
         except Exception as problem:  # noqa: BLE001 - becomes the row's error
-            return shaped(pd.DataFrame({"doc_id": row["doc_id"].tolist(), "error": [str(problem)]}))
+            if len(rows) == 1:
+                yield shaped(pd.DataFrame({"doc_id": rows["doc_id"].tolist(), "error": [str(problem)]}))
+                return
+            yield from halved(rows.iloc[: len(rows) // 2])
+            yield from halved(rows.iloc[len(rows) // 2:])
+            return
+        yield found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield shaped(model(batch))
-            except Exception:  # noqa: BLE001 - find the failing rows
-                yield from (one_row(batch.iloc[i:i + 1]) for i in range(len(batch)))
+            if len(batch):
+                yield from halved(batch)
 
     return df.mapInPandas(run, schema)

@@ -163,7 +163,9 @@ def customer_id(content: Column) -> Column:
 
 
 def amount_in_words(content: Column) -> Column:
-    found = clean(strip(extract(content, _P["amount_in_words"], 0)))
+    # the pattern is slow on long runs of words, so texts without its key words are not tried
+    spoken = F.when(content.rlike("Hundred|Thousand|Lakh|Crore|Only"), content)
+    found = clean(strip(extract(spoken, _P["amount_in_words"], 0)))
     return F.when(F.length(found) > 5, found)
 
 
@@ -190,11 +192,9 @@ def beneficiary(
 
 
 def pan_in_banking_block(content: Column) -> Column:
-    """PAN in the 1,500 characters from "Banking Details" on (or from the start
-    when there is no such block): labelled first, then any."""
-    # a bounded tail keeps the match short on long texts
-    block = F.substring(extract(content, _P["banking_block"], 0), 1, 1500)
-    section = F.coalesce(block, F.substring(content, 1, 1500))
+    """PAN in the text from "Banking Details" on, or in the whole text when there is no
+    such block: labelled first, then any."""
+    section = F.coalesce(extract(content, _P["banking_block"], 0), content)
     pan = rules.PAN_PATTERN
     return F.coalesce(
         F.upper(extract(section, _P["labelled_pan"])),

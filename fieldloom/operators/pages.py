@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 from fieldloom import rules
 
-PART_ROWS = 1000
-
 
 def _meaningful(c: Column, dtype: T.DataType) -> Column:
     """Null, empty text, zero and False count as empty."""
@@ -42,21 +40,17 @@ def merge_pages(pages: DataFrame, key: str = "doc_id", page: str = "page_no") ->
     return pages.groupBy(key).agg(*out)
 
 
-def combine_texts(pages: DataFrame, separator: str = "\n\n", part_rows: int = PART_ROWS) -> DataFrame:
-    """Page texts joined in page order: ``doc_id, part, n_pages, text``.
+def combine_texts(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """Page texts as the parts of one text: ``doc_id, page_no, text``.
 
-    A text is built from at most ``part_rows`` page numbers; a longer document
-    comes as consecutive parts, so no task ever holds an unbounded document.
+    Put together in page order the parts are the document: each but the first starts
+    with the separator.  A part is one page, whatever the document's size; only the
+    first page number is looked up per document.
     """
-    return pages.groupBy("doc_id", F.floor(F.col("page_no") / part_rows).alias("part")).agg(
-        F.count(F.lit(1)).alias("n_pages"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text")))),
-                lambda p: p["text"],
-            ),
-            separator,
-        ).alias("text"),
+    first = pages.groupBy("doc_id").agg(F.min("page_no").alias("first"))
+    text = F.coalesce("text", F.lit(""))
+    return pages.join(first, "doc_id").select(
+        "doc_id", "page_no", F.when(F.col("page_no") == F.col("first"), text).otherwise(F.concat(F.lit(separator), text)).alias("text")
     )
 
 

@@ -10,7 +10,7 @@ from fieldloom.session import cut_lineage
 _SLOT = (1 << 33) - 1
 
 
-def _sorted_once(df: DataFrame, order: list) -> DataFrame:
+def sorted_once(df: DataFrame, order: list) -> DataFrame:
     """Range-sort and store; each row keeps its partition and place in it.
 
     The checkpoint pins both: partition bounds come from sampling and would
@@ -28,7 +28,7 @@ def number_rows(df: DataFrame, order: list, name: str = "row_no") -> DataFrame:
     Rows are range-partitioned by the sort; only one count per partition is
     brought together, and that list is as long as the number of partitions.
     """
-    placed = _sorted_once(df, order)
+    placed = sorted_once(df, order)
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -45,7 +45,7 @@ def number_in_group(df: DataFrame, group: list[str], order: list, name: str = "r
     adds the sizes of its earlier pieces, of which there are at most two per
     partition.
     """
-    placed = _sorted_once(df, [*group, *order])
+    placed = sorted_once(df, [*group, *order])
     piece = placed.groupBy("_part", *group).agg(
         F.min("_place").alias("_first"), F.max("_place").alias("_last"), F.count(F.lit(1)).alias("_n")
     )

@@ -130,19 +130,13 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def assemble(lines: DataFrame, part_rows: int = 1000) -> DataFrame:
-    """Report text in bounded parts: ``doc_id, section, block, part, text``.
+def assemble(lines: DataFrame) -> DataFrame:
+    """Report lines with their line breaks: ``doc_id, section, block, line_no, text``.
 
-    Parts in order, joined by line breaks, are the report.  A part never holds
-    more than ``part_rows`` line positions.
+    Put together in order the texts are the report; each line is a row, whatever the
+    report's length.
     """
-    return lines.groupBy(
-        "doc_id", "section", "block", F.floor(F.col("line_no") / part_rows).alias("part")
-    ).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n"
-        ).alias("text")
-    )
+    return lines.select(*LINE[:-1], F.concat("text", F.lit("\n")).alias("text"))
 
 
 # --- paragraphs and pages as text ----------------------------------------------------------

@@ -9,15 +9,13 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom import rules
 from fieldloom.rules import STANDARD, RuleBook
 
-LAYER_STEP = 1 << 32
-
 
 def first_match(text: Column, pairs) -> Column:
     """Result of the first pair whose pattern is contained in ``text``.
@@ -77,19 +75,24 @@ def route_fields(kv: DataFrame, document_type: str | Column, book: RuleBook = ST
 
 def merge_layers(*layers: DataFrame) -> DataFrame:
     """Later layers overwrite earlier ones field by field; a field keeps the
-    position where it first appeared."""
+    position where it first appeared.
+
+    Positions of the result are numbered from 0 in each document; the window holds
+    one row for each field of a record.
+    """
     tagged = [
         layer.select(
             "doc_id", "field_name", "field_value", "value_type",
-            (F.lit(i * LAYER_STEP) + F.col("seq").cast("bigint")).alias("seq"),
+            F.struct(F.lit(i).alias("layer"), F.col("seq").cast("bigint").alias("seq")).alias("at"),
         )
         for i, layer in enumerate(layers)
     ]
     merged = reduce(DataFrame.unionByName, tagged).groupBy("doc_id", "field_name").agg(
-        F.min("seq").alias("seq"),
-        F.max_by(F.struct("field_value", "value_type"), "seq").alias("last"),
+        F.min("at").alias("at"),
+        F.max_by(F.struct("field_value", "value_type"), "at").alias("last"),
     )
-    return merged.select("doc_id", "seq", "field_name", "last.field_value", "last.value_type")
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "field_name")) - 1
+    return merged.select("doc_id", seq.cast("bigint").alias("seq"), "field_name", "last.field_value", "last.value_type")
 
 
 def metadata_layer(docs: DataFrame, **values: Column) -> DataFrame:
@@ -138,13 +141,6 @@ def field_schema(catalog: DataFrame) -> DataFrame:
     )
 
 
-def schema_line(name: Column, field_type: Column, description: Column, required: Column) -> Column:
-    return F.concat(
-        F.lit("- "), name, F.lit(" ("), field_type, F.lit("): "), description, F.lit(" "),
-        F.when(required, "(required)").otherwise("(optional)"),
-    )
-
-
 def prompt_schema(document_type: Column, book: RuleBook = STANDARD) -> Column:
     """Schema text for a document type, built from the rule book as a literal."""
     chain = None
@@ -174,28 +170,12 @@ def flatten_struct(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*walk(df.schema, "", ""))
 
 
-def flatten_json(df: DataFrame, json_column: str, levels: int = 8, sep: str = ".") -> DataFrame:
-    """JSON text to long form ``doc_id, path, value``; empty objects vanish.
+def flatten_json(df: DataFrame, json_column: str, sep: str = ".") -> DataFrame:
+    """JSON text to long form ``doc_id, path, value``, objects of any depth.
 
-    Each level explodes only rows that still hold an object.  Objects nested
-    deeper than ``levels`` stay whole as JSON text under their path.
+    Empty objects and unreadable texts give no row; lists stay JSON text.  One pass in
+    Arrow batches, as the depth is known only from the data.
     """
-    spark_type = "CASE WHEN schema_of_variant({v}) LIKE 'OBJECT%' THEN true ELSE false END"
-    rows = df.select("doc_id", F.lit("").alias("path"), F.try_parse_json(F.col(json_column)).alias("v"))
-    done = None
-    for level in range(levels):
-        objects = rows.where(F.expr(spark_type.format(v="v")))
-        leaves = rows.where(~F.expr(spark_type.format(v="v")) & (F.col("path") != ""))
-        done = leaves if done is None else done.unionByName(leaves)
-        children = objects.lateralJoin(
-            df.sparkSession.tvf.variant_explode(F.col("v").outer()).select("key", F.col("value").alias("child"))
-        )
-        rows = children.select(
-            "doc_id",
-            F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit(sep), "key")).alias("path"),
-            F.col("child").alias("v"),
-        )
-    return done.unionByName(rows).select(
-        "doc_id", "path",
-        F.when(~F.is_variant_null("v"), F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))).alias("value"),
-    )
+    from fieldloom.functions.pyfuncs import flat_pairs
+
+    return df.select("doc_id", F.inline(flat_pairs(F.col(json_column), F.lit(sep))))

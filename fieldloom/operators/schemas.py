@@ -87,6 +87,12 @@ def _text_struct(names: list[str]) -> str:
     return "struct<" + ",".join(f"{n}:string" for n in names) + ">"
 
 
+def _is_number(json: Column, path: str) -> Column:
+    """True where the JSON holds a number, not a text, at ``path``."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), path, "variant"))
+    return F.coalesce(kind.rlike("^(BIGINT|INT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+
+
 def aadhaar_document(json: Column) -> Column:
     """Aadhaar record; malformed number, PIN code and birth date become null."""
     d = F.from_json(json, _text_struct(AADHAAR_FIELDS))
@@ -107,7 +113,7 @@ def pan_document(json: Column) -> Column:
     checked = {
         "pan_number": checks.strict_pan,
         "date_of_birth": checks.slash_date,
-        "signature_present": checks.lenient_bool,
+        "signature_present": lambda c: checks.lenient_bool(c, _is_number(json, "$.signature_present")),
     }
     return F.struct(
         F.lit("pan").alias("document_type"),
@@ -181,7 +187,8 @@ def agreement_sections(json: Column, text_fields: dict[str, list[str]] | None =
         out[section] = values
     for section, names in YES_NO_FIELDS.items():
         for name in names:
-            out[f"{section}.{name}"] = checks.lenient_bool(_section_value(d, section, name))
+            out[f"{section}.{name}"] = checks.lenient_bool(
+                _section_value(d, section, name), _is_number(json, f"$.{section}.{name}"))
     for section, name in CURRENCY_FIELDS.items():
         out[f"{section}.{name}"] = F.coalesce(_section_value(d, section, name), F.lit(DEFAULT_CURRENCY))
     typed = {

@@ -17,9 +17,6 @@ from fieldloom.functions import checks
 from fieldloom.operators.validate import record_errors, sanitize, verdicts, with_checks
 from fieldloom.rules import STANDARD, RuleBook
 
-PART_ROWS = 1000
-
-
 @dataclass
 class Store:
     documents: DataFrame
@@ -27,10 +24,6 @@ class Store:
     errors: DataFrame
 
 
-def document_key(name: Column, document_type: Column, created_at: Column) -> Column:
-    return F.xxhash64(name, document_type, created_at.cast("string"))
-
-
 def stored_fields(fields: DataFrame) -> DataFrame:
     """Fields without the metadata keys of a record."""
     return fields.where(~F.col("field_name").isin(rules.METADATA_KEYS))
@@ -38,34 +31,51 @@ def stored_fields(fields: DataFrame) -> DataFrame:
 
 # --- record -> rows ------------------------------------------------------------------
 
-def record_json(fields: DataFrame, names: list[str]) -> DataFrame:
-    """One JSON object per document from its fields.
+def json_value(value: Column, value_type: Column) -> Column:
+    """A field's value as JSON text by its type; text that is no JSON stays text."""
+    inner = F.to_json(F.array(value))
+    quoted = F.substring(inner, F.lit(2), F.length(inner) - 2)
+    typed = F.when(value_type == "bool", F.lower(value)).when(value_type.isin("int", "float", "list", "dict"), value)
+    return (
+        F.when(value.isNull(), "null")
+        .when(F.try_parse_json(typed).isNotNull(), typed)
+        .otherwise(quoted)
+    )
+
+
+def record_json(fields: DataFrame) -> DataFrame:
+    """One JSON object per document: all its fields in their order, with their types.
 
-    ``names`` (the rule book's fields) fixes the record's width, so this is a
-    plain aggregate of that many columns and no field list is collected.
+    Fields are unique per document after the merge, so the object is as wide as the
+    record itself.
     """
-    width = fields.where(F.col("field_name").isin(names)).groupBy("doc_id").agg(*[
-        F.max_by("field_value", F.when(F.col("field_name") == n, F.col("seq"))).alias(n) for n in names
-    ])
-    return width.select("doc_id", F.to_json(F.struct(*names)).alias("record"))
+    pair = F.concat(
+        F.substring(F.to_json(F.array("field_name")), F.lit(2), F.length(F.to_json(F.array("field_name"))) - 2),
+        F.lit(":"), json_value(F.col("field_value"), F.col("value_type")),
+    )
+    return fields.select("doc_id", F.struct("seq", "field_name", pair.alias("pair")).alias("f")).groupBy("doc_id").agg(
+        F.sort_array(F.collect_list("f")).alias("f")
+    ).select(
+        "doc_id", F.concat(F.lit("{"), F.array_join(F.transform("f", lambda x: x["pair"]), ","), F.lit("}")).alias("record")
+    )
 
 
 def field_rows(fields: DataFrame, docs: DataFrame | None = None, book: RuleBook = STANDARD) -> DataFrame:
     """Extraction rows: falsy values become null, the type is the value's own.
 
-    With ``docs`` (``doc_id, document_type``) ``is_required`` and ``is_valid`` are
-    really filled; without, they hold the defaults 0 and 1.
+    With ``docs`` (``doc_id, document_type, created_at``) ``is_required``, ``is_valid``
+    and ``created_at`` are really filled; without, they hold the defaults 0, 1 and null.
     """
     kept = stored_fields(fields)
     value = F.when(checks.is_truthy(F.col("field_value"), F.col("value_type")), F.col("field_value"))
     if docs is None:
-        flags = [F.lit(0).alias("is_required"), F.lit(1).alias("is_valid")]
+        flags = [F.lit(0).alias("is_required"), F.lit(1).alias("is_valid"), F.lit(None).cast("timestamp").alias("created_at")]
     else:
-        kept = with_checks(kept).join(docs.select("doc_id", "document_type"), "doc_id")
+        kept = with_checks(kept).join(docs.select("doc_id", "document_type", "created_at"), "doc_id")
         required = F.lit(False)
         for name, spec in book.types.items():
             required = required | ((F.col("document_type") == name) & F.col("field_name").isin(spec.required))
-        flags = [required.cast("int").alias("is_required"), F.col("ok").cast("int").alias("is_valid")]
+        flags = [required.cast("int").alias("is_required"), F.col("ok").cast("int").alias("is_valid"), "created_at"]
     return kept.select(
         F.xxhash64("doc_id", "field_name").alias("id"), F.col("doc_id").alias("document_id"), "seq",
         "field_name", value.alias("field_value"), F.col("value_type").alias("field_type"), *flags,
@@ -89,20 +99,26 @@ def document_rows(docs: DataFrame, records: DataFrame, checked: DataFrame) -> Da
     )
 
 
-def error_rows(errors: DataFrame) -> DataFrame:
-    """Error rows; ``field_name`` is kept, which the message repeats."""
-    return errors.select(
+def error_rows(errors: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Error rows; ``field_name`` is kept, which the message repeats.  ``created_at`` is
+    the document's (``docs``: ``doc_id, created_at``), null without."""
+    if docs is None:
+        dated = errors.withColumn("created_at", F.lit(None).cast("timestamp"))
+    else:
+        dated = errors.join(docs.select("doc_id", "created_at"), "doc_id", "left")
+    return dated.select(
         F.xxhash64("doc_id", "phase", "seq", "message").alias("id"), F.col("doc_id").alias("document_id"),
-        "phase", "seq", F.col("message").alias("error_message"), "field_name",
+        "phase", "seq", F.col("message").alias("error_message"), "field_name", "created_at",
     )
 
 
 def save_documents(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD) -> Store:
     """All three tables for new documents."""
-    errors = record_errors(docs, fields, book)
-    records = record_json(fields, book.field_names())
+    rows = field_rows(fields).drop("created_at").join(
+        docs.select(F.col("doc_id").alias("document_id"), "created_at"), "document_id")
     return Store(
-        document_rows(docs, records, verdicts(docs, fields, book)), field_rows(fields), error_rows(errors)
+        document_rows(docs, record_json(fields), verdicts(docs, fields, book)), rows,
+        error_rows(record_errors(docs, fields, book), docs),
     )
 
 
@@ -149,13 +165,15 @@ def statistics(documents: DataFrame) -> DataFrame:
 def replace_records(store: Store, changed: Store) -> Store:
     """Update documents that exist and replace their fields and errors.
 
-    ``created_at`` stays, ``updated_at`` comes from the change.  Changes for
-    unknown documents are left out.
+    ``created_at`` stays, ``updated_at`` comes from the change.  Of several changes of
+    one document the newest counts (ties: the larger data), and equal children are one.
+    Changes for unknown documents are left out.
     """
-    ids = changed.documents.select("id")
-    new = changed.documents.select(
-        "id", F.col("extracted_data").alias("_data"), F.col("validation_status").alias("_status"),
-        F.col("updated_at").alias("_at"),
+    ids = changed.documents.select("id").distinct()
+    last = F.max(F.struct("updated_at", "extracted_data", "validation_status")).alias("_c")
+    new = changed.documents.groupBy("id").agg(last).select(
+        "id", F.col("_c.extracted_data").alias("_data"), F.col("_c.validation_status").alias("_status"),
+        F.col("_c.updated_at").alias("_at"),
     )
     hit = F.col("_at").isNotNull()
     documents = store.documents.join(new, "id", "left").withColumns({
@@ -167,7 +185,7 @@ def replace_records(store: Store, changed: Store) -> Store:
 
     def children(old: DataFrame, fresh: DataFrame) -> DataFrame:
         kept = old.join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
-        added = fresh.join(known, "document_id", "left_semi")
+        added = fresh.select(*old.columns).distinct().join(known, "document_id", "left_semi")
         return kept.select(*old.columns).unionByName(added.select(*old.columns))
 
     return Store(
@@ -185,28 +203,25 @@ def delete_documents(store: Store, ids: DataFrame) -> Store:
     )
 
 
-def export_nested(store: Store, part_rows: int = PART_ROWS) -> DataFrame:
-    """Documents with their fields and errors nested, ready for ``write.json``.
+def export_lines(store: Store) -> DataFrame:
+    """The export as lines: ``document_id, kind, phase, seq, json``.
 
-    Children are collected per document before the join, so nothing fans out,
-    and per ``part_rows`` positions, so an outsized document becomes several
-    lines (``part``) instead of one unbounded row.  Childless documents stay.
+    Sorted by these columns a document's line (kind 0) is followed by its field
+    lines (1) and its error lines (2).  Every child carries its parent's key, so no
+    row grows with the number of children, and one shape serves every document.
+    Children without a document are left out.
     """
-    def nested(table: DataFrame, name: str, order: list[str]) -> DataFrame:
-        columns = [c for c in table.columns if c not in ("document_id", *order)]
-        return table.groupBy("document_id", F.floor(F.col("seq") / part_rows).alias("part")).agg(
-            F.array_sort(F.collect_list(F.struct(*order, *columns))).alias(name)
+    def lines(table: DataFrame, key: str, kind: int, phase: Column, seq: Column) -> DataFrame:
+        return table.select(
+            F.col(key).alias("document_id"), F.lit(kind).alias("kind"), phase.cast("int").alias("phase"),
+            seq.cast("bigint").alias("seq"), F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"}).alias("json"),
         )
 
-    fields = nested(store.extractions, "fields", ["seq"])
-    errors = nested(store.errors, "validation_errors", ["phase", "seq"])
-    children = fields.join(errors, ["document_id", "part"], "full")
-    return store.documents.join(children, store.documents["id"] == children["document_id"], "left").select(
-        *[store.documents[c] for c in store.documents.columns],
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("fields", F.array()).alias("fields"),
-        F.coalesce("validation_errors", F.array()).alias("validation_errors"),
-    )
+    known = store.documents.select(F.col("id").alias("document_id"))
+    none = F.lit(0)
+    children = lines(store.extractions, "document_id", 1, none, F.col("seq")).unionByName(
+        lines(store.errors, "document_id", 2, F.col("phase"), F.col("seq")))
+    return lines(store.documents, "id", 0, none, none).unionByName(children.join(known, "document_id", "left_semi"))
 
 
 def reprocess(docs: DataFrame, stored: DataFrame, extracted: DataFrame | None = None,
@@ -240,26 +255,45 @@ def insertable(df: DataFrame, target_columns: list[str]) -> DataFrame:
     return cleaned.where(F.coalesce(*[F.col(c).cast("string") for c in shared]).isNotNull())
 
 
-def update_known_values(target: DataFrame, changes: DataFrame, key: str = "Invoice_No") -> DataFrame:
-    """Every column of the change that holds a value overwrites; nulls never do."""
+def _last_values(changes: DataFrame, key: str, columns: dict[str, Column], order: tuple[str, ...]) -> DataFrame:
+    """One row per key: of each column the last value in ``order`` that is not null
+    (ties: the larger value)."""
+    return changes.groupBy(key).agg(*[
+        F.max_by(value, F.when(value.isNotNull(), F.struct(*[F.col(c) for c in order], value))).alias(f"_{name}")
+        for name, value in columns.items()
+    ])
+
+
+def update_known_values(
+    target: DataFrame, changes: DataFrame, key: str = "Invoice_No", order: tuple[str, ...] = ()
+) -> DataFrame:
+    """Every column of the change that holds a value overwrites; nulls never do.
+
+    Several changes of one key are applied in ``order``, so each column takes the
+    last value that is not null; a target row stays one row.
+    """
     columns = [c for c in changes.columns if c in target.columns and c != key]
     text = {c for c, t in changes.dtypes if t == "string"}
     value = lambda c: F.when(F.col(c) != "", F.col(c)) if c in text else F.col(c)
-    new = changes.select(key, *[value(c).alias(f"_{c}") for c in columns])
+    new = _last_values(changes, key, {c: value(c) for c in columns}, order)
     merged = target.join(new, key, "left")
     return merged.select(*[
         (F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c)) for c in target.columns
     ])
 
 
-def update_bank_columns(target: DataFrame, changes: DataFrame, key: str = "Invoice_No") -> DataFrame:
-    """The five bank columns are set as given for every changed invoice, nulls too."""
-    new = changes.select(
-        key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in rules.BANK_UPDATE_COLUMNS]
-    )
+def update_bank_columns(
+    target: DataFrame, changes: DataFrame, key: str = "Invoice_No", order: tuple[str, ...] = ()
+) -> DataFrame:
+    """The five bank columns are set as given for every changed invoice, nulls too.
+
+    Of several changes of one key the last in ``order`` counts as a whole.
+    """
+    names = rules.BANK_UPDATE_COLUMNS
+    last = F.max(F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_{c}") for c in names])).alias("_c")
+    new = changes.groupBy(key).agg(F.lit(True).alias("_hit"), last)
     merged = target.join(new, key, "left")
     return merged.select(*[
-        (F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
-         if c in rules.BANK_UPDATE_COLUMNS else F.col(c))
+        (F.when(F.col("_hit"), F.col(f"_c._{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c))
         for c in target.columns
     ])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fieldloom import rules
 from fieldloom.functions import checks, dates
 from fieldloom.functions.text import empty_to_null, extract, strip
+from fieldloom.operators.ranking import sorted_once
 
 MONEY = "decimal(18,2)"
 
@@ -42,22 +43,21 @@ def tax_label(content: Column) -> Column:
 
 # --- tax lines as rows ---------------------------------------------------------------
 
-def tax_from_lines(lines: DataFrame, block: int = 4096) -> DataFrame:
+def tax_from_lines(lines: DataFrame) -> DataFrame:
     """CGST/SGST/IGST per document from ordered lines ``doc_id, seq, content, amount``.
 
     A label stays pending until the first amount after it, which it claims; so an
     amount counts exactly when no other amount lies between it and the last label
     at or before it.  Per tax type the first claimed non-zero amount is kept.
 
-    Both "last before" values are running maxima.  They are taken inside blocks
-    of ``seq`` and the earlier blocks' maxima are carried in, so even a document
-    with most of all lines is spread over many tasks.
+    Both "last before" values are running maxima.  The few columns needed are sorted
+    once into ranges of equal size; maxima are taken inside a range and the earlier
+    ranges' maxima are carried in.  A document with most of all lines spans many
+    ranges, whatever its positions are, and has one carried row for each.
     """
-    marked = lines.select(
-        "doc_id", "seq", F.col("amount").cast(MONEY).alias("amount"),
-        tax_label(F.col("content")).alias("kind"),
-        F.floor(F.col("seq") / block).alias("blk"),
-    ).where(F.col("kind").isNotNull() | F.col("amount").isNotNull())
+    marked = sorted_once(lines.select(
+        "doc_id", "seq", F.col("amount").cast(MONEY).alias("amount"), tax_label(F.col("content")).alias("kind"),
+    ).where(F.col("kind").isNotNull() | F.col("amount").isNotNull()), ["doc_id", "seq"]).withColumnRenamed("_part", "blk")
     label = F.when(F.col("kind").isNotNull(), F.struct("seq", "kind"))
     paid = F.when(F.col("amount").isNotNull(), F.col("seq"))
 

@@ -299,7 +299,7 @@ TEXT_PATTERNS = {
     "amount_in_words": r"(?:Rupees\s+)?([A-Z][A-Za-z ,]+(?:Hundred|Thousand|Lakh|Crore|Only)[A-Za-z ,]*\.?)",
     "payable_to": r"[Pp]ayable\s+to\s*[:\-]\s*([A-Za-z0-9 .&,'\-/]+)",
     # whole match, bounded tail
-    "banking_block": r"(?is)Banking\s+Details.{0,1500}",
+    "banking_block": r"(?is)Banking\s+Details.*",
     "labelled_pan": r"(?i)PAN\s*[:\-]?\s*([A-Z]{5}[0-9]{4}[A-Z])",
     "labelled_ifsc": r"(?i)(?:IFSC|IFS|RTGS|NEFT)\s*(?:Code)?\s*[:\-]?\s*([A-Z]{4}0[A-Z0-9]{6})",
     "ifsc_then_label": r"(?i)([A-Z]{4}0[A-Z0-9]{6})\s*(?:IFSC|IFS|RTGS|NEFT)",

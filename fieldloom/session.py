@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,26 +26,17 @@ def build_session(app: str = "fieldloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input that is read in fewer tasks than there are cores.
-
-    A small file is one task, and the text work that follows would run on one
-    core.  An input with enough tasks, as any large one has, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    A session on one machine that names none, as a test does, gets a folder of its own; a
+    cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="fieldloom-")
         spark.sparkContext.setCheckpointDir(named)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +62,13 @@ def with_extension(files: DataFrame, extensions: list[str]) -> DataFrame:
 
 
 def _below(path: Column, root: str) -> Column:
-    """Path parts below the root folder."""
-    tail = F.substring_index(path, "/" + root.strip("/").split("/")[-1] + "/", -1)
-    return F.split(tail, "/")
+    """Path parts below the root folder, which is cut off where it first ends.
+
+    ``root`` may be written without the scheme that listings show.
+    """
+    prefix = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", root).rstrip("/") + "/"
+    at = F.locate(prefix, path)
+    return F.split(F.when(at > 0, F.substring(path, at + len(prefix), F.length(path))).otherwise(path), "/")
 
 
 def input_documents(files: DataFrame, root: str) -> DataFrame:

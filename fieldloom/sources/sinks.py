@@ -6,7 +6,7 @@ file per document; the document name is a column of every row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,12 +58,48 @@ def write_all_formats(
         raw.write.mode("errorifexists").json(f"{base}/raw")
 
 
-def append_tables(store, target: str) -> None:
-    """Append the three store tables; documents by type, children by document."""
+TABLES = ("documents", "extractions", "errors")
+
+
+def write_version(tables: dict[str, DataFrame], target: str, version: int) -> None:
+    """Write one version of a set of tables below ``target`` and commit it.
+
+    A version has folders of its own, so tables may be computed from the version
+    before, and a repeated write replaces only itself.  Readers see the version once
+    its commit row is there.
+    """
     base = target.rstrip("/")
-    store.documents.write.mode("append").partitionBy("document_type").parquet(f"{base}/documents")
-    store.extractions.write.mode("append").parquet(f"{base}/extractions")
-    store.errors.write.mode("append").parquet(f"{base}/validation_errors")
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{base}/{name}/v{version}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.range(1).write.mode("overwrite").parquet(f"{base}/commits/version={version}")
+
+
+def last_version(spark: SparkSession, target: str) -> int:
+    """Number of the newest committed version."""
+    return spark.read.parquet(f"{target.rstrip('/')}/commits").agg(F.max("version")).first()[0]
+
+
+def read_version(spark: SparkSession, target: str, names: tuple[str, ...], version: int | None = None) -> dict[str, DataFrame]:
+    version = last_version(spark, target) if version is None else version
+    return {name: spark.read.parquet(f"{target.rstrip('/')}/{name}/v{version}") for name in names}
+
+
+def save_store(store, target: str, version: int = 0) -> None:
+    """The three store tables as one version."""
+    write_version({name: getattr(store, name) for name in TABLES}, target, version)
+
+
+def read_store(spark: SparkSession, target: str):
+    from fieldloom.operators.store import Store
+
+    return Store(**read_version(spark, target, TABLES))
+
+
+def change_store(spark: SparkSession, target: str, change) -> None:
+    """Apply ``change`` (store to store: a replacement, a deletion) to the newest
+    version and commit the result as the next one."""
+    save_store(change(read_store(spark, target)), target, last_version(spark, target) + 1)
 
 
 def append_matching(df: DataFrame, target: str, target_columns: list[str]) -> bool:
@@ -78,7 +114,8 @@ def append_matching(df: DataFrame, target: str, target_columns: list[str]) -> bo
 
 def fixed_point(df: DataFrame) -> DataFrame:
     """Every floating-point leaf as a two-decimal number, also inside structs and
-    arrays, so that JSON never shows an exponent."""
+    arrays, so that JSON never shows an exponent.  Numbers of more than 36 digits have
+    no such form and are null; ``beyond_fixed_point`` finds their rows."""
 
     def fix(c: Column, dtype: T.DataType) -> Column:
         if isinstance(dtype, (T.DoubleType, T.FloatType)):
@@ -93,6 +130,15 @@ def fixed_point(df: DataFrame) -> DataFrame:
     return df.select(*[fix(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
+def beyond_fixed_point(df: DataFrame) -> DataFrame:
+    """Rows with a floating-point column that ``fixed_point`` cannot hold, with an ``error`` naming the columns."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    lost = F.array_compact(F.array(*[
+        F.when(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("decimal(38,2)").isNull(), F.lit(c)) for c in floats
+    ])) if floats else F.array().cast("array<string>")
+    return df.withColumn("error", F.concat(F.lit("no fixed-point form: "), F.array_join(lost, ", "))).where(F.size(lost) > 0)
+
+
 def safe_invoice_name(invoice_no: Column) -> Column:
     """Invoice number as a file name: illegal characters and blanks become ``_``."""
     return F.regexp_replace(F.regexp_replace(invoice_no, r'[<>:"/\\|?*]', "_"), WS + "+", "_")

@@ -1,8 +1,9 @@
 """The folder run for files that keep arriving.
 
-Every operator of a record works on its own row or its own document, so the batch
-plan is applied to each set of new files as it is; there is no state, window or
-watermark.  Progress lives in the stream's checkpoint instead of moved files.
+A document's pages may arrive in several batches.  Each batch stores its page rows and
+then runs the batch plan over all stored pages of the documents it touched, so a record
+is always made from all pages seen so far; the record of a document is the one of its
+newest batch.  Progress lives in the stream's checkpoint instead of moved files.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldloom.session import run_dir
 
@@ -18,18 +20,28 @@ PAGES = "doc_id bigint, page_no int, json string"
 
 def process_arrivals(
     spark: SparkSession, folder: str, target: str, plan: Callable[[DataFrame], DataFrame],
-    schema: str = PAGES, checkpoint: str | None = None, files_per_batch: int = 1000,
+    schema: str = PAGES, checkpoint: str | None = None, files_per_batch: int = 1000, key: str = "doc_id",
 ) -> int:
-    """Run ``plan`` over all files not seen yet and write its rows; returns the
-    number of batches.
+    """Run ``plan`` over the documents of all files not seen yet; returns the number of batches.
 
-    A batch writes its own sub-folder and replaces it when it is repeated after a
-    failure, so no row is written twice.
+    A batch writes its own sub-folders and replaces them when it is repeated after a
+    failure, so no row is written twice.  ``plan`` keeps the column ``key``;
+    ``files_per_batch`` sets how much is done at once and changes no result.
     """
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    base = target.rstrip("/")
+    done = []
 
     def write(batch: DataFrame, number: int) -> None:
-        plan(batch).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
+        if batch.isEmpty():
+            return
+        own = f"{base}/pages/batch={number}"
+        batch.write.mode("overwrite").parquet(own)
+        session = batch.sparkSession
+        touched = session.read.parquet(own).select(key).distinct()
+        seen = session.read.parquet(f"{base}/pages").where(F.col("batch") <= number).drop("batch")
+        plan(seen.join(touched, key, "left_semi")).write.mode("overwrite").parquet(f"{base}/records/batch={number}")
+        done.append(number)
 
     stream = (
         arriving.writeStream.foreachBatch(write)
@@ -37,4 +49,11 @@ def process_arrivals(
         .trigger(availableNow=True).start()
     )
     stream.awaitTermination()
-    return len([p for p in stream.recentProgress if p["numInputRows"] > 0])
+    return len(done)
+
+
+def current_records(spark: SparkSession, target: str, key: str = "doc_id") -> DataFrame:
+    """The newest record rows of every document."""
+    records = spark.read.parquet(f"{target.rstrip('/')}/records")
+    newest = records.groupBy(key).agg(F.max("batch").alias("batch"))
+    return records.join(newest, [key, "batch"], "left_semi").drop("batch")

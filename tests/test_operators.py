@@ -156,37 +156,54 @@ def test_bank_cells_bad_value_does_not_shadow_good_one(spark):
 
 # --- tax ----------------------------------------------------------------------------------------------
 
-def fold(lines):
-    """Plain model of the label/amount rule."""
-    value, pending = {"CGST": 0, "SGST": 0, "IGST": 0}, None
-    for content_, amount in lines:
-        low = content_.lower()
-        for kind, spellings in rules.TAX_LABELS:
-            if any(s in low for s in spellings):
-                pending = kind
-                break
-        if amount is not None and pending and value[pending] == 0:
-            value[pending] = amount
-            pending = None
-    return value
-
-
-def test_tax_lines_match_the_fold_in_any_blocking(spark):
+def claimed(lines):
+    """By the statement of the rule: an amount belongs to the last label at or before it
+    when no other amount lies from that label on; of a type the first that is not zero counts."""
+    out = dict.fromkeys(("CGST", "SGST", "IGST"), 0)
+    spoken = {"CGST": "CGST", "c gst": "CGST", "SGST 9%": "SGST", "IGST": "IGST"}
+    for kind in out:
+        owned = [
+            amount for j, (_, amount) in enumerate(lines) if amount is not None
+            for i in [max((i for i in range(j + 1) if lines[i][0] in spoken), default=None)]
+            if i is not None and spoken[lines[i][0]] == kind and all(a is None for _, a in lines[i:j])
+        ]
+        out[kind] = next((a for a in owned if a), 0)
+    return out
+
+
+def test_tax_rule_by_hand(spark):
+    cases = {
+        1: ([("CGST", None), ("x", 5), ("x", 7)], (5, 0, 0)),      # the second amount has no label left
+        2: ([("CGST", 0), ("x", 5), ("c gst", 7)], (7, 0, 0)),     # zero uses the label up
+        3: ([("SGST 9%", None), ("IGST", None), ("", 9)], (0, 0, 9)),  # the later label replaces the earlier
+        4: ([("x", 3), ("CGST", None)], (0, 0, 0)),
+        5: ([("CGST", 4), ("CGST", 6), ("SGST 9%", 2)], (4, 2, 0)),
+    }
+    rows = [(d, s * 7_000_000_000, c, a) for d, (lines, _) in cases.items() for s, (c, a) in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc_id long, seq long, content string, amount int")
+    got = {r["doc_id"]: (int(r["CGST"]), int(r["SGST"]), int(r["IGST"])) for r in tax.tax_from_lines(df).collect()}
+    assert got == {d: want for d, (_, want) in cases.items()}
+
+
+def test_tax_lines_follow_the_rule_in_any_range(spark):
     rnd = random.Random(11)
     docs = {d: [(rnd.choice(["CGST", "SGST 9%", "x", "", "IGST", "c gst"]), rnd.choice([None, None, 0, 5, 7, 9]))
                 for _ in range(rnd.randrange(1, 30))] for d in range(200)}
     rows = [(d, s, c, a) for d, lines in docs.items() for s, (c, a) in enumerate(lines)]
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, seq long, content string, amount int")
-    for block in (1, 3, 4096):
-        got = {r["doc_id"]: {k: int(r[k]) for k in ("CGST", "SGST", "IGST")} for r in tax.tax_from_lines(df, block).collect()}
-        assert got == {d: fold(lines) for d, lines in docs.items()}, block
+    # one document with most of all lines as well
+    hot = [("CGST" if n % 50 == 0 else "x", 7 if n % 50 == 49 else None) for n in range(4000)]
+    more = df.unionByName(spark.createDataFrame(
+        [(999, s * 3, c, a) for s, (c, a) in enumerate(hot)], "doc_id long, seq long, content string, amount int"))
+    got = {r["doc_id"]: {k: int(r[k]) for k in ("CGST", "SGST", "IGST")} for r in tax.tax_from_lines(more).collect()}
+    assert got == {d: claimed(lines) for d, lines in docs.items()} | {999: {"CGST": 7, "SGST": 0, "IGST": 0}}
     as_array = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(
         "content", F.struct(F.struct(F.struct(F.col("amount").cast("string").alias("amount")).alias("valueCurrency")).alias("Amount"))
         .alias("valueObject")).alias("line")))).alias("l"))
     got = as_array.select("doc_id", tax.tax_from_array(F.transform("l", lambda x: x["line"])).alias("t")).collect()
     assert {r["doc_id"]: {k: int(r["t"][k]) for k in ("CGST", "SGST", "IGST")} for r in got} == {
-        d: fold(lines) for d, lines in docs.items()}
+        d: claimed(lines) for d, lines in docs.items()}
 
 
 def test_rate_split(spark):
@@ -209,11 +226,11 @@ def test_page_merge_emptiness(spark):
     assert (r["Vendor_Name"], r["CGST"], r["IRN_Flag"], r["Flag"], r["Z"]) == ("X", 9, "False", True, "0")
 
 
-def test_long_documents_come_in_parts(spark):
-    df = spark.createDataFrame([(1, p, f"t{p}") for p in range(25)], "doc_id long, page_no int, text string")
-    parts = pages.combine_texts(df, "|", part_rows=10).orderBy("part").collect()
-    assert [r["n_pages"] for r in parts] == [10, 10, 5]
-    assert "|".join(r["text"] for r in parts) == "|".join(f"t{p}" for p in range(25))
+def test_long_documents_come_page_by_page(spark):
+    df = spark.createDataFrame([(1, p * 1000, f"t{p}") for p in range(2500)] + [(2, 5, None)], "doc_id long, page_no int, text string")
+    parts = pages.combine_texts(df, "|").orderBy("doc_id", "page_no").collect()
+    assert "".join(r["text"] for r in parts if r["doc_id"] == 1) == "|".join(f"t{p}" for p in range(2500))
+    assert [r["text"] for r in parts if r["doc_id"] == 2] == [""]
 
 
 # --- ranking ------------------------------------------------------------------------------------------------
@@ -281,21 +298,72 @@ def test_pipeline_and_maintenance(spark):
     s = documents.process(docs, kv)
     status = {r["id"]: r["validation_status"] for r in s.documents.collect()}
     assert status == {1: "valid", 2: "invalid"}
-    assert json.loads(s.documents.where("id = 1").first()["extracted_data"]) == {"pan_number": "ABCDE1234F", "name": "X"}
+    assert json.loads(s.documents.where("id = 1").first()["extracted_data"]) == {
+        "pan_number": "ABCDE1234F", "name": "X", "document_type": "pan", "source_file": "p1"}
     assert s.extractions.where("field_name = 'source_file'").isEmpty()
     gone = store.delete_documents(s, spark.createDataFrame([(2,)], "id long"))
     assert gone.documents.count() == 1 and gone.errors.count() == 0
-    nested = store.export_nested(s).where("id = 2").first()
-    assert [f["field_name"] for f in nested["fields"]] == ["total_amount"] and len(nested["validation_errors"]) == 4
+    lines = store.export_lines(s).where("document_id = 2").collect()
+    assert sorted(r["kind"] for r in lines) == [0, 1, 2, 2, 2, 2]
+    assert [json.loads(r["json"])["field_name"] for r in lines if r["kind"] == 1] == ["total_amount"]
 
 
-def test_export_splits_outsized_documents(spark):
+def test_export_has_one_shape_for_every_size(spark):
     docs = spark.createDataFrame([(1,), (2,)], "id long")
-    ext = spark.createDataFrame([(1, n, f"f{n}") for n in range(25)], "document_id long, seq long, field_name string")
+    ext = spark.createDataFrame([(1, n, f"f{n}") for n in range(2500)] + [(3, 0, "gone")], "document_id long, seq long, field_name string")
     err = spark.createDataFrame([(1, 1, 3, "m")], "document_id long, phase int, seq long, error_message string")
-    got = store.export_nested(store.Store(docs, ext, err), part_rows=10).orderBy("id", "part").collect()
-    assert [(r["id"], r["part"], len(r["fields"]), len(r["validation_errors"])) for r in got] == [
-        (1, 0, 10, 1), (1, 1, 10, 0), (1, 2, 5, 0), (2, 0, 0, 0)]
+    got = store.export_lines(store.Store(docs, ext, err)).orderBy("document_id", "kind", "phase", "seq").collect()
+    assert [(r["document_id"], r["kind"]) for r in got] == [(1, 0)] + [(1, 1)] * 2500 + [(1, 2), (2, 0)]
+
+
+def test_record_json_keeps_every_field_with_its_type(spark):
+    rows = [(1, 3, "name", "X \"y\" é", "str"), (1, 0, "vendor_email", "a@b.co", "str"), (1, 1, "tags", '["a",1]', "list"), (1, 2, "n", "5", "int"),
+            (1, 4, "none", None, "NoneType"), (1, 5, "flag", "True", "bool"), (1, 6, "document_type", "pan", "str"), (1, 7, "bad", "nan", "float")]
+    df = spark.createDataFrame(rows, "doc_id long, seq long, field_name string, field_value string, value_type string")
+    record = json.loads(store.record_json(df).first()["record"])
+    assert list(record.items()) == [("vendor_email", "a@b.co"), ("tags", ["a", 1]), ("n", 5), ("name", 'X "y" é'), ("none", None), ("flag", True),
+                                    ("document_type", "pan"), ("bad", "nan")]
+
+
+def test_layers_beat_positions(spark):
+    schema = "doc_id long, seq long, field_name string, field_value string, value_type string"
+    first = spark.createDataFrame([(1, 5_000_000_000, "a", "old", "str"), (1, 6_000_000_000, "b", "kept", "str")], schema)
+    second = spark.createDataFrame([(1, 0, "a", "new", "str"), (1, 1, "c", "more", "str")], schema)
+    got = routing.merge_layers(first, second).orderBy("seq").collect()
+    assert [(r["seq"], r["field_name"], r["field_value"]) for r in got] == [(0, "a", "new"), (1, "b", "kept"), (2, "c", "more")]
+
+
+def test_repeated_changes_do_not_multiply_rows(spark):
+    target = spark.createDataFrame([("I1", "old", 1), ("I2", "old", 2)], "Invoice_No string, Vendor_Name string, n int")
+    changes = spark.createDataFrame([("I1", "x", None, 1), ("I1", "", 7, 2), ("I9", "z", 9, 1)], "Invoice_No string, Vendor_Name string, n int, at int")
+    got = store.update_known_values(target, changes, order=("at",)).orderBy("Invoice_No").collect()
+    assert [tuple(r) for r in got] == [("I1", "x", 7), ("I2", "old", 2)]
+
+
+def test_versions_can_be_written_from_the_version_before(spark, tmp_path):
+    from fieldloom.sources import sinks
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "id long, extracted_data string")
+    kids = spark.createDataFrame([(1, "f"), (2, "g")], "document_id long, field_name string")
+    sinks.save_store(store.Store(docs, kids, kids), str(tmp_path))
+    for _ in range(2):
+        sinks.change_store(spark, str(tmp_path), lambda s: store.delete_documents(s, spark.createDataFrame([(2,)], "id long")))
+    assert sinks.last_version(spark, str(tmp_path)) == 2
+    left = sinks.read_store(spark, str(tmp_path))
+    assert [r["id"] for r in left.documents.collect()] == [1] and left.errors.count() == 1
+
+
+def test_deep_json(spark):
+    deep = '{"a":' * 300 + "1.50" + "}" * 300
+    rows = [(1, deep), (2, '{"x":{},"y":[1,{"z":2}],"k":"1"}'), (3, "no json"), (4, None), (5, "[1]")]
+    got = {(r["doc_id"], r["path"]): r["value"] for r in routing.flatten_json(spark.createDataFrame(rows, "doc_id long, j string"), "j").collect()}
+    assert got == {(1, ".".join("a" * 300)): "1.50", (2, "y"): '[1,{"z":2}]', (2, "k"): "1"}
+
+
+def test_root_is_cut_where_it_first_ends(spark):
+    paths = [("file:/x/Input/Input/files/y.pdf",), ("/x/Input/pan/z.pdf",)]
+    got = files.input_documents(spark.createDataFrame(paths, "path string"), "file:/x/Input").collect()
+    assert {(r["document_type"], r["document_name"]) for r in got} == {("input", "y"), ("pan", "z")}
 
 
 # --- files -----------------------------------------------------------------------------------------------------------
@@ -345,8 +413,3 @@ def test_output_names_on_clash(spark):
     got = {r["doc_id"]: r["new_name"] for r in sinks.output_names(df, ["doc_id"]).collect()}
     assert got == {1: "A_1.pdf", 2: "A_1_1.pdf", 3: "keep.pdf", 4: "A_1_2.pdf"}
 
-
-def test_flatten_keeps_deep_objects_whole(spark):
-    df = spark.createDataFrame([(1, '{"a":{"b":{"c":1}},"l":[1],"e":{}}')], "doc_id int, j string")
-    got = {r["path"]: r["value"] for r in routing.flatten_json(df, "j", levels=2).collect()}
-    assert got == {"a.b": '{"c":1}', "l": "[1]"}

@@ -2,25 +2,24 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from fieldloom.plans import invoices
-from fieldloom.streaming.arrivals import process_arrivals
+from fieldloom.streaming.arrivals import current_records, process_arrivals
 
 
-def page(doc_id, number):
-    body = {"analyzeResult": {"content": f"DL/2627/{number:06d}", "documents": [{"fields": {}}]}}
-    return json.dumps({"doc_id": doc_id, "page_no": 1, "json": json.dumps(body)})
+def page(doc_id, number, page_no=1):
+    body = {"analyzeResult": {"content": f"DL/2627/{number:06d}" if number else "", "documents": [{"fields": {}}]}}
+    return json.dumps({"doc_id": doc_id, "page_no": page_no, "json": json.dumps(body)})
 
 
-def test_arrivals(spark, tmp_path):
+def test_arrivals_merge_pages_of_several_batches(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     (tmp_path / "in").mkdir()
-    plan = lambda pages: invoices.page_records(pages, 2026).select(F.col("doc_id.doc_id").alias("doc_id"), "Invoice_No")
-    (tmp_path / "in" / "a.json").write_text(page(1, 7) + "\n" + page(2, 8))
+    plan = lambda rows: invoices.invoice_records(invoices.page_records(rows, 2026)).select("doc_id", "Invoice_No")
+    (tmp_path / "in" / "a.json").write_text(page(1, 7) + "\n" + page(2, None))
     assert process_arrivals(spark, source, target, plan, checkpoint=state) == 1
-    (tmp_path / "in" / "b.json").write_text(page(3, 9))
+    # document 2 gets its number from a page that arrives later, document 1 is not touched
+    (tmp_path / "in" / "b.json").write_text(page(3, 9) + "\n" + page(2, 8, 2))
     assert process_arrivals(spark, source, target, plan, checkpoint=state) == 1
     assert process_arrivals(spark, source, target, plan, checkpoint=state) == 0
-    rows = sorted((r["doc_id"], r["Invoice_No"]) for r in spark.read.parquet(target).collect())
+    rows = sorted((r["doc_id"], r["Invoice_No"]) for r in current_records(spark, target).collect())
     assert rows == [(1, "DL/2627/000007"), (2, "DL/2627/000008"), (3, "DL/2627/000009")]

@@ -8,8 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.session import spread
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -35,7 +33,10 @@ class Inputs:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # the driver's small files are one split each; on one machine their fixtures are rendered on all cores
+        master = self.spark.sparkContext.master
+        return df.repartition(self.spark.sparkContext.defaultParallelism) if master.startswith("local[") else df
 
     def fixture(self, name: str) -> DataFrame:
         return self.sql(FIXTURES[name])

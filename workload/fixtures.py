@@ -393,7 +393,7 @@ FIXTURES["input_files"] = f"""
 SELECT o_orderkey AS doc_id,
        'file:/data/Input/' || {case('o_orderkey % 5', [f"'{f}'" for f in INPUT_FOLDERS])} || '/'
        || CASE WHEN o_orderkey % 5 < 3 AND o_orderkey % 3 <> 0 THEN 'files/' ELSE '' END
-       || CASE WHEN o_orderkey % 31 = 0 THEN 'old/' ELSE '' END
+       || CASE WHEN o_orderkey % 31 = 0 THEN 'old/' WHEN o_orderkey % 37 = 0 THEN 'Input/' ELSE '' END
        || 'doc-' || {text('o_orderkey')} || CASE o_orderkey % 7 WHEN 0 THEN '.PDF' WHEN 1 THEN '.txt' ELSE '.pdf' END AS path
 FROM {{orders}}"""
 

@@ -258,9 +258,11 @@ def _(i):
 
 @query("v28_lenient_bool", uses="ids", sql=f"""
     SELECT k, flag_text, CASE WHEN lower(trim(flag_text)) IN {tuple(rules.TRUE_WORDS)} THEN TRUE
-              WHEN lower(trim(flag_text)) IN {tuple(rules.FALSE_WORDS)} THEN FALSE END AS flag FROM ids""")
+              WHEN lower(trim(flag_text)) IN {tuple(rules.FALSE_WORDS)} THEN FALSE END AS flag, k % 3 <> 0 AS number_flag FROM ids""")
 def _(i):
-    return i.fixture("ids").select("k", "flag_text", checks.lenient_bool(F.col("flag_text")).alias("flag"))
+    number = (F.col("k") % 3).cast("string")
+    return i.fixture("ids").select(
+        "k", "flag_text", checks.lenient_bool(F.col("flag_text")).alias("flag"), checks.lenient_bool(number, F.lit(True)).alias("number_flag"))
 
 
 @query("v29_identity_checks", uses="ids", sql=f"""

@@ -19,7 +19,7 @@ _EXT = r"lower(regexp_extract(string_split(path, '/')[-1], '^\.*[^.].*(\.[^.]*)$
 
 
 @query("s1_input_folder_scan", uses="input_files", sql="""
-    WITH p AS (SELECT path, string_split(split_part(path, '/Input/', 2), '/') AS parts FROM input_files),
+    WITH p AS (SELECT path, string_split(substr(path, length('file:/data/Input/') + 1), '/') AS parts FROM input_files),
     d AS (SELECT parts[1] AS folder, bool_or(parts[2] = 'files' AND len(parts) >= 3) AS has_files FROM p WHERE len(parts) >= 2 GROUP BY 1)
     SELECT path, lower(folder) AS document_type, regexp_replace(parts[-1], '\\.[^.]*$', '') AS document_name FROM p JOIN d ON d.folder = parts[1]
     WHERE lower(path) LIKE '%.pdf' AND CASE WHEN has_files THEN parts[2] = 'files' AND len(parts) = 3 ELSE len(parts) = 2 END""")
@@ -33,10 +33,14 @@ def _(i):
     return files.with_extension(i.fixture("files").select("doc_id", "path"), [".PDF", ".tiff"])
 
 
-@query("s2_list_table_files")
+@query("s2_list_table_files", sql="""
+    SELECT DISTINCT o_orderstatus AS folder, 'json' AS kind FROM orders""")
 def _(i):
-    found = files.find_by_extension(i.spark, i.sf_dir, [".PARQUET"])
-    return found.select(files.stem(F.col("path")).alias("table"), "length")
+    target = run_dir(i.spark, "s2")
+    i.table("orders").select("o_orderstatus", "o_orderkey").write.partitionBy("o_orderstatus").json(target)
+    found = files.find_by_extension(i.spark, target, [".JSON"])
+    folder = F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1)
+    return found.where("length > 0").select(folder.alias("folder"), F.substring(files.extension(F.col("path")), 2, 9).alias("kind")).distinct()
 
 
 @query("s3_file_name_parts", uses="files", sql=f"""

@@ -61,12 +61,12 @@ def _(i):
 
 @query("r2_text_report_parts", uses=("fields", "docs"), sql=f"""
     WITH f AS ({_REPORT_FIELDS})
-    SELECT doc_id, 0 AS section, CAST(0 AS BIGINT) AS part, repeat('=', 60) || chr(10) || 'EXTRACTED FIELDS' || chr(10) || repeat('=', 60) AS text FROM docs
-    UNION ALL SELECT doc_id, 1, 0, string_agg(rpad(field_name, 45, ' ') || ': ' || coalesce(field_value, ''), chr(10) ORDER BY seq)
-    FROM f WHERE field_name NOT IN {HIDDEN} GROUP BY doc_id""")
+    SELECT doc_id, 0 AS section, unnest([0, 1, 2]) AS line_no, unnest([repeat('=', 60), 'EXTRACTED FIELDS', repeat('=', 60)]) || chr(10) AS text FROM docs
+    UNION ALL SELECT doc_id, 1, CAST(seq AS INTEGER), rpad(field_name, 45, ' ') || ': ' || coalesce(field_value, '') || chr(10)
+    FROM f WHERE field_name NOT IN {HIDDEN}""")
 def _(i):
     docs, fields, _c = _inputs(i)
-    return reports.assemble(reports.text_report(fields, docs)).select("doc_id", "section", "part", "text")
+    return reports.assemble(reports.text_report(fields, docs)).select("doc_id", "section", "line_no", "text")
 
 
 _RESULTS = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'invoice' WHEN 1 THEN 'pan' ELSE NULL END AS document_type,

@@ -65,20 +65,25 @@ def _model_layer(i):
 
 
 _MERGED_SQL = f"""
-    SELECT doc_id, field_name, arg_max(coalesce(field_value, chr(0)), pos) AS v, min(pos) AS seq FROM (
-        SELECT doc_id, field_name, field_value, CAST(seq AS BIGINT) AS pos FROM ({fields_sql('kv_all', 'k.document_type')}) AS a
-        UNION ALL
-        SELECT o_orderkey, f, v, 4294967296 + n FROM orders, (VALUES ('vendor_name', 'Model vendor', 0), ('currency', NULL, 1), ('name', 'Model name', 2)) AS m(f, v, n)
-        UNION ALL SELECT doc_id, 'document_type', document_type, 8589934592 FROM docs
-        UNION ALL SELECT doc_id, 'source_file', file_path, 8589934593 FROM docs) AS u
-    GROUP BY doc_id, field_name"""
-
-
-@query("x10_layered_merge", uses=("kv_all", "docs"), sql=f"""
-    SELECT doc_id, field_name, nullif(v, chr(0)) AS field_value, seq FROM ({_MERGED_SQL}) AS merged""")
+    SELECT doc_id, field_name, last.v AS field_value, last.t AS value_type,
+           row_number() OVER (PARTITION BY doc_id ORDER BY first, field_name) - 1 AS seq FROM (
+        SELECT doc_id, field_name, arg_max({{{{'v': field_value, 't': value_type}}}}, {{{{'layer': layer, 'pos': pos}}}}) AS last,
+               min({{{{'layer': layer, 'pos': pos}}}}) AS first FROM (
+            SELECT doc_id, 0 AS layer, CAST(seq AS BIGINT) * 5000000000 AS pos, field_name, field_value, value_type FROM ({fields_sql('kv_all', 'k.document_type')}) AS a
+            UNION ALL
+            SELECT o_orderkey, 1, n, f, v, CASE WHEN v IS NULL THEN 'NoneType' ELSE 'str' END
+            FROM orders, (VALUES ('vendor_name', 'Model vendor', 0), ('currency', NULL, 1), ('name', 'Model name', 2)) AS m(f, v, n)
+            UNION ALL SELECT doc_id, 2, 0, 'document_type', document_type, 'str' FROM docs
+            UNION ALL SELECT doc_id, 2, 1, 'source_file', file_path, 'str' FROM docs) AS u
+        GROUP BY doc_id, field_name) AS g""".replace("{{", "{").replace("}}", "}")
+
+
+@query("x10_layered_merge", uses=("kv_all", "docs"), sql=_MERGED_SQL)
 def _(i):
-    return documents.extract_fields(i.fixture("docs"), i.fixture("kv_all"), _model_layer(i)).select(
-        "doc_id", "field_name", "field_value", "seq")
+    # positions beyond 2**32, as sparse sources give them
+    sparse = i.fixture("kv_all").withColumn("seq", F.col("seq").cast("bigint") * 5_000_000_000)
+    return documents.extract_fields(i.fixture("docs"), sparse, _model_layer(i)).select(
+        "doc_id", "field_name", "field_value", "value_type", "seq")
 
 
 @query("x13_merge_dicts", uses="kv_invoice", sql="""
@@ -147,16 +152,17 @@ def _(i):
 
 
 @query("x14_flatten_json", sql="""
-    SELECT event_id AS doc_id, path, v.value FROM events, (VALUES (0), (1), (2), (3)) AS n(i),
-        LATERAL (SELECT CASE i WHEN 0 THEN 'props.k' WHEN 1 THEN 'who.user.id' WHEN 2 THEN 'who.kinds' ELSE 'none' END AS path,
+    SELECT event_id AS doc_id, path, v.value FROM events, (VALUES (0), (1), (2), (3), (4)) AS n(i),
+        LATERAL (SELECT CASE i WHEN 0 THEN 'props.k' WHEN 1 THEN 'who.user.id' WHEN 2 THEN 'who.kinds' WHEN 3 THEN 'none'
+                               ELSE repeat('d.', 20) || 'end' END AS path,
                         CASE i WHEN 0 THEN CAST(json_extract(props, '$.k') AS VARCHAR) WHEN 1 THEN CAST(user_id AS VARCHAR)
-                               WHEN 2 THEN '["' || event_type || '",1]' ELSE NULL END AS value) AS v""")
+                               WHEN 2 THEN '["' || event_type || '",1]' WHEN 3 THEN NULL ELSE '1.50' END AS value) AS v""")
 def _(i):
     json = F.concat(
         F.lit('{"props":'), F.col("props"), F.lit(',"who":{"user":{"id":'), F.col("user_id").cast("string"),
-        F.lit('},"kinds":["'), F.col("event_type"), F.lit('",1]},"empty":{},"none":null}'))
+        F.lit('},"kinds":["'), F.col("event_type"), F.lit('",1]},"empty":{},"none":null,' + '"d":{' * 20 + '"end":1.50' + "}" * 21))
     rows = i.table("events").select(F.col("event_id").alias("doc_id"), json.alias("json"))
-    return routing.flatten_json(rows, "json", levels=4)
+    return routing.flatten_json(rows, "json")
 
 
 @query("x39_origin_tags", uses="docs", sql="""
@@ -230,12 +236,16 @@ def _(i):
 
 
 @query("j4_missing_required", uses=("kv_all", "docs"), sql=f"""
-    SELECT d.doc_id, d.document_type, c.field_name, c.ordinal FROM docs d JOIN {CATALOG_SQL} ON c.document_type = d.document_type AND c.required
+    SELECT d.doc_id, d.document_type, c.field_name, c.ordinal
+    FROM (SELECT doc_id, document_type FROM docs UNION ALL SELECT -doc_id, document_type FROM docs) AS d JOIN {CATALOG_SQL} ON c.document_type = d.document_type AND c.required
     WHERE NOT EXISTS (SELECT 1 FROM ({fields_sql('kv_all', 'k.document_type')}) AS f
-                      WHERE f.doc_id = d.doc_id AND f.field_name = c.field_name AND f.seq <> 0)""")
+                      WHERE f.doc_id = d.doc_id AND f.field_name = c.field_name)""")
 def _(i):
-    later = routing.route_fields(i.fixture("kv_all"), F.col("document_type")).where("seq <> 0")
-    return validate.missing_fields(i.fixture("docs"), later, rules.STANDARD.catalog(i.spark)).select(
+    fields = routing.route_fields(i.fixture("kv_all"), F.col("document_type"))
+    # for every document a second one, of which nothing was extracted
+    docs = i.fixture("docs").select("doc_id", "document_type")
+    blank = docs.select((-F.col("doc_id")).alias("doc_id"), "document_type")
+    return validate.missing_fields(docs.unionByName(blank), fields, rules.STANDARD.catalog(i.spark)).select(
         "doc_id", "document_type", "field_name", "ordinal")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldloom import rules
 from fieldloom.operators import routing, store, validate
+from fieldloom.session import run_dir
+from fieldloom.sources import sinks
 from workload.base import query
 from workload.q_checks import OK_SQL, TRUTHY_SQL, paise
 from workload.q_routing import CATALOG_SQL, ERRORS_SQL, fields_sql
@@ -20,7 +21,7 @@ def _fields(i):
 
 @query("d1_field_rows", uses="fields", sql=f"""
     SELECT doc_id AS document_id, seq, field_name, CASE WHEN {TRUTHY_SQL} THEN field_value END AS field_value, value_type AS field_type,
-           0 AS is_required, 1 AS is_valid FROM fields WHERE field_name NOT IN ('document_type', 'source_file', 'validation')""")
+           0 AS is_required, 1 AS is_valid, CAST(NULL AS TIMESTAMP) AS created_at FROM fields WHERE field_name NOT IN ('document_type', 'source_file', 'validation')""")
 def _(i):
     return store.field_rows(i.fixture("fields")).drop("id")
 
@@ -40,39 +41,35 @@ def _(i):
     return store.stored_fields(i.fixture("fields")).select("doc_id", "seq", "field_name")
 
 
-_NAMES = rules.STANDARD.field_names()
+def _record_sql(source: str) -> str:
+    """The JSON text of a record: fields in order, typed values as they are, all else quoted."""
+    return f"""SELECT doc_id, '{{' || string_agg(CAST(to_json(field_name) AS VARCHAR) || ':' || CASE WHEN field_value IS NULL THEN 'null'
+        WHEN value_type = 'bool' THEN lower(field_value) WHEN value_type IN ('int', 'list', 'dict') THEN field_value
+        ELSE CAST(to_json(field_value) AS VARCHAR) END, ',' ORDER BY seq, field_name) || '}}' AS record FROM {source} GROUP BY doc_id"""
 
 
-@query("g10_record_json", uses=_USES, sql=f"""
-    WITH clean AS ({_CLEAN}) SELECT doc_id, count(field_value) AS n_values, bit_xor(hash(field_name || '=' || field_value) & 0) AS zero,
-        max(field_value) FILTER (field_name = 'invoice_number') AS invoice_number, max(field_value) FILTER (field_name = 'name') AS name
-    FROM clean GROUP BY doc_id""".replace("bit_xor(hash(field_name || '=' || field_value) & 0) AS zero,\n       ", ""))
+@query("g10_record_json", uses="fields", sql=_record_sql("fields"))
 def _(i):
-    r = store.record_json(_fields(i), _NAMES)
-    m = F.from_json("record", "map<string,string>")
-    return r.select(
-        "doc_id", F.size(m).cast("bigint").alias("n_values"), F.try_element_at(m, F.lit("invoice_number")).alias("invoice_number"),
-        F.try_element_at(m, F.lit("name")).alias("name"))
+    return store.record_json(i.fixture("fields"))
 
 
 @query("d2_document_rows", uses=_USES, sql=f"""
-    WITH clean AS ({_CLEAN}), e AS (SELECT DISTINCT doc_id FROM ({ERRORS_SQL}) AS x)
-    SELECT d.doc_id AS id, document_name, document_type, file_path, created_at, 'completed' AS extraction_status,
-           CASE WHEN e.doc_id IS NULL THEN 'valid' ELSE 'invalid' END AS validation_status,
-           (SELECT max(field_value) FROM clean c WHERE c.doc_id = d.doc_id AND field_name = 'jurisdiction') AS jurisdiction
-    FROM docs d LEFT JOIN e ON e.doc_id = d.doc_id""")
+    WITH clean AS ({_CLEAN}), e AS (SELECT DISTINCT doc_id FROM ({ERRORS_SQL}) AS x), r AS ({_record_sql('clean')})
+    SELECT d.doc_id AS id, document_name, document_type, file_path, created_at, created_at AS updated_at, 'completed' AS extraction_status,
+           CASE WHEN e.doc_id IS NULL THEN 'valid' ELSE 'invalid' END AS validation_status, CAST(NULL AS VARCHAR) AS raw_data,
+           coalesce(record, '{{}}') AS extracted_data
+    FROM docs d LEFT JOIN e ON e.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id""")
 def _(i):
     fields, docs = _fields(i), i.fixture("docs")
-    rows = store.document_rows(docs, store.record_json(fields, _NAMES), validate.verdicts(docs, fields))
-    return rows.select(
-        "id", "document_name", "document_type", "file_path", "created_at", "extraction_status", "validation_status",
-        F.get_json_object("extracted_data", "$.jurisdiction").alias("jurisdiction"))
+    return store.document_rows(docs, store.record_json(fields), validate.verdicts(docs, fields))
 
 
 @query("d3_error_rows", uses=_USES, sql=f"""
-    WITH clean AS ({_CLEAN}) SELECT doc_id AS document_id, phase, seq, message AS error_message, field_name FROM ({ERRORS_SQL}) AS e""")
+    WITH clean AS ({_CLEAN}) SELECT e.doc_id AS document_id, phase, seq, message AS error_message, field_name, created_at
+    FROM ({ERRORS_SQL}) AS e JOIN docs d ON d.doc_id = e.doc_id""")
 def _(i):
-    return store.error_rows(validate.record_errors(i.fixture("docs"), _fields(i))).drop("id")
+    docs = i.fixture("docs")
+    return store.error_rows(validate.record_errors(docs, _fields(i)), docs).drop("id")
 
 
 _DOCS_SQL = """SELECT o_orderkey AS id, 'doc-' || CAST(o_custkey AS STRING) AS document_name,
@@ -97,30 +94,32 @@ def _store(i) -> store.Store:
 _SEQ = "l_linenumber * 100000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT)"
 
 
-@query("j1_nested_children", sql=f"""
-    WITH f AS (SELECT l_orderkey, CAST(floor(({_SEQ}) / 1000000000000.0) AS BIGINT) AS part, count(*) AS nf, string_agg('part_' || l_partkey, ',' ORDER BY {_SEQ}, l_linestatus) AS names
-               FROM lineitem GROUP BY ALL),
-    e AS (SELECT l_orderkey, CAST(floor(({_SEQ}) / 1000000000000.0) AS BIGINT) AS part, count(*) AS ne FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
-    SELECT o_orderkey AS id, coalesce(f.part, 0) AS part, CAST(coalesce(nf, 0) AS INTEGER) AS n_fields, coalesce(names, '') AS names,
-           CAST(coalesce(ne, 0) AS INTEGER) AS n_errors
-    FROM orders LEFT JOIN f ON f.l_orderkey = o_orderkey LEFT JOIN e ON e.l_orderkey = o_orderkey AND e.part = f.part""")
+_LINES = f"""
+    SELECT l_orderkey AS document_id, 1 AS kind, 0 AS phase, {_SEQ} AS seq, 'part_' || l_partkey AS name, l_linestatus AS value FROM lineitem
+    UNION ALL SELECT l_orderkey, 2, 2, {_SEQ}, NULL, 'Invalid format for field: part_' || l_partkey FROM lineitem WHERE l_returnflag = 'R'"""
+
+
+@query("j1_nested_children", sql=_LINES)
 def _(i):
-    nested = store.export_nested(_store(i), part_rows=1_000_000_000_000)
-    return nested.select(
-        "id", "part", F.size("fields").alias("n_fields"),
-        F.array_join(F.transform("fields", lambda f: f["field_name"]), ",").alias("names"),
-        F.size("validation_errors").alias("n_errors"))
+    lines = store.export_lines(_store(i)).where("kind > 0")
+    at = lambda key: F.get_json_object("json", f"$.{key}")
+    return lines.select(
+        "document_id", "kind", "phase", "seq", at("field_name").alias("name"),
+        F.coalesce(at("field_value"), at("error_message")).alias("value"))
 
 
 @query("d6_nested_export_json", sql=f"""
-    SELECT o_orderkey AS id, CAST(coalesce(nf, 0) AS INTEGER) AS n_fields, CAST(coalesce(ne, 0) AS INTEGER) AS n_errors
-    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS nf, count(*) FILTER (l_returnflag = 'R') AS ne FROM lineitem GROUP BY 1) AS l ON l_orderkey = o_orderkey""")
+    SELECT document_id, kind, phase, seq, CASE kind
+        WHEN 1 THEN '{{"document_id":' || document_id || ',"seq":' || seq || ',"field_name":"' || name || '","field_value":"' || value || '"}}'
+        ELSE '{{"document_id":' || document_id || ',"phase":2,"seq":' || seq || ',"error_message":"' || value || '"}}' END AS json FROM ({_LINES}) AS l
+    UNION ALL SELECT o_orderkey, 0, 0, 0, '{{"id":' || o_orderkey || ',"document_name":"doc-' || o_custkey || '","validation_status":"'
+        || CASE o_orderstatus WHEN 'F' THEN 'valid' ELSE 'invalid' END || '"}}' FROM orders""")
 def _(i):
-    line = F.to_json(F.struct("*"))
-    exported = store.export_nested(_store(i), part_rows=1_000_000_000_000).select("id", line.alias("json"))
-    return exported.select(
-        "id", F.json_array_length(F.get_json_object("json", "$.fields")).alias("n_fields"),
-        F.json_array_length(F.get_json_object("json", "$.validation_errors")).alias("n_errors"))
+    whole = _store(i)
+    short = store.Store(whole.documents.select("id", "document_name", "validation_status"), whole.extractions, whole.errors)
+    target = run_dir(i.spark, "d6")
+    store.export_lines(short).write.json(target)
+    return i.spark.read.schema("document_id bigint, kind int, phase int, seq bigint, json string").json(target)
 
 
 def _changed(i) -> store.Store:
@@ -133,8 +132,18 @@ def _changed(i) -> store.Store:
         F.lit("1").alias("field_value"))
     errors = docs.select(
         F.col("id").alias("document_id"), F.lit(1).alias("phase"), F.lit(0).cast("bigint").alias("seq"),
-        F.lit("none").alias("error_message")).limit(0)
-    return store.Store(docs, fields, errors)
+        F.lit("checked again").alias("error_message"))
+    # every document is re-extracted twice on the same day; the second result, the larger data, counts
+    twice = docs.unionByName(docs.withColumn("extracted_data", F.lit("first")))
+    return store.Store(twice, fields.unionByName(fields), errors)
+
+
+def _replaced(i, name: str) -> store.Store:
+    """The store written, changed in place by version, and read back."""
+    target = run_dir(i.spark, name)
+    sinks.save_store(_store(i), target)
+    sinks.change_store(i.spark, target, lambda s: store.replace_records(s, _changed(i)))
+    return sinks.read_store(i.spark, target)
 
 
 _DEBT = "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey AND c_acctbal < 0"
@@ -145,7 +154,7 @@ _DEBT = "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey AN
            CASE WHEN hit THEN 'valid' WHEN o_orderstatus = 'F' THEN 'valid' ELSE 'invalid' END AS validation_status, hit AS changed
     FROM (SELECT *, o_orderkey IN ({_DEBT}) AS hit FROM orders) AS q""")
 def _(i):
-    new = store.replace_records(_store(i), _changed(i))
+    new = _replaced(i, "d4")
     return new.documents.select(
         "id", "created_at", "updated_at", "validation_status", (F.col("extracted_data") == "new").alias("changed"))
 
@@ -154,26 +163,32 @@ def _(i):
     SELECT l_orderkey AS document_id, 'part_' || l_partkey AS field_name FROM lineitem WHERE l_orderkey NOT IN ({_DEBT})
     UNION ALL SELECT o_orderkey, 'fresh' FROM ({_DEBT}) AS d""")
 def _(i):
-    return store.replace_records(_store(i), _changed(i)).extractions.select("document_id", "field_name")
+    return _replaced(i, "d4").extractions.select("document_id", "field_name")
 
 
 @query("j9_update_by_key", sql=f"""
-    SELECT l_orderkey AS document_id, count(*) AS n_errors FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN ({_DEBT}) GROUP BY 1""")
+    SELECT l_orderkey AS document_id, 2 AS phase, {_SEQ} AS seq, 'Invalid format for field: part_' || l_partkey AS error_message
+    FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN ({_DEBT})
+    UNION ALL SELECT o_orderkey, 1, 0, 'checked again' FROM ({_DEBT}) AS d""")
 def _(i):
-    errors = store.replace_records(_store(i), _changed(i)).errors
-    return errors.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_errors"))
+    return _replaced(i, "j9").errors.select("document_id", "phase", "seq", "error_message")
 
 
 @query("d5_cascade_delete", sql=f"""
-    SELECT 'documents' AS tab, count(*) AS n FROM orders WHERE o_orderkey NOT IN ({_DEBT})
-    UNION ALL SELECT 'extractions', count(*) FROM lineitem WHERE l_orderkey NOT IN ({_DEBT})
-    UNION ALL SELECT 'errors', count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN ({_DEBT})""")
+    SELECT 'documents' AS tab, o_orderkey AS document_id, 'doc-' || o_custkey AS name FROM orders WHERE o_orderkey NOT IN ({_DEBT})
+    UNION ALL SELECT 'extractions', l_orderkey, 'part_' || l_partkey FROM lineitem WHERE l_orderkey NOT IN ({_DEBT})
+    UNION ALL SELECT 'errors', l_orderkey, 'Invalid format for field: part_' || l_partkey
+    FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN ({_DEBT})""")
 def _(i):
     ids = i.sql("SELECT o_orderkey AS id FROM {orders} JOIN {customer} ON c_custkey = o_custkey AND c_acctbal < 0")
-    left = store.delete_documents(_store(i), ids)
-    count = lambda df, name: df.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n"))
-    return count(left.documents, "documents").unionByName(count(left.extractions, "extractions")).unionByName(
-        count(left.errors, "errors"))
+    target = run_dir(i.spark, "d5")
+    sinks.save_store(_store(i), target)
+    sinks.change_store(i.spark, target, lambda s: store.delete_documents(s, ids))
+    left = sinks.read_store(i.spark, target)
+    row = lambda df, tab, key, name: df.select(F.lit(tab).alias("tab"), F.col(key).alias("document_id"), F.col(name).alias("name"))
+    return row(left.documents, "documents", "id", "document_name").unionByName(
+        row(left.extractions, "extractions", "document_id", "field_name")).unionByName(
+        row(left.errors, "errors", "document_id", "error_message"))
 
 
 @query("d7_revalidate_store", uses=_USES, sql=f"""
@@ -191,13 +206,21 @@ def _(i):
 
 
 @query("k7_save_document", uses=_USES, sql=f"""
-    WITH clean AS ({_CLEAN}) SELECT 'documents' AS tab, count(*) AS n FROM docs
-    UNION ALL SELECT 'extractions', count(*) FROM clean UNION ALL SELECT 'errors', count(*) FROM ({ERRORS_SQL}) AS e""")
+    WITH clean AS ({_CLEAN}), r AS ({_record_sql('clean')})
+    SELECT 'documents' AS tab, d.doc_id AS document_id, CAST(0 AS BIGINT) AS seq, document_name AS name, coalesce(record, '{{}}') AS value, created_at
+    FROM docs d LEFT JOIN r ON r.doc_id = d.doc_id
+    UNION ALL SELECT 'extractions', c.doc_id, seq, field_name, CASE WHEN {TRUTHY_SQL} THEN field_value END, created_at FROM clean c JOIN docs d ON d.doc_id = c.doc_id
+    UNION ALL SELECT 'errors', e.doc_id, seq, field_name, message, created_at FROM ({ERRORS_SQL}) AS e JOIN docs d ON d.doc_id = e.doc_id""")
 def _(i):
-    s = store.save_documents(i.fixture("docs"), _fields(i))
-    count = lambda df, name: df.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n"))
-    return count(s.documents, "documents").unionByName(count(s.extractions, "extractions")).unionByName(
-        count(s.errors, "errors"))
+    target = run_dir(i.spark, "k7")
+    sinks.save_store(store.save_documents(i.fixture("docs"), _fields(i)), target)
+    s = sinks.read_store(i.spark, target)
+    row = lambda df, tab, key, seq, name, value: df.select(
+        F.lit(tab).alias("tab"), F.col(key).alias("document_id"), seq.cast("bigint").alias("seq"), F.col(name).alias("name"),
+        F.col(value).alias("value"), "created_at")
+    return row(s.documents, "documents", "id", F.lit(0), "document_name", "extracted_data").unionByName(
+        row(s.extractions, "extractions", "document_id", F.col("seq"), "field_name", "field_value")).unionByName(
+        row(s.errors, "errors", "document_id", F.col("seq"), "field_name", "error_message"))
 
 
 # --- queries over the store ---------------------------------------------------------------------
@@ -251,18 +274,32 @@ def _target(i):
 def _changes(i):
     return i.sql("""SELECT 'INV-' || CAST(o_orderkey AS STRING) AS Invoice_No, CASE WHEN o_custkey % 2 = 0 THEN '' ELSE 'New vendor' END AS Vendor_Name,
         CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE CAST(1 AS DECIMAL(18,2)) END AS TotalAmount, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 'New bank' END AS Bank_Name,
-        'Payee' AS Bank_Payable_To, CAST(NULL AS STRING) AS Bank_Branch, '2' AS Bank_Account_No, CAST(NULL AS STRING) AS Bank_IFSC_Code, 'x' AS Extra
-        FROM {orders} WHERE o_orderstatus <> 'P'""")
+        'Payee' AS Bank_Payable_To, CAST(NULL AS STRING) AS Bank_Branch, '2' AS Bank_Account_No, CAST(NULL AS STRING) AS Bank_IFSC_Code, 'x' AS Extra, 2 AS change_no
+        FROM {orders} WHERE o_orderstatus <> 'P'
+        UNION ALL SELECT 'INV-' || CAST(o_orderkey AS STRING), 'First vendor', CAST(9 AS DECIMAL(18,2)), 'First bank', 'First payee', 'First branch', '9', 'X', 'y', 1
+        FROM {orders} WHERE o_orderstatus <> 'P' AND o_custkey % 2 = 0""")
+
+
+def _updated(i, name: str, update):
+    """The target written, updated as its next version, and read back."""
+    target = run_dir(i.spark, name)
+    sinks.write_version({"invoices": _target(i)}, target, 0)
+    old = sinks.read_version(i.spark, target, ("invoices",))["invoices"]
+    sinks.write_version({"invoices": update(old, _changes(i), order=("change_no",))}, target, 1)
+    return sinks.read_version(i.spark, target, ("invoices",))["invoices"]
 
 
 @query("k10_update_known_values", sql="""
-    SELECT 'INV-' || o_orderkey AS Invoice_No, CASE WHEN u AND o_custkey % 2 <> 0 THEN 'New vendor' ELSE o_orderpriority END AS Vendor_Name,
-           CASE WHEN u AND o_custkey % 3 <> 0 THEN 100 ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS total,
-           CASE WHEN u AND o_custkey % 5 <> 0 THEN 'New bank' ELSE 'Old bank' END AS Bank_Name, CASE WHEN u THEN 'Payee' END AS Bank_Payable_To, 'Old branch' AS Bank_Branch
-    FROM (SELECT *, o_orderstatus <> 'P' AS u FROM orders) AS q""")
+    SELECT 'INV-' || o_orderkey AS Invoice_No, CASE WHEN u THEN CASE WHEN two THEN 'First vendor' ELSE 'New vendor' END ELSE o_orderpriority END AS Vendor_Name,
+           CASE WHEN u AND o_custkey % 3 <> 0 THEN 100 WHEN u AND two THEN 900 ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS total,
+           CASE WHEN u AND o_custkey % 5 <> 0 THEN 'New bank' WHEN u AND two THEN 'First bank' ELSE 'Old bank' END AS Bank_Name,
+           CASE WHEN u THEN 'Payee' END AS Bank_Payable_To, CASE WHEN u AND two THEN 'First branch' ELSE 'Old branch' END AS Bank_Branch,
+           CASE WHEN u THEN '2' ELSE '1' END AS Bank_Account_No, CASE WHEN u AND two THEN 'X' ELSE 'HDFC0000001' END AS Bank_IFSC_Code
+    FROM (SELECT *, o_orderstatus <> 'P' AS u, o_custkey % 2 = 0 AS two FROM orders) AS q""")
 def _(i):
-    return store.update_known_values(_target(i), _changes(i)).select(
-        "Invoice_No", "Vendor_Name", paise(F.col("TotalAmount")).alias("total"), "Bank_Name", "Bank_Payable_To", "Bank_Branch")
+    return _updated(i, "k10", store.update_known_values).select(
+        "Invoice_No", "Vendor_Name", paise(F.col("TotalAmount")).alias("total"), "Bank_Name", "Bank_Payable_To", "Bank_Branch",
+        "Bank_Account_No", "Bank_IFSC_Code")
 
 
 @query("k11_update_bank_columns", sql="""
@@ -270,13 +307,14 @@ def _(i):
            CASE WHEN u THEN NULL ELSE 'Old branch' END AS Bank_Branch, CASE WHEN u THEN '2' ELSE '1' END AS Bank_Account_No, CASE WHEN u THEN NULL ELSE 'HDFC0000001' END AS Bank_IFSC_Code
     FROM (SELECT *, o_orderstatus <> 'P' AS u FROM orders) AS q""")
 def _(i):
-    return store.update_bank_columns(_target(i), _changes(i)).select(
+    return _updated(i, "k11", store.update_bank_columns).select(
         "Invoice_No", "Vendor_Name", "Bank_Name", "Bank_Branch", "Bank_Account_No", "Bank_IFSC_Code")
 
 
 @query("k8_matching_columns", sql="""
     SELECT 'INV-' || o_orderkey AS Invoice_No, CASE WHEN o_custkey % 2 <> 0 THEN 'New vendor' END AS Vendor_Name, 'Payee' AS Bank_Payable_To
-    FROM orders WHERE o_orderstatus <> 'P'""")
+    FROM orders WHERE o_orderstatus <> 'P'
+    UNION ALL SELECT 'INV-' || o_orderkey, 'First vendor', 'First payee' FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 2 = 0""")
 def _(i):
     return store.insertable(_changes(i), ["Invoice_No", "Vendor_Name", "Bank_Payable_To", "Not_There"])
 

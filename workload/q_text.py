@@ -136,13 +136,18 @@ def _(i):
             F.lit(None).cast("string")).alias("payee"))
 
 
+def _far(content: str) -> str:
+    return f"CASE WHEN doc_id % 3 = 0 THEN 'Banking Details ' || repeat('no number ', 300) || 'PAN: ABCDE1234F' ELSE {content} END"
+
+
 @query("x28_banking_block_pan", uses="texts", sql=rf"""
     SELECT doc_id, coalesce(nullif(upper(regexp_extract(section, '{rx('labelled_pan')}', 1)), ''),
                             nullif(regexp_extract(upper(section), '\b({rules.PAN_PATTERN})\b', 1), '')) AS pan
-    FROM (SELECT doc_id, substr(coalesce(nullif(regexp_extract(content, '(?is)Banking\s+Details.*'), ''), content), 1, 1500) AS section
-          FROM texts) AS q""")
+    FROM (SELECT doc_id, coalesce(nullif(regexp_extract(content, '(?is)Banking\s+Details.*'), ''), content) AS section
+          FROM (SELECT doc_id, {_far('content')} AS content FROM texts) AS t) AS q""")
 def _(i):
-    return i.fixture("texts").select("doc_id", content.pan_in_banking_block(F.col("content")).alias("pan"))
+    # every third text names its PAN far behind the heading
+    return i.fixture("texts").selectExpr("doc_id", _far("content") + " AS content").select("doc_id", content.pan_in_banking_block(F.col("content")).alias("pan"))
 
 
 @query("x35_aadhaar_fallbacks", uses="texts", sql=rf"""
@@ -196,8 +201,8 @@ def _(i):
 # --- pages -----------------------------------------------------------------------------------
 
 @query("x34_page_text_combine", uses="page_texts", sql="""
-    SELECT doc_id, CAST(floor(page_no / 1000) AS BIGINT) AS part, count(*) AS n_pages, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS text
-    FROM page_texts GROUP BY 1, 2""")
+    SELECT doc_id, page_no, CASE WHEN page_no = min(page_no) OVER (PARTITION BY doc_id) THEN '' ELSE chr(10) || chr(10) END || coalesce(text, '') AS text
+    FROM page_texts""")
 def _(i):
     return pages.combine_texts(i.fixture("page_texts"))
 
@@ -207,8 +212,8 @@ def _(i):
     FROM page_texts GROUP BY doc_id""")
 def _(i):
     p = i.fixture("page_texts")
-    joined = pages.combine_texts(p, "\n----- PAGE BREAK -----\n").select("doc_id", F.length("text").alias("n"))
-    return joined.join(pages.page_counts(p), "doc_id")
+    parts = pages.combine_texts(p, "\n----- PAGE BREAK -----\n")
+    return parts.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).join(pages.page_counts(p), "doc_id")
 
 
 @query("k6_text_lines", sql="""
