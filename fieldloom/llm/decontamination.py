@@ -50,7 +50,7 @@ class Index:
         size = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.minimum((size * rate).astype(np.int64), (size - Q) // Q)
         self.least = size - Q + 1 - self.edits * Q
-        self.step = int(self.edits.max()) + 1
+        self.step = self.edits + 1   # bands of an item start so far apart and are twice as wide
         codes = np.concatenate([grams(t) for t in self.texts])
         item = np.repeat(np.arange(len(items)), np.maximum(size - Q + 1, 0))
         place = np.concatenate([np.arange(max(0, s - Q + 1)) for s in size])
@@ -80,19 +80,20 @@ class Index:
             return
         text = np.searchsorted(starts, p, side="right") - 1
         lead = max(map(len, self.texts))
-        band = (p - starts[text] - g + lead) // self.step
-        span = (max(map(len, texts)) + lead) // self.step + 2
+        band = (p - starts[text] - g + lead) // self.step[item]
+        span = (max(map(len, texts)) + lead) // int(self.step.min()) + 2
         key = (text * len(self.ids) + item) * span + band + 1
-        key = np.concatenate([key, key - 1])
-        item = np.concatenate([item, item])
+        key, item, g = np.concatenate([key, key - 1]), np.concatenate([item, item]), np.concatenate([g, g])
         # a count by hashed key first: no count is below the true one, and few hits are left to sort
         hashed = (key.astype(_U) * _SPREAD) >> _U(64 - 20)
-        key = key[np.bincount(hashed.view(np.int64), minlength=1 << 20)[hashed] >= self.least[item]]
+        enough = np.bincount(hashed.view(np.int64), minlength=1 << 20)[hashed] >= self.least[item]
+        # then exactly; each of an item's q-grams counts once in a band
+        key = np.unique(key[enough] * lead + g[enough]) // lead
         key, n = np.unique(key, return_counts=True)
         owner = key // span
         good = n >= self.least[owner % len(self.ids)]
         for k, o in zip(key[good].tolist(), owner[good].tolist()):
-            yield o // len(self.ids), o % len(self.ids), (k % span - 1) * self.step - lead
+            yield o // len(self.ids), o % len(self.ids), (k % span - 1) * int(self.step[o % len(self.ids)]) - lead
 
 
 def align(item: bytes, text: bytes, low: int, width: int) -> tuple[int, int]:
@@ -129,7 +130,6 @@ def verify(item: bytes, text: bytes, low: int, width: int, most: int) -> tuple[i
 def _search(shared, types: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        width = 2 * index.step
         for batch in batches:
             texts = [normal(t) for t in batch.column(1).to_pylist()]
             found: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -138,7 +138,7 @@ def _search(shared, types: pa.Schema):
                     held = found.get((a + n, item))
                     if held and held[0] == 0:
                         continue
-                    hit = verify(index.texts[item], texts[a + n], low, width, int(index.edits[item]))
+                    hit = verify(index.texts[item], texts[a + n], low, 2 * int(index.step[item]), int(index.edits[item]))
                     if hit and (held is None or hit < held):
                         found[a + n, item] = hit
             rows = sorted(found)
