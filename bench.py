@@ -1,4 +1,4 @@
-"""Headline queries, warm: one run to compile, then the median of the rest.
+"""Headline queries, warm: one run to compile, then the median of three.
 
 Prints one JSON line.
 """
@@ -27,7 +27,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
-    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "4"))
     spark = build_session(
         "bench", f"local[{cores}]",
         **{

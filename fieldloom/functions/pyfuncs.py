@@ -11,7 +11,7 @@ from html import unescape
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -236,8 +236,19 @@ def html_tables(markdown: Column | str) -> Column:
 
 # --- pluggable text -> fields model ------------------------------------------------
 
+def pattern_fields(texts: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """The model that ships here, as columns: ``doc_id``, for each field the first match of
+    its pattern, and ``error`` for an empty text.  Patterns are Java's."""
+    empty = F.coalesce(F.length("text"), F.lit(0)) == 0
+    first = lambda p: F.regexp_extract("text", p, 0)
+    return texts.select(
+        "doc_id", *[F.when(~empty & (first(p) != ""), first(p)).alias(name) for name, p in patterns.items()],
+        F.when(empty, "empty text").alias("error"),
+    )
+
+
 def pattern_model(patterns: dict[str, str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The model that ships here: for each field the first match of its pattern.
+    """The same as a function over batches, the form in which other models are injected.
 
     Reads ``doc_id, text``; an empty text is a failure, as for any text model.
     """

@@ -100,6 +100,16 @@ def commission_month(paragraphs: DataFrame, markdown: DataFrame, as_of_year: int
     )
 
 
+def commission_month_of(paragraphs: Column, markdown: Column, as_of_year: int) -> Column:
+    """The same for paragraphs that sit in one record as an array: no shuffle."""
+    def found(p: Column, i: Column) -> Column:
+        ahead = F.array_join(F.slice(paragraphs, i + 1, 5), " ")
+        return F.when(month_trigger(p), month_year(ahead))
+
+    months = F.filter(F.transform(paragraphs, found), lambda m: m.isNotNull())
+    return F.coalesce(F.get(months, F.lit(0)), scan_month(markdown, as_of_year))
+
+
 def state_name(gstin: Column) -> Column:
     """State of a 15-character GSTIN from its first two digits."""
     states = F.create_map(*[F.lit(x) for pair in rules.STATE_NAMES.items() for x in pair])

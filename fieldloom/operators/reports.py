@@ -43,6 +43,17 @@ def _at(df: DataFrame, section: int, block, line_no, text: Column) -> DataFrame:
     )
 
 
+def _text_lines(contents: DataFrame, head: list[str], lines: Column, end: list[str]) -> DataFrame:
+    """The text section of every document that has a text, from one read of it."""
+    def at(section: int, line_no: Column, text: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(0).alias("block"), line_no.cast("int").alias("line_no"), text.alias("text"))
+
+    fixed = lambda section, texts: F.array(*[at(section, F.lit(n), F.lit(t)) for n, t in enumerate(texts)])
+    body = F.transform(lines, lambda x, n: at(TEXT, n, x))
+    every = F.concat(fixed(TEXT_HEAD, head), body, *([fixed(TEXT_END, end)] if end else []))
+    return contents.where(F.length("content") > 0).select("doc_id", F.inline(every))
+
+
 def _shown(fields: DataFrame) -> DataFrame:
     return fields.where(~F.col("field_name").isin(rules.REPORT_HIDDEN_KEYS))
 
@@ -65,38 +76,30 @@ def markdown_report(
         _at(_shown(fields), FIELDS, 0, F.col("seq"), item),
     ]
     if cells is not None:
-        grid = markdown_lines(cells)
-        if shapes is None:
-            shapes = cells.groupBy("doc_id", "table_no").agg(
-                (F.max("row_index") + 1).alias("row_count"), (F.max("column_index") + 1).alias("column_count")
+        def around(n_rows: Column, n_columns: Column) -> Column:
+            title = F.concat(
+                F.lit("### Table "), (F.col("table_no") + 1).cast("string"), F.lit(" ("),
+                F.coalesce(n_rows.cast("string"), F.lit("None")), F.lit("r × "),
+                F.coalesce(n_columns.cast("string"), F.lit("None")), F.lit("c)"),
             )
-        title = F.concat(
-            F.lit("### Table "), (F.col("table_no") + 1).cast("string"), F.lit(" ("),
-            F.coalesce(F.col("row_count").cast("string"), F.lit("None")), F.lit("r × "),
-            F.coalesce(F.col("column_count").cast("string"), F.lit("None")), F.lit("c)"),
-        )
-        around = F.array(
-            F.struct(F.lit(-2).alias("line_no"), title.alias("text")),
-            F.struct(F.lit(-1).alias("line_no"), F.lit("").alias("text")),
-            F.struct(F.lit(2147483647).alias("line_no"), F.lit("").alias("text")),
-        )
-        with_tables = shapes.select("doc_id").distinct()
+            return F.array(
+                F.struct(F.lit(-2).alias("line_no"), title.alias("text")),
+                F.struct(F.lit(-1).alias("line_no"), F.lit("").alias("text")),
+                F.struct(F.lit(2147483647).alias("line_no"), F.lit("").alias("text")),
+            )
+
+        # without declared shapes a table's own rows give its heading, in the same pass
+        grid = markdown_lines(cells, around if shapes is None else None)
+        with_tables = (cells if shapes is None else shapes).select("doc_id").distinct()
         parts += [
             _fixed(with_tables, TABLES_HEAD, ["", "---", "", "## Tables", ""]),
-            shapes.select("doc_id", "table_no", F.inline(around)).transform(
-                lambda d: _at(d, TABLES, F.col("table_no"), F.col("line_no"), F.col("text"))
-            ),
             _at(grid, TABLES, F.col("table_no"), F.col("line_no"), F.col("text")),
         ]
+        if shapes is not None:
+            headed = shapes.select("doc_id", "table_no", F.inline(around(F.col("row_count"), F.col("column_count"))))
+            parts.append(_at(headed, TABLES, F.col("table_no"), F.col("line_no"), F.col("text")))
     if contents is not None:
-        known = contents.where(F.length("content") > 0)
-        parts += [
-            _fixed(known, TEXT_HEAD, ["", "---", "", "## Full Document Text", "", "```"]),
-            known.select("doc_id", F.posexplode(split_lines(F.col("content"))).alias("line_no", "text")).transform(
-                lambda d: _at(d, TEXT, 0, F.col("line_no"), F.col("text"))
-            ),
-            _fixed(known, TEXT_END, ["```"]),
-        ]
+        parts.append(_text_lines(contents, ["", "---", "", "## Full Document Text", "", "```"], split_lines(F.col("content")), ["```"]))
     return _all(parts)
 
 
@@ -113,13 +116,7 @@ def text_report(fields: DataFrame, docs: DataFrame, contents: DataFrame | None =
             F.concat(padded, F.lit(": "), F.coalesce("field_value", F.lit("")))),
     ]
     if contents is not None:
-        known = contents.where(F.length("content") > 0)
-        parts += [
-            _fixed(known, TEXT_HEAD, ["", RULE, "FULL DOCUMENT TEXT", RULE, ""]),
-            known.select("doc_id", F.posexplode(F.split("content", "\n")).alias("line_no", "text")).transform(
-                lambda d: _at(d, TEXT, 0, F.col("line_no"), F.col("text"))
-            ),
-        ]
+        parts.append(_text_lines(contents, ["", RULE, "FULL DOCUMENT TEXT", RULE, ""], F.split("content", "\n"), []))
     return _all(parts)
 
 

@@ -73,8 +73,9 @@ def grid_rows(cells: DataFrame) -> DataFrame:
         F.max("column_index").alias("last"),
         F.map_from_entries(F.collect_list(F.struct("column_index", "content"))).alias("m"),
     )
-    shape = cells.groupBy(*TABLE).agg(
-        (F.max("row_index") + 1).alias("n_rows"), (F.max("column_index") + 1).alias("n_columns")
+    # from the same rows, so that the cells are read and shuffled once
+    shape = per_row.groupBy(*TABLE).agg(
+        (F.max("row_index") + 1).alias("n_rows"), (F.max("last") + 1).alias("n_columns")
     )
     every_row = shape.select(
         "*", F.explode(F.sequence(F.lit(0), (F.col("n_rows") - 1).cast("int"))).alias("row_index")
@@ -89,19 +90,23 @@ def grid_rows(cells: DataFrame) -> DataFrame:
     )).otherwise(texts).alias("line"))
 
 
-def markdown_lines(cells: DataFrame) -> DataFrame:
-    """Pipe grid of every table: header row, separator, then the other rows."""
+def markdown_lines(cells: DataFrame, around=None) -> DataFrame:
+    """Pipe grid of every table: header row, separator, then the other rows.
+
+    ``around`` (n_rows, n_columns to an array of line_no, text) adds lines of each
+    table, which come along with its header row.
+    """
     grid = grid_rows(cells)
     piped = F.concat(F.lit("| "), F.array_join("line", " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform("line", lambda x: F.lit("---")), " | "), F.lit(" |"))
     # the header row brings its separator along, so rows never have to meet
-    numbered = F.when(
-        F.col("row_index") == 0,
-        F.array(
-            F.struct(F.lit(0).alias("line_no"), piped.alias("text")),
-            F.struct(F.lit(1).alias("line_no"), rule.alias("text")),
-        ),
-    ).otherwise(F.array(F.struct((F.col("row_index") + 1).alias("line_no"), piped.alias("text"))))
+    first = F.array(
+        F.struct(F.lit(0).alias("line_no"), piped.alias("text")),
+        F.struct(F.lit(1).alias("line_no"), rule.alias("text")),
+    )
+    if around is not None:
+        first = F.concat(first, around(F.col("n_rows"), F.col("n_columns")))
+    numbered = F.when(F.col("row_index") == 0, first).otherwise(F.array(F.struct((F.col("row_index") + 1).alias("line_no"), piped.alias("text"))))
     return grid.select(*TABLE, "n_rows", "n_columns", F.inline(numbered))
 
 
@@ -126,44 +131,57 @@ def _bank_value(target: Column, value: Column) -> Column:
     return chain.otherwise(clean(value))
 
 
+def _rows_of_cells(cells: DataFrame) -> DataFrame:
+    """One row for each table row: its cells in order of ``seq``.  As wide as the table."""
+    return cells.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("seq", "column_index", "content"))).alias("cells"))
+
+
+def _with_neighbour(cells: Column, wanted) -> Column:
+    """(cell, value): the wanted cells that have a right-hand neighbour, the first of repeats."""
+    def pair(c: Column) -> Column:
+        right = F.get(F.filter(cells, lambda r: r["column_index"] == c["column_index"] + 1), F.lit(0))
+        return F.struct(c["seq"].alias("seq"), c["content"].alias("content"), right.isNotNull().alias("has"), right["content"].alias("value"))
+
+    return F.filter(F.transform(F.filter(cells, wanted), pair), lambda p: p["has"])
+
+
 def label_value_cells(cells: DataFrame) -> DataFrame:
     """Each cell with its right-hand neighbour (the first of repeats).
 
-    A self equi-join on (document, table, row, column): keys are almost unique,
-    so no key is hot even when one document holds most cells.
+    Looked up inside the table row both lie in, so nothing is joined and a document
+    with most of all cells is spread over its rows.
     """
-    right = cells.groupBy(*ROW, "column_index").agg(F.min_by("content", "seq").alias("value"))
-    return cells.join(
-        right.withColumn("column_index", F.col("column_index") - 1), [*ROW, "column_index"]
-    )
+    pairs = _with_neighbour(F.col("cells"), lambda c: F.lit(True))
+    return _rows_of_cells(cells).select(*ROW, F.inline(pairs)).drop("has")
+
 
+def bank_label(content: Column) -> Column:
+    """A cell's text as it is compared with the bank labels."""
+    return F.translate(F.lower(strip(content)), ": ", "")
 
-def speaking_tables(cells: DataFrame) -> DataFrame:
-    """Tables whose cells speak of a bank and of details or an account."""
-    low = F.lower(F.col("content"))
-    return cells.groupBy(*TABLE).agg(
-        F.bool_or(low.contains("bank")).alias("bank"),
-        F.bool_or(low.contains("details") | low.contains("account")).alias("details"),
-    ).where("bank AND details").select(*TABLE)
 
+_ANY_BANK_LABEL = "|".join(key for key, _ in rules.BANK_LABELS)
 
-def bank_fields_from_cells(
-    cells: DataFrame, known: DataFrame | None = None, all_speaking: bool = False
-) -> DataFrame:
+
+def bank_fields_from_cells(cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Bank columns from label cells and the cell to their right, first hit wins.
 
-    Only tables that speak of bank details are read (``all_speaking``: the caller
-    has picked them already).  ``known`` (``doc_id, Bank_Name``) skips documents
-    whose bank is known.
+    Only tables that speak of bank details are read.  ``known`` (``doc_id,
+    Bank_Name``) skips documents whose bank is known.  Cells are shuffled once, by
+    table row; after that only rows with a label, and two flags per row, move.
     """
-    pairs = label_value_cells(cells)
-    if not all_speaking:
-        pairs = pairs.join(speaking_tables(cells), TABLE, "left_semi")
-    any_label = "|".join(key for key, _ in rules.BANK_LABELS)
-    labelled = pairs.select(
-        "doc_id", "table_no", "seq", F.translate(F.lower(strip(F.col("content"))), ": ", "").alias("label"),
-        strip(F.col("value")).alias("value"),
-    ).where(F.col("label").rlike(any_label) & (F.length("value") > 0))
+    low = lambda c: F.lower(c["content"])
+    rows = _rows_of_cells(cells).select(
+        *ROW,
+        F.coalesce(F.exists("cells", lambda c: low(c).contains("bank")), F.lit(False)).alias("bank"),
+        F.coalesce(F.exists("cells", lambda c: low(c).contains("details") | low(c).contains("account")), F.lit(False)).alias("details"),
+        _with_neighbour(F.col("cells"), lambda c: bank_label(c["content"]).rlike(_ANY_BANK_LABEL)).alias("pairs"),
+    ).where(F.col("bank") | F.col("details") | (F.size("pairs") > 0))
+    speaking = rows.groupBy(*TABLE).agg(F.bool_or("bank").alias("b"), F.bool_or("details").alias("d")).where("b AND d")
+    paired = rows.where(F.size("pairs") > 0).select("doc_id", "table_no", F.inline("pairs"))
+    labelled = paired.join(speaking.select(*TABLE), TABLE, "left_semi").select(
+        "doc_id", "table_no", "seq", bank_label(F.col("content")).alias("label"), strip(F.col("value")).alias("value"),
+    ).where(F.length("value") > 0)
     if known is not None:
         labelled = labelled.join(known.where(F.length("Bank_Name") > 0).select("doc_id"), "doc_id", "left_anti")
     named = labelled.withColumn("field_name", first_match(F.col("label"), rules.BANK_LABELS))
@@ -175,6 +193,34 @@ def bank_fields_from_cells(
     ).where(F.col("field_value").isNotNull())
 
 
+def bank_hits(tables: Column) -> Column:
+    """The same for a record's own tables (``cells`` with rowIndex, columnIndex, content):
+    the hits in order, array<struct<field_name, field_value>>, without a shuffle."""
+    text = lambda c: F.coalesce(c["content"], F.lit(""))
+    at = lambda c, name: F.coalesce(c[name], F.lit(0))
+    low = lambda c: F.lower(text(c))
+    speaking = F.filter(
+        tables,
+        lambda t: F.exists(t["cells"], lambda c: low(c).contains("bank"))
+        & F.exists(t["cells"], lambda c: low(c).contains("details") | low(c).contains("account")),
+    )
+
+    def hits(t: Column) -> Column:
+        def hit(c: Column) -> Column:
+            right = F.get(F.filter(t["cells"], lambda r: (at(r, "rowIndex") == at(c, "rowIndex"))
+                                   & (at(r, "columnIndex") == at(c, "columnIndex") + 1)), F.lit(0))
+            name, value = first_match(bank_label(text(c)), rules.BANK_LABELS), strip(text(right))
+            return F.struct(name.alias("field_name"), F.when(F.length(value) > 0, _bank_value(name, value)).alias("field_value"))
+
+        return F.transform(F.filter(t["cells"], lambda c: bank_label(text(c)).rlike(_ANY_BANK_LABEL)), hit)
+
+    return F.filter(F.flatten(F.transform(speaking, hits)), lambda h: h["field_value"].isNotNull())
+
+
+def first_hit(hits: Column, field_name: str) -> Column:
+    return F.get(F.filter(hits, lambda h: h["field_name"] == field_name), F.lit(0))["field_value"]
+
+
 # --- HTML tables -------------------------------------------------------------------------
 
 def _signature(table: Column) -> Column:

@@ -30,21 +30,25 @@ def sanitize(fields: DataFrame) -> DataFrame:
     return fields.withColumn("field_value", trimmed)
 
 
-def with_checks(fields: DataFrame) -> DataFrame:
-    """Add ``present`` and ``ok`` to every field row; no shuffle."""
-    return fields.withColumns({
+def with_checks(fields: DataFrame, docs: DataFrame | None = None, book: RuleBook = STANDARD) -> DataFrame:
+    """Add ``present`` and ``ok`` to every field row; no shuffle.
+
+    Only a book whose types register validators of their own needs ``docs`` (``doc_id,
+    document_type``): a present field must then pass its type's validator as well.
+    """
+    checked = fields.withColumns({
         "present": checks.is_truthy(F.col("field_value"), F.col("value_type")),
         "ok": checks.field_ok(F.col("field_name"), F.col("field_value"), F.col("value_type")),
     })
-
-
-def required_names(document_type: Column, book: RuleBook = STANDARD) -> Column:
-    """Required field names of a type as an array literal; unknown types have none."""
-    chain = None
-    for name, spec in book.types.items():
-        names = F.array(*[F.lit(f) for f in spec.required])
-        chain = F.when(document_type == name, names) if chain is None else chain.when(document_type == name, names)
-    return chain.otherwise(F.array().cast("array<string>"))
+    own = [(kind, name, check) for kind, spec in book.types.items() for name, check in spec.checks.items()]
+    if docs is None or not own:
+        return checked
+    passed = F.lit(True)
+    for kind, name, check in own:
+        here = (F.col("_type") == kind) & (F.col("field_name") == name) & F.col("present")
+        passed = F.when(here, F.coalesce(check(F.col("field_value")), F.lit(False))).otherwise(passed)
+    typed = checked.join(docs.select("doc_id", F.col("document_type").alias("_type")), "doc_id", "left")
+    return typed.withColumn("ok", F.col("ok") & passed).drop("_type")
 
 
 def _required_flags(book: RuleBook) -> tuple[list[str], list[Column]]:
@@ -71,7 +75,7 @@ def _record_state(docs: DataFrame, checked: DataFrame, flags: list[Column], *mor
 def required_errors(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD) -> DataFrame:
     """Missing and bad required fields, in catalog order."""
     wanted, flags = _required_flags(book)
-    state = _record_state(docs, with_checks(fields.where(F.col("field_name").isin(wanted))), flags)
+    state = _record_state(docs, with_checks(fields.where(F.col("field_name").isin(wanted)), docs, book), flags)
     index = {f: i for i, f in enumerate(wanted)}
     rows = []
     for name, spec in book.types.items():
@@ -93,9 +97,9 @@ def required_errors(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDAR
     return state.select("doc_id", F.inline(listed))
 
 
-def format_errors(fields: DataFrame) -> DataFrame:
-    """Every present field that fails its check, in record order; no shuffle."""
-    return with_checks(fields).where(F.col("present") & ~F.col("ok")).select(
+def format_errors(fields: DataFrame, docs: DataFrame | None = None, book: RuleBook = STANDARD) -> DataFrame:
+    """Every present field that fails its check, in record order."""
+    return with_checks(fields, docs, book).where(F.col("present") & ~F.col("ok")).select(
         "doc_id", F.lit(2).alias("phase"), "seq", "field_name",
         F.concat(F.lit(BAD_FORMAT), F.col("field_name")).alias("message"),
     )
@@ -106,7 +110,7 @@ def record_errors(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD)
 
     A bad required field is reported twice, once per phase.
     """
-    return required_errors(docs, fields, book).unionByName(format_errors(fields))
+    return required_errors(docs, fields, book).unionByName(format_errors(fields, docs, book))
 
 
 def missing_fields(docs: DataFrame, fields: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -125,7 +129,7 @@ def verdicts(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD) -> D
     """
     wanted, flags = _required_flags(book)
     bad = F.count_if(F.col("present") & ~F.col("ok")).alias("bad")
-    state = _record_state(docs, with_checks(fields), flags, bad)
+    state = _record_state(docs, with_checks(fields, docs, book), flags, bad)
     index = {f: i for i, f in enumerate(wanted)}
     faults = F.lit(0)
     for name, spec in book.types.items():

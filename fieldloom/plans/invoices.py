@@ -1,8 +1,8 @@
 """Invoice plan: analysis JSON per page -> 53-column record and item rows.
 
-Everything a page's JSON holds is computed inside its row.  Shuffles are left
-for the few things that cross rows: label/value cells of bank tables, the page
-merge and the item join.
+Everything a page's JSON holds is computed inside its row, from one parse of the
+parts needed.  Shuffles are left for what crosses rows: the page merge and the join
+of items with their document's number.
 """
 
 from __future__ import annotations
@@ -72,42 +72,13 @@ def missing_required(fields: str = "f") -> Column:
     return F.filter(names, lambda n: n.isNotNull())
 
 
-def commission_month(paragraphs: Column, markdown: Column, as_of_year: int) -> Column:
-    """The look-ahead rule for paragraphs that sit in one record."""
-    def found(p: Column, i: Column) -> Column:
-        ahead = F.array_join(F.slice(paragraphs, i + 1, 5), " ")
-        return F.when(content.month_trigger(p), content.month_year(ahead))
-
-    months = F.filter(F.transform(paragraphs, found), lambda m: m.isNotNull())
-    return F.coalesce(F.get(months, F.lit(0)), content.scan_month(markdown, as_of_year))
-
-
-def _speaking_cells(raw: DataFrame) -> DataFrame:
-    """Cells of tables that may hold bank details; other tables are not exploded."""
-    def low(t):
-        return F.transform(t["cells"], lambda c: F.lower(F.coalesce(c["content"], F.lit(""))))
-
-    speaking = F.filter(
-        "tables",
-        lambda t: F.exists(low(t), lambda c: c.contains("bank"))
-        & F.exists(low(t), lambda c: c.contains("details") | c.contains("account")),
-    )
-    keyed = analysis.parse_tables(raw.select(F.struct("doc_id", "page_no").alias("doc_id"), "json"))
-    one = keyed.select("doc_id", F.posexplode(speaking).alias("table_no", "t"))
-    return one.select("doc_id", "table_no", F.posexplode("t.cells").alias("seq", "c")).select(
-        "doc_id", "table_no", "seq", F.coalesce("c.rowIndex", F.lit(0)).alias("row_index"),
-        F.coalesce("c.columnIndex", F.lit(0)).alias("column_index"),
-        F.coalesce("c.content", F.lit("")).alias("content"),
-    )
-
-
 def parsed_pages(raw: DataFrame) -> DataFrame:
     """Pages ``doc_id, page_no, json`` with the analysis parsed.
 
     ``doc_id`` becomes the (document, page) key; unreadable pages are left out.
     """
     keyed = raw.withColumn("doc_id", F.struct("doc_id", "page_no"))
-    typed = analysis.parse(keyed).where(F.col("a").isNotNull())
+    typed = analysis.parse(keyed, parts=("content", "pages", "tables", "documents")).where(F.col("a").isNotNull())
     return typed.withColumns({
         "f": analysis.first_fields(),
         "markdown": analysis.markdown_of(F.col("json"), F.col("a")),
@@ -119,7 +90,7 @@ def _from_fields(rows: DataFrame, as_of_year: int) -> DataFrame:
     """Rule-table columns, flags, commission month and tax amounts."""
     start = primary_fields(rows).withColumns({
         **content.document_flags(F.col("json")),
-        "Commission_Month": commission_month(F.col("paragraphs"), F.col("markdown"), as_of_year),
+        "Commission_Month": content.commission_month_of(F.col("paragraphs"), F.col("markdown"), as_of_year),
         "_tax": tax.tax_from_array(F.col("f.TaxDetails.valueArray")),
         "rate": tax.rate_from_array(F.col("f.TaxDetails.valueArray")),
     })
@@ -167,21 +138,18 @@ def page_records(raw: DataFrame, as_of_year: int, invoice_type: str | None = Non
         "doc_id", *[c for c in COLUMNS if c not in ("Invoice_Type", "Insertion_Date")],
         "_named", "_payble_to", "_payable_to", "_ifsc", "_pan",
         tables.classified_tables(F.col("markdown"))["bank"].alias("_bank"),
+        tables.bank_hits(F.col("a.tables")).alias("_cells"),
     )
     banked = found.withColumns({
         name: F.coalesce(value, F.col(name))
         for name, value in tables.bank_fields_from_html(F.col("_bank")).items()
     }).drop("_bank")
-    from_cells = tables.bank_fields_from_cells(_speaking_cells(raw), all_speaking=True).groupBy("doc_id").agg(*[
-        F.max(F.when(F.col("field_name") == name, F.col("field_value"))).alias(f"_{name}")
-        for name in rules.BANK_ALIASES
-    ])
     # a page whose bank is known keeps all its own bank columns
     known = F.coalesce(F.length("Bank_Name") > 0, F.lit(False))
-    banked = banked.join(from_cells, "doc_id", "left").withColumns({
-        name: F.when(known, F.col(name)).otherwise(content.or_else(F.col(name), F.col(f"_{name}")))
+    banked = banked.withColumns({
+        name: F.when(known, F.col(name)).otherwise(content.or_else(F.col(name), tables.first_hit(F.col("_cells"), name)))
         for name in rules.BANK_ALIASES
-    })
+    }).drop("_cells")
     decided = banked.withColumns({
         "Bank_Payable_To": content.beneficiary(
             F.col("_named"), F.col("_payble_to"), F.col("Vendor_Name_2"), F.col("_payable_to"),
@@ -214,15 +182,17 @@ def invoice_items(raw: DataFrame, records: DataFrame) -> DataFrame:
     structured = tables.items_from_array(rows.select(
         "doc_id", "Invoice_No", F.col("f.Items.valueArray").alias("items")
     ))
-    with_table = rows.select(
+    # a page's own list decides, so the choice needs no join
+    without = F.coalesce(F.size("f.Items.valueArray"), F.lit(0)) <= 0
+    with_table = rows.where(without).select(
         "doc_id", "Invoice_No", tables.classified_tables(F.col("markdown"))["invoice"].alias("table")
     )
     from_html = tables.items_from_html(with_table, F.col("table"))
-    chosen = tables.choose_items(structured, from_html.select("doc_id", "Invoice_No", *[
+    chosen = structured.unionByName(from_html.select("doc_id", "Invoice_No", *[
         F.col(c).cast("string") if structured_type.get(c) == "string" else F.col(c).cast(structured_type.get(c, MONEY))
         for structured_type in [dict(structured.dtypes)]
         for c in from_html.columns if c not in ("doc_id", "Invoice_No")
-    ]))
+    ]), allowMissingColumns=True)
     by_document = chosen.withColumns({
         "page_no": F.col("doc_id.page_no"), "doc_id": F.col("doc_id.doc_id"),
     })

@@ -1,12 +1,12 @@
 """Analysis-service results: service JSON in, typed columns out.
 
-The JSON is read with an explicit schema, so only the parts a query selects are
-materialised and nothing is inferred from the data.
+The JSON is read with an explicit schema of the parts a caller names, and nothing is
+inferred from the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom import rules
@@ -32,20 +32,25 @@ _TAX_LINE = (
 _RAW_ONLY = ["Beneficiary_name", "payble_to"]
 
 
-def _fields_type() -> str:
+_PARTS = {
+    "content": "string", "tables": _TABLES,
+    "keyValuePairs": "array<struct<key:struct<content:string>,value:struct<content:string>>>",
+    "pages": _PAGES, "paragraphs": "array<struct<content:string,role:string>>",
+}
+ITEMS, TAX = "Items", "TaxDetails"
+_LISTS = {ITEMS: f"struct<valueArray:array<{_ITEM}>>", TAX: f"struct<valueArray:array<{_TAX_LINE}>>"}
+ALL_PARTS = (*_PARTS, "documents")
+
+
+def _fields_type(lists: tuple[str, ...] = (ITEMS, TAX)) -> str:
     sources = [source for source, *_ in rules.INVOICE_FIELDS] + _RAW_ONLY
-    parts = [f"{s}:{CELL}" for s in sources]
-    parts += [f"Items:struct<valueArray:array<{_ITEM}>>", f"TaxDetails:struct<valueArray:array<{_TAX_LINE}>>"]
+    parts = [f"{s}:{CELL}" for s in sources] + [f"{name}:{_LISTS[name]}" for name in lists]
     return f"struct<{','.join(parts)}>"
 
 
-def _result_type(fields: str) -> str:
-    return (
-        f"struct<analyzeResult:struct<content:string,tables:{_TABLES},"
-        "keyValuePairs:array<struct<key:struct<content:string>,value:struct<content:string>>>,"
-        f"pages:{_PAGES},paragraphs:array<struct<content:string,role:string>>,"
-        f"documents:array<struct<fields:{fields}>>>>"
-    )
+def _result_type(fields: str, parts: tuple[str, ...] = ALL_PARTS) -> str:
+    kinds = _PARTS | {"documents": f"array<struct<fields:{fields}>>"}
+    return f"struct<analyzeResult:struct<{','.join(f'{p}:{kinds[p]}' for p in parts)}>>"
 
 
 def _once(df: DataFrame, parsed: Column, name: str) -> DataFrame:
@@ -57,18 +62,15 @@ def _once(df: DataFrame, parsed: Column, name: str) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(parsed)).alias(name))
 
 
-def parse(df: DataFrame, json_column: str = "json") -> DataFrame:
+def parse(
+    df: DataFrame, json_column: str = "json", parts: tuple[str, ...] = ALL_PARTS, lists: tuple[str, ...] = (ITEMS, TAX)
+) -> DataFrame:
     """Add ``a``: the typed ``analyzeResult`` with the known invoice fields.
 
-    An unreadable text gives null, so the run continues; see ``split_readable``.
+    ``parts`` and ``lists`` name what is read; the JSON parser skips all else.  An
+    unreadable text gives null, so the run continues; see ``split_readable``.
     """
-    return _once(df, F.from_json(json_column, _result_type(_fields_type()))["analyzeResult"], "a")
-
-
-def parse_tables(df: DataFrame, json_column: str = "json") -> DataFrame:
-    """Add ``tables`` alone, for steps that need no other part."""
-    schema = f"struct<analyzeResult:struct<tables:{_TABLES}>>"
-    return _once(df, F.from_json(json_column, schema)["analyzeResult"]["tables"], "tables")
+    return _once(df, F.from_json(json_column, _result_type(_fields_type(lists), parts))["analyzeResult"], "a")
 
 
 def split_readable(df: DataFrame, json_column: str = "json") -> tuple[DataFrame, DataFrame]:
@@ -136,12 +138,13 @@ def legacy_key_values(df: DataFrame, json_column: str = "json") -> DataFrame:
     docs = df.select("doc_id", F.posexplode(a["documents"]).alias("doc_no", "d"))
     fields = docs.select("doc_id", "doc_no", F.posexplode("d.fields").alias("pos", "label", "cell"))
     valued = fields.withColumn("value", F.get_json_object("cell", "$.value")).where(F.col("value").isNotNull())
-    return valued.groupBy("doc_id", "label").agg(
+    found = valued.groupBy("doc_id", "label").agg(
         F.min(F.struct("doc_no", "pos")).alias("first"),
         F.max_by("value", F.struct("doc_no", "pos")).alias("value"),
-    ).select("doc_id", F.col("first.doc_no").cast("bigint") * (1 << 20) + F.col("first.pos"), "label", "value").toDF(
-        "doc_id", "seq", "label", "value"
     )
+    # one row for each label of a document
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "label")) - 1
+    return found.select("doc_id", seq.cast("bigint").alias("seq"), "label", "value")
 
 
 def normalise_legacy(df: DataFrame, json_column: str = "json") -> DataFrame:
@@ -182,11 +185,6 @@ def pick_struct(cell: Column) -> Column:
     )
 
 
-def pick_value(cell_json: Column) -> Column:
-    """The same for a cell given as JSON text."""
-    return pick_struct(F.from_json(cell_json, CELL))
-
-
 def first_fields(a: Column = None) -> Column:
     """Typed fields of the first document of an analysis."""
     a = F.col("a") if a is None else a

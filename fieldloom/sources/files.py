@@ -82,7 +82,8 @@ def input_documents(files: DataFrame, root: str) -> DataFrame:
     ).where("depth >= 2")
     # one flag per type folder, combined before the shuffle
     has_files = placed.groupBy("folder").agg(F.bool_or(F.expr("in_files AND depth >= 3")).alias("has_files"))
-    here = placed.join(has_files, "folder").where(
+    # one row per type folder, of which the input folder has a handful
+    here = placed.join(F.broadcast(has_files), "folder").where(
         F.when(F.col("has_files"), F.col("in_files") & (F.col("depth") == 3)).otherwise(F.col("depth") == 2)
     )
     return here.where(F.lower("path").endswith(".pdf")).select(

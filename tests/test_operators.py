@@ -262,7 +262,7 @@ def test_commission_month_paths_agree(spark):
     markdown = spark.createDataFrame([(d, "\n".join(ps)) for d, ps in docs.items()], "doc_id long, markdown string")
     want = {1: "MAY 24", 2: "JUNE2025", 3: "JULY2026", 4: None, 5: "DEC 25"}
     assert dict(map(tuple, content.commission_month(paragraphs, markdown, 2026).collect())) == want
-    rowwise = markdown.select("doc_id", invoices.commission_month(F.split("markdown", "\n"), F.col("markdown"), 2026))
+    rowwise = markdown.select("doc_id", content.commission_month_of(F.split("markdown", "\n"), F.col("markdown"), 2026))
     assert dict(map(tuple, rowwise.collect())) == want
 
 

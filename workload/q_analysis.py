@@ -21,13 +21,16 @@ def _normal(i):
 
 @query("s8_service_result", sql=f"""
     SELECT o_orderkey AS doc_id, {CONTENT} AS content, 1 AS n_tables, 4 AS n_cells, 'Order ' || o_orderkey AS cell,
-           2 AS n_pages, 2 AS n_paragraphs, 3 AS n_pairs, 'title' AS role FROM {_O} AS o""")
+           2 AS n_pages, 2 AS n_paragraphs, 3 AS n_pairs, 'title' AS role, NULL AS error FROM {_O} AS o
+    UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'unreadable JSON' FROM orders WHERE o_orderkey % 29 = 0""")
 def _(i):
-    return _normal(i).select(
+    good, bad = analysis.split_readable(i.fixture("analysis"))
+    return analysis.normalise(good).select(
         "doc_id", "content", F.size("tables").alias("n_tables"), F.size(F.get("tables", F.lit(0))["cells"]).alias("n_cells"),
         F.get(F.get("tables", F.lit(0))["cells"], F.lit(2))["content"].alias("cell"), F.size("pages").alias("n_pages"),
         F.size("paragraphs").alias("n_paragraphs"), F.size("pairs").alias("n_pairs"),
-        F.get("paragraphs", F.lit(0))["role"].alias("role"))
+        F.get("paragraphs", F.lit(0))["role"].alias("role"), F.lit(None).cast("string").alias("error"),
+    ).unionByName(bad.select("doc_id", "error"), allowMissingColumns=True)
 
 
 @query("s8_key_values", sql=f"""
@@ -92,7 +95,7 @@ def _(i):
     SELECT o_orderkey AS doc_id, 'ACP/26/' || o_orderkey AS text_value, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date_value,
            CAST(o_totalprice AS VARCHAR) AS amount_value, 'No. ' || o_custkey || ',, Main  Road' AS address_value, 'INR ' || {money_of('paise')} AS content_value FROM {_O} AS o""")
 def _(i):
-    f = analysis.parse(i.fixture("analysis")).where(F.col("a").isNotNull()).select("doc_id", analysis.first_fields().alias("f"))
+    f = analysis.parse(i.fixture("analysis"), parts=("documents",), lists=()).where(F.col("a").isNotNull()).select("doc_id", analysis.first_fields().alias("f"))
     pick = lambda n: analysis.pick_field(f"f.{n}")
     return f.select(
         "doc_id", pick("InvoiceId").alias("text_value"), pick("InvoiceDate").alias("date_value"),
@@ -111,14 +114,14 @@ _CONTENT_KINDS = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 4
     SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN '# M ' || o_orderpriority WHEN 1 THEN 'plain ' || o_orderpriority
            WHEN 2 THEN 'a' || o_orderstatus || 'b' ELSE '' END AS markdown FROM orders""")
 def _(i):
-    parsed = analysis.parse(i.sql(_CONTENT_KINDS))
+    parsed = analysis.parse(i.sql(_CONTENT_KINDS), parts=("content", "pages"))
     return parsed.select("doc_id", analysis.markdown_of(F.col("json"), F.col("a")).alias("markdown"))
 
 
 @query("x18_paragraph_picker", sql="""
     SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'p1|p ' || o_orderpriority ELSE '' END AS paragraphs FROM orders""")
 def _(i):
-    return analysis.parse(i.sql(_CONTENT_KINDS)).select(
+    return analysis.parse(i.sql(_CONTENT_KINDS), parts=("content",)).select(
         "doc_id", F.array_join(analysis.paragraphs_of(F.col("json"), F.col("a")), "|").alias("paragraphs"))
 
 
@@ -132,7 +135,7 @@ _GST = "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE gstin_o END"
            CASE WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN pan_c END ELSE pan_o END AS vendor_pan
     FROM {_O} AS o""")
 def _(i):
-    f = analysis.parse(i.fixture("analysis")).select("doc_id", analysis.first_fields().alias("f")).where(F.col("f").isNotNull())
+    f = analysis.parse(i.fixture("analysis"), parts=("documents",), lists=()).select("doc_id", analysis.first_fields().alias("f")).where(F.col("f").isNotNull())
     r = invoices.primary_fields(f)
     return r.select(
         "doc_id", F.col("Invoice_No").alias("invoice_no"), F.col("Vendor_Name").alias("vendor_name"),
@@ -145,7 +148,7 @@ def _(i):
 @query("j5_field_rules", sql=f"""
     SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' ELSE gstin_o END AS raw, {_GST} AS cleaned FROM {_O} AS o""")
 def _(i):
-    f = analysis.parse(i.fixture("analysis")).select("doc_id", analysis.first_fields().alias("f")).where(F.col("f").isNotNull())
+    f = analysis.parse(i.fixture("analysis"), parts=("documents",), lists=()).select("doc_id", analysis.first_fields().alias("f")).where(F.col("f").isNotNull())
     raw = f.withColumn("raw", analysis.pick_field("f.CustomerTaxId"))
     return invoices.primary_fields(raw).select("doc_id", "raw", F.col("Company_GSTIN").alias("cleaned"))
 

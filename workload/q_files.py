@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldloom.operators import reports
+from fieldloom import rules
+from fieldloom.operators import reports, routing, store
 from fieldloom.session import run_dir
 from fieldloom.sources import files, sinks
 from workload.base import query, values
@@ -103,15 +104,23 @@ def _(i):
     return files.first_available(names, raw, typed).select("name", F.col("error").isNull().alias("found"), "body")
 
 
-@query("s13_saved_records_again", sql="""
-    SELECT document_type, count(*) AS n, CAST(sum(total) AS BIGINT) AS total FROM (
-        SELECT CASE o_orderkey % 2 WHEN 0 THEN 'invoice' ELSE 'pan' END AS document_type, o_custkey AS total FROM orders) AS q GROUP BY 1""")
+_PAN_SAVED = """SELECT o_orderkey AS doc_id, 'doc-' || CAST(o_orderkey AS STRING) AS document_name, 'pan' AS document_type,
+    '{{"pan_number":"' || CASE WHEN o_custkey % 3 = 0 THEN 'bad' ELSE 'ABCDE1234F' END || '"' || CASE WHEN o_custkey % 5 = 0 THEN '' ELSE ',"name":" P "' END || '}}' AS value FROM {orders}"""
+
+
+@query("s13_saved_records_again", sql=f"""
+    SELECT doc_id, bad * 2 + missing + {len([f for f in rules.REQUIRED_FIELDS['pan'] if f not in ('pan_number', 'name')])} AS n_errors,
+           bad * 2 + missing + {len([f for f in rules.REQUIRED_FIELDS['pan'] if f not in ('pan_number', 'name')])} = 0 AS is_valid
+    FROM (SELECT o_orderkey AS doc_id, CAST(o_custkey % 3 = 0 AS INTEGER) AS bad, CAST(o_custkey % 5 = 0 AS INTEGER) AS missing FROM orders) AS q""")
 def _(i):
     target = run_dir(i.spark, "s13")
-    i.sql(_SAVED).write.partitionBy("document_type").json(target)
-    saved = files.read_json_lines(i.spark, target, "document_name string, value string, document_type string")
-    return saved.groupBy("document_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("value", "$.total").cast("bigint")).alias("total"))
+    i.sql(_PAN_SAVED).write.partitionBy("document_type").json(target)
+    saved = files.read_json_lines(i.spark, target, "doc_id bigint, document_name string, value string, document_type string")
+    fields = routing.flatten_json(saved, "value").select(
+        "doc_id", F.lit(0).cast("bigint").alias("seq"), F.col("path").alias("field_name"), F.col("value").alias("field_value"), F.lit("str").alias("value_type"))
+    verdicts = store.reprocess(saved.select("doc_id", "document_type"), fields)[2]
+    sinks.write_version({"verdicts": verdicts}, target + "-verdicts", 0)
+    return sinks.read_version(i.spark, target + "-verdicts", ("verdicts",))["verdicts"].select("doc_id", "n_errors", "is_valid")
 
 
 @query("s5_json_documents", sql="""

@@ -280,3 +280,16 @@ def _(i):
     return validate.record_errors(docs, fields, book).select("doc_id", "field_name", "message")
 
 
+@query("f1_registered_validator", sql="""
+    SELECT o_orderkey AS doc_id, unnest([1, 2]) AS phase, 'order_no' AS field_name,
+           unnest(['Invalid value for field: ', 'Invalid format for field: ']) || 'order_no' AS message FROM orders WHERE o_orderkey % 3 = 0""")
+def _(i):
+    receipt = DocumentRules(["order_no"], [], [("order no", "order_no")], {"order_no": lambda c: c.rlike("^O-[0-9]+$")})
+    book = rules.STANDARD.register("Receipt", receipt)
+    pairs = i.sql("""SELECT o_orderkey AS doc_id, 0 AS seq, 'Order No' AS label,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'number ' ELSE 'O-' END || CAST(o_orderkey AS STRING) AS value FROM {orders}""")
+    docs = i.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("receipt").alias("document_type"))
+    fields = routing.route_fields(pairs, "receipt", book)
+    return validate.record_errors(docs, fields, book).select("doc_id", "phase", "field_name", "message")
+
+

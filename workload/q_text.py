@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom import rules
-from fieldloom.functions.pyfuncs import map_model, pattern_model
+from fieldloom.functions.pyfuncs import map_model, pattern_fields, pattern_model
 from fieldloom.operators import content, pages, reports, schemas
+from fieldloom.plans import identity
 from workload.base import FIXTURES, query, values
 from workload.q_checks import paise
 
@@ -58,8 +59,7 @@ _TOKENS = [m + y for m in dict.fromkeys([m.lower() for m in rules.MONTHS] + [m[:
     FROM scan s LEFT JOIN best b USING (doc_id)""")
 def _(i):
     texts = i.fixture("texts").select("doc_id", "content")
-    paragraphs = texts.select("doc_id", F.posexplode(F.split("content", "\n")).alias("seq", "content"))
-    return content.commission_month(paragraphs, texts.withColumnRenamed("content", "markdown"), 2026)
+    return texts.select("doc_id", content.commission_month_of(F.split("content", "\n"), F.col("content"), 2026).alias("Commission_Month"))
 
 
 @query("w5_look_ahead", uses="texts", sql=r"""
@@ -292,6 +292,41 @@ def _(i):
     ).unionByName(row("percentage_fees", "percentage_of", none, "percentage_value", "fee"))
 
 
+# --- the identity run ------------------------------------------------------------------------------
+
+_PAGES_SQL = """SELECT o_orderkey AS doc_id, CAST(n + 1 AS INT) AS page_no, CASE n WHEN 0 THEN 'front of ' || CAST(o_custkey AS STRING)
+    ELSE 'Permanent account ABCDE1234' || chr(CAST(65 + o_orderkey % 26 AS INT)) || ' born 01/02/1990, Enrolment No: 12/34' END AS text
+    FROM (SELECT *, @explode(@array(0, 1)) AS n FROM {orders}) AS t"""
+_ANSWERS_SQL = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN '{{"name":"N ' || CAST(o_orderkey AS STRING) || '","pan_number":"zzzzz9999z"}}'
+    WHEN 1 THEN 'no answer' ELSE NULL END AS answer FROM {orders}"""
+
+
+@query("f2_extractors_by_type", sql="""
+    SELECT doc_id, field_name, value FROM (
+        SELECT o_orderkey AS doc_id, unnest(['name', 'pan_number', 'date_of_birth']) AS field_name,
+               unnest([CASE WHEN o_orderkey % 3 = 0 THEN 'N ' || o_orderkey END,
+                       CASE WHEN o_orderkey % 3 = 0 THEN 'ZZZZZ9999Z' ELSE 'ABCDE1234' || chr(CAST(65 + o_orderkey % 26 AS INT)) END, '01/02/1990']) AS value
+        FROM orders WHERE o_orderkey % 4 = 2
+        UNION ALL SELECT o_orderkey, unnest(['name', 'enrolment_number']), unnest([CASE WHEN o_orderkey % 3 = 0 THEN 'N ' || o_orderkey END, '12/34'])
+        FROM orders WHERE o_orderkey % 4 = 3
+        UNION ALL SELECT o_orderkey, unnest(['company.pan', 'dates']),
+               unnest(['ABCDE1234' || chr(CAST(65 + o_orderkey % 26 AS INT)), '[{"date_type":"agreement_date","date_text_original":"01/02/1990"}]'])
+        FROM orders WHERE o_orderkey % 4 = 0
+        UNION ALL SELECT o_orderkey, 'priority', o_orderkey || '' FROM orders WHERE o_orderkey % 4 = 1 AND o_custkey % 2 = 0
+        UNION ALL SELECT o_orderkey, 'error', 'Unsupported document type: memo' FROM orders WHERE o_orderkey % 4 = 1 AND o_custkey % 2 = 1) AS q""")
+def _(i):
+    docs = i.sql("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'agreement' WHEN 2 THEN 'PAN' WHEN 3 THEN 'aadhaar'
+        ELSE CASE WHEN o_custkey % 2 = 0 THEN 'receipt' ELSE 'memo' END END AS document_type FROM {orders}""")
+    receipts = lambda rows: identity.as_fields(rows, {"priority": F.col("doc_id")})
+    fields, errors = identity.process(docs, i.sql(_PAGES_SQL), i.sql(_ANSWERS_SQL), identity.STANDARD.register("Receipt", receipts))
+    shown = ["name", "pan_number", "date_of_birth", "enrolment_number", "company.pan", "dates", "priority"]
+    kind = docs.select(F.col("doc_id").alias("k"), F.lower("document_type").alias("t"))
+    rows = fields.join(kind, F.col("k") == F.col("doc_id")).where(
+        F.col("field_name").isin(shown) & ~((F.col("t") == "aadhaar") & (F.col("field_name") == "date_of_birth")))
+    return rows.select("doc_id", "field_name", F.col("field_value").alias("value")).unionByName(
+        errors.select("doc_id", F.lit("error").alias("field_name"), F.col("error").alias("value")))
+
+
 # --- injected model -----------------------------------------------------------------------------------
 
 _WORDS = pattern_model({"word": "[A-Z][a-z]+"})
@@ -311,9 +346,7 @@ def _modelled(i):
 @query("f3_text_model", sql="""
     SELECT doc_id, nullif(regexp_extract(content, '[A-Z][a-z]+'), '') AS word, CAST(NULL AS VARCHAR) AS error FROM texts""", uses="texts")
 def _(i):
-    return map_model(
-        i.fixture("texts").select("doc_id", F.col("content").alias("text")), _WORDS,
-        "doc_id long, word string, error string")
+    return pattern_fields(i.fixture("texts").select("doc_id", F.col("content").alias("text")), {"word": "[A-Z][a-z]+"})
 
 
 @query("f4_batch_with_failures", sql=_MODEL_SQL)
