@@ -111,8 +111,8 @@ def _any(c: Column, words) -> Column:
 
 def repair_gstin(c: Column) -> Column:
     """Undo letter/digit confusion by position; only 15-character values change."""
-    digit = lambda s, n: F.translate(F.substring(c, s, n), "OILZSBGDQT", "0112586007")
-    letter = lambda s, n: F.translate(F.substring(c, s, n), "0125867", "OIZSBGT")
+    digit = lambda s, n: F.translate(F.substring(c, s, n), *rules.DIGIT_REPAIR)
+    letter = lambda s, n: F.translate(F.substring(c, s, n), *rules.LETTER_REPAIR)
     fixed = F.concat(
         digit(1, 2), letter(3, 5), digit(8, 4), letter(12, 1), digit(13, 1), F.lit("Z"), F.substring(c, 15, 1)
     )

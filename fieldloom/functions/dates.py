@@ -49,13 +49,7 @@ ACCEPTED = rf"(?i)\A(?:{'|'.join(_NUMERIC + _NAMED)})\z"
 # the first format alone, and its fully padded form
 ISO_LIKE = rf"\A(?:{_NUMERIC[0]})\z"
 
-# free-text date candidates, longest numeric shape first
-FINDER = (
-    r"\b([0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{2}"
-    rf"|[0-9]{{2}}\s+(?:{MONTH_NAMES}),?\s+[0-9]{{4}}"
-    rf"|[0-9]{{1,2}}\s+(?:{MONTH_SHORT})\s+[0-9]{{4}}"
-    rf"|(?:{MONTH_NAMES})\s+[0-9]{{1,2}},?\s*[0-9]{{4}})\b"
-)
+FINDER = rules.DATE_FINDER
 
 
 def is_date(c: Column) -> Column:

@@ -109,14 +109,6 @@ def clean(c: Column, kind: str = "text") -> Column:
     return empty_to_null(F.regexp_replace(body, "\\A +(?=[^ ])|(?<=[^ ]) +\\z", ""))
 
 
-def clean_by_kind(c: Column, kind: Column, kinds: list[str] | None = None) -> Column:
-    """``clean`` with the kind held in a column."""
-    chain = None
-    for name in kinds or list(CLEANERS):
-        chain = F.when(kind == name, clean(c, name)) if chain is None else chain.when(kind == name, clean(c, name))
-    return chain
-
-
 # --- display helpers ---------------------------------------------------------
 
 def mask(c: Column, visible: int = 2) -> Column:

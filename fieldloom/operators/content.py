@@ -30,9 +30,7 @@ def document_flags(raw: Column) -> dict[str, Column]:
     }
 
 
-_MONTH_YEAR = r"(?i)\b(" + "|".join(
-    f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in rules.MONTHS
-) + r")\s*[-,]?\s*([0-9]{2,4})\b"
+_MONTH_YEAR = rules.MONTH_YEAR_PATTERN
 
 
 def month_year(text: Column) -> Column:

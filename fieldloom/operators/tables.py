@@ -7,6 +7,8 @@ many cells is spread over its rows and never gathered in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -237,9 +239,10 @@ def classified_tables(markdown: Column) -> Column:
     tagged = F.transform(html_tables(markdown), lambda t: F.struct(t.alias("t"), _signature(t).alias("s")))
 
     def kind(s):
-        bank = s.contains("bank") & s.contains("account") & s.contains("ifsc")
-        invoice = _any(s, ["disb", "roi", "payout", "region", "pf"])
-        gst = _any(s, ["cgst", "sgst", "igst"]) & ~invoice
+        words = rules.TABLE_WORDS
+        bank = reduce(lambda x, y: x & y, [s.contains(w) for w in words["bank"]])
+        invoice = _any(s, words["invoice"])
+        gst = _any(s, words["gst"]) & ~invoice
         return F.when(bank, "bank").when(gst, "gst").when(invoice, "invoice")
 
     named = F.transform(tagged, lambda x: F.struct(x["t"].alias("t"), kind(x["s"]).alias("kind")))
@@ -298,18 +301,6 @@ def bank_fields_from_html(bank: Column) -> dict[str, Column]:
 
 # --- invoice items -------------------------------------------------------------------------
 
-ITEM_VALUES = {
-    "HSN_Code": "ProductCode",
-    "Quantity": "Quantity",
-    "Unit": "Unit",
-    "Unit_Amount": "UnitPrice",
-    "Discount_Amount": "DiscountAmount",
-    "Taxable_Amount": "TaxableAmount",
-    "Total_Payout": "TotalPayout",
-    "Invoice_Type": "InvoiceType",
-}
-
-
 def parse_content_line(content: Column) -> dict[str, Column]:
     """Region and rates hidden in an item's raw lines, classified by shape."""
     lines = F.filter(F.transform(F.split(content, "\n"), strip), lambda x: x != "")
@@ -343,7 +334,7 @@ def items_from_array(docs: DataFrame, items: str = "items") -> DataFrame:
     from fieldloom.sources.analysis import pick_field
 
     one = docs.select("doc_id", "Invoice_No", F.posexplode(items).alias("pos", "item"))
-    names = ["Description", "Amount", *ITEM_VALUES.values()]
+    names = ["Description", "Amount", *rules.ITEM_VALUES.values()]
     one = one.withColumns({
         f"_{n}": F.try_element_at(F.col("item.valueObject"), F.lit(n)) for n in names
     })
@@ -351,7 +342,7 @@ def items_from_array(docs: DataFrame, items: str = "items") -> DataFrame:
     return one.select(
         "doc_id", "Invoice_No", (F.col("pos") + 1).alias("Sr_No"),
         clean(value("Description")).alias("Item_Description"),
-        *[value(source).alias(target) for target, source in ITEM_VALUES.items()],
+        *[value(source).alias(target) for target, source in rules.ITEM_VALUES.items()],
         checks.to_money(value("Amount")).alias("Total_Amount"),
         *[c.alias(name) for name, c in parse_content_line(F.coalesce("item.content", F.lit(""))).items()],
     )

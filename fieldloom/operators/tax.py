@@ -238,13 +238,15 @@ def normal_date(c: Column) -> Column:
     return F.when(dates.is_iso(c), c).otherwise(F.coalesce(dates.find_date(c), c))
 
 
-UNITY_NAME = "Unity Small Finance bank limited"
 
 
 def company_name(name: Column, raw: Column) -> Column:
     """One lender's name overrides when the raw result speaks of it."""
     low = F.lower(raw)
-    return F.when(low.contains("unity") & low.contains("bank"), UNITY_NAME).otherwise(name)
+    spoken = F.lit(True)
+    for word in rules.LENDER_WORDS:
+        spoken = spoken & low.contains(word)
+    return F.when(spoken, rules.LENDER_NAME).otherwise(name)
 
 
 def repair_identifiers(df: DataFrame) -> DataFrame:

@@ -344,6 +344,42 @@ MONEY_TYPES = [
     "TDS", "WITHHOLDING_TAX", "SECURITY_DEPOSIT", "ADVANCE", "REFUND", "CREDIT", "DEBIT",
     "OTHER",
 ]
+
+# words of a table's header and cells, by the kind of table they show
+TABLE_WORDS = {
+    "bank": ["bank", "account", "ifsc"],
+    "gst": ["cgst", "sgst", "igst"],
+    "invoice": ["disb", "roi", "payout", "region", "pf"],
+}
+
+# item column: source field
+ITEM_VALUES = {
+    "HSN_Code": "ProductCode",
+    "Quantity": "Quantity",
+    "Unit": "Unit",
+    "Unit_Amount": "UnitPrice",
+    "Discount_Amount": "DiscountAmount",
+    "Taxable_Amount": "TaxableAmount",
+    "Total_Payout": "TotalPayout",
+    "Invoice_Type": "InvoiceType",
+}
+
+# letters read for digits and digits read for letters in a tax id, and what they stand for
+DIGIT_REPAIR = ("OILZSBGDQT", "0112586007")
+LETTER_REPAIR = ("0125867", "OIZSBGT")
+
+LENDER_WORDS = ["unity", "bank"]
+LENDER_NAME = "Unity Small Finance bank limited"
+
+MONTH_YEAR_PATTERN = r"(?i)\b(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s*[-,]?\s*([0-9]{2,4})\b"
+
+# dates in running text, longest numeric shape first
+DATE_FINDER = (
+    r"\b([0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{2}"
+    r"|[0-9]{2}\s+(?:January|February|March|April|May|June|July|August|September|October|November|December),?\s+[0-9]{4}"
+    r"|[0-9]{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+[0-9]{4}"
+    r"|(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+[0-9]{1,2},?\s*[0-9]{4})\b"
+)
 # --------------------------------------------------------------------------
 # End of fixed values.
 # --------------------------------------------------------------------------

@@ -145,6 +145,15 @@ def _(i):
         F.concat(F.lit("IFSC"), F.col("Bank_IFSC_Code")).alias("ifsc_text"), F.col("Vendor_PAN_No").alias("vendor_pan"))
 
 
+@query("x15_required_missing", sql=f"""
+    SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 4 = 0 THEN 'InvoiceId' ELSE '' END AS missing FROM orders""")
+def _(i):
+    pages = i.sql("""SELECT o_orderkey AS doc_id, '{{"analyzeResult":{{"documents":[{{"fields":{{"VendorName":{{"valueString":"V"}}' ||
+        CASE WHEN o_custkey % 4 = 0 THEN '' ELSE ',"InvoiceId":{{"valueString":"I' || CAST(o_orderkey AS STRING) || '"}}' END || '}}}}]}}}}' AS json FROM {orders}""")
+    f = analysis.parse(pages, parts=("documents",), lists=()).select("doc_id", analysis.first_fields().alias("f"))
+    return f.select("doc_id", F.array_join(invoices.missing_required(), ",").alias("missing"))
+
+
 @query("j5_field_rules", sql=f"""
     SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' ELSE gstin_o END AS raw, {_GST} AS cleaned FROM {_O} AS o""")
 def _(i):
