@@ -42,7 +42,9 @@ TEMPLATES = [
 ]
 # fixed values: words that say nothing about a licence
 STOP = "a an and any are at be by for from in is it its may not of on or that the this to under use was with without work you".split()
-STOP.remove("by")  # names a licence in "CC BY"
+
+# fixed values: template terms that ordinary prose is full of
+COMMON = "public general file form person version".split()
 
 UNIT_BREAK = r"[.!?;][\x20\x09-\x0D]+|\n"
 TERM_BREAK = r"[^\p{L}0-9.-]+"
@@ -72,6 +74,23 @@ def template_weights() -> list[tuple[int, str, str, float]]:
     return out
 
 
+def telling(threshold: float) -> list[str]:
+    """Terms of which a unit must have one to reach the threshold.
+
+    The cosine is at most the length of the template's part that the unit shares.  Common
+    terms are set aside one by one while their part of every template stays shorter than
+    the threshold; a unit with no other term cannot reach it.
+    """
+    aside: set[str] = set()
+    for word in COMMON:
+        parts: dict[int, float] = {}
+        for n, _, w, share in template_weights():
+            parts[n] = parts.get(n, 0.0) + share ** 2 * (w in aside | {word})
+        if max(parts.values()) < (threshold - 0.001) ** 2:
+            aside.add(word)
+    return [w for w in vocabulary()[0] if w not in aside]
+
+
 def unit_terms(unit: Column) -> Column:
     cleaned = F.transform(F.split(F.lower(unit), TERM_BREAK), lambda w: F.btrim(w, F.lit(".-")))
     return F.filter(cleaned, lambda w: (w != "") & ~w.isin(STOP))
@@ -81,7 +100,7 @@ def scores(files: DataFrame, threshold: float) -> DataFrame:
     """(path, licence, score, unit) of each file with a unit at or above the threshold: its best one."""
     idf, rare = vocabulary()
     spark = files.sparkSession
-    known = F.array(*[F.lit(w) for w in idf])
+    known = F.array(*[F.lit(w) for w in telling(threshold)])
     # rows that share a path but not a text have units of their own; equal rows only scale their vectors
     own = ["path", "body", "unit"]
     units = files.select("path", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", UNIT_BREAK)).alias("unit", "said")).select(

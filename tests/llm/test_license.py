@@ -1,7 +1,7 @@
 import math
 from collections import Counter
 
-from fieldloom.llm.license_scan import STOP, TEMPLATES, license_scan, template_weights, terms, vocabulary
+from fieldloom.llm.license_scan import STOP, TEMPLATES, THRESHOLD, license_scan, telling, template_weights, terms, vocabulary
 
 
 def cosine(a, b):
@@ -56,3 +56,10 @@ def test_templates_have_unit_length():
     for n in range(len(TEMPLATES)):
         assert abs(sum(w * w for k, *_, w in weights if k == n) - 1) < 1e-9
     assert not {w for _, _, w, _ in weights} & set(STOP)
+
+
+def test_units_without_a_telling_term_cannot_reach_the_threshold():
+    assert len(telling(THRESHOLD)) < len(vocabulary()[0]) == len(telling(0.1))
+    for n in range(len(TEMPLATES)):
+        shared = [(w, s) for k, _, w, s in template_weights() if k == n and w not in telling(THRESHOLD)]
+        assert sum(s * s for _, s in shared) ** 0.5 < THRESHOLD
