@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.session import cut_lineage
+from fieldloom.session import written
 
 _SLOT = (1 << 33) - 1
 
@@ -13,11 +13,11 @@ _SLOT = (1 << 33) - 1
 def sorted_once(df: DataFrame, order: list) -> DataFrame:
     """Range-sort and store; each row keeps its partition and place in it.
 
-    The checkpoint pins both: partition bounds come from sampling and would
+    The written rows pin both: partition bounds come from sampling and would
     otherwise be free to move when rows are computed again.
     """
     ordered = df.sort(*order).select("*", F.monotonically_increasing_id().alias("_id"))
-    return cut_lineage(ordered).select(
+    return written(ordered, "sorted").select(
         "*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit(_SLOT)).alias("_place")
     )
 

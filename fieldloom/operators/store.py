@@ -16,6 +16,7 @@ from fieldloom import rules
 from fieldloom.functions import checks
 from fieldloom.operators.validate import record_errors, sanitize, verdicts, with_checks
 from fieldloom.rules import STANDARD, RuleBook
+from fieldloom.session import written
 
 @dataclass
 class Store:
@@ -114,6 +115,8 @@ def error_rows(errors: DataFrame, docs: DataFrame | None = None) -> DataFrame:
 
 def save_documents(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD) -> Store:
     """All three tables for new documents."""
+    # routed, merged and sanitised once; all tables and verdicts read them back
+    fields = written(fields, "fields")
     rows = field_rows(fields).drop("created_at").join(
         docs.select(F.col("doc_id").alias("document_id"), "created_at"), "document_id")
     return Store(
@@ -237,7 +240,7 @@ def reprocess(docs: DataFrame, stored: DataFrame, extracted: DataFrame | None =
         old = old.join(fresh, "doc_id", "left_anti").select(*stored.columns).unionByName(
             extracted.select(*stored.columns)
         )
-    fields = sanitize(old)
+    fields = written(sanitize(old), "fields")
     return fields, record_errors(docs, fields, book), verdicts(docs, fields, book)
 
 

@@ -48,11 +48,12 @@ def run_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/fieldloom-{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later steps read stored rows, so a lost executor
-    cannot change row order or re-run everything before this point."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame below the shared folder and read it back.
+
+    Lineage is cut: later steps, retries and lost executors all see the same rows, and
+    what is used several times is computed once.
+    """
+    path = run_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
