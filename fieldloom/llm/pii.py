@@ -293,12 +293,15 @@ def _tag(shared, types: pa.Schema):
 
 
 def learn(docs: DataFrame, text_col: str) -> Model:
-    """Train on the documents of least hash among those with a candidate token; the sample has a fixed bound."""
-    text = F.col(text_col)
-    sample = (
-        docs.select(text.alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).where(F.col("text").rlike("[0-9@]"))
-        .distinct().orderBy(F.xxhash64("text"), "text").limit(TRAIN_DOCS).collect()
-    )
+    """Train on the documents of least hash among those with a candidate token.
+
+    The share of the hash range that holds about twice the sample is taken first, so only
+    so many texts are made distinct and sorted; the sample has a fixed bound.
+    """
+    fit = docs.select(F.col(text_col).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).where(F.col("text").rlike("[0-9@]"))
+    share = min(1.0, 2 * TRAIN_DOCS / max(1, fit.count()))
+    some = fit.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = some.distinct().orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30)), "text").limit(TRAIN_DOCS).collect()
     g = Graph()
     for n, row in enumerate(sample):
         add_document(g, n, row["text"], base_spans(row["text"]))
