@@ -22,7 +22,7 @@ METRICS = {
     "symbols": ("n_symbols", 1000, "word_chars", 20, False),
     "dup_lines": ("n_dup_lines", 1000, "n_text_lines", 150, False),
     "repeats": ("n_repeat_words", 1000, "n_words", 120, False),
-    "word_length": ("word_chars", 100, "n_words", 30, True),
+    "word_length": ("word_chars", 100, "n_words", 50, True),
 }
 SPREAD = 3
 MIN_GROUP = 200
