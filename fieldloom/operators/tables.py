@@ -17,6 +17,7 @@ from fieldloom.functions import checks
 from fieldloom.functions.pyfuncs import html_tables
 from fieldloom.functions.text import clean, empty_to_null, strip
 from fieldloom.operators.routing import first_match
+from fieldloom.session import written
 
 TABLE = ["doc_id", "table_no"]
 ROW = ["doc_id", "table_no", "row_index"]
@@ -173,12 +174,13 @@ def bank_fields_from_cells(cells: DataFrame, known: DataFrame | None = None) ->
     table row; after that only rows with a label, and two flags per row, move.
     """
     low = lambda c: F.lower(c["content"])
-    rows = _rows_of_cells(cells).select(
+    # the few rows that matter are written, as the flags and the pairs both read them
+    rows = written(_rows_of_cells(cells).select(
         *ROW,
         F.coalesce(F.exists("cells", lambda c: low(c).contains("bank")), F.lit(False)).alias("bank"),
         F.coalesce(F.exists("cells", lambda c: low(c).contains("details") | low(c).contains("account")), F.lit(False)).alias("details"),
         _with_neighbour(F.col("cells"), lambda c: bank_label(c["content"]).rlike(_ANY_BANK_LABEL)).alias("pairs"),
-    ).where(F.col("bank") | F.col("details") | (F.size("pairs") > 0))
+    ).where(F.col("bank") | F.col("details") | (F.size("pairs") > 0)), "bank-rows")
     speaking = rows.groupBy(*TABLE).agg(F.bool_or("bank").alias("b"), F.bool_or("details").alias("d")).where("b AND d")
     paired = rows.where(F.size("pairs") > 0).select("doc_id", "table_no", F.inline("pairs"))
     labelled = paired.join(speaking.select(*TABLE), TABLE, "left_semi").select(

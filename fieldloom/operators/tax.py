@@ -13,6 +13,7 @@ from fieldloom import rules
 from fieldloom.functions import checks, dates
 from fieldloom.functions.text import empty_to_null, extract, strip
 from fieldloom.operators.ranking import sorted_once
+from fieldloom.session import written
 
 MONEY = "decimal(18,2)"
 
@@ -55,9 +56,10 @@ def tax_from_lines(lines: DataFrame) -> DataFrame:
     ranges' maxima are carried in.  A document with most of all lines spans many
     ranges, whatever its positions are, and has one carried row for each.
     """
-    marked = sorted_once(lines.select(
-        "doc_id", "seq", F.col("amount").cast(MONEY).alias("amount"), tax_label(F.col("content")).alias("kind"),
-    ).where(F.col("kind").isNotNull() | F.col("amount").isNotNull()), ["doc_id", "seq"]).withColumnRenamed("_part", "blk")
+    # written before the sort, whose sampling would compute the lines a second time
+    narrow = written(lines.select(
+        "doc_id", "seq", F.col("amount").cast(MONEY).alias("amount"), tax_label(F.col("content")).alias("kind")), "tax-lines")
+    marked = sorted_once(narrow, ["doc_id", "seq"]).withColumnRenamed("_part", "blk")
     label = F.when(F.col("kind").isNotNull(), F.struct("seq", "kind"))
     paid = F.when(F.col("amount").isNotNull(), F.col("seq"))
 
@@ -65,29 +67,20 @@ def tax_from_lines(lines: DataFrame) -> DataFrame:
     here = marked.withColumns({
         "l": F.max(label).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
         "p": F.max(paid).over(inside.rowsBetween(Window.unboundedPreceding, -1)),
-    }).where(F.col("amount").isNotNull())
+    })
     earlier = Window.partitionBy("doc_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         marked.groupBy("doc_id", "blk").agg(F.max(label).alias("bl"), F.max(paid).alias("bp"))
         .select("doc_id", "blk", F.max("bl").over(earlier).alias("cl"), F.max("bp").over(earlier).alias("cp"))
         .where(F.col("cl").isNotNull() | F.col("cp").isNotNull())
     )
-    full = here.join(carried, ["doc_id", "blk"], "left").select(
-        "doc_id", "seq", "amount",
-        F.coalesce("l", "cl").alias("label"), F.coalesce("p", "cp").alias("before"),
-    )
-    claimed = full.where(
-        F.col("label").isNotNull() & (F.col("before").isNull() | (F.col("before") < F.col("label.seq")))
-        & (F.col("amount") != 0)
-    )
-    first = claimed.groupBy("doc_id").agg(*[
-        F.min_by("amount", F.when(F.col("label.kind") == kind, F.col("seq"))).alias(kind)
+    # every document keeps its rows up to the last aggregate, so none is lost and nothing is joined back
+    last, before = F.coalesce("l", "cl"), F.coalesce("p", "cp")
+    claims = last.isNotNull() & (before.isNull() | (before < last["seq"])) & (F.col("amount") != 0)
+    return here.join(carried, ["doc_id", "blk"], "left").groupBy("doc_id").agg(*[
+        F.coalesce(F.min_by("amount", F.when(claims & (last["kind"] == kind), F.col("seq"))), _zero()).alias(kind)
         for kind, _ in rules.TAX_LABELS
     ])
-    everyone = lines.groupBy("doc_id").agg(F.lit(None).alias("_x")).drop("_x")
-    return everyone.join(first, "doc_id", "left").select(
-        "doc_id", *[F.coalesce(kind, _zero()).alias(kind) for kind, _ in rules.TAX_LABELS]
-    )
 
 
 def rate_from_line(rate: Column, content: Column) -> Column:
