@@ -41,12 +41,8 @@ def month_year(text: Column) -> Column:
 
 def month_trigger(paragraph: Column) -> Column:
     """A paragraph that announces the month of a service or commission."""
-    words = F.upper(F.regexp_replace(paragraph, "[^A-Za-z0-9]", " "))
-    return (
-        (words.contains("SERVICE") | words.contains("COMMISSION"))
-        & (words.contains("OF") | words.contains("FOR"))
-        & words.contains("THE")
-    )
+    # the words hold letters only, so other characters need not be replaced first
+    return paragraph.rlike("(?i)SERVICE|COMMISSION") & paragraph.rlike("(?i)OF|FOR") & paragraph.rlike("(?i)THE")
 
 
 def scan_month(text: Column, as_of_year: int) -> Column:
@@ -62,7 +58,10 @@ def scan_month(text: Column, as_of_year: int) -> Column:
     years = [y for year in (as_of_year, as_of_year - 1) for y in (str(year), str(year)[-2:])]
     ranked = F.split(F.lit(",".join(f"{m}{y}" for m in spellings for y in years)), ",")
     letters = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
-    hits = F.regexp_extract_all(letters, F.lit(f"((?:{'|'.join(spellings)})(?:{'|'.join(years)}))"), F.lit(1))
+    # a month can only begin where its first letter is, and only texts with a year can hold a pair
+    first = "".join(sorted({m[0] for m in spellings}))
+    dated = F.when(letters.rlike("|".join(sorted({y[-2:] for y in years}))), letters).otherwise("")
+    hits = F.regexp_extract_all(dated, F.lit(f"(?=[{first}])((?:{'|'.join(spellings)})(?:{'|'.join(years)}))"), F.lit(1))
     best = F.array_min(F.transform(hits, lambda h: F.array_position(ranked, h)))
     return F.upper(F.get(ranked, (best - 1).cast("int")))
 
@@ -171,9 +170,24 @@ def customer_id(content: Column) -> Column:
 
 
 def amount_in_words(content: Column) -> Column:
-    # the pattern is slow on long runs of words, so texts without its key words are not tried
-    spoken = F.when(content.rlike("Hundred|Thousand|Lakh|Crore|Only"), content)
-    found = clean(strip(extract(spoken, _P["amount_in_words"], 0)))
+    """The pattern's match lies in one run of letters, blanks and commas, after an optional
+    "Rupees" in front.  From every capital of a run it looks through the whole run, so it is
+    tried only from the first run that has a key word behind a capital.
+    """
+    keys = "Hundred|Thousand|Lakh|Crore|Only"
+    runs = F.filter(F.split(F.when(content.rlike(keys), content), "[^A-Za-z ,]+"), lambda r: r.rlike(keys))
+    run = F.get(F.filter(runs, lambda r: r.rlike(f"[A-Z][A-Za-z ,]+(?:{keys})")), F.lit(0))
+
+    def spoken(r: Column) -> Column:
+        before = F.call_function("substring_index", content, r, F.lit(1))
+        rest = F.substring(content, F.length(before) + 1, F.length(content))
+        match = extract(rest, _P["amount_in_words"], 0)
+        # a "Rupees" that ends the text before the run, with white space only up to the match
+        lead = F.concat(F.regexp_extract(before, r"(Rupees\s+)\z", 1), F.regexp_extract(rest, r"\A *", 0))
+        return F.when(lead.startswith("Rupees") & F.ltrim(rest).startswith(match), F.concat(lead, match)).otherwise(match)
+
+    # each step is bound, so that it is computed once
+    found = F.get(F.transform(F.transform(F.array(run), spoken), lambda m: clean(strip(m))), F.lit(0))
     return F.when(F.length(found) > 5, found)
 
 

@@ -413,3 +413,22 @@ def test_output_names_on_clash(spark):
     got = {r["doc_id"]: r["new_name"] for r in sinks.output_names(df, ["doc_id"]).collect()}
     assert got == {1: "A_1.pdf", 2: "A_1_1.pdf", 3: "keep.pdf", 4: "A_1_2.pdf"}
 
+
+
+def test_amount_in_words_is_the_patterns_first_match(spark):
+    import re
+
+    pattern = re.compile(rules.TEXT_PATTERNS["amount_in_words"])
+    rnd = random.Random(5)
+    parts = ["Rupees", "Five", "Hundred", "Only", "lower words", "A", " ", "\n", ".", ",", "12", "Thousand and", "x Lakh", "\t", "  "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 12))) for _ in range(1500)] + [
+        "Rupees\n\n  Five Hundred Only.", "Only", "Word " * 20_000 + ". Total Rupees Five Lakh Only.", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = dict(map(tuple, df.select("n", content.amount_in_words(F.col("t"))).collect()))
+    want_of = lambda hit: spark.createDataFrame(list(hit.items()), "n int, m string")
+    hits = {n: (m.group() if (m := pattern.search(t)) else None) for n, t in enumerate(texts)}
+    from fieldloom.functions.text import clean, strip
+
+    cleaned = clean(strip(F.col("m")))
+    want = dict(map(tuple, want_of(hits).select("n", F.when(F.length(cleaned) > 5, cleaned)).collect()))
+    assert got == want
