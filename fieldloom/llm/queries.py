@@ -267,7 +267,9 @@ def _license_sql() -> str:
 @query("op7_license_scan", _license_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document, its own or its folder's."""
-    files = table(spark, sf_dir, "documents").select("doc_id", F.expr(document_path("doc_id")).alias("path"), "text")
+    # concat skips a null in the query's SQL and is null in Spark, where all such rows would be one file
+    docs = table(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("")))
+    files = docs.select("doc_id", F.expr(document_path("doc_id")).alias("path"), "text")
     out = license_scan(files)
     return files.select("doc_id", "path").join(out, "path", "left").select("doc_id", "path", "licence", "score", "origin", "origin_path")
 

@@ -2,6 +2,8 @@ import math
 from collections import Counter
 
 from fieldloom.llm.license_scan import STOP, TEMPLATES, THRESHOLD, license_scan, telling, template_weights, terms, vocabulary
+from fieldloom.llm.queries import QUERIES, SQL
+from tests.llm.helpers import as_rows, oracle
 
 
 def cosine(a, b):
@@ -63,3 +65,12 @@ def test_units_without_a_telling_term_cannot_reach_the_threshold():
     for n in range(len(TEMPLATES)):
         shared = [(w, s) for k, _, w, s in template_weights() if k == n and w not in telling(THRESHOLD)]
         assert sum(s * s for _, s in shared) ** 0.5 < THRESHOLD
+
+
+def test_null_sources_are_files_of_their_own(spark, tmp_path):
+    mit = "Released under the MIT License."
+    rows = [(101, mit, None), (102, "words only", None), (203, "words only", "web"), (300, mit, None), (301, "words only", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op7_license_scan"](spark, str(tmp_path)).toPandas()
+    assert as_rows(got) == as_rows(oracle(SQL["op7_license_scan"], str(tmp_path)))
+    assert dict(zip(got.doc_id, got.origin)) == {101: "header", 102: "none", 203: "none", 300: "header", 301: "inherited"}
