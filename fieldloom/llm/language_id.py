@@ -5,9 +5,10 @@ pieces; every piece is compressed with each dictionary, and the language whose d
 makes the whole text smallest is its prediction.  The margin, one minus the smallest total
 over the next, is the score, and a prediction with a narrow margin is marked as rejected.
 
-The dictionaries are learned from a bounded sample: documents of each language are chosen by
-a hash of their id and text, about ``SAMPLE_BYTES`` for a language, and their lines are put
-in hash order until the dictionary is full.  Everything else covers whole texts.
+The dictionaries are learned from a bounded sample: lines of each language, long ones in
+pieces, are chosen by a hash of their text and place, about ``SAMPLE_BYTES`` for a language
+and one at least, and put in hash order until the dictionary is full.  Everything else
+covers whole texts.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 DICT_BYTES = 64 << 10         # content of one language's dictionary
 TOTAL_BYTES = 64 << 20        # of all dictionaries; with very many languages each gets less
 SAMPLE_BYTES = 512 << 10      # sampled text of one language, expected
+SAMPLE_CHARS = 4096           # longest piece of a line that is sampled as one
 PIECE_CHARS = 8192
 LEVEL = 6
 MIN_MATCH = 4         # words are short; the level's own minimum would miss them
@@ -53,13 +55,21 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, order: Column) -> dict[
         return {}
     own = min(DICT_BYTES, TOTAL_BYTES // len(sizes))
     sample = min(SAMPLE_BYTES, own * 12)
+    # lines, long ones in pieces, so that a long document is spread over the sample
+    parts = labelled.select("lang", "h", F.posexplode(F.regexp_extract_all("text", F.lit(f"[^\n]{{1,{SAMPLE_CHARS}}}"), F.lit(0))).alias("n", "piece")).select(
+        "lang", F.pmod(F.xxhash64("h", "n"), F.lit(1 << 30)).alias("h"), "piece")
     shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, float(min(1.0, sample / n)))])
-    chosen = labelled.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(shares, F.col("lang")) * (1 << 30))
-    lines = chosen.select("lang", F.explode(F.split("text", "\n")).alias("line")).where("length(line) >= 20")
+    chosen = parts.where(F.col("h") < F.element_at(shares, F.col("lang")) * (1 << 30)).where(F.col("piece").rlike(r"\p{L}"))
     # the sample is bounded: sample bytes for each language
     held: dict[str, list[tuple[int, str]]] = {}
-    for row in lines.distinct().select("lang", F.xxhash64("line").alias("h"), "line").toLocalIterator():
-        held.setdefault(row["lang"], []).append((row["h"], row["line"]))
+    for row in chosen.select("lang", F.xxhash64("piece").alias("h"), "piece").distinct().toLocalIterator():
+        held.setdefault(row["lang"], []).append((row["h"], row["piece"]))
+    missed = sorted(set(sizes) - set(held))
+    if missed:
+        # the piece of least hash, so that every language with a letter has a dictionary
+        rest = parts.where(F.col("lang").isin(missed) & F.col("piece").rlike(r"\p{L}"))
+        for row in rest.groupBy("lang").agg(F.min(F.struct("h", "piece")).alias("b")).select("lang", "b.*").collect():
+            held[row["lang"]] = [(row["h"], row["piece"])]
     return {lang: " ".join(letters(x) for _, x in sorted(rows)).encode("utf-8", "replace")[:own] for lang, rows in held.items()}
 
 

@@ -2,8 +2,9 @@ import os
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from fieldloom.llm.language_id import PIECE_CHARS, language_id, letters, pieces
+from fieldloom.llm.language_id import PIECE_CHARS, language_id, learn, letters, pieces
 from fieldloom.llm.queries import QUERIES
 from tests.llm.helpers import documents
 
@@ -40,6 +41,18 @@ def test_pieces_hold_the_whole_text():
     assert letters(" 1 A,b\nÉ_") == "a b é"
 
 
+def test_every_language_is_learned_whatever_its_shape(spark):
+    # documents far over the sample, and lines shorter than twenty characters
+    long = [(n, f"{n} {EN}" * 20_000, "en", "s") for n in range(2)]
+    short = [(100 + n, "\n".join(["das wetter", "am morgen", f"war nichts {n}", "mit ihren namen"]), "de", "s") for n in range(30)]
+    chinese = [(200 + n, "\n".join(["今天早上的天气", "我们没有想到", f"来信 {n}"]), "zh", "s") for n in range(30)]
+    rows = [(1, EN), (2, "das wetter am morgen war nichts mit ihren namen"), (3, "今天早上的天气我们没有想到")]
+    got = language_id(documents(spark, rows), documents(spark, long + short + chinese)).collect()
+    assert [r.lang_pred for r in got] == ["en", "de", "zh"]
+    learned = learn(documents(spark, long + short + chinese), "text", "lang", F.lit((1 << 30) - 1).cast("long"))
+    assert set(learned) == {"en", "de", "zh"} and all(learned.values())
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are not here")
 def test_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.01"
