@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from fieldloom.llm.chat_format import expand_examples, format_conversations, formatted_text, read_turns, unescape
 from fieldloom.llm.common import table
 from fieldloom.llm.decontamination import leaks
+from fieldloom.llm.fill_in_middle import TOKEN, fill_in_middle, restore
 from fieldloom.llm.language_id import language_id
 from fieldloom.llm.license_scan import STOP, TERM_BREAK, THRESHOLD, UNIT_BREAK, LICENCE_FILE, license_scan, template_weights, vocabulary
 from fieldloom.llm.line_dedup import line_dedup
 from fieldloom.llm.packing import pack
 from fieldloom.llm.pii import personal_data
 from fieldloom.llm.quality import METRICS, MIN_GROUP, SPREAD, quality_rules
+from fieldloom.llm.resampling import resample
 from fieldloom.llm.simhash import near_duplicates
 from fieldloom.llm.substring_dedup import substring_dedup
 
@@ -285,3 +287,64 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", *[count(k) for k in ("email", "ip", "card", "phone")],
         F.sha2(F.encode(said("base"), "utf-8"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
+# ---- 11: importance resampling toward the benchmark
+
+@query("op11_importance_resampling", r"""
+    WITH crc_table AS (
+        SELECT list(c ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+            FROM range(256) r(i))),
+    said AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+             UNION ALL SELECT NULL, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+    used AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM said),
+    bytes AS (SELECT w, list_transform(range(0, len(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT)) AS b
+              FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM used))),
+    hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+               FROM bytes, crc_table),
+    placed AS (SELECT doc_id, bucket FROM used JOIN hashed USING (w)),
+    cells AS (SELECT bucket, count(doc_id) AS s, count(*) - count(doc_id) AS t FROM placed GROUP BY bucket),
+    gains AS (SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000) / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS gain
+              FROM cells),
+    weighed AS (SELECT doc_id, count(*) AS n, floor(sum(gain) / count(*)) AS weight FROM placed JOIN gains USING (bucket)
+                WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    scored AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                      CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                                                                      / 4294967296::DOUBLE))) AS BIGINT) AS score
+               FROM documents d LEFT JOIN weighed w ON d.doc_id = w.doc_id),
+    ordered AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM scored WHERE n_features >= 20)
+    SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank
+    FROM scored s LEFT JOIN ordered o ON s.doc_id = o.doc_id
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn with the benchmark's words as target."""
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# ---- 13: fill in the middle
+
+@query("op13_fill_in_middle", rf"""
+    WITH cut AS (
+        SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS u,
+               list_transform(range(0, 4), lambda k: CAST('0x' || substr(sha256('42:' || doc_id), 8 * k + 1, 8) AS BIGINT)) AS h FROM documents),
+    drawn AS (
+        SELECT *, CAST(len(u) AS BIGINT) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+               CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                    WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+    parts AS (
+        SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+               coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM drawn)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+               AS output_sha256, sha256(text) AS restored_sha256
+    FROM parts
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents rearranged, and the texts rebuilt from the output."""
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
