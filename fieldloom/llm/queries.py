@@ -18,6 +18,7 @@ from fieldloom.llm.packing import pack
 from fieldloom.llm.pii import personal_data
 from fieldloom.llm.quality import METRICS, MIN_GROUP, SPREAD, quality_rules
 from fieldloom.llm.resampling import resample
+from fieldloom.llm.set_join import set_join
 from fieldloom.llm.simhash import near_duplicates
 from fieldloom.llm.substring_dedup import substring_dedup
 
@@ -323,6 +324,14 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+# ---- 12: n-gram Jaccard join
+
+@query("op12_ngram_jaccard_join")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of five-word shingles, and its component."""
+    return set_join(table(spark, sf_dir, "documents"))
+
+
 # ---- 13: fill in the middle
 
 @query("op13_fill_in_middle", rf"""
