@@ -78,13 +78,13 @@ def _classes(size: int, types: pa.Schema):
                 cells += np.bincount((every >> _U(64 - COUNT_BITS)).astype(np.int64), minlength=len(cells))
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, n), pa.array([set_key(s) for s in sets], pa.int64()),
+                    batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array([set_key(s) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=types)
         if like is not None:
             parts = cells.reshape(-1, 1 << SEGMENT_BITS)
             n = len(parts)
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(n, like), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                pa.nulls(n, like), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
                 pa.array(np.arange(n), pa.int32()), _binaries(list(parts))], schema=types)
 
     return run
@@ -116,12 +116,23 @@ def in_order(one: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return one[np.argsort((level << _U(56)) | (one >> _U(8)), kind="stable")]
 
 
-def _prefixes(size: int, levels):
+def _chosen_sets(size: int, shared, bits: int):
+    """A function of a batch (text, row hash) that gives the sets of the rows that the sketch may hold."""
+
+    def read(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        held = sketches.has(shared.value, batch.column(1).to_numpy().view(np.uint64) >> _U(64 - bits))
+        texts = [t or b"" for t in raw(batch.column(0).filter(pa.array(held)))]
+        for a, b in blocks(texts):
+            yield [s for s in shingle_sets(texts[a:b], size) if len(s)]
+
+    return read
+
+
+def _prefixes(size: int, shared, bits: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _chosen_sets(size, shared, bits)
         for batch in batches:
-            texts = [t or b"" for t in raw(batch.column(0))]
-            for a, b in blocks(texts):
-                sets = [s for s in shingle_sets(texts[a:b], size) if len(s)]
+            for sets in read(batch):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     _binaries([in_order(s, levels.value)[:len(s) // 5 + 1] for s in sets])], ["key", "n", "prefix"])
@@ -129,6 +140,27 @@ def _prefixes(size: int, levels):
     return run
 
 
+def _member_sets(size: int, shared, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _chosen_sets(size, shared, bits)
+        for batch in batches:
+            for sets in read(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), _binaries([packed(s) for s in sets])], ["key", "set"])
+
+    return run
+
+
+def packed(one: np.ndarray) -> np.ndarray:
+    """A sorted set's shingles by their first six bytes, which sort alike."""
+    return np.ascontiguousarray(one.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(">u8").reshape(-1).astype(np.uint64)
+
+
 def _fill(bits: int):
     """A partition's prefix shingles as a sketch of cells hit once and twice."""
 
@@ -163,24 +195,8 @@ def _entries(shared, bits: int):
     return run
 
 
-def _member_sets(size: int, shared, bits: int):
-    """Key and set of the rows whose class may be wanted; the rest is dropped where the sets are joined."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in raw(batch.column(0))]
-            for a, b in blocks(texts):
-                sets = [s for s in shingle_sets(texts[a:b], size) if len(s)]
-                keys = np.array([set_key(s) for s in sets], np.int64)
-                held = np.flatnonzero(sketches.has(shared.value, keys.view(np.uint64) >> _U(64 - bits)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[held]), _binaries([sets[k] for k in held])], ["key", "set"])
-
-    return run
-
-
-def block_pairs(group, place, side, n, root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs that the lists leave: of one group, different roots and sides, whose
-    places and sizes can still reach the similarity.
+def block_ranges(group, place, side, n) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, first, count): the rows of one block behind each row that places and sizes leave.
 
     Rows are sorted by group, place, side and size.  Side -1 meets all of its group; rows of side 0
     do not meet one another, nor do those of side 1.
@@ -207,8 +223,14 @@ def block_pairs(group, place, side, n, root) -> Iterator[tuple[np.ndarray, np.nd
         if ahead == 0:
             low = np.maximum(low, alive + 1)
         count = np.where((side[alive] >= 0) & (block_side[target] == side[alive]), 0, np.maximum(high - low, 0))
-        ends = np.cumsum(count)
-        start = 0
+        yield alive, low, count
+        ahead += 1
+
+
+def block_pairs(group, place, side, n, root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of different roots in the ranges."""
+    for alive, low, count in block_ranges(group, place, side, n):
+        ends, start = np.cumsum(count), 0
         while start < len(alive):
             # whole rows, about EXPAND pairs at once
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + EXPAND, side="right")))
@@ -219,51 +241,71 @@ def block_pairs(group, place, side, n, root) -> Iterator[tuple[np.ndarray, np.nd
             if ok.any():
                 yield a[ok], b[ok]
             start = stop
-        ahead += 1
 
 
-def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components of the lists of a partition; whole lists are taken some at a time."""
-    names = ["u", "v", "nu", "nv", "ru", "rv"]
+def _whole_lists(solve):
+    """Give the rows of a sorted partition to ``solve`` as arrays, some whole lists at a time."""
 
-    def solve(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, tile, place, side, n, key, root = rows
-        group = np.cumsum(np.concatenate([[True], (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])]))
-        for a, b in block_pairs(group, place, side, n, root):
-            swap = key[a] > key[b]
-            u, v = np.where(swap, b, a), np.where(swap, a, b)
-            _, at = np.unique(np.stack([key[u], key[v]], axis=1), axis=0, return_index=True)
-            u, v = u[at], v[at]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[u], key[v], n[u], n[v], root[u], root[v])], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            rest = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows)]
+            if len(rest[0]) < 1 << 17:
+                continue
+            last = np.flatnonzero((rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from solve(*_grouped([r[:cut] for r in rest]))
+                rest = [r[cut:] for r in rest]
+        if rest is not None and len(rest[0]):
+            yield from solve(*_grouped(rest))
+
+    return run
+
+
+def _grouped(rows: list[np.ndarray]) -> list[np.ndarray]:
+    token, tile, *others = rows
+    return [np.cumsum(np.concatenate([[True], (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])])), *others]
 
-    rest: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-        rest = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows)]
-        if len(rest[0]) < 1 << 17:
-            continue
-        last = np.flatnonzero((rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield from solve([r[:cut] for r in rest])
-            rest = [r[cut:] for r in rest]
-    if rest is not None and len(rest[0]):
-        yield from solve(rest)
+
+def _list_pairs(group, place, side, n, key, root) -> Iterator[pa.RecordBatch]:
+    """Pairs across components, the smaller key first."""
+    for a, b in block_pairs(group, place, side, n, root):
+        swap = key[a] > key[b]
+        u, v = np.where(swap, b, a), np.where(swap, a, b)
+        _, at = np.unique(np.stack([key[u], key[v]], axis=1), axis=0, return_index=True)
+        u, v = u[at], v[at]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[u], key[v], n[u], n[v])], ["u", "v", "nu", "nv"])
+
+
+def _met(group, place, side, n, key, root) -> Iterator[pa.RecordBatch]:
+    """Keys of the rows that meet any other one."""
+    met = np.zeros(len(group) + 1, np.int64)
+    for alive, low, count in block_ranges(group, place, side, n):
+        on = count > 0
+        np.add.at(met, low[on], 1)
+        np.add.at(met, low[on] + count[on], -1)
+        own = alive[on]
+        np.add.at(met, own, 1)
+        np.add.at(met, own + 1, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[np.cumsum(met)[:-1] > 0]))], ["key"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The overlap of each row's set with the hub's, which stands before its rows."""
-    hub, own = None, np.zeros(0, np.uint64)
+    hub, own, last = None, np.zeros(0, np.uint64), None
     for batch in batches:
         u, chunk, is_hub, key = (batch.column(n).to_pylist() for n in range(4))
         out_u, out_v, out_n = [], [], []
         for k, data in enumerate(batch.column(4)):
-            one = np.frombuffer(data.as_buffer(), np.uint64)
+            one = unpacked(data.as_buffer())
             if is_hub[k] == 0:
-                hub, own = (u[k], chunk[k]), one
-            elif hub == (u[k], chunk[k]):
+                hub, own, last = (u[k], chunk[k]), one, None
+            elif hub == (u[k], chunk[k]) and key[k] != last:
+                last = key[k]
                 at = np.searchsorted(own, one)
                 at[at == len(own)] = 0
                 out_u.append(u[k])
@@ -307,17 +349,22 @@ def _lists(index: DataFrame) -> DataFrame:
 def _hub_pairs(index: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
     """For each set the hub of another component that most of its lists name: (u, v, nu, nv), u the hub."""
     rows = index.join(lists.select("token"), "token", "left_semi")
-    first = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "root")).alias("hub")
+    first = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "place", "root")).alias("hub")
     hubs = stored(rows.groupBy("token").agg(first), "set-hubs")
-    lesser, larger = F.least("n", "hub.n"), F.greatest("n", "hub.n")
-    near = rows.join(hubs, "token").where((F.col("root") != F.col("hub.root")) & (5 * lesser >= 4 * larger))
+    reach = 9 * F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place")) >= 4 * (F.col("n") + F.col("hub.n"))
+    near = rows.join(hubs, "token").where((F.col("root") != F.col("hub.root")) & reach)
     named = near.groupBy("key", "n", F.col("hub.key").alias("u"), F.col("hub.n").alias("nu")).agg(F.count("*").alias("c"))
     return named.groupBy(F.col("key").alias("v"), F.col("n").alias("nv")).agg(F.max(F.struct("c", "u", "nu")).alias("b")).select(
         "b.u", "v", "b.nu", "nv")
 
 
 def _across(index: DataFrame, lists: DataFrame, most: int) -> DataFrame:
-    """Distinct pairs across components that the lists leave: (u, v, nu, nv, ru, rv).
+    """Distinct pairs across components that the lists leave: (u, v, nu, nv)."""
+    return _dealt(index, lists, most).mapInArrow(_whole_lists(_list_pairs), "u long, v long, nu long, nv long").distinct()
+
+
+def _dealt(index: DataFrame, lists: DataFrame, most: int) -> DataFrame:
+    """The rows of the lists, sorted list by list.
 
     A long list's largest component is dealt over tiles, and its other rows go to each of them;
     these meet each other in tile pairs of their own.
@@ -338,9 +385,8 @@ def _across(index: DataFrame, lists: DataFrame, most: int) -> DataFrame:
         F.when(F.col("mains") == 0, F.array(spot(F.lit(0), F.when(in_main, F.lit(0)).otherwise(F.lit(-1)))))
         .when(in_main, F.array(spot(at("mains"), F.lit(0)))).otherwise(F.concat(to_mains, apart)))
     dealt = rows.select("token", F.inline(tiles), "place", "n", "key", "root").select("token", "tile", "place", "side", "n", "key", "root")
-    pairs = dealt.repartition("token", "tile").sortWithinPartitions("token", "tile", "place", "side", "n").mapInArrow(
-        _list_pairs, "u long, v long, nu long, nv long, ru long, rv long")
-    return pairs.distinct()
+    return dealt.repartition("token", "tile").sortWithinPartitions("token", "tile", "place", "side", "n").select(
+        "token", "tile", "place", "side", "n", "key", "root")
 
 
 def set_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, list_rows: int = LIST, tile: int = TILE) -> DataFrame:
@@ -351,32 +397,40 @@ def set_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     shingles is 0.8 or more.  Null, empty and blank texts have no shingle and link to nothing.
     component_id is the smallest id of the documents reachable over links, itself included; a
     null id never is, unless its component has no other.  Repeated rows share their class.
-    Shingles are compared by 64 bits of hash.  Other columns are not read.  An empty table
+    Shingles are compared by 48 bits of hash and more within a pair.  Other columns are not read.  An empty table
     gives no rows.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     context = docs.sparkSession.sparkContext
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_hash"))
     kind = source.schema["id"].dataType
     types = pa.schema([
-        ("id", to_arrow_type(kind)), ("key", pa.int64()), ("n", pa.int64()), ("segment", pa.int32()), ("cells", pa.binary())])
+        ("id", to_arrow_type(kind)), ("text_hash", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("segment", pa.int32()), ("cells", pa.binary())])
     own = stored(source.mapInArrow(
-        _classes(size, types), f"id {kind.simpleString()}, key long, n long, segment int, cells binary"), "set-classes")
+        _classes(size, types), f"id {kind.simpleString()}, text_hash long, key long, n long, segment int, cells binary"), "set-classes")
     levels = context.broadcast(shingle_levels(own))
-    rows = own.where("key is not null").select("id", "key", "n")
-    # equal sets have equal prefixes: one of each class
-    prefixes = stored(source.select("text").mapInArrow(_prefixes(size, levels), "key long, n long, prefix binary").groupBy("key").agg(
-        F.max("n").alias("n"), F.first("prefix").alias("prefix")), "set-prefixes")
+    rows = own.where("key is not null").select("id", "key", "n", "text_hash")
+    # one row stands for all of equal sets; known ids first
+    classes = stored(rows.where("n > 0").groupBy("key").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("least")).select(
+            "key", "least", F.xxhash64("least.id", "least.text_hash").alias("row_hash")), "set-least")
+    texts = source.select("text", F.xxhash64("id", "text_hash").alias("row_hash"))
+    shared, bits = _key_sketch(classes, "row_hash")
+    prefixes = stored(texts.mapInArrow(_prefixes(size, shared, bits, levels), "key long, n long, prefix binary"), "set-prefixes")
     total = int(prefixes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0])
     bits = power_of_two(total, 12, sketches.MAX_BITS)
     shared = context.broadcast(sketches.twice_bits(prefixes.select("prefix").mapInArrow(_fill(bits), sketches.SEGMENTS), bits))
-    index = stored(prefixes.select("key", "n", "prefix").mapInArrow(_entries(shared, bits), "token long, key long, n long, place long"), "set-index")
-    known = index.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("token")
-    index = stored(index.join(known, "token", "left_semi"), "set-shared")
-    members = index.select("key").distinct()
-    sets = _sets_of(source, members, size)
-    roots, links, leaders, turn, found = None, None, None, 0, 1
+    entries = prefixes.mapInArrow(_entries(shared, bits), "token long, key long, n long, place long")
+    # equal rows of the input enter once
+    index = stored(entries.repartition("token").dropDuplicates(["token", "key"]), "set-index")
+    first = stored(_with_roots(index, None), "set-first")
+    met = stored(_dealt(first, _lists(first), list_rows).mapInArrow(_whole_lists(_met), "key long").distinct(), "set-met")
+    # rows that meet none can never link
+    index = stored(index.join(met, "key", "left_semi"), "set-members")
+    shared, bits = _key_sketch(classes.join(met, "key", "left_semi"), "row_hash")
+    sets = stored(texts.mapInArrow(_member_sets(size, shared, bits), "key long, set binary"), "set-sets")
+    roots, links, turn, found = None, None, 0, 1
     while True:
         live = stored(_with_roots(index, roots), "set-live")
         lists = stored(_lists(live), "set-lists")
@@ -390,7 +444,6 @@ def set_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         roots = stored(components(links.select("u", "v")), "set-roots") if found or roots is None else roots
     pairs = stored(_across(live, lists, list_rows), "set-pairs")
     links = links.unionByName(_decided(pairs, links, sets, tile)) if not pairs.isEmpty() else links
-    classes = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
     final = stored(components(links.select("u", "v")), "set-roots") if not pairs.isEmpty() else roots
     linked = classes.join(final, classes.key == final.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = linked.groupBy("root").agg(F.min("least").alias("b")).select("root", F.col("b.id").alias("component_id"))
@@ -400,23 +453,19 @@ def set_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return whole.unionByName(alone).toDF(id_col, "n_shingles", "component_id")
 
 
-def _sets_of(source: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(key, set) of the member classes, read from the texts again; a sketch of the keys stands before the shuffle."""
-    context = source.sparkSession.sparkContext
-    members = stored(members, "set-members")
-    bits = power_of_two(16 * members.count(), 12, sketches.MAX_BITS)
-    # each key enters twice, so that its cell says two or more
-    twice = members.select(F.expr("array(key, key)").alias("k")).mapInArrow(_fill_keys(bits), sketches.SEGMENTS)
-    shared = context.broadcast(sketches.twice_bits(twice, bits))
-    made = source.select("text").mapInArrow(_member_sets(size, shared, bits), "key long, set binary")
-    return stored(made.groupBy("key").agg(F.first("set").alias("set")), "set-members-of")
+def _key_sketch(rows: DataFrame, column: str):
+    """A broadcast sketch of a column of hashes, and its bits: no false negative, so readers lose no row."""
+    bits = power_of_two(16 * rows.count(), 12, sketches.MAX_BITS)
+    # each hash enters as seen twice, which is what the sketch is asked for
+    parts = rows.select(column).mapInArrow(_fill_keys(bits), sketches.SEGMENTS)
+    return rows.sparkSession.sparkContext.broadcast(sketches.twice_bits(parts, bits)), bits
 
 
 def _fill_keys(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(0, np.uint64)
         for batch in batches:
-            cells = np.union1d(cells, batch.column(0).flatten().to_numpy().view(np.uint64) >> _U(64 - bits))
+            cells = np.union1d(cells, batch.column(0).to_numpy().view(np.uint64) >> _U(64 - bits))
         yield from sketches.segments(cells, cells, bits)
 
     return run
