@@ -12,7 +12,7 @@ from fieldloom.llm.common import table
 from fieldloom.llm.decontamination import leaks
 from fieldloom.llm.fill_in_middle import TOKEN, fill_in_middle, restore
 from fieldloom.llm.language_id import language_id
-from fieldloom.llm.license_scan import STOP, TERM_BREAK, THRESHOLD, UNIT_BREAK, LICENCE_FILE, license_scan, template_weights, vocabulary
+from fieldloom.llm.license_scan import HEADER_BREAK, LICENCE_FILE, STOP, TERM_BREAK, THRESHOLD, UNIT_BREAK, license_scan, template_weights, vocabulary
 from fieldloom.llm.line_dedup import line_dedup
 from fieldloom.llm.packing import pack
 from fieldloom.llm.pii import personal_data
@@ -242,19 +242,21 @@ def _license_sql() -> str:
     WITH files AS (SELECT doc_id, {document_path('doc_id')} AS path, text FROM documents),
     idf AS (SELECT * FROM (VALUES {idf_rows}) AS t(word, idf)),
     templates AS (SELECT * FROM (VALUES {weights}) AS t(template, licence, word, share)),
-    said AS (SELECT path, unnest(string_split_regex(text, '{UNIT_BREAK}')) AS said,
-                    generate_subscripts(string_split_regex(text, '{UNIT_BREAK}'), 1) - 1 AS unit FROM files),
-    units AS (SELECT path, unit, list_filter(list_transform(string_split_regex(lower(said), '{TERM_BREAK}'), lambda w: trim(w, '.-')),
+    parts AS (SELECT path, 0 AS kind, string_split_regex(coalesce(text, ''), '{HEADER_BREAK}') AS p FROM files
+              UNION ALL SELECT path, 1, string_split_regex(coalesce(text, ''), '{UNIT_BREAK}') FROM files
+              UNION ALL SELECT path, 2, [coalesce(text, '')] FROM files WHERE regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{LICENCE_FILE}')),
+    said AS (SELECT path, kind, unnest(p) AS said, generate_subscripts(p, 1) - 1 AS unit FROM parts),
+    units AS (SELECT path, kind, unit, list_filter(list_transform(string_split_regex(lower(said), '{TERM_BREAK}'), lambda w: trim(w, '.-')),
                     lambda w: w <> '' AND w NOT IN ({stop})) AS words FROM said),
-    used AS (SELECT path, unit, unnest(words) AS word FROM units WHERE list_has_any(words, (SELECT list(word) FROM idf))),
-    weighed AS (SELECT path, unit, u.word, count(*) * coalesce(any_value(idf), {rare!r}) AS w FROM used u LEFT JOIN idf i ON u.word = i.word
-                GROUP BY path, unit, u.word),
-    norms AS (SELECT path, unit, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY path, unit),
-    cosine AS (SELECT w.path, w.unit, licence, round(sum(w * share) / any_value(norm), 3) AS score
-               FROM weighed w JOIN templates t ON w.word = t.word JOIN norms n ON w.path = n.path AND w.unit = n.unit
-               GROUP BY w.path, w.unit, template, licence),
+    used AS (SELECT path, kind, unit, unnest(words) AS word FROM units WHERE list_has_any(words, (SELECT list(word) FROM idf))),
+    weighed AS (SELECT path, kind, unit, u.word, count(*) * coalesce(any_value(idf), {rare!r}) AS w FROM used u LEFT JOIN idf i ON u.word = i.word
+                GROUP BY path, kind, unit, u.word),
+    norms AS (SELECT path, kind, unit, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY path, kind, unit),
+    cosine AS (SELECT w.path, w.kind, w.unit, licence, round(sum(w * share) / any_value(norm), 3) AS score
+               FROM weighed w JOIN templates t ON w.word = t.word JOIN norms n ON w.path = n.path AND w.kind = n.kind AND w.unit = n.unit
+               GROUP BY w.path, w.kind, w.unit, template, licence),
     found AS (SELECT path, licence, score FROM cosine WHERE score >= {THRESHOLD}
-              QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, unit, licence) = 1),
+              QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, kind, unit, licence) = 1),
     declared AS (SELECT regexp_replace(path, '/[^/]*$', '') AS home, licence, score FROM found
                  WHERE regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{LICENCE_FILE}')
                  QUALIFY row_number() OVER (PARTITION BY home ORDER BY score DESC, licence, path) = 1),

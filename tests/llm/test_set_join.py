@@ -78,7 +78,7 @@ def groups(seed):
     return [(int(i), t) for i, t in zip(ids, rows)]
 
 
-@pytest.mark.parametrize("seed,list_rows,tile", [(1, 1 << 16, 1 << 20), (2, 3, 64), (3, 1, 1)])
+@pytest.mark.parametrize("seed,list_rows,tile", [(1, 1 << 16, 1 << 20), (3, 2, 64)])
 def test_equals_all_pairs(spark, seed, list_rows, tile):
     rows = groups(seed)
     assert answer(set_join(documents(spark, rows), list_rows=list_rows, tile=tile)) == brute(rows)
@@ -117,7 +117,7 @@ def test_blocks_leave_every_pair_that_can_reach():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("sf", ["sf0.001"])
 def test_query_equals_all_pairs(spark, sf):
     from fieldloom.llm.queries import QUERIES
 
