@@ -73,7 +73,8 @@ def _suspects(shared, bits: int, min_chars: int, types: pa.Schema):
                 for i in np.flatnonzero(sketches.has(twice, cells).all(axis=1)):
                     ids.append(n)
                     keys.append(own[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), strings(keys)], schema=types)
+            rows = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), strings(keys)], schema=types)
 
     return run
 
@@ -115,12 +116,12 @@ def line_dedup(
     bits = power_of_two(total_bytes(docs, text_col) // 16, 12, sketches.MAX_BITS)
     parts = docs.select(text_col).mapInArrow(_fill(bits, min_chars), sketches.SEGMENTS)
     shared = docs.sparkSession.sparkContext.broadcast(sketches.twice_bits(parts, bits))
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     kind = source.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    types = pa.schema([("id", to_arrow_type(kind)), ("key", pa.string())])
-    pairs = stored(source.mapInArrow(_suspects(shared, bits, min_chars, types), f"id {kind.simpleString()}, key string"), "lines")
+    types = pa.schema([("id", to_arrow_type(kind)), ("text_hash", pa.int64()), ("key", pa.string())])
+    pairs = stored(source.mapInArrow(_suspects(shared, bits, min_chars, types), f"id {kind.simpleString()}, text_hash long, key string"), "lines")
     best = F.max("id") if keep == "largest" else F.min("id")
     # one row for each key and document first, so that a line of a third of all documents is counted in many tasks
     confirmed = (
@@ -129,13 +130,14 @@ def line_dedup(
     )
     # written, so that the join below stands alone: a small side is broadcast, and a hot key's partition can be split
     confirmed = stored(confirmed, "repeated-lines")
+    # of one id and text, so that no row holds the lines of many texts
     drops = (
         pairs.join(confirmed, "key").where(~F.col("id").eqNullSafe(F.col("keeper")))
-        .groupBy("id").agg(F.collect_set("key").alias("drops")).withColumnRenamed("id", "drop_id")
+        .groupBy(F.col("id").alias("drop_id"), F.col("text_hash").alias("drop_hash")).agg(F.collect_set("key").alias("drops"))
     )
     own = docs.select(
         F.col(id_col).alias("c0"), *[F.col(c).alias(f"c{n + 1}") for n, c in enumerate(carry)], F.col(text_col).alias("text"))
-    joined = own.join(drops, own.c0.eqNullSafe(drops.drop_id), "left").drop("drop_id")
+    joined = own.join(drops, own.c0.eqNullSafe(drops.drop_id) & (F.xxhash64(own.text) == drops.drop_hash), "left").drop("drop_id", "drop_hash")
     fields = [f"c{n} {own.schema[f'c{n}'].dataType.simpleString()}" for n in range(len(carry) + 1)]
     names = [f"c{n}" for n in range(len(carry) + 1)] + ["text", "n_lines", "n_dropped"]
     out = joined.mapInArrow(_rewrite(names), ", ".join([*fields, "text string", "n_lines long", "n_dropped long"]))

@@ -69,10 +69,11 @@ def pack(
     read unless ``length`` does.  An empty table gives no rows.
     """
     tokens = F.greatest(F.coalesce(length if length is not None else word_count(F.col(text_col)), F.lit(0)).cast("long"), F.lit(0))
-    own = stored(docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")), "lengths")
+    # written with a number of the row's own, which deals rows of one id over the shards
+    own = stored(docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).withColumn("row", F.monotonically_increasing_id()), "lengths")
     last = F.greatest(F.ceil(F.col("tokens") / max_len) - 1, F.lit(0))
-    pieces = own.select("id", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
-        "id", "piece", (F.col("piece") * max_len).alias("first_token"),
+    pieces = own.select("id", "row", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
+        "id", "row", "piece", (F.col("piece") * max_len).alias("first_token"),
         F.least(F.col("tokens") - F.col("piece") * max_len, F.lit(max_len)).alias("n_tokens"))
     level = F.least(F.ceil(F.col("n_tokens") / align) * align, F.lit(max_len)).cast("long")
     # at most max_len / align rows
@@ -84,12 +85,12 @@ def pack(
     for n, edge in reversed(list(enumerate(edges))):
         inside = (F.col("n_tokens") > 0) & (F.col("n_tokens") <= edge)
         bucket, size = F.when(inside, n).otherwise(bucket), F.when(inside, F.lit(edge).cast("long")).otherwise(size)
-    rows = pieces.select("*", bucket.alias("bucket"), size.alias("bucket_len"), F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).alias("shard"))
+    rows = pieces.select("*", bucket.alias("bucket"), size.alias("bucket_len"), F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"))
     counts = rows.where("n_tokens > 0").groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     ranked = rows.where("n_tokens > 0").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "piece", "n_tokens")))
+        "rank", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "piece", "row")))
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len")))
     at = F.col("before") + F.col("rank") - 1
     placed = ranked.join(offsets, ["bucket", "shard"]).select(

@@ -51,8 +51,8 @@ def _repeat_words(words: Column) -> Column:
     return _bound(F.sort_array(windows), covered)
 
 
-def measure(docs: DataFrame, id_col: str, text_col: str, keys: tuple[str, str]) -> DataFrame:
-    """Base measures of every whole text, as (id, lang, source, measures)."""
+def measure(docs: DataFrame, id_col: str, text_col: str, keys: tuple[str, str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Base measures of every whole text, as (id, lang, source, measures), carried columns as c0, c1, ..."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.array_remove(F.split(text, SPACE_CLASS + "+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
@@ -64,7 +64,8 @@ def measure(docs: DataFrame, id_col: str, text_col: str, keys: tuple[str, str])
     return docs.select(
         F.col(id_col).alias("id"), F.col(keys[0]).cast("string").alias("lang"), F.col(keys[1]).cast("string").alias("source"),
         from_words.alias("w"), from_lines.alias("l"), F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-    ).select("id", "lang", "source", "w.*", "l.*", "n_symbols")
+        *[F.col(c).alias(f"c{n}") for n, c in enumerate(carry)],
+    ).select("id", "lang", "source", "w.*", "l.*", "n_symbols", *[f"c{n}" for n in range(len(carry))])
 
 
 def bucket(value: Column) -> Column:
@@ -130,17 +131,18 @@ def thresholds(measured: DataFrame, spread: int = SPREAD, min_group: int = MIN_G
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    spread: int = SPREAD, min_group: int = MIN_GROUP,
+    spread: int = SPREAD, min_group: int = MIN_GROUP, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each input row: id, measures, base_failed and kept.
+    """One row for each input row: id, measures, base_failed, kept and the carried columns.
 
     A null text has no words and fails the base rule.  Null languages and sources are
     groups of their own.  A value equal to its fence is kept.  Repeated rows are measured
     and judged one by one.  Other columns are not read, so names cannot clash.  An empty
     table gives no rows.
     """
-    measured = stored(measure(docs, id_col, text_col, (lang_col, source_col)), "measures")
-    fences = thresholds(measured, spread, min_group)
+    measured = stored(measure(docs, id_col, text_col, (lang_col, source_col), carry), "measures")
+    # written, so that Spark knows that they are few before it joins a source of a third of all rows
+    fences = stored(thresholds(measured, spread, min_group), "fences")
     joined = measured.alias("m").join(
         fences.alias("t"), F.expr("m.lang <=> t.lang AND m.source <=> t.source"), "left")
     beyond = F.lit(False)
@@ -150,4 +152,5 @@ def quality_rules(
             beyond = beyond | (bucket(ratio(m)) < F.col(f"{m}_low"))
     return joined.select(
         F.col("m.id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(beyond, F.lit(False))).alias("kept"))
+        base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(beyond, F.lit(False))).alias("kept"),
+        *[F.col(f"c{n}").alias(c) for n, c in enumerate(carry)])
