@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom import rules
@@ -17,6 +17,8 @@ from fieldloom.functions import checks
 from fieldloom.operators.validate import record_errors, sanitize, verdicts, with_checks
 from fieldloom.rules import STANDARD, RuleBook
 from fieldloom.session import written
+from fieldloom.sources.versions import Change
+
 
 @dataclass
 class Store:
@@ -151,7 +153,16 @@ def by_id(table: DataFrame, document_id: int, key: str = "id") -> DataFrame:
 
 def statistics(documents: DataFrame) -> DataFrame:
     """Total, per type and per status from one scan: ``dimension, value, n``."""
-    base = documents.groupBy("document_type", "validation_status").agg(F.count(F.lit(1)).alias("n"))
+    return _dimensions(documents.groupBy("document_type", "validation_status").agg(F.count(F.lit(1)).alias("n")))
+
+
+def committed_statistics(spark: SparkSession, counts: dict[tuple, int]) -> DataFrame:
+    """The same from the counters of a store's commits (type, status), without reading a document."""
+    rows = [(*k, n) for k, n in counts.items()]
+    return _dimensions(spark.createDataFrame(rows, "document_type string, validation_status string, n bigint"))
+
+
+def _dimensions(base: DataFrame) -> DataFrame:
     sets = base.groupingSets(
         [[], ["document_type"], ["validation_status"]], "document_type", "validation_status"
     ).agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
@@ -206,6 +217,37 @@ def delete_documents(store: Store, ids: DataFrame) -> Store:
     )
 
 
+def replacement(tables: dict[str, DataFrame], changed: Store) -> Change:
+    """The rows that ``replace_records`` would change, for a store that is changed by key.
+
+    Only documents that exist are touched; their old rows are joined by the bucketed key.
+    """
+    last = F.max(F.struct("updated_at", "extracted_data", "validation_status")).alias("_c")
+    new = changed.documents.groupBy(F.col("id").alias("_id")).agg(last)
+    old = tables["documents"]
+    documents = written(old.join(new, old["id"] == new["_id"]).withColumns({
+        "extracted_data": F.col("_c.extracted_data"), "validation_status": F.col("_c.validation_status"), "updated_at": F.col("_c.updated_at"),
+    }).select(*old.columns), "replaced")
+    known = documents.select(F.col("id").alias("document_id"))
+    fresh = lambda name: getattr(changed, name).select(*tables[name].columns).distinct().join(known, "document_id", "left_semi").select(
+        *tables[name].columns)
+    return Change(
+        {"documents": documents, "extractions": fresh("extractions"), "errors": fresh("errors")}, documents.select(F.col("id").alias("key")))
+
+
+def deletion(tables: dict[str, DataFrame], ids: DataFrame) -> Change:
+    """Documents and all their children go; ids that are not there touch nothing."""
+    old = tables["documents"]
+    gone = ids.select(F.col("id").alias("key"))
+    return Change({}, old.join(gone, old["id"] == gone["key"], "left_semi").select(F.col("id").alias("key")))
+
+
+def insertion(saved: Store) -> Change:
+    """New documents with their children, as ``save_documents`` makes them."""
+    return Change(
+        {"documents": saved.documents, "extractions": saved.extractions, "errors": saved.errors}, saved.documents.select(F.col("id").alias("key")))
+
+
 def export_lines(store: Store) -> DataFrame:
     """The export as lines: ``document_id, kind, phase, seq, json``.
 
@@ -267,6 +309,13 @@ def _last_values(changes: DataFrame, key: str, columns: dict[str, Column], order
     ])
 
 
+def _new_values(changes: DataFrame, target_columns: list[str], key: str, order: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    columns = [c for c in changes.columns if c in target_columns and c != key]
+    text = {c for c, t in changes.dtypes if t == "string"}
+    value = lambda c: F.when(F.col(c) != "", F.col(c)) if c in text else F.col(c)
+    return _last_values(changes, key, {c: value(c) for c in columns}, order), columns
+
+
 def update_known_values(
     target: DataFrame, changes: DataFrame, key: str = "Invoice_No", order: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -275,16 +324,18 @@ def update_known_values(
     Several changes of one key are applied in ``order``, so each column takes the
     last value that is not null; a target row stays one row.
     """
-    columns = [c for c in changes.columns if c in target.columns and c != key]
-    text = {c for c, t in changes.dtypes if t == "string"}
-    value = lambda c: F.when(F.col(c) != "", F.col(c)) if c in text else F.col(c)
-    new = _last_values(changes, key, {c: value(c) for c in columns}, order)
+    new, columns = _new_values(changes, target.columns, key, order)
     merged = target.join(new, key, "left")
     return merged.select(*[
         (F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c)) for c in target.columns
     ])
 
 
+def _new_bank(changes: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    last = F.max(F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_{c}") for c in rules.BANK_UPDATE_COLUMNS])).alias("_c")
+    return changes.groupBy(key).agg(F.lit(True).alias("_hit"), last)
+
+
 def update_bank_columns(
     target: DataFrame, changes: DataFrame, key: str = "Invoice_No", order: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -293,10 +344,27 @@ def update_bank_columns(
     Of several changes of one key the last in ``order`` counts as a whole.
     """
     names = rules.BANK_UPDATE_COLUMNS
-    last = F.max(F.struct(*[F.col(c) for c in order], *[F.col(c).alias(f"_{c}") for c in names])).alias("_c")
-    new = changes.groupBy(key).agg(F.lit(True).alias("_hit"), last)
-    merged = target.join(new, key, "left")
+    merged = target.join(_new_bank(changes, key, order), key, "left")
     return merged.select(*[
         (F.when(F.col("_hit"), F.col(f"_c._{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c))
         for c in target.columns
     ])
+
+
+def known_value_change(table: str, target: DataFrame, changes: DataFrame, key: str = "Invoice_No", order: tuple[str, ...] = ()) -> Change:
+    """``update_known_values`` as the rows that change, for a table that is changed by key.
+
+    The changes are brought to the buckets of the target; the target is read where it lies.
+    """
+    new, columns = _new_values(changes, target.columns, key, order)
+    hit = target.join(new, key).select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in target.columns])
+    rows = written(hit, "upserted")
+    return Change({table: rows}, rows.select(F.col(key).alias("key")))
+
+
+def bank_column_change(table: str, target: DataFrame, changes: DataFrame, key: str = "Invoice_No", order: tuple[str, ...] = ()) -> Change:
+    """``update_bank_columns`` as the rows that change, for a table that is changed by key."""
+    names = rules.BANK_UPDATE_COLUMNS
+    hit = target.join(_new_bank(changes, key, order), key).select(*[F.col(f"_c._{c}").alias(c) if c in names else F.col(c) for c in target.columns])
+    rows = written(hit, "upserted")
+    return Change({table: rows}, rows.select(F.col(key).alias("key")))

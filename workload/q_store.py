@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import routing, store, validate
 from fieldloom.session import run_dir
-from fieldloom.sources import sinks
+from fieldloom.sources import sinks, versions
 from workload.base import query
 from workload.q_checks import OK_SQL, TRUTHY_SQL, paise
 from workload.q_routing import CATALOG_SQL, ERRORS_SQL, fields_sql
@@ -138,12 +138,20 @@ def _changed(i) -> store.Store:
     return store.Store(twice, fields.unionByName(fields), errors)
 
 
-def _replaced(i, name: str) -> store.Store:
-    """The store written, changed in place by version, and read back."""
+def _created(i, name: str) -> str:
+    """The store written in buckets of the document's id."""
     target = run_dir(i.spark, name)
-    sinks.save_store(_store(i), target)
-    sinks.change_store(i.spark, target, lambda s: store.replace_records(s, _changed(i)))
-    return sinks.read_store(i.spark, target)
+    s = _store(i)
+    versions.create(i.spark, target, {"documents": s.documents, "extractions": s.extractions, "errors": s.errors}, versions.STORE)
+    return target
+
+
+def _replaced(i, name: str) -> store.Store:
+    """The store written, its changed documents committed as a delta, and read back."""
+    target = _created(i, name)
+    changed = _changed(i)
+    versions.change(i.spark, target, versions.STORE, lambda tables: store.replacement(tables, changed))
+    return store.Store(**versions.read(i.spark, target, versions.STORE))
 
 
 _DEBT = "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey AND c_acctbal < 0"
@@ -181,10 +189,9 @@ def _(i):
     FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN ({_DEBT})""")
 def _(i):
     ids = i.sql("SELECT o_orderkey AS id FROM {orders} JOIN {customer} ON c_custkey = o_custkey AND c_acctbal < 0")
-    target = run_dir(i.spark, "d5")
-    sinks.save_store(_store(i), target)
-    sinks.change_store(i.spark, target, lambda s: store.delete_documents(s, ids))
-    left = sinks.read_store(i.spark, target)
+    target = _created(i, "d5")
+    versions.change(i.spark, target, versions.STORE, lambda tables: store.deletion(tables, ids))
+    left = store.Store(**versions.read(i.spark, target, versions.STORE))
     row = lambda df, tab, key, name: df.select(F.lit(tab).alias("tab"), F.col(key).alias("document_id"), F.col(name).alias("name"))
     return row(left.documents, "documents", "id", "document_name").unionByName(
         row(left.extractions, "extractions", "document_id", "field_name")).unionByName(
@@ -235,7 +242,9 @@ def _(i):
 @query("w2_documents_by_type", sql="""
     SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders WHERE o_orderkey % 4 = 1 ORDER BY o_orderdate DESC, o_orderkey DESC""")
 def _(i):
-    return store.by_type(_documents(i), "invoice").select("id", "created_at")
+    # the type is a folder of the bucketed documents
+    documents = versions.read(i.spark, _created(i, "w2"), versions.STORE)["documents"]
+    return store.by_type(documents, "invoice").select("id", "created_at")
 
 
 @query("w3_document_by_id", sql="""
@@ -243,9 +252,10 @@ def _(i):
     UNION ALL SELECT 'fields', l_orderkey, count(*) FROM lineitem WHERE l_orderkey = 77 GROUP BY 2
     UNION ALL SELECT 'errors', l_orderkey, count(*) FROM lineitem WHERE l_orderkey = 77 AND l_returnflag = 'R' GROUP BY 2""")
 def _(i):
-    s = _store(i)
-    one = store.by_id(s.documents, 77).select(F.lit("document").alias("what"), "id", F.lit(1).cast("bigint").alias("n"))
-    kids = lambda t, what: store.by_id(t, 77, "document_id").groupBy(F.col("document_id").alias("id")).agg(
+    # one bucket of each table is opened
+    s = store.Store(**versions.read(i.spark, _created(i, "w3"), versions.STORE, only=77))
+    one = s.documents.select(F.lit("document").alias("what"), "id", F.lit(1).cast("bigint").alias("n"))
+    kids = lambda t, what: t.groupBy(F.col("document_id").alias("id")).agg(
         F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "id", "n")
     return one.unionByName(kids(s.extractions, "fields")).unionByName(kids(s.errors, "errors"))
 
@@ -264,6 +274,22 @@ _stat("g2_documents_per_type", "document_type", f"SELECT t AS value, count(*) AS
 _stat("g3_documents_per_status", "validation_status", f"SELECT s AS value, count(*) AS n FROM ({_STATS}) AS q GROUP BY s")
 
 
+@query("g1_counts_after_changes", sql=f"""
+    WITH left_over AS (
+        SELECT t, CASE WHEN o_orderkey IN ({_DEBT}) THEN 'valid' ELSE s END AS s FROM ({_STATS}) AS q WHERE o_orderstatus <> 'P')
+    SELECT 'total' AS dimension, '' AS value, count(*) AS n FROM left_over
+    UNION ALL SELECT 'document_type', t, count(*) FROM left_over GROUP BY t
+    UNION ALL SELECT 'validation_status', s, count(*) FROM left_over GROUP BY s""")
+def _(i):
+    """Counters of the commits after a save, a replacement, a deletion and a compaction."""
+    target = _created(i, "g1")
+    changed, gone = _changed(i), i.sql("SELECT o_orderkey AS id FROM {orders} WHERE o_orderstatus = 'P'")
+    versions.change(i.spark, target, versions.STORE, lambda tables: store.replacement(tables, changed))
+    versions.compact(i.spark, target, versions.STORE)
+    versions.change(i.spark, target, versions.STORE, lambda tables: store.deletion(tables, gone))
+    return store.committed_statistics(i.spark, versions.statistics(i.spark, target, versions.STORE))
+
+
 # --- wide-table upserts ----------------------------------------------------------------------------
 
 def _target(i):
@@ -280,13 +306,16 @@ def _changes(i):
         FROM {orders} WHERE o_orderstatus <> 'P' AND o_custkey % 2 = 0""")
 
 
+_INVOICES = versions.Layout({"invoices": "Invoice_No"})
+
+
 def _updated(i, name: str, update):
-    """The target written, updated as its next version, and read back."""
+    """The target written in buckets of its key, the rows that change committed as a delta, and read back."""
     target = run_dir(i.spark, name)
-    sinks.write_version({"invoices": _target(i)}, target, 0)
-    old = sinks.read_version(i.spark, target, ("invoices",))["invoices"]
-    sinks.write_version({"invoices": update(old, _changes(i), order=("change_no",))}, target, 1)
-    return sinks.read_version(i.spark, target, ("invoices",))["invoices"]
+    versions.create(i.spark, target, {"invoices": _target(i)}, _INVOICES)
+    changes = _changes(i)
+    versions.change(i.spark, target, _INVOICES, lambda t: update("invoices", t["invoices"], changes, order=("change_no",)))
+    return versions.read(i.spark, target, _INVOICES)["invoices"]
 
 
 @query("k10_update_known_values", sql="""
@@ -297,7 +326,7 @@ def _updated(i, name: str, update):
            CASE WHEN u THEN '2' ELSE '1' END AS Bank_Account_No, CASE WHEN u AND two THEN 'X' ELSE 'HDFC0000001' END AS Bank_IFSC_Code
     FROM (SELECT *, o_orderstatus <> 'P' AS u, o_custkey % 2 = 0 AS two FROM orders) AS q""")
 def _(i):
-    return _updated(i, "k10", store.update_known_values).select(
+    return _updated(i, "k10", store.known_value_change).select(
         "Invoice_No", "Vendor_Name", paise(F.col("TotalAmount")).alias("total"), "Bank_Name", "Bank_Payable_To", "Bank_Branch",
         "Bank_Account_No", "Bank_IFSC_Code")
 
@@ -307,7 +336,7 @@ def _(i):
            CASE WHEN u THEN NULL ELSE 'Old branch' END AS Bank_Branch, CASE WHEN u THEN '2' ELSE '1' END AS Bank_Account_No, CASE WHEN u THEN NULL ELSE 'HDFC0000001' END AS Bank_IFSC_Code
     FROM (SELECT *, o_orderstatus <> 'P' AS u FROM orders) AS q""")
 def _(i):
-    return _updated(i, "k11", store.update_bank_columns).select(
+    return _updated(i, "k11", store.bank_column_change).select(
         "Invoice_No", "Vendor_Name", "Bank_Name", "Bank_Branch", "Bank_Account_No", "Bank_IFSC_Code")
 
 
