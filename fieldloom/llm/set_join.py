@@ -8,14 +8,16 @@ one class, and only shingles that two classes may share enter the index.
 
 Relations in a list.  Its rows stand in blocks by place.  A set looks in a block only at the
 sizes that can still reach the similarity from both places, found by binary search, and it
-skips a block, and all behind it, once no size can.
-
-Relations between sets.  Most sets of a large group are highly similar to one leader: in each
-round every set that is still apart is compared with one hub of its lists, and who links is
-joined to the hub's component.  Pairs inside a component need no answer.  A pair across
-components first gets the answer of its leaders: the overlap of the leaders, widened by what
-each set and its leader do not share, decides it or leaves it to be counted itself.  Every
-pair that a block gives is decided one way or the other, so no link is lost.
+skips a block, and all behind it, once no size can.  Sets that meet in a list, at first or
+second hand, are joined to the least of them, so a list gives no more links than it has rows;
+the components of these links are groups that no similar pair leaves.
+
+Relations between sets.  Most sets of a large group are highly similar to one hub of their
+lists: each is compared with one, and who is similar is in its component.  What is left of a
+group is compared across components only, so tiles of its largest component never meet each
+other.  In a task, a set's overlaps with all others are derived from those of the most similar
+set computed before: only the shingles in which the two differ are looked up.  Sets whose
+others are all in their component need no answer.
 """
 
 from __future__ import annotations
@@ -34,10 +36,9 @@ from fieldloom.llm.components import components
 SHINGLE = 5
 COUNT_BITS = 18       # cells of the sketch that orders shingles; a segment of it is merged by one task
 SEGMENT_BITS = 14
-LIST = 1 << 16        # rows of one list in one task
-TILE = 1 << 20        # shingles that are compared with one hub in one task
-EXPAND = 1 << 21      # pairs of a list that are looked at together
-WORK = 4              # pairs across components, for each row of the index, that end the rounds
+TILE = 1 << 20        # shingles of a hub's rows, or of one side of a group, in one task
+ROW_COST = 256        # shingles that a set counts for besides its own, so that a tile has few rows
+LEADERS = 64          # sets of a tile whose answers are kept for others
 _U = np.uint64
 
 
@@ -195,16 +196,15 @@ def _entries(shared, bits: int):
     return run
 
 
-def block_ranges(group, place, side, n) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def block_ranges(group, place, n) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, first, count): the rows of one block behind each row that places and sizes leave.
 
-    Rows are sorted by group, place, side and size.  Side -1 meets all of its group; rows of side 0
-    do not meet one another, nor do those of side 1.
+    Rows are sorted by group, place and size.
     """
-    new = np.concatenate([[True], (group[1:] != group[:-1]) | (place[1:] != place[:-1]) | (side[1:] != side[:-1])])
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (place[1:] != place[:-1])])
     block = np.cumsum(new) - 1
     first = np.flatnonzero(new)
-    block_group, block_place, block_side = group[first], place[first], side[first]
+    block_group, block_place = group[first], place[first]
     sorted_by = block.astype(np.int64) << 32 | n
     most = (5 * n - 9 * place) // 4
     alive, ahead = np.arange(len(group)), 0
@@ -222,76 +222,62 @@ def block_ranges(group, place, side, n) -> Iterator[tuple[np.ndarray, np.ndarray
         high = np.searchsorted(sorted_by, target << 32 | most[alive], side="right")
         if ahead == 0:
             low = np.maximum(low, alive + 1)
-        count = np.where((side[alive] >= 0) & (block_side[target] == side[alive]), 0, np.maximum(high - low, 0))
-        yield alive, low, count
+        yield alive, low, np.maximum(high - low, 0)
         ahead += 1
 
 
-def block_pairs(group, place, side, n, root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs of different roots in the ranges."""
-    for alive, low, count in block_ranges(group, place, side, n):
-        ends, start = np.cumsum(count), 0
-        while start < len(alive):
-            # whole rows, about EXPAND pairs at once
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + EXPAND, side="right")))
-            c = count[start:stop]
-            a = np.repeat(alive[start:stop], c)
-            b = np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[start:stop], c)
-            ok = root[a] != root[b]
-            if ok.any():
-                yield a[ok], b[ok]
-            start = stop
-
-
-def _whole_lists(solve):
-    """Give the rows of a sorted partition to ``solve`` as arrays, some whole lists at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            rest = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows)]
-            if len(rest[0]) < 1 << 17:
-                continue
-            last = np.flatnonzero((rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from solve(*_grouped([r[:cut] for r in rest]))
-                rest = [r[cut:] for r in rest]
-        if rest is not None and len(rest[0]):
-            yield from solve(*_grouped(rest))
-
-    return run
-
-
-def _grouped(rows: list[np.ndarray]) -> list[np.ndarray]:
-    token, tile, *others = rows
-    return [np.cumsum(np.concatenate([[True], (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])])), *others]
-
-
-def _list_pairs(group, place, side, n, key, root) -> Iterator[pa.RecordBatch]:
-    """Pairs across components, the smaller key first."""
-    for a, b in block_pairs(group, place, side, n, root):
-        swap = key[a] > key[b]
-        u, v = np.where(swap, b, a), np.where(swap, a, b)
-        _, at = np.unique(np.stack([key[u], key[v]], axis=1), axis=0, return_index=True)
-        u, v = u[at], v[at]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[u], key[v], n[u], n[v])], ["u", "v", "nu", "nv"])
-
-
-def _met(group, place, side, n, key, root) -> Iterator[pa.RecordBatch]:
-    """Keys of the rows that meet any other one."""
-    met = np.zeros(len(group) + 1, np.int64)
-    for alive, low, count in block_ranges(group, place, side, n):
+def meeting(group, place, n) -> np.ndarray:
+    """For each row the first row of those it meets, at first or second hand, in its list."""
+    label = np.arange(len(group))
+    joined = np.zeros(len(group) + 1, np.int64)
+    left, right = [], []
+    for alive, low, count in block_ranges(group, place, n):
         on = count > 0
-        np.add.at(met, low[on], 1)
-        np.add.at(met, low[on] + count[on], -1)
-        own = alive[on]
-        np.add.at(met, own, 1)
-        np.add.at(met, own + 1, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[np.cumsum(met)[:-1] > 0]))], ["key"])
+        left.append(alive[on])
+        right.append(low[on])
+        # the rows of a range are neighbours: each is joined to the one before it
+        np.add.at(joined, low[on] + 1, 1)
+        np.add.at(joined, low[on] + count[on], -1)
+    chained = np.flatnonzero(np.cumsum(joined)[:-1] > 0)
+    a, b = np.concatenate([*left, chained]).astype(np.int64), np.concatenate([*right, chained - 1]).astype(np.int64)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of the rows of a sorted partition to the first row that they meet; some whole lists at a time."""
+
+    def solve(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, place, n, key = rows
+        first = meeting(np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])), place, n)
+        own = np.flatnonzero(first != np.arange(len(first)))
+        links = np.unique(np.stack([key[own], key[first[own]]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["u", "v"])
+
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        rest = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows)]
+        if len(rest[0]) < 1 << 17:
+            continue
+        last = np.flatnonzero(rest[0][1:] != rest[0][:-1])
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield from solve([r[:cut] for r in rest])
+            rest = [r[cut:] for r in rest]
+    if rest is not None and len(rest[0]):
+        yield from solve(rest)
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +301,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
-    """(u, v, nu, nv, inter) of pairs (u, v, nu, nv); a hub u of many pairs is dealt over chunks."""
+    """(u, v, nu, nv, inter) of pairs (u, v, nu, nv) of hubs u; a hub of many pairs is dealt over chunks."""
     chunks = stored(pairs.groupBy("u").agg(F.ceil(F.sum("nv") / tile).cast("int").alias("chunks")), "set-chunks")
     dealt = pairs.join(chunks, "u").select("u", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("part"), "v")
     hubs = chunks.select("u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), F.col("u").alias("v"))
@@ -330,66 +316,117 @@ def similar(inter: Column, nu: Column, nv: Column) -> Column:
     return 9 * inter >= 4 * (nu + nv)
 
 
-def _with_roots(index: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return index.withColumn("root", F.col("key"))
-    return index.join(roots.withColumnRenamed("root", "found"), index.key == roots.node, "left").select(
-        *index.columns, F.coalesce("found", "key").alias("root"))
-
-
-def _lists(index: DataFrame) -> DataFrame:
-    """Lists of more than one component: rows, the largest component and its rows, pairs across components."""
-    by_root = index.groupBy("token", "root").agg(F.count("*").alias("c"))
-    return by_root.groupBy("token").agg(
-        F.sum("c").alias("rows"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("main_rows"),
-        F.sum(F.col("c") * F.col("c")).alias("squares"),
-    ).where("rows > main_rows").select("token", "rows", "main", "main_rows", ((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("across"))
-
-
-def _hub_pairs(index: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
-    """For each set the hub of another component that most of its lists name: (u, v, nu, nv), u the hub."""
-    rows = index.join(lists.select("token"), "token", "left_semi")
-    first = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "place", "root")).alias("hub")
-    hubs = stored(rows.groupBy("token").agg(first), "set-hubs")
+def _hub_pairs(index: DataFrame) -> DataFrame:
+    """For each set the hub that most of its lists name: (u, v, nu, nv), u the hub."""
+    hubs = stored(index.groupBy("token").agg(
+        F.min(F.struct(F.xxhash64("key").alias("h"), "key", "n", "place")).alias("hub")), "set-hubs")
     reach = 9 * F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place")) >= 4 * (F.col("n") + F.col("hub.n"))
-    near = rows.join(hubs, "token").where((F.col("root") != F.col("hub.root")) & reach)
+    near = index.join(hubs, "token").where((F.col("key") != F.col("hub.key")) & reach)
     named = near.groupBy("key", "n", F.col("hub.key").alias("u"), F.col("hub.n").alias("nu")).agg(F.count("*").alias("c"))
     return named.groupBy(F.col("key").alias("v"), F.col("n").alias("nv")).agg(F.max(F.struct("c", "u", "nu")).alias("b")).select(
         "b.u", "v", "b.nu", "nv")
 
 
-def _across(index: DataFrame, lists: DataFrame, most: int) -> DataFrame:
-    """Distinct pairs across components that the lists leave: (u, v, nu, nv)."""
-    return _dealt(index, lists, most).mapInArrow(_whole_lists(_list_pairs), "u long, v long, nu long, nv long").distinct()
+def similar_links(key: np.ndarray, side: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Spanning links of the similar sets of a tile: rows of different roots, and of different sides but for side -1."""
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    key, side, root, size = key[order], side[order], root[order].copy(), size[order]
+    offset = np.concatenate([[0], np.cumsum(size)])
+    known, codes = np.unique(np.concatenate([sets[n] for n in order]), return_inverse=True)
+    # the rows of each shingle, and where they begin
+    holders = np.repeat(np.arange(len(size)), size)[np.argsort(codes, kind="stable")]
+    begins = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(known)))])
+
+    def overlap(some: np.ndarray) -> np.ndarray:
+        count = begins[some + 1] - begins[some]
+        at = np.repeat(begins[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.bincount(holders[at], minlength=len(size))
+
+    leaders: list[tuple[int, np.ndarray]] = []
+    u, v = [], []
+    for i in range(len(size) - 1):
+        # a set longer than this cannot be similar
+        stop = int(np.searchsorted(size, size[i] * 5 // 4, side="right"))
+        apart = root[i + 1:stop] != root[i]
+        if side[i] >= 0:
+            apart &= side[i + 1:stop] != side[i]
+        if not apart.any():
+            continue
+        own = codes[offset[i]:offset[i + 1]]
+        unlike, best = int(size[i]), None
+        for leader in leaders:
+            differ = int(size[i] + size[leader[0]] - 2 * leader[1][i])
+            if differ < unlike:
+                unlike, best = differ, leader
+        if best is None:
+            shared = overlap(own)
+        else:
+            other = codes[offset[best[0]]:offset[best[0] + 1]]
+            shared = best[1] + overlap(np.setdiff1d(own, other, assume_unique=True)) - overlap(np.setdiff1d(other, own, assume_unique=True))
+        if unlike * 8 > size[i]:
+            leaders = [*leaders[-LEADERS + 1:], (i, shared)]
+        near = apart & (9 * shared[i + 1:stop] >= 4 * (size[i] + size[i + 1:stop]))
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if root[j] != root[i]:
+                u.append(int(key[i]))
+                v.append(int(key[j]))
+                root[root == root[j]] = root[i]
+    return u, v
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each (group, tile) of a sorted partition."""
+    held: list[tuple] = []
+    now = None
+
+    def solve() -> pa.RecordBatch:
+        key, side, root = (np.array(x, np.int64) for x in list(zip(*held))[:3])
+        u, v = similar_links(key, side, root, [unpacked(x[3]) for x in held])
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-
-def _dealt(index: DataFrame, lists: DataFrame, most: int) -> DataFrame:
-    """The rows of the lists, sorted list by list.
-
-    A long list's largest component is dealt over tiles, and its other rows go to each of them;
-    these meet each other in tile pairs of their own.
+    for batch in batches:
+        for grp, tile, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != (grp, tile):
+                if len(held) > 1:
+                    yield solve()
+                held, now = [], (grp, tile)
+            # a row that is there twice is one set
+            if not held or held[-1][0] != row[0]:
+                held.append(row)
+    if len(held) > 1:
+        yield solve()
+
+
+def _group_links(members: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
+    """Links (u, v) of the members (grp, key, n, root) of all groups.
+
+    A group that fits one tile is compared there.  Of a larger one, the largest component is
+    dealt over tiles and the other rows go to each of them; these meet each other in tile pairs.
     """
-    long = F.col("rows") > most
-    mains = F.when(long, F.ceil(F.col("main_rows") / most)).otherwise(0).cast("int")
-    others = F.when(long, F.ceil((F.col("rows") - F.col("main_rows")) / most)).otherwise(1).cast("int")
-    held = stored(lists.select("token", "main", mains.alias("mains"), others.alias("others")), "set-lists")
-    rows = index.join(held, "token")
+    cost = F.col("n") + ROW_COST
+    by_root = members.groupBy("grp", "root").agg(F.sum(cost).alias("c"))
+    large = by_root.groupBy("grp").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("main"))
+    # a group of one component has no links to find
+    plan = stored(large.where("all > most").select(
+        "grp", "main", F.when(F.col("all") > tile, F.ceil(F.col("most") / tile)).otherwise(0).cast("int").alias("mains"),
+        F.when(F.col("all") > tile, F.ceil((F.col("all") - F.col("most")) / tile)).otherwise(1).cast("int").alias("others")), "set-groups")
     at = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
-    spot = lambda tile, side: F.struct(tile.cast("int").alias("tile"), side.cast("int").alias("side"))
+    spot = lambda t, side: F.struct(t.cast("int").alias("tile"), side.cast("int").alias("side"))
     own, in_main = at("others"), F.col("root") == F.col("main")
     apart = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda t: spot(
         F.col("mains") + F.least(t, own) * F.col("others") + F.greatest(t, own),
         F.when(t == own, F.lit(-1)).when(own < t, F.lit(0)).otherwise(F.lit(1))))
     to_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda t: spot(t, F.lit(1)))
     tiles = (
-        F.when(F.col("mains") == 0, F.array(spot(F.lit(0), F.when(in_main, F.lit(0)).otherwise(F.lit(-1)))))
+        F.when(F.col("mains") == 0, F.array(spot(F.lit(0), F.lit(-1))))
         .when(in_main, F.array(spot(at("mains"), F.lit(0)))).otherwise(F.concat(to_mains, apart)))
-    dealt = rows.select("token", F.inline(tiles), "place", "n", "key", "root").select("token", "tile", "place", "side", "n", "key", "root")
-    return dealt.repartition("token", "tile").sortWithinPartitions("token", "tile", "place", "side", "n").select(
-        "token", "tile", "place", "side", "n", "key", "root")
+    dealt = members.join(plan, "grp").select("grp", F.inline(tiles), "key", "root")
+    rows = dealt.join(sets, "key").select("grp", "tile", "key", "side", "root", "set")
+    return rows.repartition("grp", "tile").sortWithinPartitions("grp", "tile", "key").mapInArrow(_compare, "u long, v long")
 
 
-def set_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, list_rows: int = LIST, tile: int = TILE) -> DataFrame:
+def set_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """One row for each input row: id, n_shingles and component_id.
 
     A-Z is lower-cased, words are split at ASCII whitespace, shingles are ``size`` words (a
@@ -424,27 +461,20 @@ def set_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     entries = prefixes.mapInArrow(_entries(shared, bits), "token long, key long, n long, place long")
     # equal rows of the input enter once
     index = stored(entries.repartition("token").dropDuplicates(["token", "key"]), "set-index")
-    first = stored(_with_roots(index, None), "set-first")
-    met = stored(_dealt(first, _lists(first), list_rows).mapInArrow(_whole_lists(_met), "key long").distinct(), "set-met")
+    lists = index.repartition("token").sortWithinPartitions("token", "place", "n").select("token", "place", "n", "key")
+    groups = stored(components(lists.mapInArrow(_meet, "u long, v long").distinct()), "set-meeting")
+    grouped = groups.select(F.col("node").alias("key"), F.col("root").alias("grp"))
     # rows that meet none can never link
-    index = stored(index.join(met, "key", "left_semi"), "set-members")
-    shared, bits = _key_sketch(classes.join(met, "key", "left_semi"), "row_hash")
+    index = stored(index.join(grouped, "key"), "set-members")
+    shared, bits = _key_sketch(classes.join(grouped, "key", "left_semi"), "row_hash")
     sets = stored(texts.mapInArrow(_member_sets(size, shared, bits), "key long, set binary"), "set-sets")
-    roots, links, turn, found = None, None, 0, 1
-    while True:
-        live = stored(_with_roots(index, roots), "set-live")
-        lists = stored(_lists(live), "set-lists")
-        across, held = lists.agg(F.coalesce(F.sum("across"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-        if turn and (not found or across <= WORK * held):
-            break
-        new = stored(overlaps(stored(_hub_pairs(live, lists, turn), "set-hub-pairs"), sets, tile).where(
-            similar(F.col("inter"), F.col("nu"), F.col("nv"))), "set-links")
-        found, turn = new.count(), turn + 1
-        links = new if links is None else links.unionByName(new)
-        roots = stored(components(links.select("u", "v")), "set-roots") if found or roots is None else roots
-    pairs = stored(_across(live, lists, list_rows), "set-pairs")
-    links = links.unionByName(_decided(pairs, links, sets, tile)) if not pairs.isEmpty() else links
-    final = stored(components(links.select("u", "v")), "set-roots") if not pairs.isEmpty() else roots
+    near = overlaps(stored(_hub_pairs(index), "set-hub-pairs"), sets, tile).where(similar(F.col("inter"), F.col("nu"), F.col("nv")))
+    links = stored(near.select("u", "v"), "set-links")
+    roots = stored(components(links), "set-roots").select(F.col("node").alias("key"), "root")
+    members = index.groupBy("key", "grp").agg(F.max("n").alias("n")).join(roots, "key", "left").select(
+        "key", "grp", "n", F.coalesce("root", "key").alias("root"))
+    more = stored(_group_links(stored(members, "set-rooted"), sets, tile), "set-more-links")
+    final = stored(components(links.unionByName(more)), "set-final")
     linked = classes.join(final, classes.key == final.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = linked.groupBy("root").agg(F.min("least").alias("b")).select("root", F.col("b.id").alias("component_id"))
     by_class = stored(linked.join(named, "root").select(F.col("key").alias("class_key"), "component_id"), "set-components")
@@ -469,31 +499,3 @@ def _fill_keys(bits: int):
         yield from sketches.segments(cells, cells, bits)
 
     return run
-
-
-def _decided(pairs: DataFrame, links: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
-    """The pairs that link, from the overlaps of their leaders where these decide, else from their own."""
-    # of a set's links the leader with most in common; beyond: the set's shingles that it lacks, and its own that the set lacks
-    led = links.groupBy(F.col("v").alias("of")).agg(F.max(F.struct("inter", "u", "nu", "nv")).alias("b")).select(
-        "of", F.col("b.u").alias("leader"), F.col("b.nu").alias("size"),
-        (F.col("b.nv") - F.col("b.inter")).alias("beyond"), (F.col("b.nu") - F.col("b.inter")).alias("lacks"))
-    led = stored(led, "set-leaders")
-    side = lambda x: led.select(*[F.col(c).alias(f"{x}_{c}") for c in led.columns])
-    both = pairs.join(side("u"), F.col("u") == F.col("u_of"), "left").join(side("v"), F.col("v") == F.col("v_of"), "left")
-    asked = stored(both.select(
-        "u", "v", "nu", "nv", F.coalesce("u_leader", "u").alias("lu"), F.coalesce("v_leader", "v").alias("lv"),
-        F.coalesce("u_size", "nu").alias("su"), F.coalesce("v_size", "nv").alias("sv"),
-        (F.coalesce("u_beyond", F.lit(0)) + F.coalesce("v_beyond", F.lit(0))).alias("more"),
-        (F.coalesce("u_lacks", F.lit(0)) + F.coalesce("v_lacks", F.lit(0))).alias("less")), "set-asked")
-    turned = F.col("lu") > F.col("lv")
-    a, b = F.when(turned, F.col("lv")).otherwise(F.col("lu")), F.when(turned, F.col("lu")).otherwise(F.col("lv"))
-    sa, sb = F.when(turned, F.col("sv")).otherwise(F.col("su")), F.when(turned, F.col("su")).otherwise(F.col("sv"))
-    asked = asked.withColumns({"a": a, "b": b, "sa": sa, "sb": sb})
-    of_leaders = stored(overlaps(stored(
-        asked.groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.max("sa").alias("nu"), F.max("sb").alias("nv")), "set-leader-pairs"), sets, tile), "set-leader-overlaps")
-    known = stored(asked.join(of_leaders.select(F.col("u").alias("a"), F.col("v").alias("b"), "inter"), ["a", "b"]).select(
-        "u", "v", "nu", "nv", (F.col("inter") - F.col("less")).alias("least"), (F.col("inter") + F.col("more")).alias("most")), "set-bounds")
-    link = lambda c: similar(F.col(c), F.col("nu"), F.col("nv"))
-    sure = known.where(link("least")).select("u", "v", "nu", "nv", F.col("least").alias("inter"))
-    unsure = stored(known.where(~link("least") & link("most")).select("u", "v", "nu", "nv"), "set-unsure")
-    return stored(sure.unionByName(overlaps(unsure, sets, tile).where(link("inter"))), "set-late-links")

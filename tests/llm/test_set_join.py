@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from fieldloom.llm.set_join import block_pairs, set_join
+from fieldloom.llm.set_join import block_ranges, meeting, set_join, similar_links
 from tests.llm.helpers import SF_DIR, documents
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,19 +78,34 @@ def groups(seed):
     return [(int(i), t) for i, t in zip(ids, rows)]
 
 
-@pytest.mark.parametrize("seed,list_rows,tile", [(1, 1 << 16, 1 << 20), (3, 2, 64)])
-def test_equals_all_pairs(spark, seed, list_rows, tile):
+@pytest.mark.parametrize("seed,tile", [(1, 1 << 20), (3, 700)])
+def test_equals_all_pairs(spark, seed, tile):
     rows = groups(seed)
-    assert answer(set_join(documents(spark, rows), list_rows=list_rows, tile=tile)) == brute(rows)
+    assert answer(set_join(documents(spark, rows), tile=tile)) == brute(rows)
 
 
-def test_pairs_are_decided_after_the_rounds(spark, monkeypatch):
-    """With rounds ended at once, every other link comes from the lists and the leaders' answers."""
+@pytest.mark.parametrize("leaders", [1, 64])
+def test_derived_answers_link_like_counted_ones(monkeypatch, leaders):
     from fieldloom.llm import set_join as module
 
-    monkeypatch.setattr(module, "WORK", 1e9)
-    rows = groups(4)
-    assert answer(set_join(documents(spark, rows))) == brute(rows)
+    monkeypatch.setattr(module, "LEADERS", leaders)
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        base = rng.choice(10_000, 60, replace=False).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 10_000, 60).astype(np.uint64), base))[:int(rng.integers(40, 61))]
+                for _ in range(25)]
+        side, root = rng.integers(-1, 2, 25) if rng.random() < 0.5 else np.full(25, -1), rng.integers(0, 25, 25)
+        side[side < 0] = side.min()
+        one = lambda r: {tuple(sorted(np.flatnonzero(r == x))) for x in r}
+        want, got = root.copy(), root.copy()
+        for a in range(25):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if (side[a] < 0 or side[a] != side[b]) and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                    want[want == want[a]] = want[b]
+        for a, b in zip(*similar_links(np.arange(25), side, root, sets)):
+            got[got == got[a]] = got[b]
+        assert one(got) == one(want)
 
 
 def test_null_ids_repeats_long_and_empty(spark):
@@ -104,16 +119,19 @@ def test_null_ids_repeats_long_and_empty(spark):
 
 def test_blocks_leave_every_pair_that_can_reach():
     rng = np.random.default_rng(9)
-    group, place, side = rng.integers(0, 6, 400), rng.integers(0, 9, 400), rng.integers(-1, 1, 400)
-    n, root = place + rng.integers(1, 60, 400), rng.integers(0, 9, 400)
-    order = np.lexsort((n, side, place, group))
-    group, place, side, n, root = (x[order] for x in (group, place, side, n, root))
-    got = [p for a, b in block_pairs(group, place, side, n, root) for p in zip(a.tolist(), b.tolist())]
+    group, place = rng.integers(0, 40, 400), rng.integers(0, 9, 400)
+    n = place + rng.integers(1, 60, 400)
+    order = np.lexsort((n, place, group))
+    group, place, n = (x[order] for x in (group, place, n))
+    got = [(a, b) for rows, low, count in block_ranges(group, place, n) for a, x, c in zip(rows.tolist(), low.tolist(), count.tolist()) for b in range(x, x + c)]
     want = [
         (a, b) for a in range(400) for b in range(a + 1, 400)
-        if group[a] == group[b] and root[a] != root[b] and not side[a] == side[b] == 0
-        and 9 * min(n[a] - place[a], n[b] - place[b]) >= 4 * (n[a] + n[b])]
+        if group[a] == group[b] and 9 * min(n[a] - place[a], n[b] - place[b]) >= 4 * (n[a] + n[b])]
     assert sorted(got) == want
+    label = np.arange(400)
+    for a, b in want:
+        label[label == max(label[a], label[b])] = min(label[a], label[b])
+    assert meeting(group, place, n).tolist() == label.tolist()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
