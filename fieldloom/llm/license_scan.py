@@ -22,6 +22,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import stored
+
 THRESHOLD = 0.6
 
 _MIT_GRANT = (
@@ -241,7 +243,8 @@ def license_scan(
     the first licence and path by name.  Other columns are not read.  An empty table gives no rows.
     """
     own = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    found = scores(own, threshold)
+    # written, as the texts would be read again for each of its uses
+    found = stored(scores(own, threshold), "licence-scores")
     paths = own.select("path").distinct().withColumn("dir", folder(F.col("path")))
     named = F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_FILE)
     declared = found.where(named).select(folder(F.col("path")).alias("at"), "licence", "score", "path").groupBy("at").agg(
