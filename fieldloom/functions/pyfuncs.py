@@ -88,12 +88,87 @@ def _leaf(value) -> str | None:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
+_JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)|([][{}:,]))')
+
+
+def _deep_leaves(text: str, sep: str) -> list[dict]:
+    """The same for a record nested deeper than the JSON reader goes: one pass, open objects and lists on a stack.
+
+    A list's items are put together as they are closed.  Text that is no JSON has no leaf.
+    """
+    # of each open object: closing mark, path or parts, then whether a key, a value or a separator is due
+    out: dict[str, str | None] = {}
+    stack: list[list] = []
+    at, due, key, ended = 0, "value", None, False
+    while True:
+        found = _JSON_TOKEN.match(text, at)
+        if found is None:
+            return [{"path": p, "value": v} for p, v in out.items() if p] if ended and not text[at:].strip(" \t\n\r") else []
+        at, (string, plain, mark) = found.end(), found.groups()
+        if ended:
+            return []
+        listed = bool(stack) and any_list(stack)
+        if mark in ("{", "[") and due in ("value", "item"):
+            if mark == "{" and not listed:
+                base = "" if not stack else stack[-1][1]
+                stack.append(["}", f"{base}{sep}{key}" if base else (key or ""), None])
+            else:
+                stack.append(["}" if mark == "{" else "]", key if not listed else None, [mark]])
+            due = "first key" if mark == "{" else "item"
+            continue
+        if mark in ("}", "]") and stack and stack[-1][0] == mark and due in ("after", "first key" if mark == "}" else "item"):
+            if due == "item" and stack[-1][2] and stack[-1][2][-1] == ",":
+                return []
+            _, own_key, parts = stack.pop()
+            value = None if parts is None else "".join([*parts, mark])
+            key = own_key
+        elif mark == ":" and due == "colon":
+            due = "value"
+            if stack[-1][2] is not None:
+                stack[-1][2].append(":")
+            continue
+        elif mark == "," and due == "after" and stack:
+            due = "key" if stack[-1][0] == "}" else "item"
+            if stack[-1][2] is not None:
+                stack[-1][2].append(",")
+            continue
+        elif string is not None and due in ("first key", "key"):
+            key, due = json.loads(string), "colon"
+            if stack[-1][2] is not None:
+                stack[-1][2].append(json.dumps(key, ensure_ascii=False))
+            continue
+        elif mark is None and due in ("value", "item"):
+            leaf = json.loads(found[0], parse_float=_Written)
+            value = _leaf(leaf) if not listed else (json.dumps(leaf, ensure_ascii=False) if not isinstance(leaf, _Written) else leaf.text)
+            if not stack:
+                return []
+            parts = ()
+        else:
+            return []
+        # a value has ended
+        ended, due = not stack, "after"
+        if ended:
+            continue
+        if any_list(stack):
+            stack[-1][2].append(value)
+        elif parts is not None:
+            base = stack[-1][1]
+            out[f"{base}{sep}{key}" if base else key] = value
+
+
+def any_list(stack: list[list]) -> bool:
+    """Whether the innermost open object or list lies in a list."""
+    return stack[-1][2] is not None
+
+
 def flatten_text(text: str | None, sep: str = ".") -> list[dict]:
     """Leaves of a JSON object by path, in order; a text that is no object has none."""
     try:
         record = json.loads(text or "", parse_float=_Written)
-    except (ValueError, RecursionError):
+    except ValueError:
         return []
+    except RecursionError:
+        return _deep_leaves(text, sep)
     out, open_ = [], [("", record)]
     while open_:
         path, value = open_.pop()

@@ -60,6 +60,16 @@ def line_items(cells: DataFrame) -> DataFrame:
     )
 
 
+def item_rows(records: DataFrame, items: str, name: str = "item", number: str = "Sr_No") -> DataFrame:
+    """A record's list as rows numbered from 1 in list order; the other columns come along.
+
+    Null and empty lists give no row.
+    """
+    others = [c for c in records.columns if c != items]
+    return records.select(*others, F.posexplode(items).alias("_pos", name)).select(
+        *others, (F.col("_pos") + 1).alias(number), name)
+
+
 # --- full grids ----------------------------------------------------------------------
 
 def grid_rows(cells: DataFrame) -> DataFrame:
@@ -69,7 +79,8 @@ def grid_rows(cells: DataFrame) -> DataFrame:
     One row's cells are collected only after repeats are dropped, so an array is
     never longer than the table is wide.
     """
-    single = cells.groupBy(*ROW, "column_index").agg(
+    # dealt by row once; both groupings below keep this partitioning
+    single = cells.repartition(*[F.col(c) for c in ROW]).groupBy(*ROW, "column_index").agg(
         F.replace(F.max_by("content", "seq"), F.lit("\n"), F.lit(" ")).alias("content")
     )
     per_row = single.groupBy(*ROW).agg(

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from fieldloom import rules
 from fieldloom.operators.ranking import number_rows
+from fieldloom.sources.listing import LISTING, listed
 
-LISTING = "path string, length bigint, modificationTime timestamp"
 
 
 # --- names ---------------------------------------------------------------------------
@@ -42,7 +42,14 @@ def file_kind(path: Column) -> Column:
 # --- listings -----------------------------------------------------------------------
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All files below a folder without reading them; a missing folder is empty."""
+    """All files below a folder without reading them; a missing folder is empty.
+
+    Tasks list the folders.  On a file system that only Spark's readers know, Spark lists them
+    through the driver, without hidden files.
+    """
+    found = listed(spark, folder)
+    if found is not None:
+        return found
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     except AnalysisException as missing:

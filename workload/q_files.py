@@ -35,13 +35,19 @@ def _(i):
 
 
 @query("s2_list_table_files", sql="""
-    SELECT DISTINCT o_orderstatus AS folder, 'json' AS kind FROM orders""")
+    SELECT o_orderstatus AS folder, '.json' AS kind, CAST(sum(length('{"o_orderkey":' || o_orderkey || '}') + 1) AS BIGINT) AS bytes, count(*) AS n_rows
+    FROM orders GROUP BY 1""")
 def _(i):
     target = run_dir(i.spark, "s2")
     i.table("orders").select("o_orderstatus", "o_orderkey").write.partitionBy("o_orderstatus").json(target)
     found = files.find_by_extension(i.spark, target, [".JSON"])
     folder = F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1)
-    return found.where("length > 0").select(folder.alias("folder"), F.substring(files.extension(F.col("path")), 2, 9).alias("kind")).distinct()
+    # every listed file is read again by its path
+    sizes = found.where("length > 0").select("path", folder.alias("folder"), files.extension(F.col("path")).alias("kind"), "length")
+    lines = i.spark.read.text(target).groupBy(F.col("_metadata.file_path").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    return sizes.join(lines, plain(F.col("path")) == plain(F.col("of"))).groupBy("folder", "kind").agg(
+        F.sum("length").alias("bytes"), F.sum("n").alias("n_rows"))
 
 
 @query("s3_file_name_parts", uses="files", sql=f"""

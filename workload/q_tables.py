@@ -243,9 +243,8 @@ def _(i):
     SELECT o_orderkey AS doc_id, n AS Sr_No, string_split(o_orderpriority, '-')[n] AS piece
     FROM orders, LATERAL (SELECT unnest(range(1, len(string_split(o_orderpriority, '-')) + 1)) AS n) AS s""")
 def _(i):
-    rows = i.table("orders").select(
-        F.col("o_orderkey").alias("doc_id"), F.posexplode(F.split("o_orderpriority", "-")).alias("pos", "piece"))
-    return rows.select("doc_id", (F.col("pos") + 1).alias("Sr_No"), "piece")
+    rows = i.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.split("o_orderpriority", "-").alias("pieces"))
+    return tables.item_rows(rows, "pieces", "piece")
 
 
 @query("w6_chunk_list", sql="""
