@@ -95,6 +95,7 @@ def _deep_leaves(text: str, sep: str) -> list[dict]:
     """The same for a record nested deeper than the JSON reader goes: one pass, open objects and lists on a stack.
 
     A list's items are put together as they are closed.  Text that is no JSON has no leaf.
+    The last of equal paths counts; a key that is an object and then a value keeps the leaves of both.
     """
     # of each open object: closing mark, path or parts, then whether a key, a value or a separator is due
     out: dict[str, str | None] = {}
@@ -139,7 +140,7 @@ def _deep_leaves(text: str, sep: str) -> list[dict]:
             continue
         elif mark is None and due in ("value", "item"):
             leaf = json.loads(found[0], parse_float=_Written)
-            value = _leaf(leaf) if not listed else (json.dumps(leaf, ensure_ascii=False) if not isinstance(leaf, _Written) else leaf.text)
+            value = json.dumps(leaf, ensure_ascii=False) if listed else _leaf(leaf)
             if not stack:
                 return []
             parts = ()

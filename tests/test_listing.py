@@ -55,7 +55,7 @@ def test_deep_records_keep_their_shallow_fields(spark):
 
 def test_deep_leaves_equal_the_reader():
     texts = [
-        '{"a":{"b":[1,2.50,{"c":null}],"d":{}},"e":"x\\"y\\u00e9","f":true}', '{}', '[]', '1', '', '{"a":1,}', '{"a":[1,]}', '{"a" 1}', '{"a":1}x', '{,}', '{"a":{"b":1},"a":2}',
+        '{"a":{"b":[1,2.50,{"c":null}],"d":{}},"e":"x\\"y\\u00e9","f":true}', '{}', '[]', '1', '', '{"a":1,}', '{"a":[1,]}', '{"a" 1}', '{"a":1}x', '{,}', '{"a":1,"b":2,"a":3}',
         '{"a":01}', '{"a":"\n"}', '{"a":[}', '{"":{"b":1}}', ' { "a" : [ 1 , [ ] , { } ] , "b" : -1e5 } ', '{"a":1}{"b":2}', '{"a":nul}', '{"a"}', '{1:2}', '[{"a":1}]']
     for t in texts:
         assert pyfuncs._deep_leaves(t, ".") == pyfuncs.flatten_text(t), t
