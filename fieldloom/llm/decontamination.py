@@ -4,7 +4,8 @@ A text region that equals a benchmark item up to k edits shares at least
 ``len - q + 1 - k * q`` of the item's q-grams, on diagonals (text position minus item
 position) that span k at most.  Hits are counted in overlapping bands of diagonals; bands
 that meet the bound are verified by an alignment inside the band.  No region within the
-edit budget is missed.
+edit budget is missed.  Items under ``MIN_ITEM_BYTES`` have a budget of a few edits that chance
+would meet, so they are searched exactly, at word borders, by one automaton for a block.
 
 The benchmark is the stated query set: it is read in blocks of bounded size and every block
 goes over all documents.  Texts and items are compared in lower case with runs of whitespace
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ from fieldloom.llm.common import blocks
 
 Q = 8                     # a q-gram fills one 64-bit number
 EDIT_RATE = 0.1
-MIN_ITEM_BYTES = 32       # shorter items cannot be told from chance with this q and rate
+MIN_ITEM_BYTES = 32       # shorter items cannot be told from chance with edits: they are searched exactly
 BLOCK_BYTES = 4 << 20     # benchmark text that is sent to the workers at once
 TABLE_BITS = 22
 _U = np.uint64
@@ -127,6 +129,54 @@ def verify(item: bytes, text: bytes, low: int, width: int, most: int) -> tuple[i
     return edits, max(0, stop - back), stop
 
 
+# fixed values: first and last code point of the scripts that put no space between words
+SPACELESS = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+
+
+def _inside_word(text: str, at: int) -> bool:
+    """Whether a word goes on over this place: both sides are letters or digits of scripts with spaces."""
+    sides = text[max(0, at - 1):at], text[at:at + 1]
+    return all(c.isalnum() and not any(a <= ord(c) <= b for a, b in SPACELESS) for c in sides if c) and all(sides)
+
+
+class Short:
+    """Exact search for the short items of a block."""
+
+    def __init__(self, items: list[tuple[object, bytes]]):
+        self.items = items
+        by_text: dict[str, list[int]] = {}
+        for n, (_, text) in enumerate(items):
+            by_text.setdefault(text.decode("utf-8", "replace"), []).append(n)
+        self.machine = ahocorasick.Automaton()
+        for text, of in by_text.items():
+            self.machine.add_word(text, (len(text), of))
+        self.machine.make_automaton()
+
+    def find(self, normalised: bytes) -> dict[int, tuple[int, int, int]]:
+        """(edits, start, stop) in bytes of the first place of each item."""
+        text, out = normalised.decode("utf-8", "replace"), {}
+        for last, (length, of) in self.machine.iter(text):
+            start, stop = last + 1 - length, last + 1
+            if of[0] not in out and not _inside_word(text, start) and not _inside_word(text, stop):
+                first = len(text[:start].encode())
+                out.update(dict.fromkeys(of, (0, first, first + len(text[start:stop].encode()))))
+        return out
+
+
+def _search_short(shared, types: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = None
+        for batch in batches:
+            short = short or Short(shared.value)
+            rows = [(n, i, *hit) for n, t in enumerate(batch.column(1).to_pylist()) for i, hit in sorted(short.find(normal(t)).items())]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
+                pa.array([short.items[r[1]][0] for r in rows], types.field(1).type),
+                *[pa.array([r[2 + j] for r in rows], pa.int64()) for j in range(3)]], schema=types)
+
+    return run
+
+
 def _search(shared, types: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -157,7 +207,8 @@ def leaks(
     """One row for each document row and item it holds: id, item, edits, start and stop.
 
     An item is held if a region of the text is within ``rate`` times its length in edits; the
-    best region is given.  Items under ``MIN_ITEM_BYTES`` and null items are not searched;
+    best region is given.  An item under ``MIN_ITEM_BYTES`` is held if it stands in the text
+    between word borders, and its first place is given.  Null and blank items are not searched;
     null and empty texts hold none.  Repeated rows give repeated results, items with equal
     texts are all reported.  Other columns are not read.  An empty table or benchmark gives
     no rows.
@@ -176,14 +227,23 @@ def leaks(
     def over(block: list[tuple[object, bytes]]) -> DataFrame:
         return source.mapInArrow(_search(spark.sparkContext.broadcast(Index(block, rate)), types), schema)
 
-    held, size = [], 0
+    def exactly(block: list[tuple[object, bytes]]) -> DataFrame:
+        return source.mapInArrow(_search_short(spark.sparkContext.broadcast(block), types), schema)
+
+    held, size, short, short_size = [], 0, [], 0
     for row in items.where(F.col("text").isNotNull()).toLocalIterator():
         text = normal(row["text"])
         if len(text) < MIN_ITEM_BYTES:
+            if short and short_size + len(text) > block_bytes:
+                out, short, short_size = out.unionAll(exactly(short)), [], 0
+            if text:
+                short.append((row["item"], text))
+                short_size += len(text)
             continue
         if held and size + len(text) > block_bytes:
             out, held, size = out.unionAll(over(held)), [], 0
         held.append((row["item"], text))
         size += len(text)
     out = out.unionAll(over(held)) if held else out
+    out = out.unionAll(exactly(short)) if short else out
     return out.toDF(id_col, item_col, "edits", "start", "stop")

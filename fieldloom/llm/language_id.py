@@ -13,10 +13,10 @@ covers whole texts.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +30,17 @@ LEVEL = 6
 MIN_MATCH = 4         # words are short; the level's own minimum would miss them
 MIN_MARGIN = 0.01
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> str:
-    """Lower-case words of letters with one space between; empty if there is no letter."""
-    return _OTHER.sub(" ", (text or "").lower()).strip()
+    """Lower-case words of letters and their marks with one space between; empty if there is no letter.
+
+    Marks are the vowel signs of many scripts.  Superscripts, fractions and circled digits are no letters.
+    """
+    words = _OTHER.sub(" ", (text or "").lower()).strip()
+    return words if _LETTER.search(words) else ""
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> list[bytes]:

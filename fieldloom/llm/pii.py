@@ -1,12 +1,14 @@
 """Personal data by base patterns and a skip-chain conditional random field.
 
 The base patterns find e-mail addresses, IP addresses, card and phone numbers.  The field
-labels every candidate token (a word with a digit or an at sign) of a document as one of
-those kinds, a secret, or other.  Neighbouring candidates share a chain potential; distant
-tokens with the same characters or the same long run of digits share a skip potential, each
-with the next such token, so a token repeated a thousand times has a thousand links.  Loopy
+labels every candidate token (a word with a digit or an at sign, or the value of a secret
+wherever it stands) of a document as one of those kinds, a secret, or other.  Neighbouring
+candidates share a chain potential.  Tokens with the same characters, or the same long run of
+digits, each share a skip potential with one variable for what they name, so all mentions of a
+document are two links apart and a token repeated a thousand times has a thousand links.  Loopy
 message passing carries what one mention shows to the others: a number written with its
-context once is found where it stands bare.  Base spans stay; the field adds spans.
+context once is found wherever it stands bare.  Bare mentions of one name say the same thing
+again, so their own scores count once together.  Base spans stay; the field adds spans.
 
 The weights are trained piecewise on a bounded sample (``TRAIN_DOCS`` documents of at most
 ``TRAIN_BYTES``, by least hash), labelled by the base patterns and by assignments to secret
@@ -29,8 +31,9 @@ OTHER = len(KINDS)
 N_LABELS = OTHER + 1
 TRAIN_DOCS = 2000
 TRAIN_BYTES = 20_000
-ROUNDS = 15           # rounds of message passing
+ROUNDS = 200          # rounds of message passing, if a document's messages do not settle before
 DAMPING = 0.3
+NAME_WEIGHT = 2.0     # of a mention's link to its name, as two of them stand between two mentions
 SURE = 0.9            # least marginal of an added span
 SEED_WEIGHT = 8.0     # unary score of a token that a base span covers
 
@@ -43,6 +46,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SECRET = re.compile(r"(?i)(?:token|secret|password|api_key)[ ]?[=:][ ]?[\"']?([A-Za-z0-9_/+-]{16,})")
 NOT_SPACE_END = re.compile(r"[\x20\x09-\x0D]")
 CANDIDATE = re.compile(r"[0-9@]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = " \t\n\x0b\x0c\r"
 EDGE = ".,;:!?\"'()[]{}<>#*$%&|="
 HEX = re.compile(r"[0-9a-fA-F]{20,}")
@@ -102,7 +106,8 @@ class Graph:
     seed: list[int] = field(default_factory=list)      # label of the span that covers the token, or OTHER
     features: list[list[int]] = field(default_factory=list)
     chain: list[tuple[int, int]] = field(default_factory=list)
-    skip: list[tuple[int, int]] = field(default_factory=list)
+    skip: list[tuple[int, int]] = field(default_factory=list)     # each mention and the one before, for training
+    named: list[list[int]] = field(default_factory=list)          # the mentions of one name, two or more
 
 
 N_FEATURES = 20
@@ -125,8 +130,8 @@ def _features(core: str, before: str) -> list[int]:
     return [n for n, ok in enumerate(checks) if ok]
 
 
-def add_document(g: Graph, n: int, text: str, spans: list[tuple[str, int, int]]) -> None:
-    """Add the candidate tokens of one text and their chain and skip links."""
+def _words(text: str, secrets: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The candidate tokens of a text, in order."""
     tokens: list[tuple[int, int]] = []
     last = 0
     for m in CANDIDATE.finditer(text):
@@ -136,12 +141,25 @@ def add_document(g: Graph, n: int, text: str, spans: list[tuple[str, int, int]])
         stop = NOT_SPACE_END.search(text, m.end())
         last = stop.start() if stop else len(text)
         tokens.append((start, last))
+    # secrets without a digit: where they are assigned, and every other place
+    plain = {text[a:b] for a, b, _ in secrets if not CANDIDATE.search(text, a, b)}
+    if plain:
+        held = {a for a, _ in tokens}
+        for m in WORD.finditer(text):
+            if m.start() not in held and (m[0].strip(EDGE) in plain or any(v[1] in plain for v in SECRET.finditer(m[0]))):
+                tokens.append(m.span())
+    return sorted(tokens)
+
+
+def add_document(g: Graph, n: int, text: str, spans: list[tuple[str, int, int]]) -> None:
+    """Add the candidate tokens of one text and their chain and skip links."""
+    secrets = [(m.start(1), m.end(1), KINDS.index("secret")) for m in SECRET.finditer(text)]
+    tokens = _words(text, secrets)
     if not tokens:
         return
     covered = sorted((a, b, KINDS.index(k)) for k, a, b in spans)
-    secrets = [(m.start(1), m.end(1), KINDS.index("secret")) for m in SECRET.finditer(text)]
     covered = sorted(covered + secrets)
-    same: dict[str, int] = {}
+    same: dict[str, list[int]] = {}
     at, previous = 0, None
     for start, stop in tokens:
         core = text[start:stop].strip(EDGE)
@@ -149,7 +167,13 @@ def add_document(g: Graph, n: int, text: str, spans: list[tuple[str, int, int]])
         b = a + len(core)
         while at < len(covered) and covered[at][1] <= a:
             at += 1
-        x, y, seed = next((s for s in covered[at:at + 4] if s[0] < b and s[1] > a), (a, b, OTHER))
+        x, y, seed = a, b, OTHER
+        for k in range(at, len(covered)):
+            if covered[k][0] >= b:
+                break
+            if covered[k][1] > a:
+                x, y, seed = covered[k]
+                break
         if KINDS[seed:seed + 1] == ["secret"]:
             a, b = max(a, x), min(b, y)   # the value without the name it is assigned to
         node = len(g.doc)
@@ -162,11 +186,15 @@ def add_document(g: Graph, n: int, text: str, spans: list[tuple[str, int, int]])
             g.chain.append((node - 1, node))
         previous = stop
         digits = "".join(DIGITS.findall(core))
-        keys = {core.lower()} if len(core) >= 7 else set()
-        if len(digits) >= 7:
-            keys.add("#" + digits)
-        g.skip += [(other, node) for other in sorted({same[key] for key in keys if key in same})]
-        same.update(dict.fromkeys(keys, node))
+        name = text[a:b].lower() if seed == KINDS.index("secret") else core.lower()
+        if len(digits) >= 7 and not any(c.isalpha() for c in name):
+            name = "#" + digits
+        if len(name) >= 7:
+            same.setdefault(name, []).append(node)
+    for mentions in same.values():
+        if len(mentions) > 1:
+            g.named.append(mentions)
+            g.skip += zip(mentions, mentions[1:])
 
 
 @dataclass
@@ -213,33 +241,52 @@ def train(g: Graph, steps: int = 300) -> Model:
     return Model(weights, ratio(g.chain, np.outer(share, share) * 5), ratio([k for k in g.skip if not unsure & set(k)], np.diag(share) * 5 + np.outer(share, share) * 0.5))
 
 
-def marginals(g: Graph, model: Model) -> np.ndarray:
-    """Label marginals of all tokens by damped loopy message passing over the whole batch."""
-    scores = _matrix(g) @ model.unary
+def node_scores(g: Graph, model: Model) -> np.ndarray:
+    """Own scores of all tokens and, behind them, of the names, which have none."""
+    scores = np.zeros((len(g.doc) + len(g.named), N_LABELS))
+    scores[:len(g.doc)] = _matrix(g) @ model.unary
     seed = np.array(g.seed, np.int64)
+    for mentions in g.named:
+        bare = [n for n in mentions if seed[n] == OTHER]
+        scores[bare] /= max(1, len(bare))
     known = np.flatnonzero(seed != OTHER)
     scores[known, seed[known]] += SEED_WEIGHT
-    links = np.array(g.chain + g.skip, np.int64).reshape(-1, 2)
-    pair = np.concatenate([np.repeat(model.chain[None], len(g.chain), 0), np.repeat(model.skip[None], len(g.skip), 0)])
+    return scores
+
+
+def name_links(g: Graph) -> list[tuple[int, int]]:
+    return [(len(g.doc) + k, n) for k, mentions in enumerate(g.named) for n in mentions]
+
+
+def marginals(g: Graph, model: Model) -> np.ndarray:
+    """Label marginals of all tokens by damped loopy message passing; each document stops by its own messages."""
+    scores = node_scores(g, model)
+    names = name_links(g)
+    links = np.array(g.chain + names, np.int64).reshape(-1, 2)
+    pair = np.concatenate([np.repeat(model.chain[None], len(g.chain), 0), np.repeat(NAME_WEIGHT * model.skip[None], len(names), 0)])
     of = np.concatenate([links[:, 0], links[:, 1]])
     to = np.concatenate([links[:, 1], links[:, 0]])
     pair = np.concatenate([pair, pair])
     back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
     told = np.zeros((len(of), N_LABELS))
+    doc = np.array(g.doc + [g.doc[m[0]] for m in g.named], np.int64)[of] if len(links) else np.zeros(0, np.int64)
 
     def beliefs() -> np.ndarray:
         return scores + np.stack([np.bincount(to, told[:, k], minlength=len(scores)) for k in range(N_LABELS)], axis=1)
 
-    for _ in range(ROUNDS if len(links) else 0):
-        cavity = (beliefs()[of] - told[back])[:, :, None] + pair
+    moving = np.arange(len(of))
+    for _ in range(ROUNDS):
+        if not len(moving):
+            break
+        cavity = (beliefs()[of[moving]] - told[back[moving]])[:, :, None] + pair[moving]
         top = cavity.max(axis=1)
         new = np.log(np.exp(cavity - top[:, None, :]).sum(axis=1)) + top
         new -= new.max(axis=1, keepdims=True)
-        change = np.abs(new - told).max()
-        told = DAMPING * told + (1 - DAMPING) * new
-        if change < 1e-4:
-            break
-    b = beliefs() if len(links) else scores
+        change = np.zeros(int(doc.max()) + 1)
+        np.maximum.at(change, doc[moving], np.abs(new - told[moving]).max(axis=1))
+        told[moving] = DAMPING * told[moving] + (1 - DAMPING) * new
+        moving = moving[change[doc[moving]] >= 1e-4]
+    b = (beliefs() if len(links) else scores)[:len(g.doc)]
     p = np.exp(b - b.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
@@ -249,7 +296,7 @@ def find(texts: list[str], model: Model) -> list[tuple[list, list]]:
     base = [base_spans(t) for t in texts]
     g = Graph()
     for n, (t, spans) in enumerate(zip(texts, base)):
-        if CANDIDATE.search(t):
+        if CANDIDATE.search(t) or SECRET.search(t):
             add_document(g, n, t, spans)
     every = [list(b) for b in base]
     if g.doc:

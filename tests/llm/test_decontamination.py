@@ -55,7 +55,7 @@ def test_equals_full_alignment(spark):
     for i, t in docs:
         for j, q in items:
             a, b = normal(q), normal(t)
-            if len(a) >= 32 and (k := best_edits(a, b)) <= int(len(a) * EDIT_RATE):
+            if a and (k := best_edits(a, b)) <= (int(len(a) * EDIT_RATE) if len(a) >= 32 else 0):
                 want.append((str(i), j, k))
     assert got == sorted(want) and len({k for *_, k in got}) > 5
 
@@ -90,3 +90,15 @@ def test_alignment_in_a_band():
 def test_every_item_has_a_positive_bound():
     index = Index([(n, b"q" * n) for n in range(32, 600)], EDIT_RATE)
     assert (index.least > 0).all()
+
+
+def test_short_items_are_found_exactly_at_word_borders(spark):
+    items = [(1, "what is 2+2?"), (2, "今天天气"), (3, "Kot"), (4, "kot"), (5, "a  b"), (6, " "), (7, "ภาษา")]
+    docs = [(1, "He asks:  What is\n2+2? again what is 2+2?"), (2, "我说今天天气很好"), (3, "kotik and skot"), (4, "the kot."), (5, "xa b"), (6, "(A b)"), (7, "พูดภาษาไทย"),
+            (None, "kot"), (8, None), (9, "what is 2+2?x")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((str(r.doc_id), r.item_id, r.edits, r.start, r.stop) for r in leaks(documents(spark, docs), frame).collect()))
+    assert got == sorted([("1", 1, 0, 9, 21), ("2", 2, 0, 6, 18), ("4", 3, 0, 4, 7), ("4", 4, 0, 4, 7), ("6", 5, 0, 1, 4), ("7", 7, 0, 9, 21),
+                          ("None", 3, 0, 0, 3), ("None", 4, 0, 0, 3), ("9", 1, 0, 0, 12)])
+    small = sorted(map(str, leaks(documents(spark, docs), frame, block_bytes=8).collect()))
+    assert small == sorted(map(str, leaks(documents(spark, docs), frame).collect()))

@@ -39,6 +39,36 @@ def test_pieces_hold_the_whole_text():
         text = "é" * n
         assert b"".join(pieces(text)).decode() == text and max(len(p.decode()) for p in pieces(text)) <= PIECE_CHARS
     assert letters(" 1 A,b\nÉ_") == "a b é"
+    assert letters("हिन्दी भाषा, ภาษาไทยที่นี่ 12") == "हिन्दी भाषा ภาษาไทยที่นี่"
+    assert letters("² ½ ① _ \u0301") == ""
+
+
+def test_predictions_equal_a_plain_loop(spark):
+    """Each piece is compressed with each dictionary, and the smallest total wins."""
+    import zstandard
+
+    from fieldloom.llm.language_id import LEVEL, MIN_MATCH
+
+    content = learn(trained(spark), "text", "lang", F.xxhash64("text"))
+    rows = [(n, f"{(EN if n % 2 else DE)[n % 40:]} {n} ² {'z' * (n % 9)}" * (1 + n % 3 * 40)) for n in range(40)] + [(100, "² ½ ①"), (101, "zz yy"), (102, "é")]
+    want = {}
+    for i, text in rows:
+        said = letters(text)
+        sizes = []
+        for lang, data in sorted(content.items()):
+            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters.from_level(
+                LEVEL, source_size=PIECE_CHARS, dict_size=len(data), min_match=MIN_MATCH, write_content_size=0, write_checksum=0, write_dict_id=0)
+            total = 0
+            n = max(1, -(-len(said) // PIECE_CHARS))
+            for k in range(n):
+                part = said[len(said) * k // n:len(said) * (k + 1) // n]
+                total += len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(part.encode()))
+            sizes.append((total, lang))
+        first, second = sorted(sizes)[:2]
+        want[i] = (first[1], round(1 - first[0] / second[0], 9)) if said else ("und", 0.0)
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id(documents(spark, rows), trained(spark)).collect()}
+    assert got == want
 
 
 def test_every_language_is_learned_whatever_its_shape(spark):

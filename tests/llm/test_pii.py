@@ -63,38 +63,69 @@ def test_field_adds_what_context_shows(spark):
 
 
 def exact_marginals(g, model):
-    """By summing over all labellings of a small graph."""
+    """By summing over all labellings of a small graph, names included."""
     import itertools
 
     import numpy as np
 
-    from fieldloom.llm.pii import N_LABELS, OTHER, SEED_WEIGHT, _matrix
+    from fieldloom.llm.pii import N_LABELS, NAME_WEIGHT, name_links, node_scores
 
-    unary = _matrix(g) @ model.unary
-    for n, s in enumerate(g.seed):
-        if s != OTHER:
-            unary[n, s] += SEED_WEIGHT
+    unary = node_scores(g, model)
     out = np.zeros_like(unary)
-    for y in itertools.product(range(N_LABELS), repeat=len(g.doc)):
-        score = sum(unary[n, k] for n, k in enumerate(y)) + sum(model.chain[y[a], y[b]] for a, b in g.chain) + sum(model.skip[y[a], y[b]] for a, b in g.skip)
+    links = [(a, b, model.chain) for a, b in g.chain] + [(a, b, NAME_WEIGHT * model.skip) for a, b in name_links(g)]
+    for y in itertools.product(range(N_LABELS), repeat=len(unary)):
+        score = np.exp(sum(unary[n, k] for n, k in enumerate(y)) + sum(w[y[a], y[b]] for a, b, w in links))
         for n, k in enumerate(y):
-            out[n, k] += np.exp(score)
-    return out / out.sum(axis=1, keepdims=True)
+            out[n, k] += score
+    return (out / out.sum(axis=1, keepdims=True))[:len(g.doc)]
 
 
-def test_message_passing_is_exact_on_trees():
-    import numpy as np
-
+def trained():
     g = Graph()
     for n, (_, text) in enumerate(sample(None)):
         add_document(g, n, text, base_spans(text))
-    model = train(g)
-    tree = Graph()
-    add_document(tree, 0, "x 1234567 and 1234567 then 7654321 3 end 7654321", [])
-    assert len(tree.skip) == 2 and len(tree.chain) == 1
+    return train(g)
+
+
+def test_message_passing_is_exact_on_trees():
+    import numpy as np
+
+    model, tree = trained(), Graph()
+    add_document(tree, 0, "x 1234567 and 1234567 3 then end 1234567", [])
+    assert tree.named == [[0, 1, 3]] and tree.chain == [(1, 2)]
     assert np.abs(marginals(tree, model) - exact_marginals(tree, model)).max() < 1e-3
 
 
+def test_labels_of_small_loops_are_those_of_all_labellings():
+    import numpy as np
+
+    model, loop = trained(), Graph()
+    add_document(loop, 0, "abcdefg1 1234568 words abcdefg1 1234568", [("phone", 9, 16)])
+    assert len(loop.named) == 2 and len(loop.chain) == 2
+    exact = exact_marginals(loop, model)
+    got = marginals(loop, model)
+    assert (got.argmax(axis=1) == exact.argmax(axis=1)).all() and np.abs(got - exact).max() < 0.1
+
+
+def test_one_mention_with_context_labels_all():
+    model = trained()
+    for value in ("9f86d081884c7d659a2feaa0c55ad015", "abcdefghijklmnopqrstuv", "Abc1defghijklmnopqrs"):
+        for bare in (1, 3, 20, 100, 400):
+            text = f"password = {value} first" + f" some words {value}," * bare
+            spans = find([text], model)[0][1]
+            assert [text[a:b] for _, a, b in spans] == [value] * (bare + 1) and {k for k, *_ in spans} == {"secret"}, (value, bare)
+            # the mention with context may be the last one
+            text = f" some words {value}" * bare + f" and token: '{value}'"
+            assert len(find([text], model)[0][1]) == bare + 1
+    assert find(["abcdefghijklmnopqrstuv is no secret here"], model)[0][1] == []
+
+
+def test_a_document_does_not_hang_on_its_batch():
+    model = trained()
+    texts = [t for _, t in sample(None)] + [f"api_key=abcdefghij1234567890 and {'x abcdefghij1234567890 ' * 30}", "12 13 14 " * 200]
+    assert find(texts, model) == [find([t], model)[0] for t in texts]
+
+
 def test_empty_table_and_no_training_rows(spark):
     docs = documents(spark, [(1, "no digits"), (2, "a.b@c.org")])
     assert personal_data(docs.limit(0)).count() == 0
