@@ -8,6 +8,10 @@ windows whose anchor is estimated repeated are shuffled, as hashes grouped by an
 grouped exactly.  What comes back are the estimated windows that were not repeated after
 all; a last pass removes the others' words.  The estimate loses no window.
 
+A short phrase that very many texts hold between different words is the anchor of as many
+different windows.  Anchors of more than ``HOT_WINDOWS`` windows are counted first; their windows
+go one by one, by anchor and window, so that equal ones still meet and the rest is spread.
+
 Windows are equal when their anchors' and their own 64-bit hashes are.  A segment, the
 windows of one anchor, that occurs again in the same batch is sent once, so a passage of
 a third of all documents reaches its task once for each batch.
@@ -30,6 +34,7 @@ WINDOW = 35
 GRAM = 8
 DEPTH = 2            # rows of the count-min sketch
 BUCKET_BYTES = 8 << 20   # bytes of text for each bucket of the exact pass
+HOT_WINDOWS = 1 << 17    # windows of one anchor that are dealt window by window
 _U = np.uint64
 
 
@@ -98,7 +103,38 @@ def _estimated(w: Windows, packed: np.ndarray, bits: int) -> np.ndarray:
     return sketches.has(packed, cells(w.grams[places], bits)).all(axis=0)[at] if len(places) else np.zeros(0, bool)
 
 
-def _send(shared, bits: int, buckets: int, window: int, gram: int, types: pa.Schema):
+def _often(shared, bits: int, window: int, gram: int, floor: int):
+    """Anchors that a partition's estimated windows have ``floor`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            texts = [t or b"" for t in raw(batch.column(0))]
+            found = []
+            for a, b in blocks(texts):
+                w = find_windows(texts[a:b], window, gram)
+                found.append(w.grams[w.anchors[_estimated(w, shared.value, bits)]])
+            new, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            held, at = np.unique(np.concatenate([held, new]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, count]), minlength=len(held)).astype(np.int64)
+        on = n >= floor
+        yield pa.RecordBatch.from_arrays([pa.array(held[on].view(np.int64)), pa.array(n[on])], ["anchor", "n"])
+
+    return run
+
+
+def hot_anchors(docs: DataFrame, text_col: str, shared, bits: int, window: int, gram: int, most: int) -> np.ndarray:
+    """Sorted anchors of more than ``most`` windows, and perhaps of half as many; at most all windows by half of ``most``.
+
+    A partition names an anchor from a share of the limit on, so what all leave out is half of it at most.
+    """
+    parts = docs.select(text_col)
+    floor = max(1, most // (2 * max(1, parts.rdd.getNumPartitions())))
+    named = parts.mapInArrow(_often(shared, bits, window, gram, floor), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["anchor"] for r in named.where(F.col("n") > most // 2).collect()], np.int64).view(_U))
+
+
+def _send(shared, hot, bits: int, buckets: int, window: int, gram: int, types: pa.Schema):
     """Segments of windows that are estimated repeated, packed by bucket of their anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,18 +148,21 @@ def _send(shared, bits: int, buckets: int, window: int, gram: int, types: pa.Sch
                 if not len(at):
                     continue
                 anchors, starts = w.anchors[at], w.starts[at]
-                cut = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+                loose = np.isin(w.grams[anchors], hot.value)
+                cut = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (starts[1:] != starts[:-1] + 1) | loose[1:]]))
                 size = np.diff(np.append(cut, len(at)))
                 own = w.owner[starts[cut]]
-                parts.append((w.grams[anchors[cut]], own + a, starts[cut] - w.first[own], size, w.hashes[at]))
+                anchor = w.grams[anchors[cut]]
+                dealt = np.where(loose[cut], mix(anchor + w.hashes[at][cut]), anchor)
+                parts.append((anchor, own + a, starts[cut] - w.first[own], size, dealt, w.hashes[at]))
             if not parts:
                 continue
-            anchor, row, start, size, hashes = (np.concatenate(x) for x in zip(*parts))
+            anchor, row, start, size, dealt, hashes = (np.concatenate(x) for x in zip(*parts))
             offset = np.concatenate([[0], np.cumsum(size)])
             # segments that are equal within the batch are sent once, with weight two
             whole = span_hashes(hashes, offset[:-1], offset[1:])
             _, kept, same = np.unique(np.stack([anchor, whole], axis=1), axis=0, return_index=True, return_counts=True)
-            bucket = (anchor[kept] % _U(buckets)).astype(np.int64)
+            bucket = (dealt[kept] % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             kept, same, bucket = kept[order], same[order], bucket[order]
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -205,7 +244,7 @@ def _remove(shared, bits: int, window: int, gram: int, names: list[str]):
 
 def substring_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
-    window: int = WINDOW, gram: int = GRAM,
+    window: int = WINDOW, gram: int = GRAM, hot_windows: int = HOT_WINDOWS,
 ) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts anywhere else.
 
@@ -224,6 +263,7 @@ def substring_dedup(
     buckets = max(1, -(-size // BUCKET_BYTES))
     parts = docs.select(text_col).mapInArrow(_fill(bits, window, gram), sketches.SEGMENTS)
     shared = spark.sparkContext.broadcast(sketches.twice_bits(parts, bits))
+    hot = spark.sparkContext.broadcast(hot_anchors(docs, text_col, shared, bits, window, gram, hot_windows))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     kind = source.schema["id"].dataType
     of = to_arrow_type(kind)
@@ -232,7 +272,7 @@ def substring_dedup(
     sent_types = pa.schema([("bucket", pa.int32()), *[(n, pa.list_(t)) for n, t in lists]])
     k = kind.simpleString()
     sent = source.mapInArrow(
-        _send(shared, bits, buckets, window, gram, sent_types),
+        _send(shared, hot, bits, buckets, window, gram, sent_types),
         f"bucket int, id array<{k}>, text_hash array<bigint>, anchor array<bigint>, start array<int>, size array<int>, "
         "weight array<tinyint>, hash array<bigint>")
     run_types = pa.schema([("id", of), ("text_hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])

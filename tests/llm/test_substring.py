@@ -1,5 +1,9 @@
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from fieldloom.llm import substring_dedup as module
 from fieldloom.llm.substring_dedup import find_windows, substring_dedup
 from tests.llm.helpers import documents
 
@@ -31,6 +35,27 @@ def test_equals_brute_force_on_small_windows(spark):
     assert run(spark, rows, window=8, gram=3) == brute(rows, 8)
 
 
+def test_windows_of_a_hot_anchor_are_spread(spark):
+    """One phrase in many texts, each time between other words, and some of the windows repeated."""
+    rng = random.Random(6)
+    phrase = " ".join(f"p{n}" for n in range(6))
+    around = lambda: " ".join(f"o{rng.randrange(10**6)}" for _ in range(12))
+    rows = [(n, f"{around()} {phrase} {around()}") for n in range(300)]
+    rows += [(1000 + n, rows[n][1] + " end") for n in range(5)]
+    assert run(spark, rows, window=8, gram=3, hot_windows=40) == brute(rows, 8) == run(spark, rows, window=8, gram=3)
+    docs, bits = documents(spark, rows), 16
+    shared = spark.sparkContext.broadcast(module.sketches.twice_bits(docs.select("text").mapInArrow(module._fill(bits, 8, 3), module.sketches.SEGMENTS), bits))
+    hot = module.hot_anchors(docs, "text", shared, bits, 8, 3, 40)
+    assert len(hot) >= 1
+    kinds = [("id", pa.int64()), ("text_hash", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("weight", pa.int8()), ("hash", pa.int64())]
+    types = pa.schema([("bucket", pa.int32()), *[(n, pa.list_(t)) for n, t in kinds]])
+    sent = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(
+        module._send(shared, spark.sparkContext.broadcast(hot), bits, 50, 8, 3, types),
+        "bucket int, id array<bigint>, text_hash array<bigint>, anchor array<bigint>, start array<int>, size array<int>, weight array<tinyint>, hash array<bigint>")
+    per_bucket = [r["n"] for r in sent.groupBy("bucket").agg(F.sum(F.size("hash")).alias("n")).collect()]
+    assert len(per_bucket) > 40 and max(per_bucket) < 6 * sum(per_bucket) / len(per_bucket)
+
+
 def test_production_window(spark):
     rng = random.Random(2)
     passage = [f"p{rng.randrange(10**6)}" for _ in range(80)]
