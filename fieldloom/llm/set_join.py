@@ -15,7 +15,8 @@ the components of these links are groups that no similar pair leaves.
 Relations between sets.  Most sets of a large group are highly similar to one hub of their
 lists: each is compared with one, and who is similar is in its component.  What is left of a
 group is compared across components only, so tiles of its largest component never meet each
-other.  In a task, a set's overlaps with all others are derived from those of the most similar
+other: first by bitmaps whose difference is a lower bound of the sets', which leave smaller
+groups, then by the sets.  In a task, a set's overlaps with all others are derived from those of the most similar
 set computed before: only the shingles in which the two differ are looked up.  Sets whose
 others are all in their component need no answer.
 """
@@ -36,7 +37,7 @@ from fieldloom.llm.components import components
 SHINGLE = 5
 COUNT_BITS = 18       # cells of the sketch that orders shingles; a segment of it is merged by one task
 SEGMENT_BITS = 14
-TILE = 1 << 20        # shingles of a hub's rows, or of one side of a group, in one task
+TILE = 1 << 22        # shingles of a hub's rows, or of one side of a group, in one task
 ROW_COST = 256        # shingles that a set counts for besides its own, so that a tile has few rows
 LEADERS = 64          # sets of a tile whose answers are kept for others
 _U = np.uint64
@@ -146,11 +147,23 @@ def _member_sets(size: int, shared, bits: int):
         read = _chosen_sets(size, shared, bits)
         for batch in batches:
             for sets in read(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), _binaries([packed(s) for s in sets])], ["key", "set"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([set_key(s) for s in sets], pa.int64()), _binaries([packed(s) for s in sets]), _binaries([parity(s) for s in sets])],
+                    ["key", "set", "parity"])
 
     return run
 
 
+def parity(one: np.ndarray) -> np.ndarray:
+    """One bit for each shingle or two: whether an odd number of a set's shingles fall on it.
+
+    Two sets differ in at least as many shingles as these bits differ; a wider one is folded to
+    the width of the other by an exclusive or of its halves.
+    """
+    width = 1 << max(6, int(len(one) - 1).bit_length())
+    return np.packbits(np.bincount((one & _U(width - 1)).astype(np.int64), minlength=width) & 1)
+
+
 def packed(one: np.ndarray) -> np.ndarray:
     """A sorted set's shingles by their first six bytes, which sort alike."""
     return np.ascontiguousarray(one.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6])
@@ -327,8 +340,9 @@ def _hub_pairs(index: DataFrame) -> DataFrame:
         "b.u", "v", "b.nu", "nv")
 
 
-def similar_links(key: np.ndarray, side: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+def similar_links(key: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray, data: list[bytes]) -> tuple[list[int], list[int]]:
     """Spanning links of the similar sets of a tile: rows of different roots, and of different sides but for side -1."""
+    sets = [unpacked(x) for x in data]
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
     key, side, root, size = key[order], side[order], root[order].copy(), size[order]
@@ -375,36 +389,67 @@ def similar_links(key: np.ndarray, side: np.ndarray, root: np.ndarray, sets: lis
     return u, v
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each (group, tile) of a sorted partition."""
-    held: list[tuple] = []
-    now = None
+def alike_links(key: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[list[int], list[int]]:
+    """Spanning links of the sets of a tile whose parities leave them similar, by the roots and sides of ``similar_links``."""
+    order = np.argsort(n, kind="stable")
+    key, side, root, n = key[order], side[order], root[order], n[order]
+    rows = [np.frombuffer(bits[k], np.uint64) for k in order.tolist()]
+    width = np.array([len(r) for r in rows])
+    label, u, v = np.arange(len(n)), [], []
+    for w in np.unique(width).tolist():
+        # rows in order of size: those of this width, then those of twice the width, folded; no others are near in size
+        low, middle, high = (int(np.searchsorted(width, x, side)) for x, side in ((w, "left"), (w, "right"), (2 * w, "right")))
+        wide = [r[:w] ^ r[w:] for r in rows[middle:high]]
+        table = np.stack(rows[low:middle] + wide)
+        for i in range(low, middle):
+            stop = min(high, int(np.searchsorted(n, n[i] * 5 // 4, side="right")))
+            apart = (root[i + 1:stop] != root[i]) & (label[i + 1:stop] != label[i])
+            if side[i] >= 0:
+                apart &= side[i + 1:stop] != side[i]
+            at = np.flatnonzero(apart) + i + 1
+            if not len(at):
+                continue
+            differ = np.bitwise_count(table[at - low] ^ table[i - low]).sum(axis=1, dtype=np.int64)
+            for j in at[9 * differ <= n[i] + n[at]].tolist():
+                if label[j] != label[i]:
+                    u.append(int(key[i]))
+                    v.append(int(key[j]))
+                    label[label == label[j]] = label[i]
+    return u, v
 
-    def solve() -> pa.RecordBatch:
-        key, side, root = (np.array(x, np.int64) for x in list(zip(*held))[:3])
-        u, v = similar_links(key, side, root, [unpacked(x[3]) for x in held])
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    for batch in batches:
-        for grp, tile, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if now != (grp, tile):
-                if len(held) > 1:
-                    yield solve()
-                held, now = [], (grp, tile)
-            # a row that is there twice is one set
-            if not held or held[-1][0] != row[0]:
-                held.append(row)
-    if len(held) > 1:
-        yield solve()
+def _per_tile(find):
+    """Links that ``find`` gives for the rows (key, side, root, n, data) of each (group, tile) of a sorted partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        now = None
+
+        def solve() -> pa.RecordBatch:
+            u, v = find(*(np.array(x, np.int64) for x in list(zip(*held))[:4]), [x[4] for x in held])
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            for grp, tile, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != (grp, tile):
+                    if len(held) > 1:
+                        yield solve()
+                    held, now = [], (grp, tile)
+                # a row that is there twice is one set
+                if not held or held[-1][0] != row[0]:
+                    held.append(row)
+        if len(held) > 1:
+            yield solve()
+
+    return run
 
 
-def _group_links(members: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
-    """Links (u, v) of the members (grp, key, n, root) of all groups.
+def _group_links(members: DataFrame, data: DataFrame, cost: Column, tile: int, find) -> DataFrame:
+    """Links (u, v) that ``find`` gives for the members (grp, key, n, root) of all groups, with their data (key, data).
 
     A group that fits one tile is compared there.  Of a larger one, the largest component is
     dealt over tiles and the other rows go to each of them; these meet each other in tile pairs.
     """
-    cost = F.col("n") + ROW_COST
     by_root = members.groupBy("grp", "root").agg(F.sum(cost).alias("c"))
     large = by_root.groupBy("grp").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("main"))
     # a group of one component has no links to find
@@ -421,9 +466,9 @@ def _group_links(members: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
     tiles = (
         F.when(F.col("mains") == 0, F.array(spot(F.lit(0), F.lit(-1))))
         .when(in_main, F.array(spot(at("mains"), F.lit(0)))).otherwise(F.concat(to_mains, apart)))
-    dealt = members.join(plan, "grp").select("grp", F.inline(tiles), "key", "root")
-    rows = dealt.join(sets, "key").select("grp", "tile", "key", "side", "root", "set")
-    return rows.repartition("grp", "tile").sortWithinPartitions("grp", "tile", "key").mapInArrow(_compare, "u long, v long")
+    dealt = members.join(plan, "grp").select("grp", F.inline(tiles), "key", "root", "n")
+    rows = dealt.join(data, "key").select("grp", "tile", "key", "side", "root", "n", "data")
+    return rows.repartition("grp", "tile").sortWithinPartitions("grp", "tile", "key").mapInArrow(_per_tile(find), "u long, v long")
 
 
 def set_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, tile: int = TILE) -> DataFrame:
@@ -467,13 +512,20 @@ def set_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     # rows that meet none can never link
     index = stored(index.join(grouped, "key"), "set-members")
     shared, bits = _key_sketch(classes.join(grouped, "key", "left_semi"), "row_hash")
-    sets = stored(texts.mapInArrow(_member_sets(size, shared, bits), "key long, set binary"), "set-sets")
+    sets = stored(texts.mapInArrow(_member_sets(size, shared, bits), "key long, set binary, parity binary"), "set-sets")
     near = overlaps(stored(_hub_pairs(index), "set-hub-pairs"), sets, tile).where(similar(F.col("inter"), F.col("nu"), F.col("nv")))
     links = stored(near.select("u", "v"), "set-links")
     roots = stored(components(links), "set-roots").select(F.col("node").alias("key"), "root")
     members = index.groupBy("key", "grp").agg(F.max("n").alias("n")).join(roots, "key", "left").select(
         "key", "grp", "n", F.coalesce("root", "key").alias("root"))
-    more = stored(_group_links(stored(members, "set-rooted"), sets, tile), "set-more-links")
+    members = stored(members, "set-rooted")
+    # first by parities, a fiftieth of the sets: who may be similar to whom makes smaller groups
+    alike = stored(_group_links(
+        members, sets.select("key", F.col("parity").alias("data")), F.ceil(F.col("n") / 32) + ROW_COST // 4, tile, alike_links), "set-alike")
+    closer = components(alike).select(F.col("node").alias("key"), F.col("root").alias("grp"))
+    members = stored(members.drop("grp").join(closer, "key"), "set-closer")
+    more = stored(_group_links(
+        members, sets.select("key", F.col("set").alias("data")), F.col("n") + ROW_COST, tile, similar_links), "set-more-links")
     final = stored(components(links.unionByName(more)), "set-final")
     linked = classes.join(final, classes.key == final.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = linked.groupBy("root").agg(F.min("least").alias("b")).select("root", F.col("b.id").alias("component_id"))

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from fieldloom.llm.set_join import block_ranges, meeting, set_join, similar_links
+from fieldloom.llm.set_join import alike_links, block_ranges, meeting, packed, parity, set_join, similar_links
 from tests.llm.helpers import SF_DIR, documents
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,8 +91,9 @@ def test_derived_answers_link_like_counted_ones(monkeypatch, leaders):
     monkeypatch.setattr(module, "LEADERS", leaders)
     rng = np.random.default_rng(12)
     for _ in range(40):
-        base = rng.choice(10_000, 60, replace=False).astype(np.uint64)
-        sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 10_000, 60).astype(np.uint64), base))[:int(rng.integers(40, 61))]
+        size = int(rng.choice([8, 70, 150]))
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(size) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 1 << 63, size).astype(np.uint64), base))[:int(rng.integers(size * 2 // 3, size + 1))]
                 for _ in range(25)]
         side, root = rng.integers(-1, 2, 25) if rng.random() < 0.5 else np.full(25, -1), rng.integers(0, 25, 25)
         side[side < 0] = side.min()
@@ -103,9 +104,18 @@ def test_derived_answers_link_like_counted_ones(monkeypatch, leaders):
                 both = len(np.intersect1d(sets[a], sets[b]))
                 if (side[a] < 0 or side[a] != side[b]) and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
                     want[want == want[a]] = want[b]
-        for a, b in zip(*similar_links(np.arange(25), side, root, sets)):
+        n, near = np.array([len(x) for x in sets]), np.arange(25)
+        for a, b in zip(*similar_links(np.arange(25), side, root, n, [packed(x).tobytes() for x in sets])):
             got[got == got[a]] = got[b]
         assert one(got) == one(want)
+        # the groups by parity part no similar pair
+        for a, b in zip(*alike_links(np.arange(25), side, root, n, [parity(x).tobytes() for x in sets])):
+            near[near == near[a]] = near[b]
+        for a in range(25):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if root[a] != root[b] and (side[a] < 0 or side[a] != side[b]) and 5 * both >= 4 * (n[a] + n[b] - both):
+                    assert near[a] == near[b]
 
 
 def test_null_ids_repeats_long_and_empty(spark):
