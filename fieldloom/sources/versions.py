@@ -158,9 +158,13 @@ def _summed(parts: Iterable[tuple[dict[tuple, int], int]]) -> list[list]:
 # --- reading ---------------------------------------------------------------------------------
 
 def create(spark: SparkSession, target: str, tables: dict[str, DataFrame], layout: Layout, buckets: int | None = None) -> int:
-    """A new store of the given tables: version 0.  ``buckets`` is kept for its lifetime."""
+    """A new store of the given tables: version 0.
+
+    ``buckets`` is kept for its lifetime; without it, there are as many as the session has cores,
+    and no more than its shuffle partitions.
+    """
     target = target.rstrip("/")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, spark.sparkContext.defaultParallelism))
     entry = _save(spark, target, "base", layout, tables, None, buckets) | {"covers": 0}
     if layout.counted:
         entry["counts"] = _summed([(_counts(_open(spark, target, entry, layout.counted[0]), layout), 1)])
