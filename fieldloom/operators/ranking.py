@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +68,22 @@ def number_in_group(df: DataFrame, group: list[str], order: list, name: str = "r
     )
 
 
-def chunk_rows(df: DataFrame, order: list, size: int) -> DataFrame:
-    """Consecutive chunks of ``size`` rows: adds ``chunk_no`` from 0."""
-    return number_rows(df, order, "_row").select(
+def number_by_key(df: DataFrame, key: list[str], order: list[str], name: str = "row_no", group: list[str] | None = None) -> DataFrame:
+    """The same numbers for wide rows: only ``key``, ``group`` and ``order`` are sorted and written.
+
+    ``key`` is shared by no two rows, nulls included; the number comes back by it, and
+    the rows themselves are read once more instead of being written.
+    """
+    narrow = df.select(*dict.fromkeys([*key, *(group or []), *order]))
+    numbered = number_in_group(narrow, group, order, "_number") if group else number_rows(narrow, order, "_number")
+    numbers = numbered.select(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(key)], "_number")
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(numbers[f"_key{n}"]) for n, k in enumerate(key)])
+    return df.join(numbers, same).select(*[df[c] for c in df.columns], F.col("_number").alias(name))
+
+
+def chunk_rows(df: DataFrame, order: list, size: int, key: list[str] | None = None) -> DataFrame:
+    """Consecutive chunks of ``size`` rows: adds ``chunk_no`` from 0.  With ``key``, as in ``number_by_key``."""
+    numbered = number_by_key(df, key, order, "_row") if key else number_rows(df, order, "_row")
+    return numbered.select(
         *df.columns, F.floor((F.col("_row") - 1) / size).cast("bigint").alias("chunk_no")
     )

@@ -6,6 +6,8 @@ file per document; the document name is a column of every row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,19 +146,23 @@ def safe_invoice_name(invoice_no: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(invoice_no, r'[<>:"/\\|?*]', "_"), WS + "+", "_")
 
 
-def output_names(documents: DataFrame, order: list) -> DataFrame:
+def output_names(documents: DataFrame, order: list[str]) -> DataFrame:
     """``<invoice no>.pdf`` per document; equal names get ``_1``, ``_2`` in order.
 
-    Documents without an invoice number keep their own name.
+    Documents without an invoice number keep their own name.  ``order`` is the documents'
+    key, shared by no two of them.  Only names and keys are sorted and written, and only
+    the numbers of names that others have taken come back to the documents.
     """
     named = documents.withColumn(
         "_base", F.when(F.length("Invoice_No") > 0, safe_invoice_name(F.col("Invoice_No")))
     )
-    numbered = number_in_group(named.where(F.col("_base").isNotNull()), ["_base"], order, "_n")
-    with_name = numbered.select(
-        *documents.columns,
-        F.when(F.col("_n") == 1, F.concat("_base", F.lit(".pdf")))
-        .otherwise(F.concat("_base", F.lit("_"), (F.col("_n") - 1).cast("string"), F.lit(".pdf"))).alias("new_name"),
+    narrow = named.where(F.col("_base").isNotNull()).select("_base", *order)
+    later = number_in_group(narrow, ["_base"], order, "_n").where("_n > 1").select(
+        *[F.col(c).alias(f"_key{n}") for n, c in enumerate(order)], "_n")
+    same = reduce(lambda a, b: a & b, [named[c].eqNullSafe(later[f"_key{n}"]) for n, c in enumerate(order)])
+    new_name = (
+        F.when(F.col("_base").isNull(), F.col("file_name"))
+        .when(F.col("_n").isNull(), F.concat("_base", F.lit(".pdf")))
+        .otherwise(F.concat("_base", F.lit("_"), (F.col("_n") - 1).cast("string"), F.lit(".pdf")))
     )
-    rest = named.where(F.col("_base").isNull()).select(*documents.columns, F.col("file_name").alias("new_name"))
-    return with_name.unionByName(rest)
+    return named.join(later, same, "left").select(*[named[c] for c in documents.columns], new_name.alias("new_name"))

@@ -412,6 +412,37 @@ def test_output_names_on_clash(spark):
     df = spark.createDataFrame([(1, "A/1", "x"), (2, "A:1", "y"), (3, "", "keep.pdf"), (4, "A 1", "z")], "doc_id int, Invoice_No string, file_name string")
     got = {r["doc_id"]: r["new_name"] for r in sinks.output_names(df, ["doc_id"]).collect()}
     assert got == {1: "A_1.pdf", 2: "A_1_1.pdf", 3: "keep.pdf", 4: "A_1_2.pdf"}
+    # a key that is null is a key, and a hot name is numbered whole
+    rows = [(n if n else None, "hot" if n % 3 == 0 else f"n{n}", "x") for n in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id int, Invoice_No string, file_name string").repartition(8)
+    out = sinks.output_names(df, ["doc_id"]).collect()
+    got = {r["doc_id"]: r["new_name"] for r in out}
+    assert len(out) == len(set(got.values())) == 3000 and got[None] == "hot.pdf"
+    assert (got[3], got[2997], got[5]) == ("hot_1.pdf", "hot_999.pdf", "n5.pdf")
+
+
+def test_what_numbering_writes_is_as_wide_as_its_key(spark):
+    import os
+
+    def written_bytes(df):
+        folders = {os.path.dirname(f.removeprefix("file://")) for f in df.inputFiles() if "fieldloom-sorted" in f}
+        assert len(folders) == 1
+        return sum(os.path.getsize(os.path.join(f, n)) for f in folders for n in os.listdir(f) if n.endswith(".parquet"))
+
+    narrow = spark.range(2000, numPartitions=4).select(
+        "id", F.concat(F.lit("n"), F.col("id") % 700).alias("Invoice_No"), F.lit("x").alias("file_name"))
+    wide = narrow.withColumn("body", F.repeat(F.sha2(F.col("id").cast("string"), 256), 50))
+    numbers = [ranking.number_by_key(d, ["id"], ["Invoice_No", "id"]) for d in (narrow, wide)]
+    names = [sinks.output_names(d, ["id"]) for d in (narrow, wide)]
+    for a, b in (numbers, names):
+        assert written_bytes(b) < 1.1 * written_bytes(a) < 100_000
+        assert b.drop("body").exceptAll(a).isEmpty() and b.count() == 2000 and b.where("body is null").isEmpty()
+    want = ranking.number_rows(narrow, ["Invoice_No", "id"])
+    assert numbers[1].drop("body").exceptAll(want).isEmpty()
+    grouped = ranking.number_by_key(wide, ["id"], ["id"], group=["Invoice_No"]).drop("body")
+    assert grouped.exceptAll(ranking.number_in_group(narrow, ["Invoice_No"], ["id"])).isEmpty()
+    chunks = ranking.chunk_rows(wide, ["id"], 7, key=["id"]).select("id", "chunk_no")
+    assert chunks.where("chunk_no <> floor(id / 7)").isEmpty() and chunks.count() == 2000
 
 
 
