@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import rules
 from fieldloom.functions import dates
-from fieldloom.functions.text import empty_to_null, extract, keep_letters_digits, strip
+from fieldloom.functions.text import ascii_edges, empty_to_null, extract, keep_letters_digits, strip
 
 
 def _sure(c: Column) -> Column:
@@ -134,7 +134,7 @@ def is_ifsc(c: Column) -> Column:
 
 def find_ifsc(text: Column) -> Column:
     """Labelled code, then a code of a known bank, then any code."""
-    all_codes = F.regexp_extract_all(F.upper(text), F.lit(rf"\b({rules.IFSC_PATTERN})\b"), F.lit(1))
+    all_codes = F.regexp_extract_all(F.upper(text), F.lit(ascii_edges(rf"\b({rules.IFSC_PATTERN})\b")), F.lit(1))
     known = F.filter(all_codes, lambda x: F.substring(x, 1, 4).isin(rules.IFSC_BANK_CODES))
     return F.coalesce(
         F.upper(extract(text, rules.TEXT_PATTERNS["labelled_ifsc"])),

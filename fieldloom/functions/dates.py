@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fieldloom import rules
+from fieldloom.functions.text import ascii_edges
 
 MONTH_NAMES = "|".join(rules.MONTHS)
 MONTH_SHORT = "|".join(m[:3] for m in rules.MONTHS)
@@ -104,7 +105,7 @@ def _candidate_to_iso(c: Column) -> Column:
 
 def find_date(text: Column) -> Column:
     """First candidate in the text that parses, as ISO; day/month before month/day."""
-    candidates = F.regexp_extract_all(text, F.lit(FINDER), F.lit(1))
+    candidates = F.regexp_extract_all(text, F.lit(ascii_edges(FINDER)), F.lit(1))
     return F.get(
         F.filter(F.transform(candidates, _candidate_to_iso), lambda x: x.isNotNull()), F.lit(0)
     )
