@@ -2,9 +2,9 @@ r"""Chat formatting by prefix-target expansion.
 
 A conversation becomes a list of segments whose texts, put together, are the formatted
 conversation.  Every assistant turn becomes an example of its own: all preceding segments
-are its context and only its reply is trainable.  Examples share their conversation's
-prefix and refer to it by position, so a conversation of n turns needs room for n turns and
-not for n * n; ``context_text`` writes a prefix out where it is wanted.
+are its masked context and only its reply is trainable.  An example holds its segments
+itself; examples are made one after another from their conversation, so a task holds one of
+them at a time.  Written out they repeat their prefixes, as the method does.
 
 Template: ``<|im_start|>role\ntext<|im_end|>\n``.  Inside roles and texts a backslash is
 doubled and ``<|`` becomes ``<\|``, so no text can hold a control string; in roles a line
@@ -65,25 +65,35 @@ def format_conversations(
 
 
 def expand_examples(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """One row for each trainable reply: id, example (from 0), context_segments and reply.
+    """One row for each trainable reply: id, example (from 0), context_segments, reply, segments and last.
 
-    The context is the first ``context_segments`` segments of the conversation, all masked.
+    ``segments`` is the example itself: the first ``context_segments`` segments of the
+    conversation, all masked, earlier replies too, and then the reply, which alone has loss.
+    ``last`` marks the conversation's last example.
     """
     targets = F.filter(
         F.transform("segments", lambda s, i: F.struct(s["loss"].alias("loss"), i.alias("context_segments"), s["text"].alias("reply"))),
         lambda s: s["loss"])
+    n = F.col("target.context_segments")
+    example = F.transform(F.slice("segments", F.lit(1), n + 1), lambda s, i: F.struct(s["text"].alias("text"), (i == n).alias("loss")))
     return (
-        formatted.select(F.col(id_col), F.posexplode(targets).alias("example", "target"))
-        .select(id_col, "example", "target.context_segments", "target.reply")
+        formatted.select(F.col(id_col), "segments", F.size(targets).alias("_n"), F.posexplode(targets).alias("example", "target"))
+        .select(id_col, "example", "target.context_segments", "target.reply", example.alias("segments"),
+                (F.col("example") == F.col("_n") - 1).alias("last"))
     )
 
 
+def loss_text(segments: Column) -> Column:
+    """The text under the loss mask, as it stands in the segments."""
+    return formatted_text(F.filter(segments, lambda s: s["loss"]))
+
+
 def context_text(examples: DataFrame, formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """The examples with their context written out.  The output repeats each prefix, so it is
-    as large as the sum of all prefixes; use it for conversations of bounded length."""
-    joined = examples.alias("e").join(formatted.alias("f"), F.col(f"e.{id_col}").eqNullSafe(F.col(f"f.{id_col}")))
-    prefix = F.array_join(F.transform(F.slice("f.segments", F.lit(1), F.col("e.context_segments")), lambda s: s["text"]), "")
-    return joined.select("e.*", prefix.alias("context"))
+    """The examples with their context as one text, for the conversations of ``formatted``.  The
+    output repeats each prefix, so it is as large as the sum of all prefixes."""
+    known = formatted.select(F.col(id_col).alias("_of"))
+    prefix = formatted_text(F.filter("segments", lambda s: ~s["loss"]))
+    return examples.join(known, F.col(id_col).eqNullSafe(F.col("_of")), "left_semi").select("*", prefix.alias("context"))
 
 
 def formatted_text(segments: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.chat_format import expand_examples, format_conversations, formatted_text, read_turns, unescape
+from fieldloom.llm.chat_format import expand_examples, format_conversations, formatted_text, loss_text, read_turns, unescape
 from fieldloom.llm.common import table
 from fieldloom.llm.decontamination import leaks
 from fieldloom.llm.fill_in_middle import TOKEN, fill_in_middle, restore
@@ -150,14 +150,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     formatted = format_conversations(turns)
-    replies = (
-        expand_examples(formatted).groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("example", "reply"))).alias("examples"))
-        .select(F.col("conv_id").alias("of"), F.array_join(F.transform("examples", lambda e: unescape(e["reply"])), "").alias("loss"))
-    )
-    whole = formatted.select("conv_id", formatted_text(F.col("segments")).alias("formatted"))
-    back = whole.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"))
-    joined = back.join(replies, back.conv_id.eqNullSafe(replies["of"]), "left")
+    # the loss under each example's mask; the last example is the conversation up to its last reply
+    examples = expand_examples(formatted).select(
+        F.col("conv_id").alias("of"), F.struct("example", unescape(loss_text(F.col("segments"))).alias("loss")).alias("e"),
+        F.when(F.col("last"), F.struct(formatted_text(F.col("segments")).alias("text"), F.size("segments").alias("n"))).alias("last"))
+    replies = examples.groupBy("of").agg(F.sort_array(F.collect_list("e")).alias("es"), F.max("last").alias("last")).select(
+        "of", F.array_join(F.transform("es", lambda e: e["loss"]), "").alias("loss"), "last")
+    # what comes after the last reply is nobody's context
+    done = F.coalesce("last.n", F.lit(0))
+    rest = formatted_text(F.slice("segments", done + 1, F.greatest(F.size("segments") - done, F.lit(0))))
+    whole = formatted.join(replies, formatted.conv_id.eqNullSafe(replies["of"]), "left").select(
+        "conv_id", "loss", F.concat(F.coalesce("last.text", F.lit("")), rest).alias("formatted"))
+    joined = whole.select("conv_id", "loss", "formatted", read_turns(F.col("formatted")).alias("turns"))
     digest = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.coalesce("loss", F.lit(""))

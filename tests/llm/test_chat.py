@@ -54,3 +54,30 @@ def test_escapes_are_reversible(texts):
     out = frame.select("t", unescape(escape(F.col("t"))).alias("u"), unescape_role(escape_role(F.col("t"))).alias("r"), escape(F.col("t")).alias("e"),
                        escape_role(F.col("t")).alias("er")).collect()
     assert all(r.t == r.u == r.r and "<|" not in r.e and "<|" not in r.er and "\n" not in r.er for r in out)
+
+
+def test_examples_hold_their_masked_context(spark):
+    formatted = format_conversations(turns(spark, ROWS))
+    whole = {r[0]: [s.text for s in r[1]] for r in formatted.select("conv_id", "segments").collect()}
+    rows = expand_examples(formatted).collect()
+    assert len(rows) == 5
+    for r in rows:
+        assert [s.text for s in r.segments] == whole[r.conv_id][:r.context_segments + 1]
+        assert [s.loss for s in r.segments] == [False] * r.context_segments + [True]
+        assert r.segments[-1].text == r.reply
+    assert sorted((str(r.conv_id), r.example) for r in rows if r.last) == [("1", 1), ("2", 1), ("None", 0)]
+
+
+def test_query_reads_the_conversation_from_its_examples(spark, monkeypatch):
+    from fieldloom.llm import queries
+
+    rows = lambda: {r.conv_id: r for r in queries.op10(spark, "/root/testdata/sf0.001").collect()}
+    want = rows()
+
+    def cut(formatted):
+        # examples that lose their first context segment
+        out = expand_examples(formatted)
+        return out.withColumn("segments", F.slice("segments", F.lit(2), F.size("segments")))
+
+    monkeypatch.setattr(queries, "expand_examples", cut)
+    assert rows()[-1].turns_sha256 != want[-1].turns_sha256
