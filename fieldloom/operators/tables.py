@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from fieldloom import rules
 from fieldloom.functions import checks
 from fieldloom.functions.pyfuncs import html_tables
-from fieldloom.functions.text import clean, empty_to_null, strip
+from fieldloom.functions.text import clean, clean_as, empty_to_null, strip
 from fieldloom.operators.routing import first_match
-from fieldloom.session import written
 
 TABLE = ["doc_id", "table_no"]
 ROW = ["doc_id", "table_no", "row_index"]
@@ -136,13 +135,14 @@ def csv_lines(cells: DataFrame) -> DataFrame:
 
 def _bank_value(target: Column, value: Column) -> Column:
     """Clean by target column; a PAN that does not validate is dropped."""
-    chain = None
-    for column, kind in rules.BANK_CLEANERS.items():
-        cleaned = clean(value, kind)
-        if kind == "pan":
-            cleaned = F.when(checks.is_pan(value), cleaned)
-        chain = F.when(target == column, cleaned) if chain is None else chain.when(target == column, cleaned)
-    return chain.otherwise(clean(value))
+    def choose(body) -> Column:
+        chain = None
+        for column, kind in rules.BANK_CLEANERS.items():
+            cleaned = F.when(checks.is_pan(value), body(kind)) if kind == "pan" else body(kind)
+            chain = F.when(target == column, cleaned) if chain is None else chain.when(target == column, cleaned)
+        return chain.otherwise(body("text"))
+
+    return clean_as(value, choose)
 
 
 def _rows_of_cells(cells: DataFrame) -> DataFrame:
@@ -182,30 +182,33 @@ def bank_fields_from_cells(cells: DataFrame, known: DataFrame | None = None) ->
 
     Only tables that speak of bank details are read.  ``known`` (``doc_id,
     Bank_Name``) skips documents whose bank is known.  Cells are shuffled once, by
-    table row; after that only rows with a label, and two flags per row, move.
+    table row; after that a table row is two flags and its labelled values, and a table
+    or document is reduced to one value for each bank column, whatever its length.
     """
     low = lambda c: F.lower(c["content"])
-    # the few rows that matter are written, as the flags and the pairs both read them
-    rows = written(_rows_of_cells(cells).select(
-        *ROW,
+    rows = _rows_of_cells(cells).select(
+        *TABLE,
         F.coalesce(F.exists("cells", lambda c: low(c).contains("bank")), F.lit(False)).alias("bank"),
         F.coalesce(F.exists("cells", lambda c: low(c).contains("details") | low(c).contains("account")), F.lit(False)).alias("details"),
         _with_neighbour(F.col("cells"), lambda c: bank_label(c["content"]).rlike(_ANY_BANK_LABEL)).alias("pairs"),
-    ).where(F.col("bank") | F.col("details") | (F.size("pairs") > 0)), "bank-rows")
-    speaking = rows.groupBy(*TABLE).agg(F.bool_or("bank").alias("b"), F.bool_or("details").alias("d")).where("b AND d")
-    paired = rows.where(F.size("pairs") > 0).select("doc_id", "table_no", F.inline("pairs"))
-    labelled = paired.join(speaking.select(*TABLE), TABLE, "left_semi").select(
-        "doc_id", "table_no", "seq", bank_label(F.col("content")).alias("label"), strip(F.col("value")).alias("value"),
-    ).where(F.length("value") > 0)
-    if known is not None:
-        labelled = labelled.join(known.where(F.length("Bank_Name") > 0).select("doc_id"), "doc_id", "left_anti")
-    named = labelled.withColumn("field_name", first_match(F.col("label"), rules.BANK_LABELS))
-    cleaned = named.withColumn("field_value", _bank_value(F.col("field_name"), F.col("value")))
+    )
+    # a row without a labelled value stays for its flags; filtered behind the generator, so that flags and pairs are made once
+    named = rows.select(*TABLE, "bank", "details", F.inline_outer("pairs")).where(
+        F.col("bank") | F.col("details") | F.col("content").isNotNull()).select(
+        *TABLE, "bank", "details", "seq", "value",
+        first_match(bank_label(F.col("content")), rules.BANK_LABELS).alias("field_name"))
     # a value that was cleaned away must not shadow a later one
-    place = F.when(F.col("field_value").isNotNull(), F.struct("table_no", "seq"))
-    return cleaned.groupBy("doc_id", "field_name").agg(
-        F.min_by("field_value", place).alias("field_value")
-    ).where(F.col("field_value").isNotNull())
+    cleaned = named.withColumn("field_value", _bank_value(F.col("field_name"), F.col("value")))
+    columns = list(dict.fromkeys(target for _, target in rules.BANK_LABELS))
+    here = lambda c: F.when((F.col("field_name") == c) & F.col("field_value").isNotNull(), F.struct("seq", "field_value"))
+    per_table = cleaned.groupBy(*TABLE).agg(
+        F.bool_or("bank").alias("b"), F.bool_or("details").alias("d"), *[F.min(here(c)).alias(c) for c in columns]).where("b AND d")
+    placed = lambda c: F.when(F.col(c).isNotNull(), F.struct("table_no", f"{c}.seq", f"{c}.field_value"))
+    found = per_table.groupBy("doc_id").agg(*[F.min(placed(c)).alias(c) for c in columns])
+    if known is not None:
+        found = found.join(known.where(F.length("Bank_Name") > 0).select("doc_id"), "doc_id", "left_anti")
+    values = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"{c}.field_value").alias("field_value")) for c in columns])
+    return found.select("doc_id", F.inline(values)).where(F.col("field_value").isNotNull())
 
 
 def bank_hits(tables: Column) -> Column:

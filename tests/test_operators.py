@@ -477,3 +477,19 @@ def test_word_edges_are_ascii_as_in_sql(one):
     assert one(content.loan_type_in_text, texts) == want
     assert want[:2] == ["AL", "BL"]
     assert one(content.pan_in_text, ["ÉABCDE1234F", "xABCDE1234F"]) == ["ABCDE1234F", None]
+
+
+# --- work done once ---------------------------------------------------------------------------
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bank_values_are_cleaned_once_and_rows_grouped_without_a_join(spark):
+    cells = [(1, t, s, s, c, text) for t in (0, 1) for s, pair in enumerate(
+        [("Bank details", ""), ("Branch", " 　"), ("Branch:", f"North  {t}"), ("PAN", "bad"), ("Account no", "00 1")]) for c, text in enumerate(pair)]
+    df = spark.createDataFrame(cells, "doc_id long, table_no int, seq long, row_index int, column_index int, content string")
+    out = tables.bank_fields_from_cells(df)
+    assert collected(out) == ["(1, 'Bank_Account_No', '001')", "(1, 'Bank_Branch', 'North 0')"]
+    plan = optimized(out)
+    assert plan.count(r"(?<=[^ ]) +\z") == 1 and "Join" not in plan
