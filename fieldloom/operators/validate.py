@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import checks
 from fieldloom.functions.text import strip
 from fieldloom.rules import STANDARD, RuleBook
+from fieldloom.session import written
 
 MISSING = "Missing required field: "
 BAD_VALUE = "Invalid value for field: "
@@ -51,6 +52,16 @@ def with_checks(fields: DataFrame, docs: DataFrame | None = None, book: RuleBook
     return typed.withColumn("ok", F.col("ok") & passed).drop("_type")
 
 
+def checked_once(fields: DataFrame, docs: DataFrame | None = None, book: RuleBook = STANDARD) -> DataFrame:
+    """The present fields with their ``ok``, written without their values.
+
+    Errors by phase and verdicts all need them: where they are asked for together the
+    fields are made and checked once.  An absent field is told by having no row.
+    """
+    checked = with_checks(fields, docs, book).where("present")
+    return written(checked.select("doc_id", "seq", "field_name", "present", "ok"), "checked")
+
+
 def _required_flags(book: RuleBook) -> tuple[list[str], list[Column]]:
     """Required names of all types, and two flags (present, bad) for each."""
     wanted = list(dict.fromkeys(f for spec in book.types.values() for f in spec.required))
@@ -72,10 +83,12 @@ def _record_state(docs: DataFrame, checked: DataFrame, flags: list[Column], *mor
     return docs.select("doc_id", "document_type").join(state, "doc_id", "left")
 
 
-def required_errors(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD) -> DataFrame:
-    """Missing and bad required fields, in catalog order."""
+def required_errors(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD, checked: DataFrame | None = None) -> DataFrame:
+    """Missing and bad required fields, in catalog order; ``checked`` as in ``record_errors``."""
     wanted, flags = _required_flags(book)
-    state = _record_state(docs, with_checks(fields.where(F.col("field_name").isin(wanted)), docs, book), flags)
+    needed = F.col("field_name").isin(wanted)
+    checked = with_checks(fields.where(needed), docs, book) if checked is None else checked.where(needed)
+    state = _record_state(docs, checked, flags)
     index = {f: i for i, f in enumerate(wanted)}
     rows = []
     for name, spec in book.types.items():
@@ -97,20 +110,23 @@ def required_errors(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDAR
     return state.select("doc_id", F.inline(listed))
 
 
-def format_errors(fields: DataFrame, docs: DataFrame | None = None, book: RuleBook = STANDARD) -> DataFrame:
-    """Every present field that fails its check, in record order."""
-    return with_checks(fields, docs, book).where(F.col("present") & ~F.col("ok")).select(
+def format_errors(fields: DataFrame, docs: DataFrame | None = None, book: RuleBook = STANDARD, checked: DataFrame | None = None) -> DataFrame:
+    """Every present field that fails its check, in record order; ``checked`` as in ``record_errors``."""
+    checked = with_checks(fields, docs, book) if checked is None else checked
+    return checked.where(F.col("present") & ~F.col("ok")).select(
         "doc_id", F.lit(2).alias("phase"), "seq", "field_name",
         F.concat(F.lit(BAD_FORMAT), F.col("field_name")).alias("message"),
     )
 
 
-def record_errors(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD) -> DataFrame:
+def record_errors(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD, checked: DataFrame | None = None) -> DataFrame:
     """All errors ``doc_id, phase, seq, field_name, message``: required first.
 
-    A bad required field is reported twice, once per phase.
+    A bad required field is reported twice, once per phase.  Both phases read ``checked``
+    (the fields ``with_checks`` or ``checked_once``; by default they are written here).
     """
-    return required_errors(docs, fields, book).unionByName(format_errors(fields, docs, book))
+    checked = checked_once(fields, docs, book) if checked is None else checked
+    return required_errors(docs, fields, book, checked).unionByName(format_errors(fields, docs, book, checked))
 
 
 def missing_fields(docs: DataFrame, fields: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -121,15 +137,15 @@ def missing_fields(docs: DataFrame, fields: DataFrame, catalog: DataFrame) -> Da
     return wanted.join(fields.select("doc_id", "field_name"), ["doc_id", "field_name"], "left_anti")
 
 
-def verdicts(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD) -> DataFrame:
-    """One row per document: valid exactly when it has no error.
+def verdicts(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD, checked: DataFrame | None = None) -> DataFrame:
+    """One row per document: valid exactly when it has no error; ``checked`` as in ``record_errors``.
 
     One aggregate over the fields gives required flags and format faults
     together; the messages stay in their own long table.
     """
     wanted, flags = _required_flags(book)
     bad = F.count_if(F.col("present") & ~F.col("ok")).alias("bad")
-    state = _record_state(docs, with_checks(fields, docs, book), flags, bad)
+    state = _record_state(docs, with_checks(fields, docs, book) if checked is None else checked, flags, bad)
     index = {f: i for i, f in enumerate(wanted)}
     faults = F.lit(0)
     for name, spec in book.types.items():

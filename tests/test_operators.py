@@ -493,3 +493,22 @@ def test_bank_values_are_cleaned_once_and_rows_grouped_without_a_join(spark):
     assert collected(out) == ["(1, 'Bank_Account_No', '001')", "(1, 'Bank_Branch', 'North 0')"]
     plan = optimized(out)
     assert plan.count(r"(?<=[^ ]) +\z") == 1 and "Join" not in plan
+
+
+def test_errors_of_both_phases_check_the_fields_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(value):
+        seen.add(1)
+        return value
+
+    fields = [(d, n, name, value, "str") for d in range(20) for n, (name, value) in enumerate(
+        [("invoice_number", "INV"), ("invoice_date", "31/02/2024"), ("contact_email", "bad"), ("total_amount", "")])]
+    df = spark.createDataFrame(fields, "doc_id long, seq long, field_name string, field_value string, value_type string")
+    df = df.withColumn("field_value", F.udf(count, "string").asNondeterministic()("field_value"))
+    docs = spark.createDataFrame([(d, "invoice") for d in range(21)], "doc_id long, document_type string")
+    got = validate.record_errors(docs, df).groupBy("message").count().collect()
+    assert seen.value == len(fields)
+    assert dict(map(tuple, got)) == {
+        "Missing required field: invoice_number": 1, "Missing required field: invoice_date": 1, "Missing required field: total_amount": 21,
+        "Invalid value for field: invoice_date": 20, "Invalid format for field: invoice_date": 20, "Invalid format for field: contact_email": 20}
