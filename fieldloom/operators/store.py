@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import rules
 from fieldloom.functions import checks
-from fieldloom.operators.validate import record_errors, sanitize, verdicts, with_checks
+from fieldloom.operators.validate import checked_once, record_errors, sanitize, verdicts, with_checks
 from fieldloom.rules import STANDARD, RuleBook
 from fieldloom.session import written
 from fieldloom.sources.versions import Change
@@ -117,13 +117,14 @@ def error_rows(errors: DataFrame, docs: DataFrame | None = None) -> DataFrame:
 
 def save_documents(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD) -> Store:
     """All three tables for new documents."""
-    # routed, merged and sanitised once; all tables and verdicts read them back
+    # routed, merged and sanitised once, and checked once; all tables and verdicts read them back
     fields = written(fields, "fields")
+    checked = checked_once(fields, docs, book)
     rows = field_rows(fields).drop("created_at").join(
         docs.select(F.col("doc_id").alias("document_id"), "created_at"), "document_id")
     return Store(
-        document_rows(docs, record_json(fields), verdicts(docs, fields, book)), rows,
-        error_rows(record_errors(docs, fields, book), docs),
+        document_rows(docs, record_json(fields), verdicts(docs, fields, book, checked)), rows,
+        error_rows(record_errors(docs, fields, book, checked), docs),
     )
 
 
@@ -283,7 +284,8 @@ def reprocess(docs: DataFrame, stored: DataFrame, extracted: DataFrame | None =
             extracted.select(*stored.columns)
         )
     fields = written(sanitize(old), "fields")
-    return fields, record_errors(docs, fields, book), verdicts(docs, fields, book)
+    checked = with_checks(fields, docs, book)
+    return fields, record_errors(docs, fields, book, checked), verdicts(docs, fields, book, checked)
 
 
 # --- wide-table upserts -------------------------------------------------------------------
