@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.operators import routing, store, validate
-from fieldloom.session import run_dir
+from fieldloom.session import run_dir, written
 from fieldloom.sources import sinks, versions
 from workload.base import query
 from workload.q_checks import OK_SQL, TRUTHY_SQL, paise
@@ -60,7 +60,8 @@ def _(i):
            coalesce(record, '{{}}') AS extracted_data
     FROM docs d LEFT JOIN e ON e.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id""")
 def _(i):
-    fields, docs = _fields(i), i.fixture("docs")
+    # the record and the verdict both read them
+    fields, docs = written(_fields(i), "fields"), i.fixture("docs")
     return store.document_rows(docs, store.record_json(fields), validate.verdicts(docs, fields))
 
 
