@@ -73,8 +73,14 @@ def parse(
     return _once(df, F.from_json(json_column, _result_type(_fields_type(lists), parts))["analyzeResult"], "a")
 
 
+def mark_unreadable(df: DataFrame, json_column: str = "json") -> DataFrame:
+    """Add ``error``, null where the text can be read; one pass over the rows."""
+    return df.withColumn("error", F.when(F.try_parse_json(F.col(json_column)).isNull(), "unreadable JSON"))
+
+
 def split_readable(df: DataFrame, json_column: str = "json") -> tuple[DataFrame, DataFrame]:
-    """Readable rows, and unreadable rows with an ``error`` text."""
+    """Readable rows, and unreadable rows with an ``error`` text.  Both read the input;
+    ``mark_unreadable`` reads it once."""
     marked = df.withColumn("_readable", F.try_parse_json(F.col(json_column)).isNotNull())
     return (
         marked.where("_readable").drop("_readable"),

@@ -86,9 +86,7 @@ def _(i):
 @query("s5_unreadable_documents", uses="analysis", sql="""
     SELECT doc_id, doc_id % 29 <> 0 AS readable, CASE WHEN doc_id % 29 = 0 THEN 'unreadable JSON' END AS error FROM analysis""")
 def _(i):
-    good, bad = analysis.split_readable(i.fixture("analysis"))
-    return good.select("doc_id", F.lit(True).alias("readable"), F.lit(None).cast("string").alias("error")).unionByName(
-        bad.select("doc_id", F.lit(False).alias("readable"), "error"))
+    return analysis.mark_unreadable(i.fixture("analysis")).select("doc_id", F.col("error").isNull().alias("readable"), "error")
 
 
 @query("x16_value_picker", sql=f"""
