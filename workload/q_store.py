@@ -119,7 +119,7 @@ def _(i):
     whole = _store(i)
     short = store.Store(whole.documents.select("id", "document_name", "validation_status"), whole.extractions, whole.errors)
     target = run_dir(i.spark, "d6")
-    store.export_lines(short).write.json(target)
+    store.export_lines(short).write.option("compression", "gzip").json(target)
     return i.spark.read.schema("document_id bigint, kind int, phase int, seq bigint, json string").json(target)
 
 
