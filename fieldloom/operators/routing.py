@@ -55,6 +55,15 @@ def known_label(label: Column, document_type: str | Column, book: RuleBook = STA
     )
 
 
+def routed_rows(kv: DataFrame, document_type: str | Column, book: RuleBook = STANDARD) -> DataFrame:
+    """Every pair whose label is known as a field row, repeats included: a layer for ``merge_layers``."""
+    known = kv.where(known_label(F.col("label"), document_type, book))
+    return known.select(
+        "doc_id", "seq", route_label(F.col("label"), document_type, book).alias("field_name"), F.col("value").alias("field_value"),
+        F.when(F.col("value").isNull(), "NoneType").otherwise("str").alias("value_type"),
+    )
+
+
 def route_fields(kv: DataFrame, document_type: str | Column, book: RuleBook = STANDARD) -> DataFrame:
     """Key/value pairs ``doc_id, seq, label, value`` to fields; the last label wins.
 
@@ -74,8 +83,8 @@ def route_fields(kv: DataFrame, document_type: str | Column, book: RuleBook = ST
 
 
 def merge_layers(*layers: DataFrame) -> DataFrame:
-    """Later layers overwrite earlier ones field by field; a field keeps the
-    position where it first appeared.
+    """Later layers overwrite earlier ones field by field, and later rows of a layer its
+    earlier ones; a field keeps the position where it first appeared.
 
     Positions of the result are numbered from 0 in each document; the window holds
     one row for each field of a record.

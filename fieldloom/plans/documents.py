@@ -17,7 +17,8 @@ def extract_fields(
     ``docs``: ``doc_id, document_type, file_path``; ``kv``: ``doc_id,
     document_type, seq, label, value``.
     """
-    layers = [routing.route_fields(kv, F.col("document_type"), book)]
+    # pairs are not reduced on their own first: the merge keeps the last of a layer
+    layers = [routing.routed_rows(kv, F.col("document_type"), book)]
     if model_fields is not None:
         layers.append(model_fields)
     layers.append(routing.metadata_layer(

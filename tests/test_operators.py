@@ -512,3 +512,24 @@ def test_errors_of_both_phases_check_the_fields_once(spark, tmp_path):
     assert dict(map(tuple, got)) == {
         "Missing required field: invoice_number": 1, "Missing required field: invoice_date": 1, "Missing required field: total_amount": 21,
         "Invalid value for field: invoice_date": 20, "Invalid format for field: invoice_date": 20, "Invalid format for field: contact_email": 20}
+
+
+def test_layers_with_repeated_labels_are_merged_in_one_aggregate(spark):
+    labels = ["Invoice Date", "Total", "Due Date", "Amount", "nothing"]
+    kv = spark.createDataFrame([(d, "invoice", s, l, None if s == 3 else f"v{s}") for d in range(3) for s, l in enumerate(labels)],
+                               "doc_id long, document_type string, seq int, label string, value string")
+    docs = spark.createDataFrame([(d, "invoice", f"f{d}") for d in range(3)], "doc_id long, document_type string, file_path string")
+    out = documents.extract_fields(docs, kv)
+    twice = routing.merge_layers(routing.route_fields(kv, F.col("document_type")), routing.metadata_layer(
+        docs, document_type=F.col("document_type"), source_file=F.col("file_path")))
+    assert collected(out) == collected(twice.select(*out.columns)) and out.count() == 12
+    assert optimized(out).count("Aggregate") == 1
+
+
+def test_unreadable_documents_are_read_once_and_exports_are_compressed(spark):
+    import workload.all  # noqa: F401
+    from workload.base import REGISTRY, Inputs
+
+    inputs = Inputs(spark, "/root/testdata/sf0.001")
+    assert optimized(REGISTRY["s5_unreadable_documents"].run(inputs)).count("Relation") == 1
+    assert all(f.endswith(".json.gz") for f in REGISTRY["d6_nested_export_json"].run(inputs).inputFiles())
