@@ -35,10 +35,10 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # only a line feed's backslash stands alone: hide the doubled ones first, in a character that the role cannot hold
-    return F.replace(
-        F.replace(F.replace(F.replace(role, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("<|/")), F.lit("\\n"), F.lit("\n")),
-        F.lit("<|/"), F.lit("\\"))
+    # doubled backslashes and then "<\\|" are hidden in marks of their own; an escaped role holds no "<|"
+    hidden = F.replace(F.replace(role, F.lit("\\\\"), F.lit("<|/")), F.lit("<\\|"), F.lit("<|="))
+    lines = F.replace(hidden, F.lit("\\n"), F.lit("\n"))
+    return F.replace(F.replace(lines, F.lit("<|/"), F.lit("\\")), F.lit("<|="), F.lit("<|"))
 
 
 def format_conversations(

@@ -81,3 +81,8 @@ def test_query_reads_the_conversation_from_its_examples(spark, monkeypatch):
 
     monkeypatch.setattr(queries, "expand_examples", cut)
     assert rows()[-1].turns_sha256 != want[-1].turns_sha256
+
+
+def test_roles_like_the_marks_are_reversible(one):
+    roles = ["<|/", "<|=", "<\\|/", "\\<|/\n", "<\\\\|=\\n", "/<|", "\\\n"]
+    assert one(lambda c: unescape_role(escape_role(c)), roles) == roles
