@@ -157,15 +157,21 @@ def _dictionary(corpora: list[DataFrame], words: int, size: int) -> list[str]:
     return sorted(common)
 
 
+_BUILT: dict = {"words": None, "dictionary": None}
+
+
+def built(words: list[str]) -> tuple[ahocorasick.Automaton | None, np.ndarray, np.ndarray]:
+    """The dictionary of a list of words, made once in a worker process and kept for its next tasks."""
+    if _BUILT["words"] is not words:
+        _BUILT.update(words=words, dictionary=build(words))
+    return _BUILT["dictionary"]
+
+
 def _reader(shared, max_n: int):
     """A function of a block of texts that gives (features' CRC, text number, words of each text)."""
-    machine, crcs, lengths = None, None, None
 
     def read(texts: list[bytes]):
-        nonlocal machine, crcs, lengths
-        if crcs is None:
-            machine, crcs, lengths = build(shared.value)
-        crc, length, owner = scan(texts, machine, crcs, lengths)
+        crc, length, owner = scan(texts, *built(shared.value))
         runs, of = features(crc, length, owner, max_n)
         return runs, of, np.bincount(owner, minlength=len(texts))
 

@@ -84,3 +84,20 @@ def test_null_ids_and_empty_tables(spark):
     assert sorted((r[:5] for r in got), key=repr) == sorted((r[:5] for r in brute([(None, text)] * 30 + [(1, text)] * 30, ["w1"])), key=repr)
     assert resample(docs.limit(0), target).count() == 0
     assert resample(docs, target.limit(0)).count() == 60
+
+
+def test_dictionary_is_made_once_a_worker(monkeypatch):
+    from types import SimpleNamespace
+
+    from fieldloom.llm import resampling
+
+    made = []
+    monkeypatch.setattr(resampling, "build", lambda words: made.append(words) or build(words))
+    words = ["alpha", "beta"]
+    shared = SimpleNamespace(value=words)
+    first, second = (resampling._reader(shared, 1)([b"alpha gamma", b"beta"]) for _ in range(2))
+    assert made == [words]
+    assert [a.tolist() for a in first] == [a.tolist() for a in second]
+    # another dictionary of the same words is made anew
+    resampling._reader(SimpleNamespace(value=list(words)), 1)([b"alpha"])
+    assert len(made) == 2
