@@ -47,3 +47,11 @@ def test_scan_reads_only_what_is_used(spark):
     df = REGISTRY["g4_extraction_summary"].run(Inputs(spark, SF_DIR))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "o_orderpriority" not in plan
+
+
+@pytest.mark.parametrize("name", ["x13_merge_dicts", "g10_record_json", "v4_record_verdict", "d1_field_rows_flagged", "x10_layered_merge"])
+def test_documents_are_grouped_where_they_are_rendered(spark, name):
+    plan = REGISTRY[name].run(Inputs(spark, SF_DIR))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange " in line and "BroadcastExchange" not in line]
+    # only the narrow order rows move, by their key; pairs and fields made of them do not
+    assert moved and all("hashpartitioning(o_orderkey" in line for line in moved), moved
