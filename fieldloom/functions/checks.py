@@ -85,7 +85,11 @@ def is_truthy(c: Column, value_type: Column) -> Column:
 
 def field_ok(name: Column, value: Column, value_type: Column) -> Column:
     """Pick the check from the field name (substring rules in order)."""
-    low = F.lower(name)
+    return named_ok(F.lower(name), value, value_type)
+
+
+def named_ok(low: Column, value: Column, value_type: Column) -> Column:
+    """``field_ok`` of a name that is lowered already: as a column of its own it is lowered once, not once for each rule."""
     has = lambda *words: _any(low, words)
     text = value_type == "str"
     return (

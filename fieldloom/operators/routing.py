@@ -40,10 +40,13 @@ def _by_type(document_type: str | Column, book: RuleBook, make) -> Column:
     return chain
 
 
+def _route(low: Column, document_type: str | Column, book: RuleBook) -> Column:
+    return _by_type(document_type, book, lambda spec: first_match(low, spec.patterns))
+
+
 def route_label(label: Column, document_type: str | Column, book: RuleBook = STANDARD) -> Column:
     """Canonical field for a label; null when no pattern of the type matches."""
-    low = F.lower(label)
-    return _by_type(document_type, book, lambda spec: first_match(low, spec.patterns))
+    return _route(F.lower(label), document_type, book)
 
 
 def known_label(label: Column, document_type: str | Column, book: RuleBook = STANDARD) -> Column:
@@ -55,11 +58,17 @@ def known_label(label: Column, document_type: str | Column, book: RuleBook = STA
     )
 
 
+def _routed(kv: DataFrame, document_type: str | Column, book: RuleBook) -> DataFrame:
+    """Pairs whose label is known, with ``field_name``.  The lowered label is a column of its own:
+    written into the rule chain it would be made again for every rule that is tried."""
+    known = kv.where(known_label(F.col("label"), document_type, book))
+    return known.withColumn("_low", F.lower("label")).withColumn("field_name", _route(F.col("_low"), document_type, book))
+
+
 def routed_rows(kv: DataFrame, document_type: str | Column, book: RuleBook = STANDARD) -> DataFrame:
     """Every pair whose label is known as a field row, repeats included: a layer for ``merge_layers``."""
-    known = kv.where(known_label(F.col("label"), document_type, book))
-    return known.select(
-        "doc_id", "seq", route_label(F.col("label"), document_type, book).alias("field_name"), F.col("value").alias("field_value"),
+    return _routed(kv, document_type, book).select(
+        "doc_id", "seq", "field_name", F.col("value").alias("field_value"),
         F.when(F.col("value").isNull(), "NoneType").otherwise("str").alias("value_type"),
     )
 
@@ -70,10 +79,7 @@ def route_fields(kv: DataFrame, document_type: str | Column, book: RuleBook = ST
     One shuffle on (document, field) with map-side combine, so one document with
     very many pairs is reduced to its few fields before it moves.
     """
-    routed = kv.where(known_label(F.col("label"), document_type, book)).select(
-        "doc_id", "seq", "value", route_label(F.col("label"), document_type, book).alias("field_name")
-    )
-    return routed.groupBy("doc_id", "field_name").agg(
+    return _routed(kv, document_type, book).groupBy("doc_id", "field_name").agg(
         F.min("seq").cast("bigint").alias("seq"),
         F.max_by("value", "seq").alias("field_value"),
     ).select(

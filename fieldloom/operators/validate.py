@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,10 @@ def with_checks(fields: DataFrame, docs: DataFrame | None = None, book: RuleBook
     Only a book whose types register validators of their own needs ``docs`` (``doc_id,
     document_type``): a present field must then pass its type's validator as well.
     """
-    checked = fields.withColumns({
+    checked = fields.withColumn("_low", F.lower("field_name")).withColumns({
         "present": checks.is_truthy(F.col("field_value"), F.col("value_type")),
-        "ok": checks.field_ok(F.col("field_name"), F.col("field_value"), F.col("value_type")),
-    })
+        "ok": checks.named_ok(F.col("_low"), F.col("field_value"), F.col("value_type")),
+    }).drop("_low")
     own = [(kind, name, check) for kind, spec in book.types.items() for name, check in spec.checks.items()]
     if docs is None or not own:
         return checked
@@ -62,21 +64,34 @@ def checked_once(fields: DataFrame, docs: DataFrame | None = None, book: RuleBoo
     return written(checked.select("doc_id", "seq", "field_name", "present", "ok"), "checked")
 
 
+# names in one bit set; a bigint has room for them without its sign
+BITS = 62
+
+
 def _required_flags(book: RuleBook) -> tuple[list[str], list[Column]]:
-    """Required names of all types, and two flags (present, bad) for each."""
+    """Required names of all types, and for each ``BITS`` of them two bit sets: present, and present but bad.
+
+    Two numbers a document, however many names the book has: read from narrow files a task
+    combines very many documents before the shuffle.
+    """
     wanted = list(dict.fromkeys(f for spec in book.types.values() for f in spec.required))
     flags = []
-    for i, f in enumerate(wanted):
-        here = F.col("field_name") == f
-        flags.append(F.bool_or(here & F.col("present")).alias(f"p{i}"))
-        flags.append(F.bool_or(here & F.col("present") & ~F.col("ok")).alias(f"b{i}"))
+    for n in range(0, len(wanted), BITS):
+        bit = reduce(lambda chain, f: chain.when(F.col("field_name") == f[1], F.lit(1 << f[0]).cast("bigint")), enumerate(wanted[n:n + BITS]), F)
+        flags.append(F.bit_or(F.when(F.col("present"), bit)).alias(f"p{n // BITS}"))
+        flags.append(F.bit_or(F.when(F.col("present") & ~F.col("ok"), bit)).alias(f"b{n // BITS}"))
     return wanted, flags
 
 
+def _has(kind: str, i: int) -> Column:
+    """Whether name ``i`` is in the document's bit set ``kind`` (p: present, b: present but bad)."""
+    return F.coalesce(F.col(f"{kind}{i // BITS}").bitwiseAND(F.lit(1 << i % BITS).cast("bigint")) != 0, F.lit(False))
+
+
 def _record_state(docs: DataFrame, checked: DataFrame, flags: list[Column], *more: Column) -> DataFrame:
     """One row per document with its flags.
 
-    Flags are plain booleans over a fixed list of names, so the aggregate
+    Flags are bit sets over a fixed list of names, so the aggregate
     combines on the map side and never holds a document's rows together.
     """
     state = checked.groupBy("doc_id").agg(*flags, *more)
@@ -94,8 +109,7 @@ def required_errors(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDAR
     for name, spec in book.types.items():
         for position, f in enumerate(spec.required):
             i = index[f]
-            present = F.coalesce(F.col(f"p{i}"), F.lit(False))
-            bad = F.coalesce(F.col(f"b{i}"), F.lit(False))
+            present, bad = _has("p", i), _has("b", i)
             prefix = F.when(~present, MISSING).when(bad, BAD_VALUE)
             rows.append(
                 F.when(
@@ -151,7 +165,7 @@ def verdicts(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD, chec
     for name, spec in book.types.items():
         own = F.lit(0)
         for f in spec.required:
-            broken = ~F.coalesce(F.col(f"p{index[f]}"), F.lit(False)) | F.coalesce(F.col(f"b{index[f]}"), F.lit(False))
+            broken = ~_has("p", index[f]) | _has("b", index[f])
             own = own + broken.cast("int")
         faults = faults + F.when(F.col("document_type") == name, own).otherwise(0)
     return state.select(
@@ -175,7 +189,7 @@ def document_valid(docs: DataFrame, fields: DataFrame, book: RuleBook = STANDARD
     for name, spec in book.types.items():
         ok = F.lit(True)
         for f in spec.required:
-            ok = ok & F.coalesce(F.col(f"p{index[f]}"), F.lit(False))
+            ok = ok & _has("p", index[f])
         if name in ("pan", "aadhaar"):
             ok = ok & F.coalesce(F.col(f"{name}_shape"), F.lit(False))
         chain = F.when(F.col("document_type") == name, ok) if chain is None else chain.when(

@@ -533,3 +533,28 @@ def test_unreadable_documents_are_read_once_and_exports_are_compressed(spark):
     inputs = Inputs(spark, "/root/testdata/sf0.001")
     assert optimized(REGISTRY["s5_unreadable_documents"].run(inputs)).count("Relation") == 1
     assert all(f.endswith(".json.gz") for f in REGISTRY["d6_nested_export_json"].run(inputs).inputFiles())
+
+
+def test_required_names_are_bit_sets(spark):
+    names = [f"field_{n}" for n in range(70)]
+    book = rules.STANDARD.register("Long", rules.DocumentRules(names, [], [], {"field_65": lambda c: c == "good"}))
+    docs = spark.createDataFrame([(1, "long"), (2, "long"), (3, "pan"), (4, "long")], "doc_id long, document_type string")
+    rows = [(d, n, f, "bad" if (d, f) == (1, "field_65") else "good", "str") for d in (1, 2) for n, f in enumerate(names) if f not in ("field_0", "field_61")]
+    fields = spark.createDataFrame(rows, "doc_id long, seq long, field_name string, field_value string, value_type string")
+    got = validate.required_errors(docs, fields, book).where("doc_id < 3").select("doc_id", "seq", "message").collect()
+    assert sorted(map(tuple, got)) == [
+        (1, 0, "Missing required field: field_0"), (1, 61, "Missing required field: field_61"), (1, 65, "Invalid value for field: field_65"),
+        (2, 0, "Missing required field: field_0"), (2, 61, "Missing required field: field_61")]
+    state = {r.doc_id: r.n_errors for r in validate.verdicts(docs, fields, book).collect()}
+    assert state == {1: 4, 2: 2, 3: len(book.types["pan"].required), 4: 70}
+    # two numbers for each 62 names
+    assert len(validate._required_flags(book)[1]) <= 4
+
+
+def test_labels_and_names_are_lowered_once(spark):
+    kv = spark.createDataFrame([(1, 0, "Due Date", "x", "invoice")], "doc_id long, seq int, label string, value string, document_type string")
+    fields = routing.route_fields(kv, F.col("document_type"))
+    # once for each type's pattern in the filter, once for all rules
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan(fields).count("lower(label") <= len(rules.STANDARD.types) + 1
+    assert plan(validate.with_checks(fields)).count("lower(field_name") == 1
