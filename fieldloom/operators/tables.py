@@ -241,6 +241,11 @@ def first_hit(hits: Column, field_name: str) -> Column:
 
 # --- HTML tables -------------------------------------------------------------------------
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value made once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _signature(table: Column) -> Column:
     words = F.concat(table["header"], F.flatten(table["rows"]))
     return F.regexp_replace(F.lower(F.array_join(words, " ")), "[^a-z]", "")
@@ -250,7 +255,9 @@ def classified_tables(markdown: Column) -> Column:
     """HTML tables of a text as ``bank``, ``gst`` and ``invoice`` tables.
 
     Of several bank or gst tables the last counts, of invoice tables the first
-    with a row.  One parse per document; the rules are plain expressions.
+    with a row.  One parse per document; the rules are plain expressions.  The named list
+    and the answer are bound by ``_let``: written out they would be made again wherever a
+    table is read.
     """
     tagged = F.transform(html_tables(markdown), lambda t: F.struct(t.alias("t"), _signature(t).alias("s")))
 
@@ -262,12 +269,12 @@ def classified_tables(markdown: Column) -> Column:
         return F.when(bank, "bank").when(gst, "gst").when(invoice, "invoice")
 
     named = F.transform(tagged, lambda x: F.struct(x["t"].alias("t"), kind(x["s"]).alias("kind")))
-    pick = lambda name, index: F.try_element_at(
-        F.filter(named, lambda x: x["kind"] == name), F.lit(index)
+    pick = lambda tables, name, index: F.try_element_at(
+        F.filter(tables, lambda x: x["kind"] == name), F.lit(index)
     )["t"]
-    return F.struct(
-        pick("bank", -1).alias("bank"), pick("gst", -1).alias("gst"), pick("invoice", 1).alias("invoice")
-    )
+    return _let(named, lambda n: F.struct(
+        pick(n, "bank", -1).alias("bank"), pick(n, "gst", -1).alias("gst"), pick(n, "invoice", 1).alias("invoice")
+    ))
 
 
 def _any(c: Column, words) -> Column:
@@ -300,13 +307,20 @@ def bank_fields_from_html(bank: Column) -> dict[str, Column]:
     """
     names = F.transform(bank["header"], lambda h: F.replace(F.lower(strip(h)), F.lit(" "), F.lit("")))
     row = F.get(bank["rows"], F.lit(0))
+
+    def cell_by(aliases: list[str]):
+        def cell_of(names: Column) -> Column:
+            chain = None
+            for alias, cell in zip(aliases, _header_lookup(row, names, aliases)):
+                has = F.array_contains(names, alias)
+                chain = F.when(has, cell) if chain is None else chain.when(has, cell)
+            return chain
+
+        return cell_of
+
     out = {}
     for target, aliases in rules.BANK_ALIASES.items():
-        chain = None
-        for alias, cell in zip(aliases, _header_lookup(row, names, aliases)):
-            has = F.array_contains(names, alias)
-            chain = F.when(has, cell) if chain is None else chain.when(has, cell)
-        value = strip(chain)
+        value = strip(_let(names, cell_by(aliases)))
         usable = F.when((F.length(value) > 0) & ~F.lower(value).isin("nan", "none"), value)
         cleaned = clean(usable, rules.BANK_CLEANERS.get(target, "text"))
         if target == "Vendor_PAN_No":

@@ -558,3 +558,20 @@ def test_labels_and_names_are_lowered_once(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert 1 <= plan(fields).count("lower(label") <= len(rules.STANDARD.types) + 1
     assert plan(validate.with_checks(fields)).count("lower(field_name") == 1
+
+
+def test_html_tables_are_classified_once(spark):
+    df = spark.createDataFrame([(1, "<table><tr><th>Bank Name</th></tr><tr><td>x</td></tr></table>")], "doc_id long, markdown string")
+    h = tables.with_tables(df)
+    found = tables.bank_fields_from_html(F.col("html.bank"))
+    plan = h.select(*[c.alias(n) for n, c in found.items()])._jdf.queryExecution().optimizedPlan().toString()
+    # the signature's pattern is there once, not once for every alias that is looked up
+    assert plan.count("[^a-z]") == 1
+
+
+def test_html_split_and_entities():
+    html = ("<table><tr><td a='x>y'>1 &amp; 2<!-- <td> --><script>a<td>b</script></td><td colspan=2>é</tr><tr><td '>no</td></tr>"
+            "<tr><td>3<table><tr><td>in</table></table>after<td>")
+    # of a nested table the text belongs to the outer cell too; a tag with an open quote is text of no cell
+    assert pyfuncs._raw_tables(html) == [
+        [(False, [("1 & 2", 1, 1), ("é", 2, 1)]), (False, [("3in", 1, 1)])], [(False, [("in", 1, 1)])]]
