@@ -55,3 +55,11 @@ def test_documents_are_grouped_where_they_are_rendered(spark, name):
     moved = [line for line in plan.splitlines() if "Exchange " in line and "BroadcastExchange" not in line]
     # only the narrow order rows move, by their key; pairs and fields made of them do not
     assert moved and all("hashpartitioning(o_orderkey" in line for line in moved), moved
+
+
+def test_pieces_of_orders_do_not_grow_with_the_table(spark, monkeypatch):
+    import workload.base
+
+    monkeypatch.setattr(workload.base, "DOCUMENTS_A_PIECE", 100)
+    orders = Inputs(spark, SF_DIR).table("orders")
+    assert orders.rdd.getNumPartitions() == 15 and orders.count() == 1500

@@ -23,6 +23,8 @@ class Entry:
 
 # the table of which each row is rendered as a document, and the column that is its id; the key is unique, so no task gets more
 DOCUMENT_KEY = {"orders": "o_orderkey"}
+# a piece holds so many documents at most, so what a task sorts or combines does not grow with the table
+DOCUMENTS_A_PIECE = 200_000
 
 REGISTRY: dict[str, Entry] = {}
 FIXTURES: dict[str, str] = {}
@@ -34,13 +36,17 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._pieces: dict[str, int] = {}
 
     def table(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name in DOCUMENT_KEY:
             # the narrow rows are dealt by document before a document's pairs, pages or cells are made of them: those
             # are then grouped where they are, in pieces that are as many as a shuffle's and not as few as a file's splits
-            return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), DOCUMENT_KEY[name])
+            if name not in self._pieces:
+                # the count comes from the files' footers
+                self._pieces[name] = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // DOCUMENTS_A_PIECE))
+            return df.repartition(self._pieces[name], DOCUMENT_KEY[name])
         # the driver's small files are one split each; on one machine their fixtures are rendered on all cores
         master = self.spark.sparkContext.master
         return df.repartition(self.spark.sparkContext.defaultParallelism) if master.startswith("local[") else df
