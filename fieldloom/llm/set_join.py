@@ -9,14 +9,18 @@ one class, and only shingles that two classes may share enter the index.
 Relations in a list.  Its rows stand in blocks by place.  A set looks in a block only at the
 sizes that can still reach the similarity from both places, found by binary search, and it
 skips a block, and all behind it, once no size can.  Sets that meet in a list, at first or
-second hand, are joined to the least of them, so a list gives no more links than it has rows;
-the components of these links are groups that no similar pair leaves.
-
-Relations between sets.  Most sets of a large group are highly similar to one hub of their
-lists: each is compared with one, and who is similar is in its component.  What is left of a
+second hand, are joined to the one with the least key, so a list gives no more links than it has
+rows, and lists of the same sets give the same ones; the components of these links are groups
+that no similar pair leaves.  The lists are dealt and sorted once and not kept: what is left of
+them is the links, with how many lists of a task gave each.
+
+Relations between sets.  Most sets of a large group are highly similar to one hub, the set that
+most of their lists join them to: each is compared with one, first by bitmaps, and who is similar
+is in its component.  What is left of a
 group is compared across components only, so tiles of its largest component never meet each
 other: first by bitmaps whose difference is a lower bound of the sets', which leave smaller
-groups, then by the sets.  In a task, a set's overlaps with all others are derived from those of the most similar
+groups, then by the sets.  Only sets that a bitmap leaves with another are made whole and
+shuffled.  In a task, a set's overlaps with all others are derived from those of the most similar
 set computed before: only the shingles in which the two differ are looked up.  Sets whose
 others are all in their component need no answer.
 """
@@ -106,7 +110,7 @@ def shingle_levels(own: DataFrame) -> np.ndarray:
     parts = own.where("segment is not null").select("segment", "cells")
     merged = parts.repartition(1 << (COUNT_BITS - SEGMENT_BITS), "segment").mapInArrow(_add_segments, "segment int, cells binary")
     total = np.zeros(1 << COUNT_BITS, np.int64)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():
         at = row["segment"] << SEGMENT_BITS
         total[at:at + (1 << SEGMENT_BITS)] = np.frombuffer(row["cells"], np.int64)
     return np.floor(4 * np.log2(1 + total)).astype(np.uint64)
@@ -137,7 +141,8 @@ def _prefixes(size: int, shared, bits: int, levels):
             for sets in read(batch):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    _binaries([in_order(s, levels.value)[:len(s) // 5 + 1] for s in sets])], ["key", "n", "prefix"])
+                    _binaries([in_order(s, levels.value)[:len(s) // 5 + 1] for s in sets]), _binaries([parity(s) for s in sets])],
+                    ["key", "n", "prefix", "parity"])
 
     return run
 
@@ -147,9 +152,7 @@ def _member_sets(size: int, shared, bits: int):
         read = _chosen_sets(size, shared, bits)
         for batch in batches:
             for sets in read(batch):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([set_key(s) for s in sets], pa.int64()), _binaries([packed(s) for s in sets]), _binaries([parity(s) for s in sets])],
-                    ["key", "set", "parity"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), _binaries([packed(s) for s in sets])], ["key", "set"])
 
     return run
 
@@ -266,15 +269,31 @@ def meeting(group, place, n) -> np.ndarray:
         label = new
 
 
+def list_links(token, place, n, key) -> list[np.ndarray]:
+    """Links (u, v, nu, nv, c) of some whole lists, sorted by token, place, size and key: u has the least key of the rows that v meets,
+    at first or second hand, in c lists where their places and sizes leave them.
+    """
+    # equal rows of the input enter once
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
+    token, place, n, key = token[new], place[new], n[new], key[new]
+    first = meeting(np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])), place, n)
+    order = np.lexsort((key, first))
+    lead = np.flatnonzero(np.concatenate([[True], first[order][1:] != first[order][:-1]]))
+    u, v = np.repeat(order[lead], np.diff(np.append(lead, len(order)))), order
+    u, v = u[u != v], v[u != v]
+    reach = 9 * np.minimum(n[u] - place[u], n[v] - place[v]) >= 4 * (n[u] + n[v])
+    order = np.lexsort((key[v], key[u]))
+    u, v, reach = u[order], v[order], reach[order]
+    new = np.concatenate([np.ones(min(1, len(u)), bool), (key[u][1:] != key[u][:-1]) | (key[v][1:] != key[v][:-1])])
+    c = np.bincount(np.cumsum(new) - 1, reach, minlength=int(new.sum())).astype(np.int64)
+    return [key[u[new]], key[v[new]], n[u[new]], n[v[new]], c]
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (u, v) of the rows of a sorted partition to the first row that they meet; some whole lists at a time."""
+    """The links of the lists of a sorted partition; some whole lists at a time."""
 
     def solve(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, place, n, key = rows
-        first = meeting(np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])), place, n)
-        own = np.flatnonzero(first != np.arange(len(first)))
-        links = np.unique(np.stack([key[own], key[first[own]]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in list_links(*rows)], ["u", "v", "nu", "nv", "c"])
 
     rest: list[np.ndarray] | None = None
     for batch in batches:
@@ -329,15 +348,30 @@ def similar(inter: Column, nu: Column, nv: Column) -> Column:
     return 9 * inter >= 4 * (nu + nv)
 
 
-def _hub_pairs(index: DataFrame) -> DataFrame:
-    """For each set the hub that most of its lists name: (u, v, nu, nv), u the hub."""
-    hubs = stored(index.groupBy("token").agg(
-        F.min(F.struct(F.xxhash64("key").alias("h"), "key", "n", "place")).alias("hub")), "set-hubs")
-    reach = 9 * F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place")) >= 4 * (F.col("n") + F.col("hub.n"))
-    near = index.join(hubs, "token").where((F.col("key") != F.col("hub.key")) & reach)
-    named = near.groupBy("key", "n", F.col("hub.key").alias("u"), F.col("hub.n").alias("nu")).agg(F.count("*").alias("c"))
-    return named.groupBy(F.col("key").alias("v"), F.col("n").alias("nv")).agg(F.max(F.struct("c", "u", "nu")).alias("b")).select(
-        "b.u", "v", "b.nu", "nv")
+def _hub_pairs(meets: DataFrame) -> DataFrame:
+    """For each set the hub that most of its lists join it to: (u, v, nu, nv), u the hub."""
+    named = meets.where("c > 0").groupBy("v", "nv", "u", "nu").agg(F.sum("c").alias("c"))
+    return named.groupBy("v", "nv").agg(F.max(F.struct("c", "u", "nu")).alias("b")).select("b.u", "v", "b.nu", "nv")
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v, nu, nv) whose parities leave them similar."""
+    for batch in batches:
+        sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        on = []
+        for both, a, b in zip(sizes.tolist(), batch.column(4), batch.column(5)):
+            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            while len(a) != len(b):
+                a, b = (a, b) if len(a) > len(b) else (b, a)
+                a = a[:len(a) // 2] ^ a[len(a) // 2:]
+            on.append(9 * int(np.bitwise_count(a ^ b).sum()) <= both)
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(on, pa.bool_()))
+
+
+def alike_pairs(pairs: DataFrame, parities: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v, nu, nv) that the parities (key, parity) of their sets leave similar."""
+    of = lambda c: parities.select(F.col("key").alias(c), F.col("parity").alias(f"p{c}"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "nu", "nv", "pu", "pv").mapInArrow(_alike, "u long, v long, nu long, nv long")
 
 
 def similar_links(key: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray, data: list[bytes]) -> tuple[list[int], list[int]]:
@@ -499,33 +533,35 @@ def set_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
             "key", "least", F.xxhash64("least.id", "least.text_hash").alias("row_hash")), "set-least")
     texts = source.select("text", F.xxhash64("id", "text_hash").alias("row_hash"))
     shared, bits = _key_sketch(classes, "row_hash")
-    prefixes = stored(texts.mapInArrow(_prefixes(size, shared, bits, levels), "key long, n long, prefix binary"), "set-prefixes")
+    prefixes = stored(texts.mapInArrow(_prefixes(size, shared, bits, levels), "key long, n long, prefix binary, parity binary"), "set-prefixes")
     total = int(prefixes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0])
     bits = power_of_two(total, 12, sketches.MAX_BITS)
     shared = context.broadcast(sketches.twice_bits(prefixes.select("prefix").mapInArrow(_fill(bits), sketches.SEGMENTS), bits))
-    entries = prefixes.mapInArrow(_entries(shared, bits), "token long, key long, n long, place long")
-    # equal rows of the input enter once
-    index = stored(entries.repartition("token").dropDuplicates(["token", "key"]), "set-index")
-    lists = index.repartition("token").sortWithinPartitions("token", "place", "n").select("token", "place", "n", "key")
-    groups = stored(components(lists.mapInArrow(_meet, "u long, v long").distinct()), "set-meeting")
-    grouped = groups.select(F.col("node").alias("key"), F.col("root").alias("grp"))
+    entries = prefixes.select("key", "n", "prefix").mapInArrow(_entries(shared, bits), "token long, key long, n long, place long")
+    lists = entries.repartition("token").sortWithinPartitions("token", "place", "n", "key").select("token", "place", "n", "key")
+    meets = stored(lists.mapInArrow(_meet, "u long, v long, nu long, nv long, c long"), "set-meets")
+    groups = components(meets.select("u", "v")).select(F.col("node").alias("key"), F.col("root").alias("grp"))
     # rows that meet none can never link
-    index = stored(index.join(grouped, "key"), "set-members")
-    shared, bits = _key_sketch(classes.join(grouped, "key", "left_semi"), "row_hash")
-    sets = stored(texts.mapInArrow(_member_sets(size, shared, bits), "key long, set binary, parity binary"), "set-sets")
-    near = overlaps(stored(_hub_pairs(index), "set-hub-pairs"), sets, tile).where(similar(F.col("inter"), F.col("nu"), F.col("nv")))
+    members = stored(prefixes.select("key", "n", "parity").dropDuplicates(["key"]).join(groups, "key"), "set-members")
+    pairs = stored(alike_pairs(_hub_pairs(meets), members), "set-hub-pairs")
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """The sets of these keys and of few others."""
+        shared, bits = _key_sketch(classes.join(keys, "key", "left_semi"), "row_hash", 64)
+        return texts.mapInArrow(_member_sets(size, shared, bits), "key long, set binary")
+
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("key"))
+    near = overlaps(pairs, sets_of(ends), tile).where(similar(F.col("inter"), F.col("nu"), F.col("nv")))
     links = stored(near.select("u", "v"), "set-links")
-    roots = stored(components(links), "set-roots").select(F.col("node").alias("key"), "root")
-    members = index.groupBy("key", "grp").agg(F.max("n").alias("n")).join(roots, "key", "left").select(
-        "key", "grp", "n", F.coalesce("root", "key").alias("root"))
-    members = stored(members, "set-rooted")
+    roots = components(links).select(F.col("node").alias("key"), "root")
+    rooted = stored(members.join(roots, "key", "left").select("key", "grp", "n", F.coalesce("root", "key").alias("root")), "set-rooted")
     # first by parities, a fiftieth of the sets: who may be similar to whom makes smaller groups
     alike = stored(_group_links(
-        members, sets.select("key", F.col("parity").alias("data")), F.ceil(F.col("n") / 32) + ROW_COST // 4, tile, alike_links), "set-alike")
+        rooted, members.select("key", F.col("parity").alias("data")), F.ceil(F.col("n") / 32) + ROW_COST // 4, tile, alike_links), "set-alike")
     closer = components(alike).select(F.col("node").alias("key"), F.col("root").alias("grp"))
-    members = stored(members.drop("grp").join(closer, "key"), "set-closer")
+    rooted = stored(rooted.drop("grp").join(closer, "key"), "set-closer")
     more = stored(_group_links(
-        members, sets.select("key", F.col("set").alias("data")), F.col("n") + ROW_COST, tile, similar_links), "set-more-links")
+        rooted, sets_of(rooted).select("key", F.col("set").alias("data")), F.col("n") + ROW_COST, tile, similar_links), "set-more-links")
     final = stored(components(links.unionByName(more)), "set-final")
     linked = classes.join(final, classes.key == final.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = linked.groupBy("root").agg(F.min("least").alias("b")).select("root", F.col("b.id").alias("component_id"))
@@ -535,9 +571,9 @@ def set_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return whole.unionByName(alone).toDF(id_col, "n_shingles", "component_id")
 
 
-def _key_sketch(rows: DataFrame, column: str):
-    """A broadcast sketch of a column of hashes, and its bits: no false negative, so readers lose no row."""
-    bits = power_of_two(16 * rows.count(), 12, sketches.MAX_BITS)
+def _key_sketch(rows: DataFrame, column: str, cells: int = 16):
+    """A broadcast sketch of a column of hashes, of ``cells`` a row, and its bits: no false negative, so readers lose no row."""
+    bits = power_of_two(cells * rows.count(), 12, sketches.MAX_BITS)
     # each hash enters as seen twice, which is what the sketch is asked for
     parts = rows.select(column).mapInArrow(_fill_keys(bits), sketches.SEGMENTS)
     return rows.sparkSession.sparkContext.broadcast(sketches.twice_bits(parts, bits)), bits

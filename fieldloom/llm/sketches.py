@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 MAX_BITS = 30        # a merged sketch is at most 2**30 cells, 128 MB as bits, in every worker
 SEGMENT_BITS = 20    # one task merges 2**20 cells at a time
+FETCH_BYTES = 4 << 20    # of a merged sketch, fetched at a time
 SEGMENTS = "segment int, once binary, twice binary"
 
 
@@ -54,7 +55,8 @@ def twice_bits(parts: DataFrame, bits: int) -> np.ndarray:
     tasks = min((1 << bits) // size, 256)
     merged = parts.repartition(tasks, "segment").mapInArrow(_merge(size), "segment int, bits binary")
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in merged.toLocalIterator():
+    # each partition is a job of its own when it is fetched
+    for row in merged.repartition(-(-len(out) // FETCH_BYTES)).toLocalIterator():
         out[row["segment"] * size // 8:(row["segment"] + 1) * size // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
 

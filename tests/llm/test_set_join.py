@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from fieldloom.llm.set_join import alike_links, block_ranges, meeting, packed, parity, set_join, similar_links
+from fieldloom.llm.set_join import alike_links, block_ranges, list_links, meeting, packed, parity, set_join, similar_links
 from tests.llm.helpers import SF_DIR, documents
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -144,6 +144,46 @@ def test_blocks_leave_every_pair_that_can_reach():
     assert meeting(group, place, n).tolist() == label.tolist()
 
 
+def test_lists_give_one_link_a_pair_to_the_least_key():
+    rng = np.random.default_rng(10)
+    token, key = rng.integers(0, 30, 400), rng.integers(-40, 40, 400)
+    place, n = (key + token) % 7, 10 + (key * key) % 50
+    place, n = np.concatenate([place, place[:50]]), np.concatenate([n, n[:50]])
+    token, key = np.concatenate([token, token[:50]]), np.concatenate([key, key[:50]])
+    order = np.lexsort((key, n, place, token))
+    got = list(zip(*(x.tolist() for x in list_links(token[order], place[order], n[order], key[order]))))
+    want = {}
+    for t in range(30):
+        rows = sorted({(int(k), int(p), int(m)) for x, k, p, m in zip(token, key, place, n) if x == t})
+        near = lambda a, b: 9 * min(a[2] - a[1], b[2] - b[1]) >= 4 * (a[2] + b[2])
+        least = {r: r for r in rows}
+        for a in rows:
+            for b in rows:
+                if a < b and near(a, b):
+                    x, y = sorted((least[a], least[b]))
+                    least = {r: x if z == y else z for r, z in least.items()}
+        for r, u in least.items():
+            if r != u:
+                at = (u[0], r[0], u[2], r[2])
+                want[at] = want.get(at, 0) + near(u, r)
+    assert got == [(*k, c) for k, c in sorted(want.items())]
+
+
+def test_sets_are_compared_only_where_bitmaps_leave_them_similar(spark, monkeypatch):
+    from fieldloom.llm import set_join as module
+
+    # two texts each share a passage of their own, and so meet, and differ in the rest; one pair is similar
+    part = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
+    rows = [
+        (2 * f + m, " ".join([part(f"own{f}", 14), *(part(f"slot{i}v{(f // 4 ** i + m) % 4}", 30) for i in range(3))]))
+        for f in range(30) for m in range(2)]
+    rows.append((60, rows[7][1] + " end"))
+    given, real = [], module.overlaps
+    monkeypatch.setattr(module, "overlaps", lambda pairs, *rest: given.append(pairs.count()) or real(pairs, *rest))
+    assert answer(set_join(documents(spark, rows))) == brute(rows)
+    assert given[0] <= 5
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_query_equals_all_pairs(spark, sf):
