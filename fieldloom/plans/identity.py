@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators import content, schemas
+from fieldloom.session import written
 
 FIELDS = ["doc_id", "seq", "field_name", "field_value", "value_type"]
 
@@ -52,7 +53,9 @@ def whole_texts(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
 
 def as_fields(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
     """Named columns as field rows in their order; arrays are kept as JSON, booleans as words."""
-    dtypes = dict(rows.select(*[c.alias(n) for n, c in values.items()]).dtypes)
+    # the values are columns before they become rows, so that each is computed once
+    own = rows.select("doc_id", *[c.alias(f"v{n}") for n, c in enumerate(values.values())])
+    dtypes = dict(zip(values, (kind for _, kind in own.dtypes[1:])))
 
     def field(seq: int, name: str, value: Column) -> Column:
         if dtypes[name].startswith("array"):
@@ -65,7 +68,7 @@ def as_fields(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
             F.lit(seq).cast("bigint").alias("seq"), F.lit(name).alias("field_name"), shown.alias("field_value"),
             F.when(shown.isNull(), "NoneType").otherwise(kind).alias("value_type"))
 
-    return rows.select("doc_id", F.inline(F.array(*[field(n, name, c) for n, (name, c) in enumerate(values.items())])))
+    return own.select("doc_id", F.inline(F.array(*[field(n, name, F.col(f"v{n}")) for n, name in enumerate(values)])))
 
 
 def _typed(texts: DataFrame, document: Callable[[Column], Column]) -> DataFrame:
@@ -123,4 +126,5 @@ def process(docs: DataFrame, pages: DataFrame, answers: DataFrame, extractors: E
     text``) and the model's ``answers`` (``doc_id, answer``); either may be missing."""
     texts = docs.select("doc_id", "document_type").join(whole_texts(pages), "doc_id", "left").join(
         answers.select("doc_id", "answer"), "doc_id", "left")
-    return extractors.fields(texts)
+    # every type reads them: pages are put together once, and not once a type
+    return extractors.fields(written(texts, "identity-texts"))

@@ -575,3 +575,20 @@ def test_html_split_and_entities():
     # of a nested table the text belongs to the outer cell too; a tag with an open quote is text of no cell
     assert pyfuncs._raw_tables(html) == [
         [(False, [("1 & 2", 1, 1), ("é", 2, 1)]), (False, [("3in", 1, 1)])], [(False, [("in", 1, 1)])]]
+
+
+def test_identity_pages_are_put_together_once_for_all_types(spark):
+    from fieldloom.plans import identity
+
+    docs = spark.createDataFrame([(1, "PAN"), (2, "aadhaar"), (3, "agreement"), (4, "memo"), (5, "pan")], "doc_id long, document_type string")
+    pages = spark.createDataFrame([(d, p, f"{'of ABCDE1234F' if p else 'page'} {d}") for d in range(1, 5) for p in range(2)], "doc_id long, page_no int, text string")
+    answers = spark.createDataFrame([(1, '{"name": "A"}'), (3, "none")], "doc_id long, answer string")
+    fields, errors = identity.process(docs, pages, answers)
+    got = {(r.doc_id, r.field_name): r.field_value for r in fields.collect()}
+    assert got[1, "name"] == "A" and got[1, "pan_number"] == got[3, "company.pan"] == "ABCDE1234F" and got[5, "pan_number"] is None
+    assert [tuple(r) for r in errors.collect()] == [(4, "Unsupported document type: memo")]
+    plan = fields._jdf.queryExecution().optimizedPlan().toString()
+    # once before, and not once in the plan of every type
+    assert "collect_list" not in plan
+    # a value's pattern is searched for in a column, not again for each use in its row
+    assert all("regexp" not in line for line in plan.splitlines() if "Generate inline" in line)
